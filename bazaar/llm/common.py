@@ -111,3 +111,68 @@ def running_sums(df: DataFrame, order: list[str], value: str) -> DataFrame:
         s, n = s + r["s"], n + r["r"] + 1
     ahead = F.broadcast(spark.createDataFrame(at, "pid int, s0 long, r0 long"))
     return rows.join(ahead, "pid").withColumns({"before": F.col("before") + F.col("s0"), "row": F.col("row") + F.col("r0")}).select(*kept, "before", "row")
+
+
+def by_group(df: DataFrame, key: str, fn, schema: str) -> DataFrame:
+    """fn(pa.Table of one group) -> list of pa.RecordBatch, for each value of key; rows in the order of df's sort.
+
+    Groups should be of bounded size: one at a time is held. df is dealt out by key here; ``fn`` sees whole groups.
+    """
+    names = df.columns
+    at = names.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column(at)
+            if pa.types.is_integer(k.type):
+                v = k.to_numpy(zero_copy_only=False)
+                cuts = np.flatnonzero(v[1:] != v[:-1]) + 1
+            else:
+                v = k.to_pylist()
+                cuts = [i for i in range(1, len(v)) if v[i] != v[i - 1]]
+            if held and v[0] != last:
+                yield from fn(pa.Table.from_batches(held))
+                held = []
+            lo = 0
+            for c in [*cuts, b.num_rows]:
+                held.append(b.slice(lo, c - lo))
+                if c < b.num_rows:
+                    yield from fn(pa.Table.from_batches(held))
+                    held = []
+                lo = c
+            last = v[-1]
+        if held:
+            yield from fn(pa.Table.from_batches(held))
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the connected components of edges (a, b): root is the least node of the component.
+
+    Each round points every node to its least neighbour or itself, and contracts; rounds go on while edges
+    between different roots are left, over a graph that shrinks. Nothing but counts goes to the driver.
+    """
+    spark = edges.sparkSession
+    edges = staged(edges.select("a", "b").filter("a <> b and a is not null and b is not null").distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        hop = staged(both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("root"), F.count("*").alias("n")), "hop")
+        rounds.append(hop)
+        left = lookup(edges.select(F.col("a").alias("node"), "b"), hop, "node", "n").select(F.col("root").alias("ra"), F.col("b").alias("node"))
+        edges = staged(lookup(left, hop, "node", "n").select(F.col("ra").alias("a"), F.col("root").alias("b")).filter("a <> b").distinct(), "edges")
+    if not rounds:
+        return spark.createDataFrame([], f"node {dict(edges.dtypes)['a']}, root {dict(edges.dtypes)['a']}")
+    found = rounds[0].select("node", "root")
+    for hop in rounds[1:]:
+        # roots that the round didn't move have no row in hop
+        sizes = found.groupBy("root").agg(F.count("*").alias("n"))
+        step = staged(hop.select(F.col("node").alias("root"), F.col("root").alias("next")).join(sizes, "root"), "step")
+        moved = lookup(found, step, "root", "n").select("node", F.col("next").alias("root"))
+        found = staged(moved.unionByName(found.join(step.select("root"), "root", "left_anti").select("node", "root")), "roots")
+    return found

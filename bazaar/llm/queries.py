@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from bazaar.llm import decontam, mixing, sharding, warc
+from bazaar.llm import decontam, mixing, ngram_join, sharding, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op4_mix": mixing.op4_mix,
     "op5_shards": sharding.op5_shards,
     "op6_decontam": decontam.op6_decontam,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
 }
 
 ORACLE = {
