@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from bazaar.llm import decontam, mixing, ngram_join, sharding, warc
+from bazaar.llm import decontam, langid, mixing, ngram_join, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op2_warc": warc.op2_warc,
     "op4_mix": mixing.op4_mix,
     "op5_shards": sharding.op5_shards,
     "op6_decontam": decontam.op6_decontam,
     "op7_ngram_join": ngram_join.op7_ngram_join,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLE = {
