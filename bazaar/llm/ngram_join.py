@@ -2,9 +2,9 @@
 
 Work is dealt out so that no group's pairs are ever rows. Documents with equal n-gram sets are one set.
 Sets that agree with their bucket's leader in two bands or more form clusters, which are only a way to deal out
-work; inside a cluster every pair is checked, by matrix products over blocks of bounded size. Pairs of different
-clusters that agree in a band are checked one by one. Both give each set its number of links and a spanning
-forest of the links, whose components are the classes.
+work; inside a cluster every pair is checked, by matrix products over blocks of bounded size. Where sets of
+different clusters agree in a band, those of the smaller are checked against the whole larger cluster. Both give
+each set its number of links and a spanning forest of the links, whose components are the classes.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ def _full_sets(docs: DataFrame, n: int) -> DataFrame:
 def overlaps(lists: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first row, first column, counts) of the sizes of all intersections, in tiles of the upper triangle.
 
-    Shingles of one list only can't be shared. The others become columns of 0/1 matrices, taken in slices.
+    The diagonal means nothing. Shingles of one list only can't be shared. The others become columns of 0/1 matrices, taken in slices.
     """
     m = len(lists)
     flat = np.concatenate(lists)
@@ -163,11 +163,11 @@ def overlaps(lists: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
 def check_pairs(lists: list[np.ndarray], copies: np.ndarray, half: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(links of each list, weighted by copies; edges of a spanning forest of them).
 
-    half: 0 or 1, which block a list is of. With both halves, only pairs across them count.
+    half: 0 if all pairs count, else 1 or 2, and only pairs of a 1 and a 2 count.
     """
     m = len(lists)
     size = np.array([len(x) for x in lists], dtype=np.float64)
-    across = half.min() != half.max()
+    across = half.max() > 0
     links, root, edges = np.zeros(m, dtype=np.int64), np.arange(m), []
 
     def find(x: int) -> int:
@@ -218,26 +218,33 @@ def links(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0
     buckets = staged(member.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("leader")).filter("size > 1"), "buckets")
     inside = staged(lookup(member, buckets, "bucket", "size"), "members")
     stars = inside.filter("key <> leader").groupBy("leader", "key").agg(F.count("*").alias("agree")).filter("agree > 1")
-    clusters = staged(components(stars.select(F.col("leader").alias("a"), F.col("key").alias("b"))), "clusters")
-
-    # buckets that hold several clusters: pairs across them, of sizes that allow the threshold
-    placed = inside.select("bucket", "key", "n").join(clusters.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    placed = staged(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).filter("r0 <> r1").select("bucket", "size")
-    crossing = lookup(placed, staged(mixed, "mixed"), "bucket", "size")
-    pairs = staged(by_group(crossing, "bucket", _across(threshold), "a binary, b binary").distinct(), "pairs")
-
-    # units of work: blocks of clusters two by two, and single pairs
-    own = clusters.withColumnRenamed("node", "key").join(sets.select("key", "n"), "key")
-    size = own.groupBy("root").agg(F.sum("n").alias("shingles"), F.count("*").alias("rows"))
-    size = size.select("root", "rows", F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("rows") / BLOCK_SETS)).cast("int").alias("blocks"))
-    dealt = lookup(staged(own, "own"), staged(size, "size"), "root", "rows").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    roots = components(stars.select(F.col("leader").alias("a"), F.col("key").alias("b")))
+    own = staged(roots.withColumnRenamed("node", "key").join(sets.select("key", "n"), "key"), "own")
+    size = staged(own.groupBy("root").agg(F.sum("n").alias("shingles"), F.count("*").alias("rows")), "size")
+    clusters = staged(lookup(own, size.withColumn("weight", F.col("rows")), "root", "weight"), "clusters")
+
+    # buckets that hold several clusters: of two clusters that meet, the members of the smaller are guests of the larger
+    placed = inside.select("bucket", "key", "n").join(clusters.select("key", "root", "rows", "shingles"), "key", "left")
+    placed = staged(placed.select("bucket", "key", F.coalesce("rows", F.lit(1)).alias("rows"), F.coalesce("root", "key").alias("root"), F.coalesce("shingles", F.col("n").cast("long")).alias("shingles")), "placed")
+    meet = placed.groupBy("bucket", "rows", "root", "shingles").agg(F.count("*").alias("here")).groupBy("bucket").agg(F.collect_list(F.struct("rows", "root", "shingles")).alias("hosts"), F.sum("here").alias("weight")).filter(F.size("hosts") > 1)
+    larger = F.filter("hosts", lambda x: F.struct(x["rows"], x["root"]) > F.struct(F.col("rows"), F.col("root")))
+    guests = lookup(placed, staged(meet, "meet"), "bucket", "weight").select("key", F.explode(larger).alias("host"))
+    guests = staged(guests.select("key", F.col("host.root").alias("root"), F.col("host.rows").alias("rows"), F.col("host.shingles").alias("shingles")).distinct(), "guests")
+
+    # units of work: blocks of a cluster two by two, and blocks of a cluster with blocks of its guests
+    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("rows") / BLOCK_SETS)).cast("int")
+    dealt = clusters.select("key", "root", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    in_cluster = dealt.select("key", F.xxhash64("root", low, high).alias("unit"), F.when(low == high, F.lit(0)).otherwise((F.col("block") == high).cast("int")).alias("half"))
-    single = pairs.withColumn("unit", F.xxhash64("a", "b", F.lit("pair")))
-    single = single.select(F.col("a").alias("key"), "unit", F.lit(0).alias("half")).unionByName(single.select(F.col("b").alias("key"), "unit", F.lit(1).alias("half")))
-    units = staged(in_cluster.unionByName(single), "units")
+    in_cluster = paired.select("key", F.xxhash64("root", low, high).alias("unit"), F.when(low == high, F.lit(0)).otherwise((F.col("block") == high).cast("int") + 1).alias("half"))
+    parties = staged(guests.join(sets.select("key", "n"), "key").groupBy("root").agg(F.count("*").alias("guests"), F.first("rows").alias("rows"), F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("parts")), "parties")
+    hosts = lookup(clusters, parties.select("root", F.col("rows").alias("weight"), "parts"), "root", "weight").select("key", "root", blocks.alias("blocks"), "parts")
+    alone = parties.filter("rows = 1").select(F.col("root").alias("key"), "root", F.lit(1).alias("blocks"), "parts")
+    hosts = hosts.unionByName(alone).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    visits = lookup(guests.select("key", "root", blocks.alias("blocks")), parties.select("root", F.col("guests").alias("weight"), "parts"), "root", "weight")
+    visits = visits.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    across = [x.select("key", F.xxhash64("root", "block", "part", F.lit("guests")).alias("unit"), F.lit(half).alias("half")) for half, x in enumerate((hosts, visits), 1)]
+    units = staged(in_cluster.unionByName(across[0]).unionByName(across[1]), "units")
 
     # whole n-gram sets of the candidates only
     wanted = units.select("key").distinct().join(sets.select("key", "copy_of", "copies"), "key")
@@ -258,33 +265,6 @@ def links(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0
     return out.unionByName(keyed.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links")))
 
 
-def _across(threshold: float):
-    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, n, root = (group.column(c).to_pylist() for c in ("key", "n", "root"))
-        by: dict[bytes, list[int]] = {}
-        for i, x in enumerate(root):
-            by.setdefault(x, []).append(i)
-        size = np.array(n)
-        parts = list(by.values())
-        ahead: list[int] = []
-        a, b = [], []
-        for part in parts:
-            if ahead:
-                old = np.array(ahead)
-                for i in part:
-                    fit = old[(np.minimum(size[old], size[i]) >= threshold * np.maximum(size[old], size[i]))]
-                    a += [min(key[i], key[k]) for k in fit]
-                    b += [max(key[i], key[k]) for k in fit]
-                    if len(a) > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                        a, b = [], []
-            ahead += part
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return run
-
-
 def _verify(threshold: float):
     def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
         if group.num_rows < 2:
