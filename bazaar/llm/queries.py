@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bazaar.llm import decontam, langid, mixing, ngram_join, sharding, toxicity, warc
+from bazaar.llm import decontam, langid, mixing, ngram_join, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -12,9 +12,11 @@ QUERIES = {
     "op6_decontam": decontam.op6_decontam,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_substrings": substrings.op10_substrings,
 }
 
 ORACLE = {
     "op2_warc": warc.OP2_SQL,
     "op6_decontam": decontam.OP6_SQL,
+    "op10_substrings": substrings.OP10_SQL,
 }

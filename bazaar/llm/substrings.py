@@ -35,7 +35,7 @@ HEAVY_KEY = 20_000
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """(hash of each word, row of each segment, its first word, its windows, its key).
+    """(hash of each word, row of each segment, its first word, its windows, its key, row of each word).
 
     A segment is a maximal run of windows of n words of one row with the same minimizer.
     """
@@ -194,7 +194,7 @@ def _keys(docs: DataFrame, n: int, buckets: int) -> DataFrame:
 
 def _shared(group: pa.Table) -> Iterator[pa.RecordBatch]:
     """(doc, key) of the keys of one bucket that are in two documents or more, but for those that a batch knows."""
-    keys = np.concatenate([x.values.to_numpy() if isinstance(x, pa.ListScalar) else x for c in group.column("keys").chunks for x in [c.flatten().to_numpy()]])
+    keys = np.concatenate([c.flatten().to_numpy() for c in group.column("keys").chunks])
     owners = pa.concat_arrays([c.flatten() for c in group.column("docs").chunks])
     several = owners.is_null().to_numpy(zero_copy_only=False)
     docs = owners.fill_null(0).to_numpy()
@@ -222,7 +222,7 @@ def _segment_rows(texts: DataFrame, n: int, heavy: set[int]) -> DataFrame:
             flat, ends = wanted.flatten().to_numpy().view(np.uint64), wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
             owner = np.repeat(np.arange(b.num_rows), np.diff(ends))
             want = np.unique(mix(flat) ^ mix(owner.astype(np.uint64) + np.uint64(77)))
-            for lo, (h, row, first, count, key, _) in _batch_segments(b.column(1), n):
+            for lo, (h, row, first, count, key, of) in _batch_segments(b.column(1), n):
                 at = mix(key) ^ mix((row + lo).astype(np.uint64) + np.uint64(77))
                 place = np.minimum(np.searchsorted(want, at), max(0, len(want) - 1))
                 keep = want[place] == at if len(want) else np.zeros(len(at), bool)
@@ -256,10 +256,7 @@ def _segment_rows(texts: DataFrame, n: int, heavy: set[int]) -> DataFrame:
                 shown = np.concatenate([[0], np.cumsum(np.where(lead, size, 0))]).astype(np.int32)
                 mask = np.repeat(lead, size)
                 values = pa.array(tokens[mask].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array((first - _row_starts(h, row, first)).astype(np.int32)), pa.array(count.astype(np.int32)), seg, pa.array(key.view(np.int64)), pa.ListArray.from_arrays(pa.array(shown), values, mask=pa.array(~lead))], names=["doc", "start", "windows", "seg", "key", "tokens"])
-
-    def _row_starts(h, row, first):
-        raise NotImplementedError
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array((first - np.searchsorted(of, row)).astype(np.int32)), pa.array(count.astype(np.int32)), seg, pa.array(key.view(np.int64)), pa.ListArray.from_arrays(pa.array(shown), values, mask=pa.array(~lead))], names=["doc", "start", "windows", "seg", "key", "tokens"])
 
     return texts.mapInArrow(run, "doc long, start int, windows int, seg binary, key long, tokens array<long>")
 
@@ -272,3 +269,101 @@ def _first_docs(n: int):
         yield pa.RecordBatch.from_arrays([group.column("seg").combine_chunks(), pa.array(found, pa.list_(pa.int64()))], names=["seg", "firsts"])
 
     return run
+
+
+def covered(docs: DataFrame, n: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, starts): for each document that loses words, the first words (from 0) of the windows that go."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null and text is not null")
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = staged(_keys(slim, n, buckets), "keys")
+    met = by_group(entries.filter("bucket >= 0").select("bucket", "keys", "docs"), "bucket", _shared, "doc long, key long")
+    known = entries.filter("bucket < 0").select("doc", F.explode("keys").alias("key"))
+    pairs = staged(met.unionByName(known), "pairs")
+
+    counts = pairs.groupBy("key").agg(F.count("*").alias("n"))
+    total = pairs.count()
+    heavy = {r["key"] for r in counts.filter(F.col("n") >= max(HEAVY_KEY, int(total * HEAVY_SHARE))).select("key").collect()}
+    wanted = pairs.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    rows = staged(_segment_rows(slim.join(wanted, "doc").select("doc", "text", "keys"), n, heavy), "segments")
+
+    distinct = staged(rows.groupBy("seg").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), F.first("key").alias("key"), F.first("tokens", ignorenulls=True).alias("tokens")), "distinct")
+    shards = max(1, -(-distinct.count() // SHARD))
+    dealt = distinct.select("seg", "doc", "tokens", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"))
+    firsts = by_group(dealt, "shard", _first_docs(n), "seg binary, firsts array<long>")
+    firsts = staged(firsts.join(distinct.select("seg", "n", F.col("doc").alias("least")), "seg"), "firsts")
+
+    at = lookup(rows.select("doc", "start", "seg"), firsts, "seg", "n")
+    gone = F.filter(F.transform("firsts", lambda first, i: F.when(first < F.col("doc"), i)), lambda i: i.isNotNull())
+    hits = at.select("doc", "start", gone.alias("at")).filter(F.size("at") > 0)
+    return hits.groupBy("doc").agg(F.flatten(F.collect_list(F.transform("at", lambda i: F.col("start") + i))).alias("starts"))
+
+
+def remove(docs: DataFrame, n: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every row of docs: doc_id, n_words, n_removed, kept (the words that stay, joined by one space; null for null).
+
+    Words are what is between white space, unchanged; a word goes if a window of n consecutive words around it also
+    starts in a document with a smaller doc_id, as the input has it. Rows of the same doc_id keep what only they
+    share; null doc_ids are compared with nothing. Null and empty texts have no words; texts under n words stay.
+    """
+    kind = dict(docs.dtypes)[doc_id]
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    marked = base.join(covered(docs, n, doc_id, text), F.col("doc_id").cast("long") == F.col("doc"), "left").select("doc_id", "text", "starts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count, removed, kept = [], [], []
+            for t, starts in zip(b.column(1), b.column(2), strict=True):
+                raw = t.as_py()
+                words = raw.encode().split() if raw is not None else []
+                count.append(len(words))
+                if starts.is_valid and len(words) >= n:
+                    deep = np.zeros(len(words) + 1, dtype=np.int32)
+                    s = np.unique(starts.values.to_numpy())
+                    deep[s] += 1
+                    deep[s + n] -= 1
+                    stays = np.cumsum(deep[:-1]) == 0
+                    words = [w for w, k in zip(words, stays, strict=True) if k]
+                removed.append(count[-1] - len(words))
+                kept.append(b" ".join(words).decode() if raw is not None else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    return marked.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return remove(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+     p AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+     f AS (SELECT s, min(doc_id) AS first FROM p GROUP BY s),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM p JOIN f USING (s) WHERE first < doc_id),
+     words AS (SELECT doc_id, w[k] AS word, k FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM d)),
+     kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def brute_force(docs: list[tuple[int | None, str | None]], n: int = 13) -> list[tuple[int, int, str]]:
+    """(n_words, n_removed, kept_sha256) of each row, by a table of all windows."""
+    words = [(t or "").encode().split() for _, t in docs]
+    first: dict = {}
+    for (d, _), w in zip(docs, words, strict=True):
+        if d is not None:
+            for i in range(len(w) - n + 1):
+                x = tuple(w[i : i + n])
+                first[x] = min(d, first.get(x, d))
+    out = []
+    for (d, _), w in zip(docs, words, strict=True):
+        gone = set()
+        if d is not None:
+            for i in range(len(w) - n + 1):
+                if first[tuple(w[i : i + n])] < d:
+                    gone.update(range(i, i + n))
+        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return out
