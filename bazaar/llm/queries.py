@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from bazaar.llm import decontam, langid, mixing, ngram_join, sharding, substrings, toxicity, warc
+from bazaar.llm import decontam, langid, mixing, ngram_join, pii, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_warc": warc.op2_warc,
+    "op3_pii": pii.op3_pii,
     "op4_mix": mixing.op4_mix,
     "op5_shards": sharding.op5_shards,
     "op6_decontam": decontam.op6_decontam,
