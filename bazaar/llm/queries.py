@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bazaar.llm import decontam, langid, mixing, ngram_join, pii, sharding, substrings, toxicity, warc
+from bazaar.llm import decontam, langid, mixing, ngram_join, pii, search, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_shards": sharding.op5_shards,
     "op6_decontam": decontam.op6_decontam,
     "op7_ngram_join": ngram_join.op7_ngram_join,
+    "op8_search": search.op8_search,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_substrings": substrings.op10_substrings,
 }
