@@ -63,6 +63,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more, and lets Spark's cleaner drop the shuffle files of
+    finished steps, which stay until the driver collects its garbage."""
+    for df in tables:
+        names = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+        for path in [p for p in _staged if p.rpartition("/")[2] in names]:
+            drop_dir(df.sparkSession, path)
+    SparkSession.getActiveSession().sparkContext._jvm.System.gc()
+
+
 def lookup(facts: DataFrame, dim: DataFrame, key: str, weight: str) -> DataFrame:
     """Inner join of facts with dim, which has a row per key; weight: how many rows of facts have the key.
 

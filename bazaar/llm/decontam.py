@@ -89,6 +89,28 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return [(chars(at[a][0]), chars(at[b - 1][1])) for a, b in spans]
 
 
+def _broadcast(spark: SparkSession, benchmark: DataFrame, item_id: str, text: str) -> list:
+    """A broadcast of each block of items: of bounded size each."""
+    return [spark.sparkContext.broadcast(block) for block in blocks(benchmark, item_id, text)]
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all their columns as they are, in which no window of an item occurs (see scan)."""
+    held = _broadcast(docs.sparkSession, benchmark, item_id, item_text)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = Automaton(held[0].value, n) if len(held) == 1 else None
+        for b in batches:
+            clean = [True] * b.num_rows
+            for block in held:
+                automaton = first or Automaton(block.value, n)
+                clean = [c and not automaton.scan(normal(t))[1] for c, t in zip(clean, b.column(at).to_pylist(), strict=True)]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit (words inside any occurrence of a window), items (ids of the
     items with windows in it, as sorted strings), spans (array of struct<start, end>: what is hit, as
@@ -98,10 +120,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_
     window. Null or empty texts have no words; items without words have no windows; repeated items count once.
     The automaton of a block of items is of bounded size; documents are scanned whole, once for each block.
     """
-    spark = docs.sparkSession
-    held = []
-    for block in blocks(benchmark, item_id, item_text):
-        held.append(spark.sparkContext.broadcast(block))
+    held = _broadcast(docs.sparkSession, benchmark, item_id, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = Automaton(held[0].value, n) if len(held) == 1 else None

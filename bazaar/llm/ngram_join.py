@@ -92,7 +92,7 @@ def signatures(g: np.ndarray, ends: np.ndarray, b: int, r: int) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, n: int, b: int, r: int) -> DataFrame:
-    """doc_id, key (16 bytes, null where there is no word), n, bands of each document."""
+    """doc_id, text_hash, key (16 bytes, null where there is no word), n, bands of each (doc_id, text, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,9 +104,9 @@ def _sketch(docs: DataFrame, n: int, b: int, r: int) -> DataFrame:
                 if full.any():
                     bands[full] = signatures(g, np.concatenate([ends[:-1][full], ends[-1:]]), b, r)
                 at = pa.array(np.concatenate([[0], np.cumsum(full * b)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(set_keys(g, ends), pa.binary()), pa.array(np.diff(ends)), pa.ListArray.from_arrays(at, pa.array(bands[full].reshape(-1).view(np.int64)))], names=["doc_id", "key", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(set_keys(g, ends), pa.binary()), pa.array(np.diff(ends)), pa.ListArray.from_arrays(at, pa.array(bands[full].reshape(-1).view(np.int64)))], names=["doc_id", "text_hash", "key", "n", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, key binary, n int, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, text_hash long, key binary, n int, bands array<long>")
 
 
 def _full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -199,7 +199,7 @@ def check_pairs(lists: list[np.ndarray], copies: np.ndarray, half: np.ndarray, t
 
 
 def links(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: doc_id, class_id, copy_of, n_links.
+    """A row for each document: doc_id, class_id, copy_of, n_links, text_hash (xxhash64 of the text).
 
     Two documents are linked if the Jaccard similarity of their sets of n-grams of lower-cased words is at least
     the threshold. n_links counts a document's links, those to documents of an equal set among them; copy_of is
@@ -209,7 +209,7 @@ def links(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0
     at least, more similar ones with more; nothing else loses a link.
     """
     b, r = bands_and_rows(threshold, recall)
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text"), F.xxhash64(text).alias("text_hash"))
     sketch = staged(_sketch(base, n, b, r), "sketch")
     sets = staged(sketch.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
 
@@ -260,9 +260,9 @@ def links(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0
     classed = lookup(named.filter("root is not null"), staged(first, "first"), "root", "rows").drop("root")
     alone = named.filter("root is null").drop("root").withColumn("class_id", F.col("copy_of"))
     answer = staged(classed.unionByName(alone).select("key", "copy_of", "class_id", "copies", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "answer")
-    keyed = sketch.select("doc_id", "key")
-    out = lookup(keyed.filter("key is not null"), answer.withColumn("weight", F.col("copies")).drop("copies"), "key", "weight").select("doc_id", "class_id", "copy_of", "n_links")
-    return out.unionByName(keyed.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links")))
+    keyed = sketch.select("doc_id", "text_hash", "key")
+    out = lookup(keyed.filter("key is not null"), answer.withColumn("weight", F.col("copies")).drop("copies"), "key", "weight").select("doc_id", "class_id", "copy_of", "n_links", "text_hash")
+    return out.unionByName(keyed.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), "text_hash"))
 
 
 def _verify(threshold: float):
@@ -279,8 +279,25 @@ def _verify(threshold: float):
     return run
 
 
+def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all their columns as they are, with the least doc_id of their class (see links).
+
+    Of repeated rows of that doc_id and text one stays, and so of rows without a doc_id and with equal texts.
+    Texts without words are in no class: all stay but repeated rows.
+    """
+    found = staged(links(docs, threshold, n, doc_id=doc_id, text=text), "links")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
+    kept = staged(kept, "kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "times")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    once = docs.join(kept.filter("times = 1"), same, "left_semi")
+    again = kept.filter("times > 1")
+    if again.isEmpty():
+        return once
+    return once.unionByName(docs.join(again, same, "left_semi").dropDuplicates([doc_id, text]))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return links(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
 
 
 def brute_force(docs: list[tuple[object, str | None]], threshold: float = 0.8, n: int = 5) -> dict[object, tuple[object, int]]:

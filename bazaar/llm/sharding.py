@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.llm.common import lookup, running_sums, staged
@@ -11,27 +11,37 @@ from bazaar.llm.common import lookup, running_sums, staged
 WHOLE_SHARE = 0.05
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text", overhead: int = 8, whole_share: float = WHOLE_SHARE) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text", overhead: int = 8, whole_share: float = WHOLE_SHARE, order: list[str] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: documents in the order of (hash of text, doc_id), cut at equal bytes.
 
     size is the UTF-8 bytes of the text (null: none) plus overhead. A document lies in the shard that holds the
     middle of its bytes in the global order, so each shard's bytes differ from the target by less than one
     document at either end. A group of equal texts is contiguous in that order; it goes whole to the shard that
     holds its middle, unless it has over whole_share of a shard's bytes: then it is cut like other documents.
-    slot numbers a shard's documents from 0 in the global order. Null texts form one group (crc32 of no bytes),
+    With ``order``, columns that end in one of distinct values, documents are in that order instead, and groups are cut
+    like other documents. slot numbers a shard's documents from 0 in the global order. Null texts form one group (crc32 of no bytes),
     as do empty ones with them; null doc_ids come first; repeated rows get a slot each; no rows, no shards.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + overhead).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("hash"))
-    rows = running_sums(staged(slim, "sizes"), ["hash", "text_crc32", "size", "doc_id"], "size")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + overhead).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("hash"), *(F.col(c).alias(f"order{i}") for i, c in enumerate(order or [])))
+    by = [f"order{i}" for i in range(len(order))] if order else ["hash", "text_crc32", "size", "doc_id"]
+    rows = running_sums(staged(slim, "sizes"), by, "size")
     total = rows.agg(F.sum("size")).first()[0] or 1
+    if order:
+        return _slots(rows.withColumn("whole", F.lit(None).cast("int")), n_shards, total)
     key = F.concat_ws(":", "hash", "text_crc32", "size")
     groups = rows.groupBy(key.alias("key")).agg(F.min("before").alias("start"), F.sum("size").alias("bytes"), F.count("*").alias("n")).filter(f"n > 1 and bytes <= {whole_share * total / n_shards}")
-    shard_of = lambda middle: F.least(F.floor(middle * n_shards / total), F.lit(n_shards - 1)).cast("int")
-    whole = staged(groups.select("key", "n", shard_of(F.col("start") + F.col("bytes") / 2).alias("whole")), "groups")
+    whole = staged(groups.select("key", "n", _shard(F.col("start") + F.col("bytes") / 2, n_shards, total).alias("whole")), "groups")
     keyed = rows.withColumn("key", key)
-    placed = lookup(keyed, whole, "key", "n").unionByName(keyed.join(whole, "key", "left_anti").withColumn("whole", F.lit(None).cast("int")))
-    placed = staged(placed.select("doc_id", "size", "text_crc32", "row", F.coalesce("whole", shard_of(F.col("before") + F.col("size") / 2)).alias("shard")), "placed")
+    return _slots(lookup(keyed, whole, "key", "n").unionByName(keyed.join(whole, "key", "left_anti").withColumn("whole", F.lit(None).cast("int"))), n_shards, total)
+
+
+def _shard(middle: Column, n_shards: int, total: int) -> Column:
+    return F.least(F.floor(middle * n_shards / total), F.lit(n_shards - 1)).cast("int")
+
+
+def _slots(rows: DataFrame, n_shards: int, total: int) -> DataFrame:
+    placed = staged(rows.select("doc_id", "size", "text_crc32", "row", F.coalesce("whole", _shard(F.col("before") + F.col("size") / 2, n_shards, total)).alias("shard")), "placed")
     first = placed.groupBy("shard").agg(F.min("row").alias("first"))
     return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).alias("slot"))
 

@@ -160,6 +160,18 @@ def fit(docs: DataFrame, toxic: DataFrame, prior: float, max_positive: int = MAX
     return train([keys[i] for i in order if p[i]], [keys[i] for i in order if u[i]], prior)
 
 
+def _scores(own: Model, index: Index, text: pa.Array) -> np.ndarray:
+    out = np.full(len(text), own.bias)
+    m = max(1, len(own.keys))
+    for lo, hi, raw, offsets in chunks(text):
+        row, key = features(raw, offsets)
+        place = index.find(key)
+        hit = np.flatnonzero(place >= 0)
+        pairs = np.unique(row[hit].astype(np.int64) * m + place[hit])
+        out[lo:hi] += np.bincount(pairs // m, weights=own.weights[pairs % m] if len(own.keys) else None, minlength=hi - lo)
+    return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
+
+
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score (0 to 1, higher: likelier toxic) of each whole text. Null and empty texts score by the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -168,18 +180,26 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         own = shared.value
         index = Index(own.keys)
         for b in batches:
-            out = np.full(b.num_rows, own.bias)
-            for lo, _, raw, offsets in chunks(b.column(1)):
-                row, key = features(raw, offsets)
-                place = index.find(key)
-                hit = np.flatnonzero(place >= 0)
-                pairs = np.unique(row[hit].astype(np.int64) * max(1, len(own.keys)) + place[hit])
-                out[lo : lo + len(offsets) - 1] += np.bincount(pairs // max(1, len(own.keys)), weights=own.weights[pairs % max(1, len(own.keys))], minlength=len(offsets) - 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(own, index, b.column(1)))], names=["doc_id", "score"])
 
     return docs.select(F.col(doc_id), F.lower(F.col(text)).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model, most: float, text: str = "text") -> DataFrame:
+    """The rows of docs, all their columns as they are, whose score is under ``most``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        index = Index(own.keys)
+        for b in batches:
+            low = b.column(b.num_columns - 1)
+            kept = pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1])
+            yield kept.filter(pa.array(_scores(own, index, low) < most))
+
+    return docs.withColumn("__low", F.lower(F.col(text))).mapInArrow(run, docs.schema)
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of labels (doc_id, toxic) on the rows that aren't held out; prior: the share of toxic among them.
 
