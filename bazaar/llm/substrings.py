@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import HEAVY_SHARE, by_group, lookup, staged
+from bazaar.llm.common import HEAVY_SHARE, by_group, lookup, release, staged
 from bazaar.llm.words import SPACE, chunks, grams, hashes, mix, spans
 
 #: Words of a minimizer's k-gram.
@@ -144,20 +144,17 @@ def first_documents(strings: list[tuple], docs: list[int], n: int) -> list[list[
     return [automaton.first_documents(s, n) for s in strings]
 
 
-def _batch_segments(text: pa.Array, n: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-    for lo, _, raw, offsets in chunks(text):
-        yield lo, segments(raw, offsets, n)
-
-
 def _keys(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """Rows of two kinds. bucket >= 0: distinct keys of a batch, doc for each, or null where several have it; these
-    meet those of other batches. bucket -1: (doc, keys) already known to be shared within a batch."""
+    """Of (hash, text), rows of two kinds. bucket >= 0: distinct keys of a batch, with the text's hash for each, or null
+    where several texts have it; these meet those of other batches. bucket -1: (hash, keys) known to be shared within
+    a batch already. So a key of very many documents is one entry for each batch. Copies of a text are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             doc, key = [], []
-            for lo, (_, row, _, _, k, _) in _batch_segments(b.column(1), n):
+            for lo, _, raw, offsets in chunks(b.column(1)):
+                _, row, _, _, k, _ = segments(raw, offsets, n)
                 doc.append(ids[row + lo])
                 key.append(k)
             if not doc:
@@ -187,15 +184,15 @@ def _keys(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             full = np.flatnonzero(np.diff(ends))
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([ends[full], [len(uk)], len(uk) + cuts[1:], [len(uk) + len(d)] if len(cuts) else []]).astype(np.int32)), pa.array(np.concatenate([uk, k]).view(np.int64)))
             owners = pa.ListArray.from_arrays(pa.array(np.concatenate([ends[full], [len(uk)] * (1 + len(cuts))]).astype(np.int32)), pa.array(ud.astype(np.int64), mask=um))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([full, np.full(len(cuts), -1)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(full), np.int64), d[cuts]]).astype(np.int64)), keys, owners], names=["bucket", "doc", "keys", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([full, np.full(len(cuts), -1)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(full), np.int64), d[cuts]]).astype(np.int64)), keys, owners], names=["bucket", "hash", "keys", "hashes"])
 
-    return docs.mapInArrow(run, "bucket int, doc long, keys array<long>, docs array<long>")
+    return docs.mapInArrow(run, "bucket int, hash long, keys array<long>, hashes array<long>")
 
 
 def _shared(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    """(doc, key) of the keys of one bucket that are in two documents or more, but for those that a batch knows."""
+    """(hash, key) of the keys of one bucket that are in two texts or more, but for those that a batch knows."""
     keys = np.concatenate([c.flatten().to_numpy() for c in group.column("keys").chunks])
-    owners = pa.concat_arrays([c.flatten() for c in group.column("docs").chunks])
+    owners = pa.concat_arrays([c.flatten() for c in group.column("hashes").chunks])
     several = owners.is_null().to_numpy(zero_copy_only=False)
     docs = owners.fill_null(0).to_numpy()
     order = np.argsort(keys, kind="stable")
@@ -204,99 +201,123 @@ def _shared(group: pa.Table) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(np.concatenate([starts, [len(keys)]]))
     mixed = np.logical_or.reduceat(several, starts) | (np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts))
     hit = np.repeat(mixed, sizes) & ~several
-    yield pa.RecordBatch.from_arrays([pa.array(docs[hit]), pa.array(keys[hit])], names=["doc", "key"])
+    yield pa.RecordBatch.from_arrays([pa.array(docs[hit]), pa.array(keys[hit])], names=["hash", "key"])
 
 
 def _segment_rows(texts: DataFrame, n: int, heavy: set[int]) -> DataFrame:
-    """doc, start, seg (16 bytes), key, tokens of each candidate segment of (doc, text, keys).
+    """doc, hash, start, windows, seg (16 bytes), key, words of each candidate segment of (doc, hash, text, keys).
 
-    Tokens (words as hashes) are given once for each distinct segment of a batch, by its least document.
+    words is the text of the segment, given once for each distinct segment of a chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = np.array(sorted(heavy), dtype=np.int64).view(np.uint64)
         many.sort()
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            wanted = b.column(2)
+            ids, texts = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            wanted = b.column(3)
             flat, ends = wanted.flatten().to_numpy().view(np.uint64), wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
             owner = np.repeat(np.arange(b.num_rows), np.diff(ends))
             want = np.unique(mix(flat) ^ mix(owner.astype(np.uint64) + np.uint64(77)))
-            for lo, (h, row, first, count, key, of) in _batch_segments(b.column(1), n):
+            for lo, _, raw, offsets in chunks(b.column(2)):
+                h, row, first, count, key, of = segments(raw, offsets, n)
                 at = mix(key) ^ mix((row + lo).astype(np.uint64) + np.uint64(77))
-                place = np.minimum(np.searchsorted(want, at), max(0, len(want) - 1))
-                keep = want[place] == at if len(want) else np.zeros(len(at), bool)
+                place = np.minimum(np.searchsorted(want, at), len(want) - 1)
+                keep = want[place] == at
                 row, first, count, key = row[keep], first[keep], count[keep], key[keep]
                 if not len(row):
                     continue
-                if len(many):
-                    place = np.minimum(np.searchsorted(many, key), len(many) - 1)
-                    times = np.where(many[place] == key, count, 1)
+                cut = np.zeros(len(row), dtype=bool)
+                if len(many):  # the windows of a heavy key are segments of their own
+                    hot = many[np.minimum(np.searchsorted(many, key), len(many) - 1)] == key
+                    times = np.where(hot, count, 1)
                     which = np.repeat(np.arange(len(row)), times)
                     step = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-                    cut = (times > 1)[which] | (many[place] == key)[which]
-                    row, first, count, key = row[which], first[which] + np.where(cut, step, 0), np.where(cut, 1, count[which]), key[which]
-                else:
-                    cut = np.zeros(len(row), dtype=bool)
+                    cut = hot[which]
+                    row, first, count, key = row[which], first[which] + step, np.where(cut, 1, count[which]), key[which]
                 size = count + n - 1
-                base = np.repeat(np.cumsum(size) - size, size)
-                inside = np.arange(int(size.sum())) - base
+                begin = np.cumsum(size) - size
+                inside = np.arange(int(size.sum())) - np.repeat(begin, size)
                 tokens = h[np.repeat(first, size) + inside]
-                weight = mix(inside.astype(np.uint64) + np.uint64(1))
-                sums = [np.add.reduceat(mix(tokens * (weight | np.uint64(1)) + np.uint64(salt)), np.cumsum(size) - size) for salt in (0, 0x51ED270B)]
-                one, two = mix(sums[0] + size.astype(np.uint64)), mix(sums[1])
-                key = np.where(cut, one, key)  # a window dealt out by itself
-                docs = ids[row + lo].astype(np.int64)
-                order = np.lexsort((docs, two, one))
-                head = np.ones(len(order), dtype=bool)
-                head[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+                weight = mix(inside.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+                one, two = (mix(np.add.reduceat(mix(tokens * weight + np.uint64(salt)), begin) + size.astype(np.uint64)) for salt in (0, 0x51ED270B))
+                key = np.where(cut, one, key)
+                order = np.lexsort((two, one))
                 lead = np.zeros(len(order), dtype=bool)
-                lead[order[head]] = True
-                seg = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(one), [None, pa.py_buffer(np.stack([one, two], axis=1).tobytes())]).cast(pa.binary())
-                shown = np.concatenate([[0], np.cumsum(np.where(lead, size, 0))]).astype(np.int32)
-                mask = np.repeat(lead, size)
-                values = pa.array(tokens[mask].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array((first - np.searchsorted(of, row)).astype(np.int32)), pa.array(count.astype(np.int32)), seg, pa.array(key.view(np.int64)), pa.ListArray.from_arrays(pa.array(shown), values, mask=pa.array(~lead))], names=["doc", "start", "windows", "seg", "key", "tokens"])
+                lead[order[np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])]] = True
+                _, start, end = spans(raw, offsets, SPACE)
+                whole = raw.tobytes()
+                words = [whole[x:y] if shown else None for x, y, shown in zip(start[first].tolist(), end[first + size - 1].tolist(), lead.tolist(), strict=True)]
+                seg = np.stack([one, two], axis=1).tobytes()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[row + lo].astype(np.int64)), pa.array(texts[row + lo].astype(np.int64)),
+                    pa.array((first - np.searchsorted(of, row)).astype(np.int32)), pa.array(count.astype(np.int32)),
+                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(one), [None, pa.py_buffer(seg)]).cast(pa.binary()),
+                    pa.array(key.view(np.int64)), pa.array(words, pa.binary()),
+                ], names=["doc", "hash", "start", "windows", "seg", "key", "words"])
 
-    return texts.mapInArrow(run, "doc long, start int, windows int, seg binary, key long, tokens array<long>")
+    return texts.mapInArrow(run, "doc long, hash long, start int, windows int, seg binary, key long, words binary")
 
 
 def _first_docs(n: int):
+    """firsts (the first document of each window) of the segments of one shard."""
+
     def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        # only windows of one key can be equal, so keys need no automata of their own
-        strings = [tuple(x) for x in group.column("tokens").to_pylist()]
-        found = first_documents(strings, group.column("doc").to_pylist(), n)
+        docs, windows, keys = (group.column(c).to_numpy() for c in ("doc", "windows", "key"))
+        # only segments of one key can share windows: those alone with theirs have nothing to meet
+        _, of, times = np.unique(keys, return_inverse=True, return_counts=True)
+        alone = times[of] == 1
+        found: list = [[d] * k if x else None for d, k, x in zip(docs.tolist(), windows.tolist(), alone, strict=True)]
+        rest = np.flatnonzero(~alone).tolist()
+        words = group.column("words").take(pa.array(rest, pa.int64())).to_pylist()
+        strings = [tuple(w.split()) for w in words]
+        for i, firsts in zip(rest, first_documents(strings, [int(docs[i]) for i in rest], n), strict=True):
+            found[i] = firsts
         yield pa.RecordBatch.from_arrays([group.column("seg").combine_chunks(), pa.array(found, pa.list_(pa.int64()))], names=["seg", "firsts"])
 
     return run
 
 
-def covered(docs: DataFrame, n: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, starts): for each document that loses words, the first words (from 0) of the windows that go."""
+def covered(docs: DataFrame, n: int = 13) -> DataFrame:
+    """Of (doc, text): (doc, hash, starts, copy) for each document that loses words: the first words (from 0) of the
+    windows that go, or copy where a document of a smaller id has the same text."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null and text is not null")
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    slim = staged(hashed.select("doc", "hash", F.concat_ws(":", "hash", F.octet_length("text"), F.crc32(F.col("text").cast("binary"))).alias("same")), "texts")
+    groups = slim.groupBy("same").agg(F.min("doc").alias("least"), F.count("*").alias("n"), F.first("hash").alias("hash"))
+    reps = staged(groups, "reps")
+    copies = lookup(slim, reps.filter("n > 1").select("same", "least", "n"), "same", "n").filter("doc > least").select("doc", "hash")
+
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = staged(_keys(slim, n, buckets), "keys")
-    met = by_group(entries.filter("bucket >= 0").select("bucket", "keys", "docs"), "bucket", _shared, "doc long, key long")
-    known = entries.filter("bucket < 0").select("doc", F.explode("keys").alias("key"))
+    entries = staged(_keys(hashed.select("hash", "text"), n, buckets), "keys")
+    met = by_group(entries.filter("bucket >= 0").select("bucket", "keys", "hashes"), "bucket", _shared, "hash long, key long")
+    known = entries.filter("bucket < 0").select("hash", F.explode("keys").alias("key"))
     pairs = staged(met.unionByName(known), "pairs")
+    release(entries)
 
     counts = pairs.groupBy("key").agg(F.count("*").alias("n"))
-    total = pairs.count()
-    heavy = {r["key"] for r in counts.filter(F.col("n") >= max(HEAVY_KEY, int(total * HEAVY_SHARE))).select("key").collect()}
-    wanted = pairs.groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    rows = staged(_segment_rows(slim.join(wanted, "doc").select("doc", "text", "keys"), n, heavy), "segments")
+    least = max(HEAVY_KEY, int(pairs.count() * HEAVY_SHARE))
+    heavy = {r["key"] for r in counts.filter(F.col("n") >= least).select("key").collect()}
+    wanted = pairs.groupBy("hash").agg(F.collect_set("key").alias("keys")).join(reps.select("hash", F.col("least").alias("doc")), "hash")
+    rows = staged(_segment_rows(hashed.join(wanted, ["doc", "hash"]).select("doc", "hash", "text", "keys"), n, heavy), "segments")
+    release(pairs)
 
-    distinct = staged(rows.groupBy("seg").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), F.first("key").alias("key"), F.first("tokens", ignorenulls=True).alias("tokens")), "distinct")
+    distinct = staged(rows.groupBy("seg").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.count("*").alias("n"), F.first("windows").alias("windows"), F.first("key").alias("key"), F.first("words", ignorenulls=True).alias("words")), "distinct")
     shards = max(1, -(-distinct.count() // SHARD))
-    dealt = distinct.select("seg", "doc", "tokens", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"))
-    firsts = by_group(dealt, "shard", _first_docs(n), "seg binary, firsts array<long>")
-    firsts = staged(firsts.join(distinct.select("seg", "n", F.col("doc").alias("least")), "seg"), "firsts")
-
-    at = lookup(rows.select("doc", "start", "seg"), firsts, "seg", "n")
-    gone = F.filter(F.transform("firsts", lambda first, i: F.when(first < F.col("doc"), i)), lambda i: i.isNotNull())
-    hits = at.select("doc", "start", gone.alias("at")).filter(F.size("at") > 0)
-    return hits.groupBy("doc").agg(F.flatten(F.collect_list(F.transform("at", lambda i: F.col("start") + i))).alias("starts"))
+    dealt = distinct.select("seg", "doc", "last", "n", "windows", "key", "words", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"))
+    release()
+    firsts = by_group(dealt.select("seg", "doc", "windows", "key", "words", "shard"), "shard", _first_docs(n), "seg binary, firsts array<long>")
+    # of no use where every window starts first in the segment's only or last document
+    firsts = firsts.join(distinct.select("seg", "n", "last"), "seg").filter(F.array_min("firsts") < F.col("last")).drop("last")
+    firsts = staged(firsts, "firsts")
+    release(distinct)
+
+    at = lookup(rows.select("doc", "hash", "start", "seg"), firsts, "seg", "n")
+    gone = F.filter(F.transform("firsts", lambda first, i: F.when(first < F.col("doc"), F.col("start") + i)), lambda i: i.isNotNull())
+    hits = at.select("doc", "hash", gone.alias("at")).filter(F.size("at") > 0)
+    starts = staged(hits.groupBy("doc", "hash").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("starts")), "starts")
+    release(rows, firsts)
+    return starts.withColumn("copy", F.lit(False)).unionByName(copies.distinct().withColumns({"starts": F.lit(None).cast("array<int>"), "copy": F.lit(True)}))
 
 
 def remove(docs: DataFrame, n: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,16 +329,20 @@ def remove(docs: DataFrame, n: int = 13, doc_id: str = "doc_id", text: str = "te
     """
     kind = dict(docs.dtypes)[doc_id]
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = base.join(covered(docs, n, doc_id, text), F.col("doc_id").cast("long") == F.col("doc"), "left").select("doc_id", "text", "starts")
+    slim = base.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc is not null and text is not null")
+    same = (F.col("doc_id").cast("long") == F.col("doc")) & (F.xxhash64("text") == F.col("hash"))
+    marked = base.join(covered(slim, n), same, "left").select("doc_id", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             count, removed, kept = [], [], []
-            for t, starts in zip(b.column(1), b.column(2), strict=True):
+            for t, starts, copy in zip(b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
                 raw = t.as_py()
                 words = raw.encode().split() if raw is not None else []
                 count.append(len(words))
-                if starts.is_valid and len(words) >= n:
+                if copy and len(words) >= n:
+                    words = []
+                elif starts.is_valid:
                     deep = np.zeros(len(words) + 1, dtype=np.int32)
                     s = np.unique(starts.values.to_numpy())
                     deep[s] += 1
