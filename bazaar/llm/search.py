@@ -1,9 +1,11 @@
 """Exact BM25 top-k: an inverted index for each shard of documents, searched with block-max pruning.
 
 A shard's index holds its postings by term; postings of a term within a block of documents have their largest
-impact stored. For a query, the sums of its terms' block maxima bound the scores in each block. As in block-max
-WAND, the pivot test compares these bounds with the k-th best score so far: blocks are taken by falling bound, and
-no posting of a block is read whose bound is below. Documents of one block are scored together, as arrays.
+impact stored. Terms that most documents hold weigh little and prune nothing, so their impacts are rows of a matrix,
+and their part of all scores comes of matrix products. That part, which is exact, and the sums of the other terms'
+block maxima bound the scores in each block. As in block-max WAND, the pivot test compares these bounds with the
+k-th best score known: blocks are taken by falling bound, and no posting of a block is read whose bound is below.
+Documents of the blocks taken are scored together, as arrays.
 Document frequencies, the number of documents and their mean length are those of all shards, so scores do not
 depend on how documents are dealt out, and the merged best k are exact.
 """
@@ -27,6 +29,10 @@ K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 16_384, 4_000_000
 #: Documents of a block.
 BLOCK = 128
+#: A term in this part of a shard's documents or more has a row of the matrix, as far as so many bytes go.
+COMMON, MATRIX_BYTES = 1 / 16, 96 << 20
+#: Queries multiplied at once.
+TOGETHER = 128
 #: Terms of the queries that are sent to all shards at once; more queries take further passes.
 QUERY_TERMS = 2_000_000
 #: Scores are compared and given to so many decimals, so that equal ones tie however they were added up.
@@ -140,61 +146,79 @@ class Shard:
     def __init__(self, sizes: np.ndarray, terms: np.ndarray, ends: np.ndarray, docs: np.ndarray, times: np.ndarray, mean: float, wanted: np.ndarray):
         place = np.minimum(np.searchsorted(wanted, terms), max(0, len(wanted) - 1))
         keep = wanted[place] == terms if len(wanted) else np.zeros(len(terms), bool)
-        starts = np.concatenate([[0], ends[:-1]])
-        length = (ends - starts)[keep]
-        self.at = np.full(len(wanted) + 1, 0, dtype=np.int64)
+        length = np.diff(ends, prepend=0)
+        own = np.repeat(keep, length)
         self.n = len(sizes)
-        own = np.repeat(keep, ends - starts)
-        self.docs = docs[own]
-        tf = times[own].astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.docs] / max(mean, 1e-9)))
-        term = np.repeat(place[keep], length)
-        block = self.docs // BLOCK
+        self.blocks = -(-self.n // BLOCK)
+        docs, tf = docs[own], times[own].astype(np.float64)
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / max(mean, 1e-9)))
+        place, length = place[keep], length[keep]
+
+        many = np.flatnonzero(length >= max(8, COMMON * self.n))
+        many = np.sort(many[np.argsort(-length[many], kind="stable")][: max(0, MATRIX_BYTES // (8 * max(1, self.n)))])
+        self.row = np.full(len(wanted), -1, dtype=np.int32)
+        self.row[place[many]] = np.arange(len(many))
+        common = np.zeros(len(length), dtype=bool)
+        common[many] = True
+        dense = np.repeat(common, length)
+        self.matrix = np.zeros((len(many), self.n))
+        self.matrix[np.repeat(np.arange(len(many)), length[many]), docs[dense]] = impact[dense]
+
+        self.docs, self.impact = docs[~dense], impact[~dense]
+        term, block = np.repeat(place[~common], length[~common]), self.docs // BLOCK
         new = np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, bool)
         self.group = np.flatnonzero(new)
         self.block = block[self.group]
-        self.end = np.concatenate([self.group[1:], [len(term)]]).astype(np.int64) if len(term) else np.zeros(0, np.int64)
+        self.size = np.diff(np.concatenate([self.group, [len(term)]]))
         self.most = np.maximum.reduceat(self.impact, self.group) if len(term) else np.zeros(0)
         self.of = np.searchsorted(term[self.group], np.arange(len(wanted) + 1))  # groups of each wanted term
-        self.blocks = -(-self.n // BLOCK)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """(documents, scores) of at most k best with scores of ``least`` or more, and how many blocks were read.
 
-        terms: places in wanted. Every document that may belong to the best k is among them.
-        """
-        lo, hi = self.of[terms], self.of[terms + 1]
-        count = hi - lo
+    def search(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query, terms[ends[q]:ends[q + 1]] as places in wanted: the documents of ``least[q]`` or more that may
+        belong to its best k, their scores, and how many blocks were read."""
+        row = self.row[terms]
+        for lo in range(0, len(ends) - 1, TOGETHER):
+            hi = min(len(ends) - 1, lo + TOGETHER)
+            own = slice(ends[lo], ends[hi])
+            query = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+            common = row[own] >= 0
+            w = np.zeros((hi - lo, len(self.matrix)))
+            w[query[common], row[own][common]] = weights[own][common]
+            base = w @ self.matrix
+            rest = np.flatnonzero(~common)
+            cuts = np.searchsorted(query[rest], np.arange(hi - lo + 1))
+            for q in range(hi - lo):
+                some = rest[cuts[q] : cuts[q + 1]] + ends[lo]
+                yield self._one(base[q], terms[some], weights[some], k, least[lo + q])
+
+    def _one(self, base: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+        margin = 10.0**-DECIMALS
+        lo, count = self.of[terms], self.of[terms + 1] - self.of[terms]
         which = np.repeat(np.arange(len(terms)), count)
-        groups = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + lo[which]
-        bound = np.bincount(self.block[groups], weights=self.most[groups] * weights[which], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        docs, scores, read, step, margin = np.zeros(0, np.int64), np.zeros(0), 0, 2, 10.0**-DECIMALS
-        while read < len(order):
-            some = order[read : read + step]
-            some = some[(bound[some] > 0) & (bound[some] >= least - margin)]
-            if not len(some):
-                break
-            read += len(some)
+        groups = np.arange(len(which)) + np.repeat(lo - np.cumsum(count) + count, count)
+        block, w = self.block[groups], weights[which]
+        bound = np.bincount(block, weights=self.most[groups] * w, minlength=self.blocks)
+        if self.n > k:  # scores are at least their common part
+            least = max(least, float(np.partition(base, self.n - k)[self.n - k]))
+        bound = bound + np.maximum.reduceat(base, np.arange(0, self.n, BLOCK))
+        total, read, step = base.copy(), 0, max(1, self.blocks // 8)
+        left = np.argsort(-bound, kind="stable")
+        while len(left):
+            left = left[bound[left] >= least - margin]
+            some, left = left[:step], left[step:]
             chosen = np.zeros(self.blocks, dtype=bool)
             chosen[some] = True
-            own = np.flatnonzero(chosen[self.block[groups]])
-            g, w = groups[own], weights[which[own]]
-            size = self.end[g] - self.group[g]
-            post = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.group[g], size)
-            total = np.bincount(self.docs[post], weights=self.impact[post] * np.repeat(w, size), minlength=self.n)
-            found = np.flatnonzero(total > 0)
-            docs, scores = np.concatenate([docs, found]), np.concatenate([scores, np.round(total[found], DECIMALS)])
-            if len(docs) > k:
-                best = np.lexsort((docs, -scores))[: max(k, 1)]
-                kth = scores[best[-1]]
-                tied = scores >= kth  # ties are settled by doc_id at the end
-                docs, scores = docs[tied], scores[tied]
-                least = max(least, kth)
-            if len(some) < step:
-                break
-            step *= 4
-        return docs, scores, read
+            own = np.flatnonzero(chosen[block])
+            if len(own):
+                g = groups[own]
+                size = self.size[g]
+                post = np.arange(int(size.sum())) + np.repeat(self.group[g] - np.cumsum(size) + size, size)
+                total += np.bincount(self.docs[post], weights=self.impact[post] * np.repeat(w[own], size), minlength=self.n)
+            read, step = read + len(some), self.blocks
+            if self.n > k:
+                least = max(least, float(np.partition(total, self.n - k)[self.n - k]))
+        found = np.flatnonzero((total >= least - margin) & (total > 0))
+        return found, np.round(total[found], DECIMALS), read
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", query_id: str = "doc_id", query_text: str = "text") -> DataFrame:
@@ -249,11 +273,9 @@ def _run(shards: DataFrame, block: DataFrame, k: int, n: int, mean: float, kind:
                 ids = b.column(0)[j].values
                 sizes, terms, stops, docs, times = (b.column(c)[j].values.to_numpy() for c in range(1, 6))
                 shard = Shard(sizes, terms.view(np.uint64), stops.astype(np.int64), docs, times, mean, wanted)
-                for q in range(len(query)):
-                    own = slice(ends[q], ends[q + 1])
+                least = np.array([s.min() if s is not None and len(s) >= k else 0.0 for _, s in best])
+                for q, (hit, got, _) in enumerate(shard.search(ends, place, weight, k, least)):
                     old, scores = best[q]
-                    least = float(np.sort(scores)[-k]) if scores is not None and len(scores) >= k else 0.0
-                    hit, got, _ = shard.search(place[own], weight[own], k, least)
                     if not len(hit):
                         continue
                     names = ids.take(pa.array(hit))

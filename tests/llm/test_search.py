@@ -45,9 +45,10 @@ def test_empty(make):
     assert m.search(make([(1, "a")]), make([])).collect() == []
 
 
-def test_blocks_are_pruned():
+def test_blocks_are_pruned(monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(m, "MATRIX_BYTES", 0)
     rng = np.random.default_rng(1)
     docs, terms = [], []
     for d in range(4096):
@@ -58,5 +59,5 @@ def test_blocks_are_pruned():
     docs, terms = np.array(docs, np.int32)[order], np.array(terms, np.uint64)[order]
     names, first = np.unique(terms, return_index=True)
     shard = m.Shard(np.full(4096, 5), names, np.append(first[1:], len(terms)), docs, np.ones(len(docs), np.int32), 5.0, names)
-    found, _, read = shard.search(np.array([0, 1]), np.array([8.0, 0.1]), 10, 0.0)
+    ((found, _, read),) = shard.search(np.array([0, 2]), np.array([0, 1]), np.array([8.0, 0.1]), 10, np.zeros(1))
     assert set(range(20)) >= set(found.tolist()) and read < shard.blocks
