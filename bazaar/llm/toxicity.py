@@ -1,8 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts (P) and unlabelled ones (U) train linear classifiers. With class prior p and logistic
-loss l the risk is  p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)]):  the second term, an estimate of the
-risk on clean text, can't be negative in truth, so where it falls below zero the step goes the other way.
+Confirmed toxic texts (P) and unlabelled ones (U) train linear classifiers. With class prior p and sigmoid
+loss l(z) = 1 / (1 + exp(z)) the risk is  p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)]):  the second term, an
+estimate of the risk on clean text, can't be negative in truth, so where it falls below zero the step goes the
+other way. That loss is bounded, so a slip in the prior doesn't count the more the surer f is; but it has flat
+places, so training starts with the logistic loss, which has none.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ from bazaar.llm.words import NOT_ALNUM, Index, chunks, hashes, mix, spans
 
 #: Confirmed toxic and unlabelled texts that train, at most about.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
-#: Features kept: those whose rates in P and in U differ most, in standard errors.
+#: Features kept: those whose rates in P are over those in U by the most standard errors. What is rarer in P tells of
+#: length and language, not of clean text.
 FEATURES = 6_000
 #: Bytes of a word's beginnings that are features beside the word.
 BEGINNINGS = (4, 6, 8)
-#: Standard errors by which the rates of a feature must differ at least.
-LEAST_Z = 3.0
-MEMBERS, EPOCHS, BATCH, RATE, DECAY = 2, 40, 512, 0.05, 1e-4
+#: Standard errors by which a rate must be over the other.
+LEAST_Z = 4.0
+MEMBERS, EPOCHS, BATCH, RATE, DECAY = 2, 60, 512, 0.05, 1e-5
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +80,8 @@ def train(p: list[np.ndarray], u: list[np.ndarray], prior: float, seed: int = 0)
     in_u[same] = count_u[at[same]]
     rate_u = (in_u + 0.5) / (len(u) + 1)
     z = np.where(count_p >= 3, (count_p / len(p) - rate_u) / np.sqrt(rate_u * (1 - np.minimum(rate_u, 0.999)) / len(p)), 0)
-    order = np.lexsort((keys_p, -np.abs(z)))[:FEATURES]
-    chosen = np.sort(keys_p[order[np.abs(z[order]) > LEAST_Z]])
+    order = np.lexsort((keys_p, -z))[:FEATURES]
+    chosen = np.sort(keys_p[order[z[order] > LEAST_Z]])
     if not len(chosen):
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
 
@@ -104,8 +107,8 @@ def fit_one(x_p: list[np.ndarray], x_u: list[np.ndarray], n: int, prior: float,
     w, m, v = (np.zeros(n + 1) for _ in range(3))
     w[n] = np.log(prior / (1 - prior))
     steps = max(1, -(-len(x_u) // BATCH))
-    t = 0
-    for epoch in range(max(EPOCHS, 200 // steps)):
+    t, epochs = 0, max(EPOCHS, 600 // steps)
+    for epoch in range(epochs):
         perm_p, perm_u = rng.permutation(len(x_p)), rng.permutation(len(x_u))
         for s in range(steps):
             own_p, own_u = perm_p[s::steps], perm_u[s::steps]
@@ -115,17 +118,22 @@ def fit_one(x_p: list[np.ndarray], x_u: list[np.ndarray], n: int, prior: float,
             rows = [np.repeat(np.arange(len(own)), [len(x[i]) for i in own]) for x, own in ((x_p, own_p), (x_u, own_u))]
             f_p, f_u = (w[n] + np.bincount(r, weights=w[c], minlength=len(own)) for r, c, own in zip(rows, cols, (own_p, own_u), strict=True))
             sig_p, sig_u = 1 / (1 + np.exp(-np.clip(f_p, -40, 40))), 1 / (1 + np.exp(-np.clip(f_u, -40, 40)))
-            clean = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
+            if epoch < epochs // 10:  # logistic: slopes of l(f), l(-f)
+                up_p, down_p, down_u = sig_p - 1, sig_p, sig_u
+                clean = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
+            else:
+                up_p, down_p, down_u = -sig_p * (1 - sig_p), sig_p * (1 - sig_p), sig_u * (1 - sig_u)
+                clean = sig_u.mean() - prior * sig_p.mean()
             if clean >= 0:  # gradient of the whole risk
-                d_p, d_u = prior * (sig_p - 1) / len(f_p) - prior * sig_p / len(f_p), sig_u / len(f_u)
+                d_p, d_u = prior * (up_p - down_p) / len(f_p), down_u / len(f_u)
             else:  # up the estimate that went below zero
-                d_p, d_u = prior * sig_p / len(f_p), -sig_u / len(f_u)
+                d_p, d_u = prior * down_p / len(f_p), -down_u / len(f_u)
             g = np.bincount(cols[0], weights=d_p[rows[0]], minlength=n + 1) + np.bincount(cols[1], weights=d_u[rows[1]], minlength=n + 1)
             g[n] = d_p.sum() + d_u.sum()
             g[:n] += DECAY * w[:n]
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= RATE * (0.5 * (1 + np.cos(np.pi * epoch / max(EPOCHS, 200 // steps)))) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            w -= RATE * (0.5 * (1 + np.cos(np.pi * epoch / max(EPOCHS, 600 // steps)))) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:n], float(w[n])
 
 
