@@ -26,11 +26,11 @@ from bazaar.llm.words import NOT_ALNUM, chunks, hashes, spans
 
 K1, B = 1.2, 0.75
 #: A shard is closed at so many documents or postings.
-SHARD_DOCS, SHARD_POSTINGS = 16_384, 4_000_000
+SHARD_DOCS, SHARD_POSTINGS = 8_192, 1_500_000
 #: Documents of a block.
 BLOCK = 128
 #: A term in this part of a shard's documents or more has a row of the matrix, as far as so many bytes go.
-COMMON, MATRIX_BYTES = 1 / 16, 96 << 20
+COMMON, MATRIX_BYTES = 1 / 16, 64 << 20
 #: Queries multiplied at once.
 TOGETHER = 128
 #: Terms of the queries that are sent to all shards at once; more queries take further passes.
@@ -69,6 +69,7 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
         def shard() -> pa.RecordBatch:
             doc, term, times, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
             order = np.lexsort((doc, term))
             doc, term, times = doc[order], term[order], times[order]
             first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
@@ -80,7 +81,7 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
                 row, term, times, size = _terms(part.column(1))
-                parts.append((row + n, term, times, size))
+                parts.append(((row + n).astype(np.int32), term, times.astype(np.int32), size))
                 ids.append(part.column(0))
                 n, held = n + part.num_rows, held + len(term)
                 if n >= SHARD_DOCS or held >= SHARD_POSTINGS:
