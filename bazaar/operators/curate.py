@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -58,6 +60,18 @@ def upsert(listings: DataFrame, rows: DataFrame, as_of: datetime, key: str = "ex
     return kept.unionByName(added, allowMissingColumns=True)
 
 
+def copy_photos(paths: list[str], folders: list[str], target: str) -> int:
+    """Copies files by their base names from the first folder that has them, unless they are there; how many."""
+    os.makedirs(target, exist_ok=True)
+    n = 0
+    for name in dict.fromkeys(os.path.basename(p) for p in paths if p):
+        found = next((f"{d}/{name}" for d in folders if os.path.isfile(f"{d}/{name}")), None)
+        if found and not os.path.exists(f"{target}/{name}"):
+            shutil.copyfile(found, f"{target}/{name}")
+            n += 1
+    return n
+
+
 def to_refine(locations: DataFrame, refined: DataFrame, force: bool = False) -> DataFrame:
     """Records that have no refinement yet, or all."""
     return locations if force else locations.join(refined.select("id"), "id", "left_anti")
