@@ -21,7 +21,7 @@ from bazaar.llm.langid import held_out
 from bazaar.llm.words import NOT_ALNUM, Index, chunks, hashes, mix, spans
 
 #: Confirmed toxic and unlabelled texts that train, at most about.
-MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
+MAX_POSITIVE, MAX_UNLABELLED = 4_000, 10_000
 #: Features kept: those whose rates in P are over those in U by the most standard errors. What is rarer in P tells of
 #: length and language, not of clean text.
 FEATURES = 6_000
@@ -56,7 +56,8 @@ def one_of_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
     """Without those whose two least hashes are those of an earlier one: near copies must not count as evidence."""
     seen, out = set(), []
     for d in docs:
-        sign = (int(mix(d).min()), int(mix(d ^ np.uint64(0x5851F42D)).min())) if len(d) else None
+        wide = d.astype(np.uint64)
+        sign = (int(mix(wide).min()), int(mix(wide ^ np.uint64(0x5851F42D)).min())) if len(d) else None
         if sign not in seen:
             seen.add(sign)
             out.append(d)
@@ -99,7 +100,7 @@ def train(p: list[np.ndarray], u: list[np.ndarray], prior: float, seed: int = 0)
         w, b = fit_one(x_p, own_u, len(chosen), prior, rng)
         weights.append(w)
         biases.append(b)
-    return Model(chosen, np.mean(weights, axis=0), float(np.mean(biases)))
+    return Model(chosen.astype(np.uint64), np.mean(weights, axis=0), float(np.mean(biases)))
 
 
 def fit_one(x_p: list[np.ndarray], x_u: list[np.ndarray], n: int, prior: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
@@ -161,10 +162,10 @@ def fit(docs: DataFrame, toxic: DataFrame, prior: float, max_positive: int = MAX
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))], names=["p", "u", "keys"])
 
     found = sample.mapInArrow(extract, "p boolean, u boolean, keys array<int>").toArrow()
-    keys = [k.values.to_numpy().view(np.uint32).astype(np.uint64) for k in found.column("keys")]
+    keys = [k.values.to_numpy().view(np.uint32) for k in found.column("keys")]
     p, u = found.column("p").to_pylist(), found.column("u").to_pylist()
     # the order in which rows arrive must not matter
-    order = sorted(range(len(keys)), key=lambda i: (len(keys[i]), keys[i].tobytes()))
+    order = sorted(range(len(keys)), key=lambda i: (len(keys[i]), int(np.bitwise_xor.reduce(mix(keys[i].astype(np.uint64))))))
     return train([keys[i] for i in order if p[i]], [keys[i] for i in order if u[i]], prior)
 
 
