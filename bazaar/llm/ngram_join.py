@@ -300,6 +300,19 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
 
 
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+     shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+     e AS (SELECT x, y, c = nx.n AND c = ny.n AS same FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE c::DOUBLE / (nx.n + ny.n - c) >= 0.8::DOUBLE),
+     reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a, y FROM reach JOIN e ON x = b),
+     class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)
+SELECT doc_id, class_id, least(doc_id, coalesce(min(y) FILTER (WHERE same), doc_id)) AS copy_of, count(y)::BIGINT AS n_links
+FROM class LEFT JOIN e ON x = doc_id GROUP BY doc_id, class_id
+"""
+
+
 def brute_force(docs: list[tuple[object, str | None]], threshold: float = 0.8, n: int = 5) -> dict[object, tuple[object, int]]:
     """doc_id -> (class_id, n_links), from all pairs."""
     import re

@@ -19,6 +19,9 @@ QUERIES = {
 
 ORACLE = {
     "op2_warc": warc.OP2_SQL,
+    "op4_mix": mixing.OP4_SQL,
+    "op5_shards": sharding.OP5_SQL,
     "op6_decontam": decontam.OP6_SQL,
+    "op7_ngram_join": ngram_join.OP7_SQL,
     "op10_substrings": substrings.OP10_SQL,
 }

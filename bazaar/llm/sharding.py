@@ -12,7 +12,7 @@ WHOLE_SHARE = 0.05
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text", overhead: int = 8, whole_share: float = WHOLE_SHARE, order: list[str] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot: documents in the order of (hash of text, doc_id), cut at equal bytes.
+    """doc_id, size, text_crc32, shard, slot: documents in the order of (MD5 of the text, doc_id), cut at equal bytes.
 
     size is the UTF-8 bytes of the text (null: none) plus overhead. A document lies in the shard that holds the
     middle of its bytes in the global order, so each shard's bytes differ from the target by less than one
@@ -23,7 +23,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text:
     as do empty ones with them; null doc_ids come first; repeated rows get a slot each; no rows, no shards.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + overhead).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("hash"), *(F.col(c).alias(f"order{i}") for i, c in enumerate(order or [])))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + overhead).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.substring(F.md5(body.cast("binary")), 1, 16).alias("hash"), *(F.col(c).alias(f"order{i}") for i, c in enumerate(order or [])))
     by = [f"order{i}" for i in range(len(order))] if order else ["hash", "text_crc32", "size", "doc_id"]
     rows = running_sums(staged(slim, "sizes"), by, "size")
     total = rows.agg(F.sum("size")).first()[0] or 1
@@ -49,3 +49,18 @@ def _slots(rows: DataFrame, n_shards: int, total: int) -> DataFrame:
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return shard_by_bytes(docs, 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+_BYTE_CRC = "list_reduce(list_prepend(i::BIGINT, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+OP5_SQL = f"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, {_BYTE_CRC} AS c FROM range(0, 256) r(i))),
+     d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+     s AS (SELECT doc_id, octet_length(encode(body)) + 8 AS size, substr(md5(body), 1, 16) AS hash,
+                  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda b: ('0x' || b)::BIGINT)),
+                      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM d, crc),
+     o AS (SELECT *, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, row_number() OVER w AS row, (sum(size) OVER ())::BIGINT AS total
+           FROM s WINDOW w AS (ORDER BY hash, text_crc32, size, doc_id)),
+     g AS (SELECT *, count(*) OVER k AS n, min(before) OVER k AS start, (sum(size) OVER k)::BIGINT AS bytes FROM o WINDOW k AS (PARTITION BY hash, text_crc32, size)),
+     p AS (SELECT *, least(floor(CASE WHEN n > 1 AND bytes <= 0.05::DOUBLE * total / 24 THEN start + bytes / 2.0::DOUBLE ELSE before + size / 2.0::DOUBLE END * 24 / total), 23)::INTEGER AS shard FROM g)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row - min(row) OVER (PARTITION BY shard) AS slot, NULL::INTEGER AS grown_shard FROM p
+"""
