@@ -80,13 +80,13 @@ def lookup(facts: DataFrame, dim: DataFrame, key: str, weight: str) -> DataFrame
     the others by shuffle. Both inputs should be staged: they are read twice. Null keys match nothing.
     """
     spark = facts.sparkSession
-    total = dim.agg(F.sum(weight)).first()[0] or 0
-    least = max(HEAVY_LEAST, int(total * HEAVY_SHARE))
+    total, most = dim.agg(F.sum(weight), F.max(weight)).first()
+    least = max(HEAVY_LEAST, int((total or 0) * HEAVY_SHARE))
+    if (most or 0) < least:
+        return facts.join(dim.drop(weight), key)
     heavy = dim.filter(F.col(weight) >= least).drop(weight)
     light = dim.filter(F.col(weight) < least).drop(weight)
     keys = [r[0] for r in heavy.select(key).collect()]
-    if not keys:
-        return facts.join(light, key)
     known = F.broadcast(spark.createDataFrame([(k,) for k in keys], heavy.select(key).schema))
     return facts.join(F.broadcast(heavy), key).unionByName(facts.join(known, key, "left_anti").join(light, key))
 
