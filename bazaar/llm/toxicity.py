@@ -29,6 +29,8 @@ FEATURES = 6_000
 BEGINNINGS = (4, 6, 8)
 #: Standard errors by which a rate must be over the other.
 LEAST_Z = 4.0
+#: Jaccard similarity of features, as a fraction, from which a text that trains is a near copy.
+COPY = 4, 5
 MEMBERS, EPOCHS, BATCH, RATE, DECAY = 2, 60, 512, 0.05, 1e-5
 
 
@@ -53,14 +55,43 @@ class Model:
 
 
 def one_of_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
-    """Without those whose two least hashes are those of an earlier one: near copies must not count as evidence."""
-    seen, out = set(), []
-    for d in docs:
-        wide = d.astype(np.uint64)
-        sign = (int(mix(wide).min()), int(mix(wide ^ np.uint64(0x5851F42D)).min())) if len(d) else None
-        if sign not in seen:
-            seen.add(sign)
-            out.append(d)
+    """Without those with a Jaccard similarity of COPY or more to an earlier one that stays: near copies must not count
+    as evidence.
+
+    docs are sets of keys. No such pair is missed: the n - ceil(COPY * n) + 1 rarest keys of one hold a key of those of
+    the other, so texts are compared, on all their keys, where these meet.
+    """
+    if not docs:
+        return []
+    keys, place, count = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
+    rank = np.empty(len(keys), np.int64)
+    rank[np.lexsort((keys, count))] = np.arange(len(keys))
+    places = np.split(rank[place], np.cumsum([len(d) for d in docs])[:-1])
+    num, den = COPY
+    own, sizes, held, out, empty = np.zeros(len(keys), bool), np.zeros(len(docs), np.int64), [], [], False
+    met: dict[int, list[int]] = {}
+    for doc, at in zip(docs, places, strict=True):
+        n, at = len(at), np.sort(at)
+        rarest = at[: n - -(-num * n // den) + 1].tolist()
+        near = np.unique(np.array([i for k in rarest for i in met.get(k, ())], np.int64))
+        near = near[(num * n <= den * sizes[near]) & (num * sizes[near] <= den * n)]
+        own[at] = True
+        copy = not n and empty
+        for lo in range(0, len(near), 256):
+            some = near[lo : lo + 256]
+            both = np.add.reduceat(own[np.concatenate([held[i] for i in some])], np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+            copy = bool((den * both >= num * (n + sizes[some] - both)).any())
+            if copy:
+                break
+        own[at] = False
+        if copy:
+            continue
+        empty |= not n
+        sizes[len(held)] = n
+        for k in rarest:
+            met.setdefault(k, []).append(len(held))
+        held.append(at)
+        out.append(doc)
     return out
 
 

@@ -79,6 +79,27 @@ def test_toxicity(spark, make):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in again if r["score"] < toxicity.TOXIC}
 
 
+def test_only_near_copies_are_folded():
+    """As brute force on sets that share their common keys; what is under 0.8 to every text that stays, stays."""
+    rng = np.random.default_rng(3)
+    docs = [np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
+    for _ in range(80):
+        one = np.unique(np.concatenate([np.arange(40), rng.integers(100, 400, rng.integers(1, 60))])).astype(np.uint32)
+        docs.append(one)
+        for drop in rng.integers(0, len(one) // 3, 2):
+            docs.append(np.sort(rng.permutation(one)[drop:]))
+    docs.append(np.array([1, 2, 3, 4], np.uint32))
+    docs.append(np.array([1, 2, 3, 4, 5], np.uint32))  # 0.8 exactly
+    want = []
+    for d in docs:
+        sets = [(set(d.tolist()), set(w.tolist())) for w in want]
+        if not any(not (a | b) or 5 * len(a & b) >= 4 * len(a | b) for a, b in sets):
+            want.append(d)
+    got = toxicity.one_of_copies(docs)
+    assert [g.tolist() for g in got] == [w.tolist() for w in want] and 50 < len(got) < len(docs) - 20
+    assert toxicity.one_of_copies([]) == []
+
+
 def test_risk_gradient():
     """Where the estimate for clean text is positive a step lowers the risk."""
     rng = np.random.default_rng(1)
