@@ -14,8 +14,9 @@ Kinds (what is replaced; what stays):
   ip      dotted quads of 0 to 255
   date    real days of 1900 to 2099, yyyy-mm-dd or dd-mm-yyyy with -, / or . (permuted among those days)
   email   letters and digits of the local part, each within its class (other characters and the domain stay)
-  secret  AKIA keys, and values after password=, token = " and the like: as email
-Numbers that fail validation, and all other text, stay as they are.
+  secret  AKIA keys, and values of 8 and more characters, however long, after password=, token = " and the like: as email
+Numbers that fail validation, and all other text, stay as they are; but a secret that looks like a number of another
+kind and fails that kind's validation is a secret.
 """
 
 from __future__ import annotations
@@ -24,12 +25,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Halves of secrets longer than this are hashed through their digest, so long ones take linear time.
+LONG = 64
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+#: What comes before a secret.
+NAMED = r"(?:password|passwd|secret|token|api_key) ?[=:] ?[\"']?"
 #: Each pattern begins where a run of its characters begins, so a long run is tried once, not from every place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=(?:password|passwd|secret|token|api_key) ?[=:] ?[\"']?)[A-Za-z0-9_/+-]{8,128}(?![A-Za-z0-9_/+-])",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=" + NAMED + r")[A-Za-z0-9_/+-]{8,}+",
     "phone": r"(?<![A-Za-z0-9+])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![A-Za-z0-9])",
     "ip": rf"(?<![A-Za-z0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![A-Za-z0-9-])",
@@ -139,27 +144,30 @@ def _date(text: Column, key: str) -> Column:
 def _letters(text: Column, key: str, kind: str) -> Column:
     """Each digit, small or capital letter moves within its class by a keyed hash of the other half; in a text of
     hexadecimal digits only, within those."""
-    hexa = text.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & text.rlike("[A-Fa-f]")
     n = F.length(text)
     half = F.floor(n / 2).cast("int")
+    # for each text once, not for each character: small, capital or no hexadecimal digits
+    mode = F.when(text.rlike("^[0-9a-f]+$") & text.rlike("[a-f]"), "x").when(text.rlike("^[0-9A-F]+$") & text.rlike("[A-F]"), "X").otherwise("")
 
-    def moved(part: Column, other: Column, i: Column) -> Column:
-        def one(c: Column, at: Column) -> Column:
+    def moved(part: Column, other: Column, i: Column, mode: Column) -> Column:
+        def one(c: Column, at: Column, other: Column) -> Column:
             h = _hash(key, kind, i, at, other)
             out = c
             for low, size in (("0", 10), ("a", 26), ("A", 26)):
                 high = chr(ord(low) + size - 1)
                 out = F.when((c >= low) & (c <= high), F.char(F.lit(ord(low)) + F.pmod(F.ascii(c) - ord(low) + h, F.lit(size)))).otherwise(out)
-            value = F.conv(c, 16, 10).cast("long")
-            digit = F.hex(F.pmod(value + h, F.lit(16)))
-            return F.when(hexa, F.when(text.rlike("[a-f]"), F.lower(digit)).otherwise(digit)).otherwise(out)
+            digit = F.hex(F.pmod(F.conv(c, 16, 10).cast("long") + h, F.lit(16)))
+            return F.when(mode == "x", F.lower(digit)).when(mode == "X", digit).otherwise(out)
 
-        return F.concat_ws("", F.transform(F.filter(F.split(part, ""), lambda c: c != ""), one))
+        chars = F.filter(F.split(part, ""), lambda c: c != "")
+        short = F.when(F.length(other) > LONG, F.sha2(other, 256)).otherwise(other)
+        return F.element_at(F.transform(F.array(short), lambda o: F.concat_ws("", F.transform(chars, lambda c, at: one(c, at, o)))), 1)
 
     def turn(s: Column, i: Column) -> Column:
-        return F.when(i % 2 == 1, F.struct(moved(s["l"], s["r"], i).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), moved(s["r"], s["l"], i).alias("r")))
+        left = F.struct(moved(s["l"], s["r"], i, s["m"]).alias("l"), s["r"].alias("r"), s["m"].alias("m"))
+        return F.when(i % 2 == 1, left).otherwise(F.struct(s["l"].alias("l"), moved(s["r"], s["l"], i, s["m"]).alias("r"), s["m"].alias("m")))
 
-    start = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, n).alias("r"))
+    start = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, n).alias("r"), mode.alias("m"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["l"], s["r"]))
 
 
@@ -176,16 +184,21 @@ def _secret(text: Column, key: str) -> Column:
 _KINDS = {"email": _email, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": _date, "card": _card, "secret": _secret}
 
 
-def _replaced(m: Column, key: str) -> Column:
-    """struct<kind, new> of one match; null new where validation fails.
+def _replaced(m: Column, before: Column, key: str) -> Column:
+    """struct<kind, new> of one match; null new where validation fails. before: the text up to the match, back to the
+    start of the match before it.
 
     A match is of the first kind, in the order of PATTERNS, whose pattern it fits by itself; look-behind for a
-    secret's name can't be seen there, so what fits nothing else is a secret.
+    secret's name can't be seen there, so what fits nothing else is a secret, and so is a value after such a name
+    that fails the validation of its kind.
     """
-    out = F.struct(F.lit("secret").alias("kind"), _secret(m, key).alias("new"))
-    for kind in ("card", "date", "ssn", "ip", "phone", "email"):
-        out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), F.struct(F.lit(kind).alias("kind"), _KINDS[kind](m, key).alias("new"))).otherwise(out)
-    return F.when(m.rlike("^AKIA[0-9A-Z]{16}$"), F.struct(F.lit("secret").alias("kind"), _secret(m, key).alias("new"))).otherwise(out)
+    secret = F.struct(F.lit("secret").alias("kind"), _secret(m, key).alias("new"))
+    out = F.when(m.rlike("^AKIA[0-9A-Z]{16}$"), F.struct(F.lit("secret").alias("kind"), F.lit(None).cast("string").alias("new")))
+    for kind in ("email", "phone", "ip", "ssn", "date", "card"):
+        out = out.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), F.struct(F.lit(kind).alias("kind"), _KINDS[kind](m, key).alias("new")))
+    named = m.rlike("^[A-Za-z0-9_/+-]{8,}+$") & before.rlike(f"{NAMED}$")
+    is_secret = lambda r: r.isNull() | (r["kind"] == "secret") | (r["new"].isNull() & named)
+    return F.element_at(F.transform(F.array(out), lambda r: F.when(is_secret(r), secret).otherwise(r)), 1)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -198,12 +211,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     maybe = F.col(text).rlike("[0-9@]|[=:] ?[\"']?[A-Za-z0-9_/+-]{8}")
     found = docs.withColumn("__pii_m", F.when(maybe, F.regexp_extract_all(F.col(text), F.lit(f"({ANY})"), F.lit(0))))
-    found = found.withColumn("__pii_r", F.when(F.size("__pii_m") > 0, F.transform("__pii_m", lambda m: F.struct(m.alias("old"), _replaced(m, key).alias("to")))))
-    pieces = F.zip_with(F.split(F.col(text), ANY, -1), "__pii_r", lambda x, r: F.array(x, F.coalesce(r["to"]["new"], r["old"], F.lit(""))))
+    found = found.withColumn("__pii_x", F.when(F.size("__pii_m") > 0, F.split(F.col(text), ANY, -1)))
+    before = F.zip_with("__pii_x", F.concat(F.array(F.lit("")), "__pii_m"), lambda x, m: F.concat(m, x))
+    each = F.zip_with("__pii_m", F.slice(before, 1, F.size("__pii_m")), lambda m, b: F.struct(m.alias("old"), _replaced(m, b, key).alias("to")))
+    found = found.withColumn("__pii_r", F.when(F.size("__pii_m") > 0, each))
+    pieces = F.zip_with("__pii_x", "__pii_r", lambda x, r: F.array(x, F.coalesce(r["to"]["new"], r["old"], F.lit(""))))
     done = F.filter("__pii_r", lambda r: r["to"]["new"].isNotNull())
     pii = F.transform(done, lambda r: F.struct(r["to"]["kind"].alias("kind"), F.sha2(F.concat(F.lit(key), r["old"]), 256).alias("old_sha256"), r["to"]["new"].alias("new")))
     empty = F.array().cast("array<struct<kind:string,old_sha256:string,new:string>>")
-    return found.withColumn("pii", F.when(F.col("__pii_r").isNotNull(), pii).when(F.col(text).isNotNull(), empty)).withColumn(text, F.when(F.col("__pii_r").isNotNull(), F.concat_ws("", F.flatten(pieces))).otherwise(F.col(text))).drop("__pii_m", "__pii_r")
+    return found.withColumn("pii", F.when(F.col("__pii_r").isNotNull(), pii).when(F.col(text).isNotNull(), empty)).withColumn(text, F.when(F.col("__pii_r").isNotNull(), F.concat_ws("", F.flatten(pieces))).otherwise(F.col(text))).drop("__pii_m", "__pii_x", "__pii_r")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,16 @@ def test_letters(make):
         assert re.fullmatch(r'token = "[0-9a-f]{40}"', new)
 
 
+@pytest.mark.parametrize("value", ["aB3_" * 32 + "z", "q" * 5000, "0123456789abcdef" * 3000, "1234567890123", "4041894974608797", "1234-5678-9012-3456", "2021-02-30"])
+@pytest.mark.parametrize("name", ["password=", "api_key: '", "a@b.token="])
+def test_secrets_of_any_length_and_form(make, name, value):
+    row = m.pseudonymise(make([(1, f"My {name}{value}, and {value[:40]}.")]), KEY).first()
+    old, new = value, row["text"][len(f"My {name}") if "@" not in name else row["text"].index("token=") + 6 :][: len(value)]
+    assert new != old and len(row["text"]) == len(f"My {name}{value}, and {value[:40]}.") and row["text"].endswith(f", and {value[:40]}.")
+    assert [sum(c.isdigit() for c in x) for x in (old, new)][0] == sum(c.isdigit() for c in new) or re.fullmatch("[0-9a-f]+", new)
+    assert [r["kind"] for r in row["pii"]][-1] == "secret"
+
+
 def test_clean_text_stays(make, odd):
     clean = ["In 1999, 12 of 340 (3.5 %) came.", "v1.2.3.4.5 and 300.1.2.3", "000-12-3456 or 666-12-3456", "1234567890123", "a1b2-2020-01-01x", ""]
     got = m.pseudonymise(make(list(enumerate(clean))), KEY).orderBy("doc_id").collect()
