@@ -341,10 +341,10 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that share a contact: an equi-join on the contact, never a cross join."""
+    """All pairs that share a contact: an equi-join on the contact, never a cross join."""
     v = _items(spark, sf_dir)
     left, right = v.select(F.col("id").alias("a"), "k", F.col("item").alias("l")), v.select(F.col("id").alias("b"), "k", F.col("item").alias("r"))
-    return left.join(right, "k").where((F.col("a") < F.col("b")) & (F.col("b") - F.col("a") <= 400))
+    return left.join(right, "k").where(F.col("a") < F.col("b"))
 
 
 _ITEMS = "i AS (SELECT p_partkey AS id, p_partkey % 40 AS k, p_name AS t, ['rent', 'jobs', 'sale'][1 + p_size % 3] AS cat, p_partkey % 3 AS city, p_brand AS district, p_retailprice AS price, p_size % 4 AS rooms, p_size::DOUBLE AS area FROM part)"
@@ -356,8 +356,9 @@ _SCORES = f"s AS (SELECT l.id AS a, r.id AS b, CASE WHEN l.cat <> r.cat THEN 0.0
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score's components but for the texts' similarity, which SQL lacks: as if the texts were half alike."""
-    return _pairs(spark, sf_dir).withColumn("match", score.compare(F.col("l"), F.col("r"), F.lit(60.0)))
+    """What SQL can check of the score: pairs up to 400 ids apart, as in the SQL, and its components but for the texts'
+    similarity, which SQL lacks, as if the texts were half alike. All pairs and texts: the two queries of texts."""
+    return _pairs(spark, sf_dir).where(F.col("b") - F.col("a") <= 400).withColumn("match", score.compare(F.col("l"), F.col("r"), F.lit(60.0)))
 
 
 @query(f"WITH {_ITEMS}, {_SCORES} SELECT a, b, round(score, 6) AS score, score >= 0.7 AS merges FROM s")
@@ -370,10 +371,20 @@ def best_match(spark, sf_dir):
     return resolve.best_match(_scored(spark, sf_dir), "b", "a").select("b", "a", F.round("match.score", 6).alias("score"))
 
 
+def _scored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.score_pairs(_pairs(spark, sf_dir))
+
+
 @query()
 def pair_score_texts(spark, sf_dir):
-    scored = resolve.score_pairs(_pairs(spark, sf_dir).where(F.col("b") - F.col("a") <= 40))
-    return scored.select("a", "b", F.round("match.score", 6).alias("score"), F.concat_ws("; ", "match.reasons").alias("reasons"))
+    """All pairs that share a contact, by the whole score."""
+    return _scored_texts(spark, sf_dir).select("a", "b", F.round("match.score", 6).alias("score"), F.concat_ws("; ", "match.reasons").alias("reasons"))
+
+
+@query()
+def best_match_texts(spark, sf_dir):
+    """The best of all earlier items that share a contact, by the whole score."""
+    return resolve.best_match(_scored_texts(spark, sf_dir), "b", "a").select("b", "a", F.round("match.score", 6).alias("score"))
 
 
 @query()

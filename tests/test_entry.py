@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__
 from bazaar import registry
+from bazaar.operators import resolve
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,17 @@ def test_resolver_keeps_its_invariants(spark):
     got = registry.QUERIES["resolve_cards"](spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert sum(r["repost_count"] for r in got) == docs and sorted(r["id"] for r in got) == list(range(1, len(got) + 1))
+
+
+def test_all_pairs_of_a_contact_are_scored_by_their_texts(spark, tmp_path):
+    """Brute force by the fold's own score, over ids that are far apart."""
+    words = ["red", "bolt", "small", "green", "nut", "blue"]
+    ids = [k + 40 * n for k in (1, 2) for n in (0, 1, 3, 10, 11, 12, 30, 200)]
+    rows = [(i, " ".join(words[(i // 40 + j) % 6] for j in range(3 + i % 3)), 7 + i // 40 % 2 * 3, f"b{i % 3}", 100.0 + i % 7) for i in ids]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    item = lambda r: {"norm_text": r[1], "keys": {f"phone:+{r[0] % 40}"}, "bits": None, "category": ["rent", "jobs", "sale"][r[2] % 3], "city": f"c{r[0] % 3}", "district": r[3], "price_amount": r[4], "price_currency": "SAR", "rooms": r[2] % 4, "area_sqm": float(r[2])}
+    want = {(l[0], r[0]): resolve._score(item(l), item(r), set()) for l in rows for r in rows if l[0] < r[0] and l[0] % 40 == r[0] % 40}  # noqa: E741
+    got = registry.QUERIES["pair_score_texts"](spark, str(tmp_path)).collect()
+    assert {(r["a"], r["b"]): (r["score"], r["reasons"]) for r in got} == {k: (round(s, 6), "; ".join(why)) for k, (s, why) in want.items()} and len(got) == len(want) == 56
+    best = {b: max((round(s, 6), -a) for (a, c), (s, _) in want.items() if c == b) for b in {b for _, b in want}}
+    assert {r["b"]: (r["score"], -r["a"]) for r in registry.QUERIES["best_match_texts"](spark, str(tmp_path)).collect()} == best
