@@ -254,7 +254,7 @@ def normalize_text_ascii(spark, sf_dir):
 @query(f"WITH {_FOUND}, n AS (SELECT doc_id, {_NORM} AS norm_text FROM documents), c AS (SELECT doc_id, count(*) AS k FROM keys GROUP BY doc_id) SELECT min(n.doc_id) AS first_doc, count(*)::BIGINT AS docs, sum(coalesce(k, 0))::BIGINT AS contacts FROM n LEFT JOIN c USING (doc_id) GROUP BY norm_text")
 def exact_text_groups(spark, sf_dir):
     """Contacts and normalised text of every document, grouped where texts are equal."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text"), compose=False).alias("norm_text"), F.size(text.extract_contacts(F.col("text"))).alias("k"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("norm_text"), F.size(text.extract_contacts(F.col("text"))).alias("k"))
     return docs.groupBy("norm_text").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("docs"), F.sum("k").alias("contacts")).drop("norm_text")
 
 
@@ -407,7 +407,7 @@ def resolve_cards(spark, sf_dir):
     posted = F.timestamp_add("MINUTE", F.col("doc_id").cast("int"), F.lit("1996-05-01").cast("timestamp"))
     raw = docs.select(F.col("doc_id").alias("id"), F.xxhash64("source").alias("channel_id"), posted.alias("posted_at"), "text", F.lit(None).cast("string").alias("media_path"), F.lit(None).cast("array<string>").alias("media_paths"), F.lit(None).cast("string").alias("media_phash"))
     chan = docs.select(F.xxhash64("source").alias("id")).distinct().withColumn("trust", F.lit(50))
-    occ = resolve.parse(raw, compose=False).withColumn("id", F.col("raw_message_id"))
+    occ = resolve.parse(raw).withColumn("id", F.col("raw_message_id"))
     out = resolve.resolve(occ, raw, chan, AS_OF)["listing"]
     return out.select("id", "canonical_occurrence_id", F.col("repost_count").cast("long").alias("repost_count"), "title")
 

@@ -57,3 +57,10 @@ def test_all_pairs_of_a_contact_are_scored_by_their_texts(spark, tmp_path):
     assert {(r["a"], r["b"]): (r["score"], r["reasons"]) for r in got} == {k: (round(s, 6), "; ".join(why)) for k, (s, why) in want.items()} and len(got) == len(want) == 56
     best = {b: max((round(s, 6), -a) for (a, c), (s, _) in want.items() if c == b) for b in {b for _, b in want}}
     assert {r["b"]: (r["score"], -r["a"]) for r in registry.QUERIES["best_match_texts"](spark, str(tmp_path)).collect()} == best
+
+
+def test_texts_are_composed(spark, tmp_path):
+    rows = [(1, "Find the office at 12345", "s"), (2, "Ｆind the oﬃce at １２３４５", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["docs"] for r in registry.QUERIES["exact_text_groups"](spark, str(tmp_path)).collect()] == [2]
+    assert [r["repost_count"] for r in registry.QUERIES["resolve_cards"](spark, str(tmp_path)).collect()] == [2]
