@@ -36,8 +36,8 @@ def test_phones(spark):
 
 
 def test_usernames_and_contacts(spark):
-    got = ask(spark, ["@ahmed_rent, https://t.me/ahmed_rent t.me/ksa_arenda t.me/joinchat x@mail.com @abc"], text.extract_usernames)
-    assert got == [["ahmed_rent", "ksa_arenda", "mail"]]
+    got = ask(spark, ["@samir_flats, https://t.me/samir_flats t.me/flats_daily t.me/joinchat x@mail.com @abc"], text.extract_usernames)
+    assert got == [["samir_flats", "flats_daily", "mail"]]
     contacts = ask(spark, ["@User_1 0512345678"], text.extract_contacts)[0]
     assert [tuple(c) for c in contacts] == [("phone", "+966512345678"), ("telegram", "user_1")]
 
