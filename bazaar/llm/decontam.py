@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,74 +13,63 @@ from pyspark.sql import functions as F
 #: Words after lower-casing A-Z: digits, a-z and all bytes over 0x7F.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
-#: Bytes of items' windows in one automaton; more items are scanned for in further passes.
-PATTERN_BYTES = 8 << 20
 
 
-def normal(text: str | None) -> bytes:
-    """The words, lower-cased, in UTF-8, each after one space, and a space at the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split(b" ")
-    return b" " + b" ".join(w for w in words if w) + b" "
-
-
-def windows(text: str | None, n: int) -> list[bytes]:
-    """Each n consecutive words of an item; all its words if it has fewer; none if it has none."""
-    words = normal(text).split()
-    return [b" " + b" ".join(words[i : i + n]) + b" " for i in range(max(1, len(words) - n + 1))] if words else []
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, lower-cased, in UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
 class Automaton:
-    """All windows of some items in one automaton; scans a normalised text once."""
+    """All windows of some items in one automaton over numbered words; scans the words of a text once.
 
-    def __init__(self, items: list[tuple[object, str | None]], n: int):
+    A window is n consecutive words of an item, all its words if it has fewer. A node of the trie stands for a word in
+    a window, so there are at most n nodes for each word of the items: about 0.5 KB for each, whatever the documents.
+    """
+
+    def __init__(self, items: Iterable[tuple[object, str | None]], n: int):
         import ahocorasick
 
-        found: dict[bytes, set] = {}
+        self.numbers: dict[bytes, int] = {}  # from 1; 0 is any word that no item has
+        place: dict[tuple, int] = {}
+        self.items: list[list[str]] = []
+        self.length: list[int] = []
         for item, text in items:
-            for w in windows(text, n):
-                found.setdefault(w, set()).add(item)
-        self.size = len(found)
-        self.automaton = ahocorasick.Automaton()
-        for w, ids in found.items():
-            self.automaton.add_word(w.decode("latin-1"), (len(w), w.count(b" ") - 1, tuple(ids)))
-        if found:
+            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
+            for i in range(max(1, len(words) - n + 1)) if words else ():
+                w = tuple(words[i : i + n])
+                k = place.setdefault(w, len(place))
+                if k == len(self.items):
+                    self.items.append([])
+                    self.length.append(len(w))
+                if str(item) not in self.items[k][-1:]:
+                    self.items[k].append(str(item))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for w, k in place.items():
+            self.automaton.add_word(w, k)
+        if place:
             self.automaton.make_automaton()
 
-    def scan(self, text: bytes) -> tuple[list[tuple[int, int]], set]:
-        """Merged spans of words [first, end) that windows cover, and the items with windows in normal(text)."""
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Merged spans of words [first, end) that windows cover, and the items with windows."""
         spans: list[tuple[int, int]] = []
-        items: set = set()
-        if not self.size:
+        items: set[str] = set()
+        if not self.length or not words:
             return spans, items
-        at = word = 0  # word: how many words begin before byte at
-        for last, (length, n, ids) in self.automaton.iter(text.decode("latin-1")):
-            word += text.count(b" ", at, last)
-            at = last  # the closing space of the window: `word` words end here
-            first = word - n
-            items.update(ids)
+        number = self.numbers.get
+        for last, k in self.automaton.iter(tuple([number(w, 0) for w in words])):
+            first, end = last + 1 - self.length[k], last + 1
+            items.update(self.items[k])
             if spans and first <= spans[-1][1]:
                 # windows come by their ends; a longer one may begin before several earlier spans
                 while len(spans) > 1 and first <= spans[-2][1]:
                     spans.pop()
-                spans[-1] = (min(first, spans[-1][0]), word)
+                spans[-1] = (min(first, spans[-1][0]), end)
             else:
-                spans.append((first, word))
+                spans.append((first, end))
         return spans, items
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[object, str | None]]]:
-    """Items in blocks of about PATTERN_BYTES of windows (each word of an item is in ten of them at most)."""
-    block, held = [], 0
-    for r in benchmark.select(item_id, text).toLocalIterator():
-        size = 10 * len((r[1] or "").encode("utf-8", "surrogatepass")) + 64
-        if block and held + size > PATTERN_BYTES:
-            yield block
-            block, held = [], 0
-        block.append((r[0], r[1]))
-        held += size
-    yield block
-
-
 def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Character offsets [start, end) in text of spans of words."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -89,24 +78,24 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return [(chars(at[a][0]), chars(at[b - 1][1])) for a, b in spans]
 
 
-def _broadcast(spark: SparkSession, benchmark: DataFrame, item_id: str, text: str) -> list:
-    """A broadcast of each block of items: of bounded size each."""
-    return [spark.sparkContext.broadcast(block) for block in blocks(benchmark, item_id, text)]
+def automaton(benchmark: DataFrame, n: int = 10, item_id: str = "item_id", text: str = "text"):
+    """The automaton of all items, built once on the driver and broadcast: each Python worker of an executor loads it once.
+
+    Test questions and answers don't grow with the corpus: some MB of text, half a GB of automaton for each million words.
+    """
+    spark = benchmark.sparkSession
+    return spark.sparkContext.broadcast(Automaton(((r[0], r[1]) for r in benchmark.select(item_id, text).toLocalIterator()), n))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, all their columns as they are, in which no window of an item occurs (see scan)."""
-    held = _broadcast(docs.sparkSession, benchmark, item_id, item_text)
+    shared = automaton(benchmark, n, item_id, item_text)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = Automaton(held[0].value, n) if len(held) == 1 else None
+        own = shared.value
         for b in batches:
-            clean = [True] * b.num_rows
-            for block in held:
-                automaton = first or Automaton(block.value, n)
-                clean = [c and not automaton.scan(normal(t))[1] for c, t in zip(clean, b.column(at).to_pylist(), strict=True)]
-            yield b.filter(pa.array(clean, pa.bool_()))
+            yield b.filter(pa.array([not own.scan(words_of(t.as_py()))[0] for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -117,47 +106,33 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_
     characters of the original text).
 
     Lower-case and words are as in WORD; a window is n consecutive words of an item, an item of fewer words one
-    window. Null or empty texts have no words; items without words have no windows; repeated items count once.
-    The automaton of a block of items is of bounded size; documents are scanned whole, once for each block.
+    window. Null or empty texts have no words; items without words have no windows; repeated items count once, repeated
+    documents are scanned each; other columns of either table are not read, whatever their names. One automaton holds
+    all items, and each document is scanned whole, once.
     """
-    held = _broadcast(docs.sparkSession, benchmark, item_id, item_text)
+    shared = automaton(benchmark, n, item_id, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = Automaton(held[0].value, n) if len(held) == 1 else None
+        own = shared.value
         for b in batches:
-            texts = b.column(1).to_pylist()
-            normals = [normal(t) for t in texts]
-            covered: list[list] = [[] for _ in texts]
-            items: list[set] = [set() for _ in texts]
-            for block in held:
-                automaton = first or Automaton(block.value, n)
-                for i, t in enumerate(normals):
-                    spans, ids = automaton.scan(t)
-                    if ids:
-                        covered[i] = merged(covered[i] + spans)
-                        items[i] |= ids
+            count, hit, ids, where = [], [], [], []
+            for t in b.column(1):
+                t = t.as_py()
+                words = words_of(t)
+                spans, items = own.scan(words)
+                count.append(len(words))
+                hit.append(sum(y - x for x, y in spans))
+                ids.append(sorted(items))
+                where.append([{"start": x, "end": y} for x, y in original_spans(t, spans)] if spans else [])
             yield pa.RecordBatch.from_arrays([
-                b.column(0),
-                pa.array([max(0, t.count(b" ") - 1) if len(t) > 2 else 0 for t in normals], pa.int64()),
-                pa.array([sum(y - x for x, y in c) for c in covered], pa.int64()),
-                pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string())),
-                pa.array([[{"start": x, "end": y} for x, y in original_spans(t, c)] if c else [] for t, c in zip(texts, covered, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                b.column(0), pa.array(count, pa.int64()), pa.array(hit, pa.int64()), pa.array(ids, pa.list_(pa.string())),
+                pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
     kind = dict(docs.dtypes)[doc_id]
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start long, end long>>")
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return scan(docs, benchmark).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -2,47 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import lookup, running_sums, staged
+from bazaar.llm.common import running_sums, staged
 
-#: A group of equal texts stays in one shard unless it is larger than this part of a shard.
-WHOLE_SHARE = 0.05
 
-
-def shard_by_bytes(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text", overhead: int = 8, whole_share: float = WHOLE_SHARE, order: list[str] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot: documents in the order of (MD5 of the text, doc_id), cut at equal bytes.
+def shard_by_bytes(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text", overhead: int = 8, order: list[str] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot: documents in a global order, cut at equal bytes.
 
     size is the UTF-8 bytes of the text (null: none) plus overhead. A document lies in the shard that holds the
     middle of its bytes in the global order, so each shard's bytes differ from the target by less than one
-    document at either end. A group of equal texts is contiguous in that order; it goes whole to the shard that
-    holds its middle, unless it has over whole_share of a shard's bytes: then it is cut like other documents.
-    With ``order``, columns that end in one of distinct values, documents are in that order instead, and groups are cut
-    like other documents. slot numbers a shard's documents from 0 in the global order. Null texts form one group (crc32 of no bytes),
-    as do empty ones with them; null doc_ids come first; repeated rows get a slot each; no rows, no shards.
+    document at either end. The order is that of (MD5 of the text, doc_id): equal texts are neighbours, so of their
+    groups only those that lie on one of the n_shards - 1 cuts are in more than one shard, whatever their size. With
+    ``order``, columns that end in one of distinct values, it is the order of these. slot numbers a shard's documents
+    from 0 in the global order. Null and empty texts are one group (crc32 of no bytes); null doc_ids come first;
+    repeated rows get a slot each; no rows, no shards; other columns of docs are not read, whatever their names.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + overhead).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.substring(F.md5(body.cast("binary")), 1, 16).alias("hash"), *(F.col(c).alias(f"order{i}") for i, c in enumerate(order or [])))
     by = [f"order{i}" for i in range(len(order))] if order else ["hash", "text_crc32", "size", "doc_id"]
     rows = running_sums(staged(slim, "sizes"), by, "size")
     total = rows.agg(F.sum("size")).first()[0] or 1
-    if order:
-        return _slots(rows.withColumn("whole", F.lit(None).cast("int")), n_shards, total)
-    key = F.concat_ws(":", "hash", "text_crc32", "size")
-    groups = rows.groupBy(key.alias("key")).agg(F.min("before").alias("start"), F.sum("size").alias("bytes"), F.count("*").alias("n")).filter(f"n > 1 and bytes <= {whole_share * total / n_shards}")
-    whole = staged(groups.select("key", "n", _shard(F.col("start") + F.col("bytes") / 2, n_shards, total).alias("whole")), "groups")
-    keyed = rows.withColumn("key", key)
-    return _slots(lookup(keyed, whole, "key", "n").unionByName(keyed.join(whole, "key", "left_anti").withColumn("whole", F.lit(None).cast("int"))), n_shards, total)
-
-
-def _shard(middle: Column, n_shards: int, total: int) -> Column:
-    return F.least(F.floor(middle * n_shards / total), F.lit(n_shards - 1)).cast("int")
-
-
-def _slots(rows: DataFrame, n_shards: int, total: int) -> DataFrame:
-    placed = staged(rows.select("doc_id", "size", "text_crc32", "row", F.coalesce("whole", _shard(F.col("before") + F.col("size") / 2, n_shards, total)).alias("shard")), "placed")
-    first = placed.groupBy("shard").agg(F.min("row").alias("first"))
+    middle = F.col("before") + F.col("size") / 2
+    shard = F.least(F.floor(middle * n_shards / total), F.lit(n_shards - 1)).cast("int")
+    placed = staged(rows.select("doc_id", "size", "text_crc32", "row", shard.alias("shard")), "placed")
+    first = placed.groupBy("shard").agg(F.min("row").alias("first"))  # a row for each shard
     return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).alias("slot"))
 
 
@@ -60,7 +45,6 @@ WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, {_BYTE_CRC} AS c FRO
                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM d, crc),
      o AS (SELECT *, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, row_number() OVER w AS row, (sum(size) OVER ())::BIGINT AS total
            FROM s WINDOW w AS (ORDER BY hash, text_crc32, size, doc_id)),
-     g AS (SELECT *, count(*) OVER k AS n, min(before) OVER k AS start, (sum(size) OVER k)::BIGINT AS bytes FROM o WINDOW k AS (PARTITION BY hash, text_crc32, size)),
-     p AS (SELECT *, least(floor(CASE WHEN n > 1 AND bytes <= 0.05::DOUBLE * total / 24 THEN start + bytes / 2.0::DOUBLE ELSE before + size / 2.0::DOUBLE END * 24 / total), 23)::INTEGER AS shard FROM g)
+     p AS (SELECT *, least(floor((before + size / 2.0::DOUBLE) * 24 / total), 23)::INTEGER AS shard FROM o)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row - min(row) OVER (PARTITION BY shard) AS slot, NULL::INTEGER AS grown_shard FROM p
 """

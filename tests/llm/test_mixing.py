@@ -52,11 +52,26 @@ def test_positions_follow_the_schedules(make):
 
 def test_demand_inverts():
     d = m.Demand([(0, 1), (0.3, 0), (0.6, 0), (1, 4)], 100)
-    for t in (0.05, 0.2, 0.29, 0.7, 1.0):
+    for t in (0.05, 0.2, 0.29, 0.7, 0.999):
         words = np.interp(0, [0], [0]) + sum((b - a) * (d_w(d, a) + d_w(d, b)) / 2 for a, b in zip(np.linspace(0, t, 20001)[:-1], np.linspace(0, t, 20001)[1:], strict=True))
         assert d.when(np.array([words]))[0] == pytest.approx(t, abs=1e-3)
 
 
+def test_never_owed():
+    d = m.Demand([(0, 1), (1, 1)], 10)
+    assert d.when(np.array([0.0, 5.0, 10.0, 11.0])).tolist() == [0.0, 0.5, np.inf, np.inf]
+    assert m.Demand([(0, 0), (1, 0)], 10).when(np.array([0.0])).tolist() == [np.inf]
+
+
+def test_documents_come_by_position(make):
+    rows = corpus(7, 200)
+    df = m.by_position(m.mix(make(rows), m.rising))
+    got = [r["position"] for r in df.collect()]  # partitions are collected in their order
+    known = [p for p in got if p is not None]
+    assert len(got) == len(rows) and known == sorted(known) and got[: len(known)] == known
+    assert "rangepartitioning(position" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def d_w(d, t):
     return float(np.interp(t, d.t, d.w))
 
@@ -77,6 +92,19 @@ def test_apply(make):
     assert got == +want and m.apply(make(rows), mixed).columns == make(rows).columns
 
 
+@pytest.mark.parametrize("times", [2, 5])
+def test_repeated_rows_share_their_copies(spark, make, times):
+    """As many rows as the mix takes of all of them, where it takes some and not others; columns of any names."""
+    rows = corpus(3, 40) * times
+    df = make(rows).withColumnRenamed("key", "mix_id").withColumnRenamed("row", "mix_hash")
+    mixed = m.mix(df, m.rising, budget_share=0.5)
+    want = Counter()
+    for r in mixed.collect():
+        want[r["doc_id"]] += len(r["copies"])
+    got = m.apply(df, mixed)
+    assert Counter(r["doc_id"] for r in got.collect()) == +want and got.columns == df.columns
+
+
 def test_odd_rows(make, odd):
     got = m.mix(odd, m.rising).collect()
     assert len(got) == odd.count() and all(r["taken"] <= 3 * r["size"] for r in got)

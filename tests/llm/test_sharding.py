@@ -36,8 +36,8 @@ def test_bytes(make):
     where = defaultdict(set)
     for r in rows:
         where[texts[r["doc_id"]]].add(r["shard"])
-    # but for the group that is larger than a twentieth of a shard
-    assert {t for t, s in where.items() if len(s) > 1} <= {"hot" * 30, docs[3][1]}
+    # only groups that lie on a cut are in more shards than one
+    assert sum(len(s) - 1 for s in where.values()) <= 7
 
 
 def test_in_order(make):
