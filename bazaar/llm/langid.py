@@ -22,8 +22,6 @@ from bazaar.llm.words import CHUNK, Index, mix, powers
 ORDERS = (5, 4, 3, 2, 1)
 #: Documents that train, at most about.
 TRAIN_DOCS = 12_000
-#: Entries kept of each level, the most frequent ones.
-ENTRIES = (120_000, 60_000, 40_000, 20_000, 5_000, 1_000)
 _P = 0x9E3779B97F4A7C15
 
 
@@ -90,11 +88,11 @@ class Model:
         return [Index(k) for k in self.keys]
 
 
-def fit(docs: DataFrame, max_docs: int = TRAIN_DOCS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", entries: tuple[int, ...] = ENTRIES) -> Model:
+def fit(docs: DataFrame, max_docs: int = TRAIN_DOCS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
     """Counts words and n-grams by language in about max_docs documents chosen by a hash of doc_id.
 
-    The bound is on the sample that the classifier learns from; null lang or text don't train. Counting is
-    distributed; the most frequent ``entries`` of each level go to the driver.
+    The bound is on the sample that the classifier learns from; null lang or text don't train, repeated rows count each
+    time, other columns are not read. Counting is distributed; all that the sample holds goes to the model, in one piece.
     """
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     n = known.count()
@@ -122,16 +120,16 @@ def fit(docs: DataFrame, max_docs: int = TRAIN_DOCS, text: str = "text", lang: s
     counted = sample.select(F.col(text), F.col(lang).cast("string")).mapInArrow(count, "lang string, level int, key long, n long")
     counts = staged(counted.groupBy("lang", "level", "key").agg(F.sum("n").alias("n")), "counts")
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    sums = {(r[0], r[1]): r[2] for r in counts.groupBy("lang", "level").agg(F.sum("n")).collect()}
-    grouped = counts.groupBy("level", "key").agg(F.sum("n").alias("total"), *(F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(f"l{i}") for i, x in enumerate(langs)))
+    by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).cast("int").alias(f"l{i}") for i, x in enumerate(langs)]
+    found = counts.groupBy("level", "key").agg(*by_lang or [F.count("*").alias("l0")]).toArrow()
+    level, key = found.column("level").to_numpy(), found.column("key").to_numpy().view(np.uint64)
+    times = np.stack([found.column(f"l{i}").to_numpy() for i in range(len(langs))], axis=1) if langs else np.zeros((0, 0))
     keys, logs = [], []
-    for level, most in enumerate(entries):
-        # a word seen once is left to its n-grams: one occurrence says less than they do
-        top = grouped.filter((F.col("level") == level) & (F.col("total") > int(level == 0))).orderBy(F.desc("total"), "key").limit(most).drop("level", "total").toPandas()
-        n = top.drop(columns="key").to_numpy(dtype=np.float64, na_value=0.0) if len(top) else np.zeros((0, len(langs)))
-        keys.append(top["key"].to_numpy(dtype=np.int64).view(np.uint64))
-        whole = np.array([sums.get((x, level), 0) for x in langs], dtype=np.float64)
-        logs.append(np.log((n + 0.5) / (whole + 0.5 * (len(top) + 1))))
+    for i in range(len(ORDERS) + 1):
+        own = np.flatnonzero(level == i)
+        own = own[np.argsort(key[own])]
+        keys.append(key[own])
+        logs.append(np.log((times[own] + 0.5) / (times[own].sum(axis=0) + 0.5 * (len(own) + 1))))
     return Model(langs, keys, logs)
 
 
@@ -164,7 +162,8 @@ def detect(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
     A text that is null or has no letter, or any text if nothing was learnt, is ``und`` with score 0. A text of
     letters of which no n-gram is known gets the first language with score 1 / number of languages. Ties go to
-    the first language by name.
+    the first language by name. Every row has a result, repeated ones too; other columns are not read, whatever
+    their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -194,4 +193,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return detect(docs, fit(docs.filter(~held_out()))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return detect(docs, fit(docs.filter(~held_out()))).select("doc_id", held_out().alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
+
+
+
+# the sample is whole up to TRAIN_DOCS rows: there SQL can follow
+OP1_SQL = rf"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(0, 256) r(i))),
+     d AS (SELECT doc_id, text, lang, coalesce(xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda b: ascii(b)::BIGINT)),
+                  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 4 = 2, false) AS held_out FROM documents, crc),
+     wc AS (SELECT doc_id, w, count(*) AS m FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS w FROM d) GROUP BY doc_id, w),
+     g AS (SELECT w, n, unnest(CASE WHEN n = 1 THEN string_split(w, '') ELSE list_transform(range(1, length(w) + 4 - n), lambda i: substr(' ' || w || ' ', i, n)) END) AS k
+           FROM (SELECT DISTINCT w FROM wc), (SELECT unnest({list(ORDERS)}) AS n)),
+     tc AS (SELECT lang, w, sum(m) AS m FROM wc JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, w),
+     c AS (SELECT 0 AS n, w AS k, lang, m AS c FROM tc UNION ALL SELECT n, k, lang, sum(m) FROM tc JOIN g USING (w) GROUP BY n, k, lang),
+     langs AS (SELECT DISTINCT lang FROM c), keys AS (SELECT DISTINCT n, k FROM c),
+     z AS (SELECT n, lang, coalesce(t, 0) + 0.5::DOUBLE * (e + 1) AS z FROM (SELECT n, count(*) AS e FROM keys GROUP BY n) CROSS JOIN langs LEFT JOIN (SELECT n, lang, sum(c) AS t FROM c GROUP BY n, lang) USING (n, lang)),
+     l AS (SELECT keys.n, keys.k, z.lang, ln((coalesce(c.c, 0) + 0.5::DOUBLE) / z) AS l FROM keys JOIN z USING (n) LEFT JOIN c ON c.n = keys.n AND c.k = keys.k AND c.lang = z.lang),
+     unseen AS (SELECT g.w, g.n, lang, avg(l) AS s FROM g JOIN l ON l.n = g.n AND l.k = g.k WHERE g.w NOT IN (SELECT k FROM keys WHERE n = 0) GROUP BY g.w, g.n, lang),
+     ws AS (SELECT w, lang, arg_max(s, n) AS s FROM unseen GROUP BY w, lang UNION ALL SELECT k, lang, l FROM l WHERE n = 0),
+     s AS (SELECT doc_id, langs.lang, sum(m * coalesce(s, 0)) AS s FROM wc CROSS JOIN langs LEFT JOIN ws ON ws.w = wc.w AND ws.lang = langs.lang GROUP BY doc_id, langs.lang),
+     b AS (SELECT doc_id, first(lang ORDER BY s DESC, lang) AS best, 1 / sum(exp(s - top)) AS share FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS top FROM s) GROUP BY doc_id)
+SELECT d.doc_id, held_out, coalesce(best, 'und') AS lang_pred, coalesce(round(share, 6), 0::DOUBLE) AS score FROM d LEFT JOIN b USING (doc_id)
+"""

@@ -9,12 +9,13 @@ the other, modulo a or b in turn: a permutation of the whole domain, without wal
 Kinds (what is replaced; what stays):
   card    13 to 19 digits with a right Luhn digit, also in groups of four (first digit and separators stay; the
           last digit is made right again)
-  phone   North American numbers, area and exchange from 200 (+1, brackets and separators stay)
+  phone   North American numbers, area and exchange from 200 (+1, brackets and separators stay); numbers of other
+          countries with + and 8 to 15 digits (country code, next digit, brackets and separators stay)
   ssn     ddd-dd-dddd with no part 0, area not 666 or 900 and over (permuted among such)
   ip      dotted quads of 0 to 255
   date    real days of 1900 to 2099, yyyy-mm-dd or dd-mm-yyyy with -, / or . (permuted among those days)
   email   letters and digits of the local part, each within its class (other characters and the domain stay)
-  secret  AKIA keys, and values of 8 and more characters, however long, after password=, token = " and the like: as email
+  secret  AKIA keys, and values of 8 and more characters, however long, after password=, Token = " and the like: as email
 Numbers that fail validation, and all other text, stay as they are; but a secret that looks like a number of another
 kind and fails that kind's validation is a secret.
 """
@@ -24,21 +25,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaar.llm.common import free
+
 ROUNDS = 8
 #: Halves of secrets longer than this are hashed through their digest, so long ones take linear time.
 LONG = 64
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
 #: What comes before a secret.
-NAMED = r"(?:password|passwd|secret|token|api_key) ?[=:] ?[\"']?"
+NAMED = r"(?:(?i:password|passwd|secret|token|api_key) ?[=:] ?[\"']?)"
+#: What begins a country's code of one digit, of two; others have three.
+_CODE1, _CODE2 = "^[17]", "^(?:20|27|3[0-469]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 #: Each pattern begins where a run of its characters begins, so a long run is tried once, not from every place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=" + NAMED + r")[A-Za-z0-9_/+-]{8,}+",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![A-Za-z0-9])",
+    "phone": r"(?<![A-Za-z0-9+])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9+])\+(?!1)\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?![A-Za-z0-9])",
     "ip": rf"(?<![A-Za-z0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![A-Za-z0-9-])",
-    "date": rf"(?<![A-Za-z0-9./-])(?:{_YEAR}([-/.]){_MONTH}\K{_DAY}|{_DAY}\K{_YEAR})",
+    "date": "",  # below
     "card": r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,4})(?![A-Za-z0-9])",
 }
 _ISO = "|".join(rf"{_YEAR}{s}{_MONTH}{s}{_DAY}" for s in ("-", "/", r"\."))
@@ -56,7 +61,7 @@ def _hash(key: str, *parts: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
-def permute(value: Column, a: Column | int, b: Column | int, key: str, kind: str) -> Column:
+def permute(value: Column, a: Column | int, b: Column | int, key: str, kind: Column | str) -> Column:
     """A keyed permutation of 0 .. a * b - 1."""
     a, b = (x if isinstance(x, Column) else F.lit(x).cast("long") for x in (a, b))
 
@@ -69,6 +74,10 @@ def permute(value: Column, a: Column | int, b: Column | int, key: str, kind: str
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s["l"] * b + s["r"])
 
 
+def _ten(k: Column) -> Column:
+    return F.rpad(F.lit("1"), k + 1, "0").cast("long")
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -95,9 +104,8 @@ def _card(text: Column, key: str) -> Column:
     digits = _digits(text)
     n = F.length(digits) - 2  # between the first and the check digit
     half = F.floor(n / 2).cast("int")
-    ten = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
     value = F.substring(digits, F.lit(2), n).cast("long")
-    inner = F.lpad(permute(value, ten(half), ten(n - half), key, "card").cast("string"), n, "0")
+    inner = F.lpad(permute(value, _ten(half), _ten(n - half), key, "card").cast("string"), n, "0")
     body = F.concat(F.substring(digits, 1, 1), inner)
     check = F.pmod(10 - F.pmod(_luhn_sum(body, 1), F.lit(10)), F.lit(10))
     good = F.length(digits).between(13, 19) & (F.pmod(_luhn_sum(digits, 0), F.lit(10)) == 0)
@@ -110,7 +118,13 @@ def _phone(text: Column, key: str) -> Column:
     area, exchange, line = (F.substring(own, p, k).cast("long") - low for p, k, low in ((1, 3, 200), (4, 3, 200), (7, 4, 0)))
     v = permute((area * 800 + exchange) * 10000 + line, 800, 8_000_000, key, "phone")
     new = F.concat((F.floor(v / 8_000_000) + 200).cast("string"), (F.pmod(F.floor(v / 10000), F.lit(800)) + 200).cast("string"), F.lpad(F.pmod(v, F.lit(10000)).cast("string"), 4, "0"))
-    return _put(text, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), new))
+    american = _put(text, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), new))
+    head = F.substring(digits, F.lit(1), F.when(digits.rlike(_CODE1), 2).when(digits.rlike(_CODE2), 3).otherwise(4))
+    n = F.length(digits) - F.length(head)
+    half = F.floor(n / 2).cast("int")
+    w = permute(F.substring(digits, F.length(head) + 1, n).cast("long"), _ten(half), _ten(n - half), key, F.concat(F.lit("phone+"), head))
+    abroad = F.when(F.length(digits).between(8, 15), _put(text, F.concat(head, F.lpad(w.cast("string"), n, "0"))))
+    return F.when(text.rlike(r"^\+(?!1)"), abroad).otherwise(american)
 
 
 def _ssn(text: Column, key: str) -> Column:
@@ -207,19 +221,20 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     A null text stays null with a null pii, a text without personal data stays as it is with an empty one. Only
     texts with a digit or @ are searched: no kind but secrets can be without, and those are for texts with = or :.
-    Other columns pass through; a column named pii is replaced.
+    Other columns pass through, whatever their names, but one named pii is replaced. Repeated rows are done each.
     """
+    m_, x_, r_ = free(docs, "pii_matches", "pii_rest", "pii_new")
     maybe = F.col(text).rlike("[0-9@]|[=:] ?[\"']?[A-Za-z0-9_/+-]{8}")
-    found = docs.withColumn("__pii_m", F.when(maybe, F.regexp_extract_all(F.col(text), F.lit(f"({ANY})"), F.lit(0))))
-    found = found.withColumn("__pii_x", F.when(F.size("__pii_m") > 0, F.split(F.col(text), ANY, -1)))
-    before = F.zip_with("__pii_x", F.concat(F.array(F.lit("")), "__pii_m"), lambda x, m: F.concat(m, x))
-    each = F.zip_with("__pii_m", F.slice(before, 1, F.size("__pii_m")), lambda m, b: F.struct(m.alias("old"), _replaced(m, b, key).alias("to")))
-    found = found.withColumn("__pii_r", F.when(F.size("__pii_m") > 0, each))
-    pieces = F.zip_with("__pii_x", "__pii_r", lambda x, r: F.array(x, F.coalesce(r["to"]["new"], r["old"], F.lit(""))))
-    done = F.filter("__pii_r", lambda r: r["to"]["new"].isNotNull())
+    found = docs.withColumn(m_, F.when(maybe, F.regexp_extract_all(F.col(text), F.lit(f"({ANY})"), F.lit(0))))
+    found = found.withColumn(x_, F.when(F.size(m_) > 0, F.split(F.col(text), ANY, -1)))
+    before = F.zip_with(x_, F.concat(F.array(F.lit("")), m_), lambda x, m: F.concat(m, x))
+    each = F.zip_with(m_, F.slice(before, 1, F.size(m_)), lambda m, b: F.struct(m.alias("old"), _replaced(m, b, key).alias("to")))
+    found = found.withColumn(r_, F.when(F.size(m_) > 0, each))
+    pieces = F.zip_with(x_, r_, lambda x, r: F.array(x, F.coalesce(r["to"]["new"], r["old"], F.lit(""))))
+    done = F.filter(r_, lambda r: r["to"]["new"].isNotNull())
     pii = F.transform(done, lambda r: F.struct(r["to"]["kind"].alias("kind"), F.sha2(F.concat(F.lit(key), r["old"]), 256).alias("old_sha256"), r["to"]["new"].alias("new")))
     empty = F.array().cast("array<struct<kind:string,old_sha256:string,new:string>>")
-    return found.withColumn("pii", F.when(F.col("__pii_r").isNotNull(), pii).when(F.col(text).isNotNull(), empty)).withColumn(text, F.when(F.col("__pii_r").isNotNull(), F.concat_ws("", F.flatten(pieces))).otherwise(F.col(text))).drop("__pii_m", "__pii_x", "__pii_r")
+    return found.withColumn("pii", F.when(F.col(r_).isNotNull(), pii).when(F.col(text).isNotNull(), empty)).withColumn(text, F.when(F.col(r_).isNotNull(), F.concat_ws("", F.flatten(pieces))).otherwise(F.col(text))).drop(m_, x_, r_)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_langid": langid.OP1_SQL,
     "op2_warc": warc.OP2_SQL,
     "op4_mix": mixing.OP4_SQL,
     "op5_shards": sharding.OP5_SQL,

@@ -17,18 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaar.llm.common import free
 from bazaar.llm.langid import held_out
 from bazaar.llm.words import NOT_ALNUM, Index, chunks, hashes, mix, spans
 
 #: Confirmed toxic and unlabelled texts that train, at most about.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 10_000
-#: Features kept: those whose rates in P are over those in U by the most standard errors. What is rarer in P tells of
-#: length and language, not of clean text.
-FEATURES = 6_000
 #: Bytes of a word's beginnings that are features beside the word.
 BEGINNINGS = (4, 6, 8)
-#: Standard errors by which a rate must be over the other.
-LEAST_Z = 4.0
+#: Standard errors by which a feature's rate in P is over that in U where it enters at half its value, and how steeply
+#: that rises. What is rarer in P tells of length and language, not of clean text.
+HALF_Z, STEEP_Z = 4.0, 2.0
 #: Jaccard similarity of features, as a fraction, from which a text that trains is a near copy.
 COPY = 4, 5
 MEMBERS, EPOCHS, BATCH, RATE, DECAY = 2, 60, 512, 0.05, 1e-5
@@ -104,38 +103,47 @@ def train(p: list[np.ndarray], u: list[np.ndarray], prior: float, seed: int = 0)
     p, u = one_of_copies(p), one_of_copies(u)
     if not p or not u or not prior:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-9) / (1 - prior))))
-    keys_p, count_p = np.unique(np.concatenate(p), return_counts=True)
-    keys_u, count_u = np.unique(np.concatenate(u), return_counts=True)
-    in_u = np.zeros(len(keys_p))
-    at = np.minimum(np.searchsorted(keys_u, keys_p), max(0, len(keys_u) - 1))
-    same = keys_u[at] == keys_p if len(keys_u) else np.zeros(len(keys_p), bool)
-    in_u[same] = count_u[at[same]]
-    rate_u = (in_u + 0.5) / (len(u) + 1)
-    z = np.where(count_p >= 3, (count_p / len(p) - rate_u) / np.sqrt(rate_u * (1 - np.minimum(rate_u, 0.999)) / len(p)), 0)
-    order = np.lexsort((keys_p, -z))[:FEATURES]
-    chosen = np.sort(keys_p[order[z[order] > LEAST_Z]])
-    if not len(chosen):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
-
-    def rows(docs: list[np.ndarray]) -> list[np.ndarray]:
-        out = []
-        for d in docs:
-            at = np.minimum(np.searchsorted(chosen, d), len(chosen) - 1)
-            out.append(at[chosen[at] == d])
-        return out
-
-    x_p, x_u, rng = rows(p), rows(u), np.random.default_rng(seed)
+    keys, place = np.unique(np.concatenate([*p, *u]), return_inverse=True)
+    ends = np.cumsum([len(d) for d in (*p, *u)])
+    rows = np.split(place, ends[:-1])
+    x_p, x_u = rows[: len(p)], rows[len(p) :]
+    in_p, in_u = (np.bincount(np.concatenate(x), minlength=len(keys)) for x in (x_p, x_u))
+    value = values(in_p, in_u, len(p), len(u))
+    rng = np.random.default_rng(seed)
     weights, biases = [], []
     for m in range(MEMBERS):
         own_u = x_u if len(x_u) < 2 * MEMBERS else [x_u[i] for i in range(len(x_u)) if i % (MEMBERS + 1) != m]
-        w, b = fit_one(x_p, own_u, len(chosen), prior, rng)
-        weights.append(w)
+        w, b = fit_one(x_p, own_u, value, prior, rng)
+        weights.append(w * value)
         biases.append(b)
-    return Model(chosen.astype(np.uint64), np.mean(weights, axis=0), float(np.mean(biases)))
-
-
-def fit_one(x_p: list[np.ndarray], x_u: list[np.ndarray], n: int, prior: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
-    """One classifier by Adam on batches that hold P and U in proportion."""
+    return Model(keys.astype(np.uint64), np.mean(weights, axis=0), float(np.mean(biases)))
+
+
+def values(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """What a feature counts for where it is present, 0 to 1, from the numbers of texts that have it: the more, the surer
+    it is that it is more frequent in P. Every feature enters; one seen once counts for little."""
+    expected = n_p * (in_u + 0.5) / (n_u + 1)
+    z = (in_p - expected) / np.sqrt(expected + 1)
+    return 1 / (1 + np.exp(-np.clip(STEEP_Z * (z - HALF_Z), -40, 40)))
+
+
+def risk(f_p: np.ndarray, f_u: np.ndarray, prior: float, logistic: bool) -> tuple[float, np.ndarray, np.ndarray]:
+    """(the estimate of the risk on clean text, descent slopes of the non-negative risk by each f of P and U)."""
+    sig_p, sig_u = 1 / (1 + np.exp(-np.clip(f_p, -40, 40))), 1 / (1 + np.exp(-np.clip(f_u, -40, 40)))
+    if logistic:  # slopes of l(f), l(-f)
+        up_p, down_p, down_u = sig_p - 1, sig_p, sig_u
+        clean = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
+    else:
+        up_p, down_p, down_u = -sig_p * (1 - sig_p), sig_p * (1 - sig_p), sig_u * (1 - sig_u)
+        clean = sig_u.mean() - prior * sig_p.mean()
+    if clean >= 0:  # of the whole risk
+        return clean, prior * (up_p - down_p) / len(f_p), down_u / len(f_u)
+    return clean, prior * down_p / len(f_p), -down_u / len(f_u)  # up the estimate that went below zero
+
+
+def fit_one(x_p: list[np.ndarray], x_u: list[np.ndarray], value: np.ndarray, prior: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """One classifier by Adam on batches that hold P and U in proportion; f is the bias plus the sum of weight * value."""
+    n = len(value)
     w, m, v = (np.zeros(n + 1) for _ in range(3))
     w[n] = np.log(prior / (1 - prior))
     steps = max(1, -(-len(x_u) // BATCH))
@@ -148,24 +156,16 @@ def fit_one(x_p: list[np.ndarray], x_u: list[np.ndarray], n: int, prior: float,
                 own_p = perm_p
             cols = [np.concatenate([x[i] for i in own]) if len(own) else np.zeros(0, np.int64) for x, own in ((x_p, own_p), (x_u, own_u))]
             rows = [np.repeat(np.arange(len(own)), [len(x[i]) for i in own]) for x, own in ((x_p, own_p), (x_u, own_u))]
-            f_p, f_u = (w[n] + np.bincount(r, weights=w[c], minlength=len(own)) for r, c, own in zip(rows, cols, (own_p, own_u), strict=True))
-            sig_p, sig_u = 1 / (1 + np.exp(-np.clip(f_p, -40, 40))), 1 / (1 + np.exp(-np.clip(f_u, -40, 40)))
-            if epoch < epochs // 10:  # logistic: slopes of l(f), l(-f)
-                up_p, down_p, down_u = sig_p - 1, sig_p, sig_u
-                clean = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
-            else:
-                up_p, down_p, down_u = -sig_p * (1 - sig_p), sig_p * (1 - sig_p), sig_u * (1 - sig_u)
-                clean = sig_u.mean() - prior * sig_p.mean()
-            if clean >= 0:  # gradient of the whole risk
-                d_p, d_u = prior * (up_p - down_p) / len(f_p), down_u / len(f_u)
-            else:  # up the estimate that went below zero
-                d_p, d_u = prior * down_p / len(f_p), -down_u / len(f_u)
-            g = np.bincount(cols[0], weights=d_p[rows[0]], minlength=n + 1) + np.bincount(cols[1], weights=d_u[rows[1]], minlength=n + 1)
+            full = w[:n] * value
+            f_p, f_u = (w[n] + np.bincount(r, weights=full[c], minlength=len(own)) for r, c, own in zip(rows, cols, (own_p, own_u), strict=True))
+            _, d_p, d_u = risk(f_p, f_u, prior, epoch < epochs // 10)
+            g = np.bincount(np.concatenate(cols), weights=np.concatenate([d_p[rows[0]], d_u[rows[1]]]), minlength=n + 1)
+            g[:n] = g[:n] * value + DECAY * w[:n]
             g[n] = d_p.sum() + d_u.sum()
-            g[:n] += DECAY * w[:n]
             t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= RATE * (0.5 * (1 + np.cos(np.pi * epoch / max(EPOCHS, 600 // steps)))) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            w -= RATE * (0.5 * (1 + np.cos(np.pi * epoch / epochs))) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:n], float(w[n])
 
 
@@ -173,7 +173,9 @@ def fit(docs: DataFrame, toxic: DataFrame, prior: float, max_positive: int = MAX
     """A model from docs, of which those with a doc_id in ``toxic`` are confirmed; prior: share of toxic texts.
 
     P is about max_positive of the confirmed, U about max_unlabelled of all docs, labels unseen, both chosen by a
-    hash of doc_id: the sample, and with it what goes to the driver, is bounded.
+    hash of doc_id: the sample, and with it what goes to the driver (4 bytes for each distinct feature of a text), is
+    bounded. Null texts and empty ones have no features; repeated rows are near copies of each other, so one trains;
+    other columns are not read, whatever their names.
     """
     ids = toxic.select(F.col(doc_id).alias("_id")).filter("_id is not null").distinct()
     part = lambda c, n, most, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(1_000_000)) < int(min(1.0, most / max(n, 1)) * 1_000_000)
@@ -213,7 +215,8 @@ def _scores(own: Model, index: Index, text: pa.Array) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1, higher: likelier toxic) of each whole text. Null and empty texts score by the bias alone."""
+    """doc_id, score (0 to 1, higher: likelier toxic) of each whole text, repeated rows each. Null and empty texts
+    score by the bias alone. Other columns are not read, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +240,7 @@ def keep_clean(docs: DataFrame, model: Model, most: float, text: str = "text") -
             kept = pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1])
             yield kept.filter(pa.array(_scores(own, index, low) < most))
 
-    return docs.withColumn("__low", F.lower(F.col(text))).mapInArrow(run, docs.schema)
+    return docs.select("*", F.lower(F.col(text)).alias(free(docs, "low")[0])).mapInArrow(run, docs.schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:

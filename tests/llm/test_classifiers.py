@@ -1,4 +1,6 @@
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -105,11 +107,64 @@ def test_risk_gradient():
     rng = np.random.default_rng(1)
     p = [np.array([0, 1]) for _ in range(30)]
     u = [np.array([1]) if rng.random() > 0.2 else np.array([0, 1]) for _ in range(300)]
-    w, b = toxicity.fit_one(p, u, 2, 0.2, rng)
+    w, b = toxicity.fit_one(p, u, np.ones(2), 0.2, rng)
     f = lambda x: 1 / (1 + np.exp(-(b + w[x].sum())))
     assert f(np.array([0, 1])) > 0.8 and f(np.array([1])) < 0.1
 
 
+@pytest.mark.parametrize("logistic", [True, False])
+@pytest.mark.parametrize("shift", [3.0, -3.0])
+def test_slopes_are_those_of_the_risk(logistic, shift):
+    """Finite differences of the risk as its formula stands in the paper, on either side of zero."""
+    rng = np.random.default_rng(4)
+    f_p, f_u, prior = rng.normal(size=7) + 3, rng.normal(size=11) + shift, 0.3
+    loss = (lambda z: np.log1p(np.exp(-z))) if logistic else (lambda z: 1 / (1 + np.exp(z)))
+    clean = lambda p, u: loss(-u).mean() - prior * loss(-p).mean()
+    whole = lambda p, u: prior * loss(p).mean() + clean(p, u)
+    goal = whole if clean(f_p, f_u) >= 0 else lambda p, u: -clean(p, u)
+    got, d_p, d_u = toxicity.risk(f_p, f_u, prior, logistic)
+    assert got == pytest.approx(clean(f_p, f_u))
+    for d, f, change in ((d_p, f_p, lambda g: (g, f_u)), (d_u, f_u, lambda g: (f_p, g))):
+        for i in range(len(f)):
+            step = np.zeros(len(f))
+            step[i] = 1e-5
+            assert d[i] == pytest.approx((goal(*change(f + step)) - goal(*change(f - step))) / 2e-5, abs=1e-7)
+
+
+def test_query_scores_as_brute_force(spark):
+    """op9's rows from its model, text by text: words and their beginnings as sets of hashes made byte by byte."""
+    sf, full = "/root/testdata/sf0.001", (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    value = [mixed((i + 1) * 0x9E3779B97F4A7C15 & full) for i in range(256)]
+
+    def key(word, salt=0):
+        return (mixed(sum(value[c] * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(word)) & full) ^ salt) & 0xFFFFFFFF
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    got = {r["doc_id"]: r for r in toxicity.op9_toxicity(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        keys = set()
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+", (r["text"] or "").lower().encode()):
+            keys |= {key(w)} | {key(w[:n], 0x5BD1E995 * (i + 1)) for i, n in enumerate(toxicity.BEGINNINGS) if len(w) > n}
+        want = 1 / (1 + np.exp(-np.clip(model.bias + sum(weight.get(k, 0) for k in keys), -40, 40)))
+        g = got[r["doc_id"]]
+        assert g["score"] == pytest.approx(want, abs=1e-9) and g["predicted"] == int(g["score"] >= 0.3) and g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_rare_features_count_little_but_count():
+    v = toxicity.values(np.array([1, 3, 10, 0]), np.array([0, 0, 0, 500]), 40, 700)
+    assert 0 < v[3] < v[0] < 0.01 < v[1] < 0.5 < 0.99 < v[2] < 1
+
+
 def test_toxicity_of_odd_rows(spark, make, odd):
     rows, labels = toxic(2, 200)
     model = toxicity.learn(make(rows), spark.createDataFrame([*labels, (None, 1), (7, None)], "doc_id long, toxic int"))

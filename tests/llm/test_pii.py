@@ -63,6 +63,11 @@ def brute_force(s):
         n = len(d) - 2
         body = d[0] + str(permute(int(d[1:-1]), 10 ** (n // 2), 10 ** (n - n // 2), "card")).zfill(n)
         return put(s, body + next(c for c in "0123456789" if luhn(body + c)))
+    if s.startswith("+") and not d.startswith("1"):
+        head = 2 if d[0] == "7" else 3 if d[:2] in "20 27 44 49 33 61".split() else 4
+        n = len(d) - head
+        v = permute(int(d[head:]), 10 ** (n // 2), 10 ** (n - n // 2), "phone+" + d[:head])
+        return put(s, d[:head] + str(v).zfill(n)) if 8 <= len(d) <= 15 else None
     own = d[-10:]
     v = permute(((int(own[:3]) - 200) * 800 + int(own[3:6]) - 200) * 10000 + int(own[6:]), 800, 8_000_000, "phone")
     return put(s, d[:-10] + f"{v // 8_000_000 + 200}{v // 10000 % 800 + 200}{v % 10000:04}")
@@ -71,6 +76,7 @@ def brute_force(s):
 def values(seed):
     rng = random.Random(seed)
     out = ["2021-02-30", "4041894974608796", "29.02.1900", "1900-01-01", "2099-12-31", "665-01-0001", "667-99-9999", "899-99-9999", "001-01-0001"]
+    out += ["+44 20 7946 0958", "+966512345678", "+7 (999) 123-45-67", "+49-30-123456", "+9989012", "+33.12.34.56.78"]
     for _ in range(25):
         out.append(f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(0, 9999):04}")
         out.append(f"{rng.randint(200, 999)}.{rng.randint(200, 999)}.{rng.randint(0, 9999):04}")
@@ -109,7 +115,7 @@ def test_letters(make):
 
 
 @pytest.mark.parametrize("value", ["aB3_" * 32 + "z", "q" * 5000, "0123456789abcdef" * 3000, "1234567890123", "4041894974608797", "1234-5678-9012-3456", "2021-02-30"])
-@pytest.mark.parametrize("name", ["password=", "api_key: '", "a@b.token="])
+@pytest.mark.parametrize("name", ["password=", "Password=", "API_KEY: '", "a@b.token="])
 def test_secrets_of_any_length_and_form(make, name, value):
     row = m.pseudonymise(make([(1, f"My {name}{value}, and {value[:40]}.")]), KEY).first()
     old, new = value, row["text"][len(f"My {name}") if "@" not in name else row["text"].index("token=") + 6 :][: len(value)]
