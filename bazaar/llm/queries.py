@@ -24,5 +24,6 @@ ORACLE = {
     "op5_shards": sharding.OP5_SQL,
     "op6_decontam": decontam.OP6_SQL,
     "op7_ngram_join": ngram_join.OP7_SQL,
+    "op8_search": search.OP8_SQL,
     "op10_substrings": substrings.OP10_SQL,
 }

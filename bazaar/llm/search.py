@@ -1,13 +1,20 @@
-"""Exact BM25 top-k: an inverted index for each shard of documents, searched with block-max pruning.
-
-A shard's index holds its postings by term; postings of a term within a block of documents have their largest
-impact stored. Terms that most documents hold weigh little and prune nothing, so their impacts are rows of a matrix,
-and their part of all scores comes of matrix products. That part, which is exact, and the sums of the other terms'
-block maxima bound the scores in each block. As in block-max WAND, the pivot test compares these bounds with the
-k-th best score known: blocks are taken by falling bound, and no posting of a block is read whose bound is below.
-Documents of the blocks taken are scored together, as arrays.
+"""Exact BM25 top-k: an inverted index for each shard of documents, searched by block-max WAND.
+
+Bounds are kept at four depths: the largest impact of a term in the shard, in a span of neighbouring blocks, in a
+block, and the impacts themselves. WAND moves its cursors to the next pivot, the first place where the bounds of the
+query's terms add up to the k-th best score known; block-max WAND then looks at the bounds of that place's block
+before it reads a posting. Here the pivots of all cursors are found at once, as arrays: a shard whose bounds stay
+below the threshold is left out; of the others spans are taken by falling bound, and all behind the first that is
+below are skipped, for every term; in a span only blocks whose own bounds reach the threshold are pivots, and only
+their postings are read. Each step's scores raise the threshold for the next one.
+
+Blocks are only worth skipping if documents in them are alike. So a shard's documents are in the order of their most
+frequent word (of the shard's words), then of a MinHash of their rarer ones: texts of one language, and near copies, are neighbours.
+
 Document frequencies, the number of documents and their mean length are those of all shards, so scores do not
-depend on how documents are dealt out, and the merged best k are exact.
+depend on how documents are dealt out, and the merged best k are exact. Queries go in blocks of bounded size, each of
+which is one pass over the index: first over a share of the shards, whose k-th best scores are where the thresholds
+of the others start.
 """
 
 from __future__ import annotations
@@ -18,25 +25,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bazaar.llm.common import by_group, release, staged
-from bazaar.llm.words import NOT_ALNUM, chunks, hashes, spans
+from bazaar.llm.words import NOT_ALNUM, chunks, hashes, mix, spans
 
 K1, B = 1.2, 0.75
 #: A shard is closed at so many documents or postings.
 SHARD_DOCS, SHARD_POSTINGS = 8_192, 1_500_000
-#: Documents of a block.
-BLOCK = 128
-#: A term in this part of a shard's documents or more has a row of the matrix, as far as so many bytes go.
-COMMON, MATRIX_BYTES = 1 / 16, 64 << 20
-#: Queries multiplied at once.
-TOGETHER = 128
-#: Terms of the queries that are sent to all shards at once; more queries take further passes.
+#: Documents of a block; blocks of a span.
+BLOCK, SPAN = 16, 8
+#: Terms of a block of queries, about; one query is never cut.
 QUERY_TERMS = 2_000_000
+#: One in so many shards is searched first, for thresholds.
+SEED = 8
 #: Scores are compared and given to so many decimals, so that equal ones tie however they were added up.
 DECIMALS = 6
+_MARGIN = 10.0**-DECIMALS
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... of each i, count[i] of them, one after the other."""
+    return np.arange(int(count.sum())) + np.repeat(start - np.cumsum(count) + count, count)
 
 
 def _terms(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,10 +69,24 @@ def _terms(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return tuple(np.concatenate(x) for x in (rows, terms, times, sizes))
 
 
+def _like(doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+    """The n documents of a shard so that like ones are neighbours; doc is sorted, each of its terms stands once."""
+    common, rare = np.full(n, len(term)), np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    if len(term):
+        names, of, df = np.unique(term, return_inverse=True, return_counts=True)
+        rank = np.empty(len(names), np.int64)
+        rank[np.lexsort((names, -df))] = np.arange(len(names))
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        common[doc[first]] = np.minimum.reduceat(rank[of], first)
+        some = (df > 1) & (16 * df < n)
+        rare[doc[first]] = np.minimum.reduceat(np.where(some[of], mix(term), np.uint64(np.iinfo(np.uint64).max)), first)
+    return np.lexsort((rare, common))
+
+
 def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each shard: ids and sizes of its documents, terms, ends of their postings, posting documents and times.
 
-    Words are lower-cased; a null text has none.
+    Words are lower-cased; a null text has none. Other columns are not read, whatever their names.
     """
     kind = dict(docs.dtypes)[doc_id]
 
@@ -70,11 +96,15 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         def shard() -> pa.RecordBatch:
             doc, term, times, size = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
+            like = _like(doc, term, n)
+            size, place = size[like], np.empty(n, np.int32)
+            place[like] = np.arange(n)
+            doc = place[doc]
             order = np.lexsort((doc, term))
             doc, term, times = doc[order], term[order], times[order]
             first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
             one = lambda x, t: pa.array([x], pa.list_(t))
-            columns = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.concat_arrays(ids)), one(size.astype(np.int32), pa.int32()), one(term[first].view(np.int64), pa.int64()), one(np.concatenate([first[1:], [len(term)]]).astype(np.int32) if len(first) else np.zeros(0, np.int32), pa.int32()), one(doc.astype(np.int32), pa.int32()), one(times.astype(np.int32), pa.int32())]
+            columns = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.concat_arrays(ids).take(pa.array(like))), one(size.astype(np.int32), pa.int32()), one(term[first].view(np.int64), pa.int64()), one(np.concatenate([first[1:], [len(term)]]).astype(np.int32) if len(first) else np.zeros(0, np.int32), pa.int32()), one(doc.astype(np.int32), pa.int32()), one(times.astype(np.int32), pa.int32())]
             return pa.RecordBatch.from_arrays(columns, names=["ids", "sizes", "terms", "ends", "docs", "times"])
 
         for batch in batches:
@@ -142,7 +172,7 @@ def _frequencies(shards: DataFrame, queries: DataFrame, buckets: int) -> DataFra
 
 
 class Shard:
-    """A shard's postings of the terms in ``wanted`` (sorted), with impacts, and their maxima by block."""
+    """A shard's postings of the terms in ``wanted`` (sorted), with their impacts, and the maxima of these by block, span and term."""
 
     def __init__(self, sizes: np.ndarray, terms: np.ndarray, ends: np.ndarray, docs: np.ndarray, times: np.ndarray, mean: float, wanted: np.ndarray):
         place = np.minimum(np.searchsorted(wanted, terms), max(0, len(wanted) - 1))
@@ -151,75 +181,71 @@ class Shard:
         own = np.repeat(keep, length)
         self.n = len(sizes)
         self.blocks = -(-self.n // BLOCK)
-        docs, tf = docs[own], times[own].astype(np.float64)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / max(mean, 1e-9)))
-        place, length = place[keep], length[keep]
-
-        many = np.flatnonzero(length >= max(8, COMMON * self.n))
-        many = np.sort(many[np.argsort(-length[many], kind="stable")][: max(0, MATRIX_BYTES // (8 * max(1, self.n)))])
-        self.row = np.full(len(wanted), -1, dtype=np.int32)
-        self.row[place[many]] = np.arange(len(many))
-        common = np.zeros(len(length), dtype=bool)
-        common[many] = True
-        dense = np.repeat(common, length)
-        self.matrix = np.zeros((len(many), self.n))
-        self.matrix[np.repeat(np.arange(len(many)), length[many]), docs[dense]] = impact[dense]
-
-        self.docs, self.impact = docs[~dense], impact[~dense]
-        term, block = np.repeat(place[~common], length[~common]), self.docs // BLOCK
-        new = np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, bool)
-        self.group = np.flatnonzero(new)
-        self.block = block[self.group]
-        self.size = np.diff(np.concatenate([self.group, [len(term)]]))
-        self.most = np.maximum.reduceat(self.impact, self.group) if len(term) else np.zeros(0)
-        self.of = np.searchsorted(term[self.group], np.arange(len(wanted) + 1))  # groups of each wanted term
-
-    def search(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """For each query, terms[ends[q]:ends[q + 1]] as places in wanted: the documents of ``least[q]`` or more that may
-        belong to its best k, their scores, and how many blocks were read."""
-        row = self.row[terms]
-        for lo in range(0, len(ends) - 1, TOGETHER):
-            hi = min(len(ends) - 1, lo + TOGETHER)
-            own = slice(ends[lo], ends[hi])
-            query = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
-            common = row[own] >= 0
-            w = np.zeros((hi - lo, len(self.matrix)))
-            w[query[common], row[own][common]] = weights[own][common]
-            base = w @ self.matrix
-            rest = np.flatnonzero(~common)
-            cuts = np.searchsorted(query[rest], np.arange(hi - lo + 1))
-            for q in range(hi - lo):
-                some = rest[cuts[q] : cuts[q + 1]] + ends[lo]
-                yield self._one(base[q], terms[some], weights[some], k, least[lo + q])
-
-    def _one(self, base: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, int]:
-        margin = 10.0**-DECIMALS
-        lo, count = self.of[terms], self.of[terms + 1] - self.of[terms]
-        which = np.repeat(np.arange(len(terms)), count)
-        groups = np.arange(len(which)) + np.repeat(lo - np.cumsum(count) + count, count)
-        block, w = self.block[groups], weights[which]
-        bound = np.bincount(block, weights=self.most[groups] * w, minlength=self.blocks)
-        if self.n > k:  # scores are at least their common part
-            least = max(least, float(np.partition(base, self.n - k)[self.n - k]))
-        bound = bound + np.maximum.reduceat(base, np.arange(0, self.n, BLOCK))
-        total, read, step = base.copy(), 0, max(1, self.blocks // 8)
-        left = np.argsort(-bound, kind="stable")
-        while len(left):
-            left = left[bound[left] >= least - margin]
-            some, left = left[:step], left[step:]
-            chosen = np.zeros(self.blocks, dtype=bool)
+        self.spans = -(-self.blocks // SPAN)
+        self.docs, tf = docs[own], times[own].astype(np.float64)
+        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.docs] / max(mean, 1e-9)))
+        term, block = np.repeat(place[keep], length[keep]), self.docs // BLOCK
+
+        def cut(*by: np.ndarray) -> np.ndarray:
+            new = np.ones(len(by[0]), bool)
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in by])
+            return np.flatnonzero(new)
+
+        most = lambda x, at: np.maximum.reduceat(x, at) if len(at) else np.zeros(0)
+        at = cut(term, block)  # of each (term, block): its first posting
+        term, self.block, self.most, self.posting = term[at], block[at], most(self.impact, at), np.append(at, len(term))
+        at = cut(term, self.block // SPAN)  # of each (term, span): its first (term, block)
+        term, self.span, self.span_most, self.group = term[at], self.block[at] // SPAN, most(self.most, at), np.append(at, len(term))
+        self.of = np.searchsorted(term, np.arange(len(wanted) + 1))  # of each term: its first (term, span)
+        self.term_most = np.zeros(len(wanted))
+        at = cut(term)
+        self.term_most[term[at]] = most(self.span_most, at)
+
+    def search(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """Of the queries terms[ends[q]:ends[q + 1]] (places in wanted) that may find ``least[q]`` or more here: q, documents
+        that may belong to its best k, their scores, and how many blocks' postings were read."""
+        query = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        bound = np.bincount(query, weights=self.term_most[terms] * weights, minlength=len(ends) - 1)
+        for q in np.flatnonzero((bound > 0) & (bound >= least - _MARGIN)).tolist():
+            own = slice(ends[q], ends[q + 1])
+            yield q, *self._one(terms[own], weights[own], k, float(least[q]))
+
+    def _one(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+        count = self.of[terms + 1] - self.of[terms]
+        g, w = _spread(self.of[terms], count), np.repeat(weights, count)  # cursors: (term, span)
+        span = self.span[g]
+        bound = np.bincount(span, weights=self.span_most[g] * w, minlength=self.spans)
+        pivots = np.argsort(-bound, kind="stable")
+        docs, scores, read, at, step = [np.zeros(0, np.int64)], [np.zeros(0)], 0, 0, 2
+        while at < len(pivots):
+            some = pivots[at : at + step]
+            some = some[(bound[some] >= least - _MARGIN) & (bound[some] > 0)]
+            if not len(some):
+                break  # nor do those behind reach it
+            at, step = at + step, 2 * step
+            chosen = np.zeros(self.spans, bool)
             chosen[some] = True
-            own = np.flatnonzero(chosen[block])
-            if len(own):
-                g = groups[own]
-                size = self.size[g]
-                post = np.arange(int(size.sum())) + np.repeat(self.group[g] - np.cumsum(size) + size, size)
-                total += np.bincount(self.docs[post], weights=self.impact[post] * np.repeat(w[own], size), minlength=self.n)
-            read, step = read + len(some), self.blocks
-            if self.n > k:
-                least = max(least, float(np.partition(total, self.n - k)[self.n - k]))
-        found = np.flatnonzero((total >= least - margin) & (total > 0))
-        return found, np.round(total[found], DECIMALS), read
+            own = np.flatnonzero(chosen[span])
+            first = self.group[g[own]]
+            count = self.group[g[own] + 1] - first
+            b, bw = _spread(first, count), np.repeat(w[own], count)  # (term, block) in these spans
+            block = self.block[b]
+            inner = np.bincount(block, weights=self.most[b] * bw, minlength=self.blocks)
+            live = (inner >= least - _MARGIN) & (inner > 0)
+            own = np.flatnonzero(live[block])
+            read += int(live.sum())
+            first = self.posting[b[own]]
+            count = self.posting[b[own] + 1] - first
+            p = _spread(first, count)
+            total = np.bincount(self.docs[p], weights=self.impact[p] * np.repeat(bw[own], count), minlength=self.n)
+            hit = np.flatnonzero((total >= least - _MARGIN) & (total > 0))
+            docs.append(hit)
+            scores.append(np.round(total[hit], DECIMALS))
+            got = np.concatenate(scores)
+            if len(got) > k:
+                least = max(least, float(np.partition(got, len(got) - k)[len(got) - k]))
+                docs, scores = [np.concatenate(docs)[got >= least - _MARGIN]], [got[got >= least - _MARGIN]]
+        return np.concatenate(docs), np.concatenate(scores), read
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", query_id: str = "doc_id", query_text: str = "text") -> DataFrame:
@@ -227,11 +253,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_
 
     A query's score of a document is the sum over the query's words, each as often as it stands there, with
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Only documents that share a word with the query are ranked, fewer
-    than k where there are no more. Queries without words, and null ones, have no rows; repeated queries count once.
-    A null doc_id is ranked after all others of its score.
+    than k where there are no more. Queries without words, and null ones, have no rows; repeated queries count once,
+    repeated documents each. A null doc_id is ranked after all others of its score. Other columns of either table are
+    not read, whatever their names.
     """
     spark = docs.sparkSession
-    shards = staged(index(docs, doc_id, text), "shards")
+    shards = staged(index(docs, doc_id, text).withColumn("seed", (F.pmod(F.xxhash64("sizes"), F.lit(SEED)) == 0)), "shards")
     n, words = shards.agg(F.sum(F.size("ids")), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     if not n:
         n, words = 0, 0
@@ -240,22 +267,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_
     terms = staged(_frequencies(shards, asked, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "frequencies")
     packed = staged(terms.filter("df > 0").groupBy("query").agg(F.collect_list(F.struct("term", "times", "df")).alias("terms")), "packed")
     release(terms)
-    sizes = packed.agg(F.sum(F.size("terms"))).first()[0] or 0
-    passes = max(1, math.ceil(sizes / QUERY_TERMS))
-    found = []
-    for i in range(passes):
-        # about QUERY_TERMS terms, whatever the number of queries
-        block = packed if passes == 1 else packed.filter(F.pmod(F.xxhash64("query"), F.lit(passes)) == i)
-        found.append(staged(_run(shards, block, k, n, words / max(n, 1), dict(docs.dtypes)[doc_id]), "found"))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+    blocks = max(1, math.ceil((packed.agg(F.sum(F.size("terms"))).first()[0] or 0) / QUERY_TERMS))
+    every = None
+    for i in range(blocks):
+        block = packed.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
+        for more in _pass(shards, block, k, n, words / max(n, 1), dict(docs.dtypes)[doc_id]):
+            every = more if every is None else every.unionByName(more)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     best = every.withColumn("rank", place).filter(F.col("rank") <= k)
     return best.join(asked.select("query", "query_id"), "query").select("query_id", "doc_id", "rank", "score")
 
 
-def _run(shards: DataFrame, block: DataFrame, k: int, n: int, mean: float, kind: str) -> DataFrame:
+def _pass(shards: DataFrame, block: DataFrame, k: int, n: int, mean: float, kind: str) -> list[DataFrame]:
+    """What a block of queries finds in the seed shards, then in the others. The block's terms, and a threshold of each
+    of its queries, go through the driver."""
     rows = block.toArrow()
     lists = rows.column("terms").combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
@@ -264,35 +289,46 @@ def _run(shards: DataFrame, block: DataFrame, k: int, n: int, mean: float, kind:
     term, times, df = (flat.field(i).to_numpy() for i in range(3))
     wanted, place = np.unique(term.view(np.uint64), return_inverse=True)
     weight = times * np.log1p((n - df + 0.5) / (df + 0.5))
-    shared = shards.sparkSession.sparkContext.broadcast((rows.column("query").to_numpy(), ends, place.astype(np.int32), weight, wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, ends, place, weight, wanted = shared.value
-        best: list[tuple] = [(None, None)] * len(query)  # (documents, scores) so far
-        for b in batches:
-            for j in range(b.num_rows):
-                ids = b.column(0)[j].values
-                sizes, terms, stops, docs, times = (b.column(c)[j].values.to_numpy() for c in range(1, 6))
-                shard = Shard(sizes, terms.view(np.uint64), stops.astype(np.int64), docs, times, mean, wanted)
-                least = np.array([s.min() if s is not None and len(s) >= k else 0.0 for _, s in best])
-                for q, (hit, got, _) in enumerate(shard.search(ends, place, weight, k, least)):
-                    old, scores = best[q]
-                    if not len(hit):
-                        continue
-                    names = ids.take(pa.array(hit))
-                    if old is not None:
-                        names, got = pa.concat_arrays([old, names]), np.concatenate([scores, got])
-                    order = np.lexsort((names.to_numpy(zero_copy_only=False) if names.null_count == 0 else np.arange(len(got)), -got))
-                    if names.null_count:
+    names = rows.column("query").to_numpy()
+    sc = shards.sparkSession.sparkContext
+    shared = sc.broadcast((names, ends, place.astype(np.int32), weight, wanted))
+
+    def run(least: Broadcast):
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query, ends, place, weight, wanted = shared.value
+            floor = least.value.copy()  # rises where this task knows k of its own
+            best: dict[int, tuple[pa.Array, np.ndarray]] = {}
+            for b in batches:
+                for j in range(b.num_rows):
+                    ids = b.column(0)[j].values
+                    sizes, terms, stops, docs, times = (b.column(c)[j].values.to_numpy() for c in range(1, 6))
+                    shard = Shard(sizes, terms.view(np.uint64), stops.astype(np.int64), docs, times, mean, wanted)
+                    for q, hit, got, _ in shard.search(ends, place, weight, k, floor):
+                        if not len(hit):
+                            continue
+                        names = ids.take(pa.array(hit))
+                        if q in best:
+                            names, got = pa.concat_arrays([best[q][0], names]), np.concatenate([best[q][1], got])
                         v = names.to_pylist()
-                        order = np.array(sorted(range(len(v)), key=lambda i: (-got[i], v[i] is None, v[i] if v[i] is not None else 0)))
-                    best[q] = (names.take(pa.array(order[:k])), got[order[:k]])
-        for lo in range(0, len(query), 1024):
-            some = [(i, *best[i]) for i in range(lo, min(lo + 1024, len(query))) if best[i][0] is not None]
-            if some:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query[[i for i, _, _ in some]], [len(s) for _, _, s in some])), pa.concat_arrays([d for _, d, _ in some]), pa.array(np.concatenate([s for _, _, s in some]))], names=["query", "doc_id", "score"])
-
-    return shards.mapInArrow(run, f"query long, doc_id {kind}, score double")
+                        order = np.array(sorted(range(len(v)), key=lambda i: (-got[i], v[i] is None, v[i] if v[i] is not None else 0))[:k])
+                        best[q] = names.take(pa.array(order)), got[order]
+                        if len(order) == k:
+                            floor[q] = max(floor[q], got[order[-1]])
+            found = sorted(best)
+            for lo in range(0, len(found), 1024):
+                some = found[lo : lo + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query[some], [len(best[q][1]) for q in some])), pa.concat_arrays([best[q][0] for q in some]), pa.array(np.concatenate([best[q][1] for q in some]))], names=["query", "doc_id", "score"])
+
+        return find
+
+    schema = f"query long, doc_id {kind}, score double"
+    least = np.zeros(len(names))
+    seeds = staged(shards.filter("seed").drop("seed").mapInArrow(run(sc.broadcast(least)), schema), "seeds")
+    kth = seeds.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("rank") == k)
+    at = {q: i for i, q in enumerate(names.tolist())}
+    for r in kth.select("query", "score").collect():
+        least[at[r["query"]]] = r["score"]
+    return [seeds, staged(shards.filter("not seed").drop("seed").mapInArrow(run(sc.broadcast(least)), schema), "found")]
 
 
 def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,6 +336,18 @@ def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(docs, docs.filter("doc_id % 100 = 0"))
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+     tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY doc_id, t),
+     size AS (SELECT doc_id, 0.25::DOUBLE + 0.75::DOUBLE * len(w) / (SELECT avg(len(w)) FROM d) AS size FROM d),
+     idf AS (SELECT t, ln(1 + ((SELECT count(*) FROM d) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf GROUP BY t),
+     s AS (SELECT q.doc_id AS query_id, x.doc_id, round(sum(q.tf * idf * x.tf * 2.2::DOUBLE / (x.tf + 1.2::DOUBLE * size)), 6) AS score
+           FROM tf q JOIN idf USING (t) JOIN tf x USING (t) JOIN size ON size.doc_id = x.doc_id WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, x.doc_id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT query_id, doc_id, rank, score FROM r WHERE rank <= 10
+"""
+
+
 def brute_force(docs: list[tuple[object, str | None]], queries: list[tuple[object, str | None]], k: int = 10) -> set[tuple]:
     """(query_id, doc_id, rank, score) by scoring every document."""
     import re

@@ -23,6 +23,7 @@ def check(make, rows, queries, k):
 @pytest.mark.parametrize(("block", "shard", "k"), [(4, 40, 3), (16, 64, 10), (128, 16384, 10)])
 def test_as_brute_force(make, monkeypatch, block, shard, k):
     monkeypatch.setattr(m, "BLOCK", block)
+    monkeypatch.setattr(m, "SPAN", 2)
     monkeypatch.setattr(m, "SHARD_DOCS", shard)
     rows = corpus(k)
     check(make, rows, rows[::15], k)
@@ -45,10 +46,9 @@ def test_empty(make):
     assert m.search(make([(1, "a")]), make([])).collect() == []
 
 
-def test_blocks_are_pruned(monkeypatch):
+def test_blocks_are_pruned():
     import numpy as np
 
-    monkeypatch.setattr(m, "MATRIX_BYTES", 0)
     rng = np.random.default_rng(1)
     docs, terms = [], []
     for d in range(4096):
@@ -59,5 +59,21 @@ def test_blocks_are_pruned(monkeypatch):
     docs, terms = np.array(docs, np.int32)[order], np.array(terms, np.uint64)[order]
     names, first = np.unique(terms, return_index=True)
     shard = m.Shard(np.full(4096, 5), names, np.append(first[1:], len(terms)), docs, np.ones(len(docs), np.int32), 5.0, names)
-    ((found, _, read),) = shard.search(np.array([0, 2]), np.array([0, 1]), np.array([8.0, 0.1]), 10, np.zeros(1))
-    assert set(range(20)) >= set(found.tolist()) and read < shard.blocks
+    ends, asked, weights = np.array([0, 2]), np.array([0, 1]), np.array([8.0, 0.1])
+    ((q, found, _, read),) = shard.search(ends, asked, weights, 10, np.zeros(1))
+    assert q == 0 and set(range(20)) >= set(found.tolist()) and read <= 4 * m.SPAN < shard.blocks
+    # a threshold that no bound here reaches leaves the shard out
+    assert list(shard.search(ends, asked, weights, 10, np.array([9.0]))) == []
+
+
+def test_like_documents_are_neighbours(make):
+    """Two languages in turn: with their own blocks, a query reads those of one only."""
+    import numpy as np
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices([f"{x}{i}" for i in range(200)], [1 / (i + 1) for i in range(200)], k=30)) for x in "ab" * 600]
+    row = m.index(make(list(enumerate(texts))).coalesce(1)).first()
+    first = ["ab"[i % 2] for i in row["ids"]]
+    assert sum(x != y for x, y in zip(first, first[1:], strict=False)) < 60
+    ids, terms, ends, docs = (np.array(row[c]) for c in ("ids", "terms", "ends", "docs"))
+    assert all(len(set(docs[a:b])) == b - a for a, b in zip([0, *ends[:-1]], ends, strict=True)) and sorted(ids) == list(range(1200))
