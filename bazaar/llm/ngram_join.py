@@ -2,28 +2,35 @@
 
 Work is dealt out so that no group's pairs are ever rows. Documents with equal n-gram sets are one set.
 Sets that agree with their bucket's leader in two bands or more form clusters, which are only a way to deal out
-work; inside a cluster every pair is checked, by matrix products over blocks of bounded size. Where sets of
-different clusters agree in a band, those of the smaller are checked against the whole larger cluster. Both give
-each set its number of links and a spanning forest of the links, whose components are the classes.
+work. All pairs of a unit of work are checked, by matrix products over two blocks of bounded size. There are three
+kinds of units, and each pair of sets that agree in a band is counted in just one:
+  - blocks of a cluster, two by two;
+  - where a bucket holds sets of several clusters, its largest cluster is the host, the others are guests: blocks of
+    that whole cluster with blocks of its guests;
+  - blocks of a bucket's guests, two by two, for pairs of which neither is in a cluster that hosts the other anywhere;
+    pairs that agree in several bands count in the first.
+A set has a bucket, and so a host, for each band at most, so rows are in proportion to sets while clusters and buckets
+are within a block; in larger ones, of N sets, each set goes to N / BLOCK_SETS units, as links within N sets may be N * N.
+All give each set its number of links and a spanning forest of the links, whose components are the classes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import by_group, components, lookup, staged
+from bazaar.llm.common import by_group, components, free, lookup, staged
 from bazaar.llm.words import NOT_ALNUM, chunks, grams, hashes, mix, spans
 
 #: Shingles of a block of a cluster; a task holds two blocks.
 BLOCK_SHINGLES = 3_000_000
 #: Sets of a block, at most about.
-BLOCK_SETS = 4096
+BLOCK_SETS = 512
 
 
 def bands_and_rows(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -160,10 +167,11 @@ def overlaps(lists: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
             yield i, j, total
 
 
-def check_pairs(lists: list[np.ndarray], copies: np.ndarray, half: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def check_pairs(lists: list[np.ndarray], copies: np.ndarray, half: np.ndarray, threshold: float, counts: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(links of each list, weighted by copies; edges of a spanning forest of them).
 
-    half: 0 if all pairs count, else 1 or 2, and only pairs of a 1 and a 2 count.
+    half: 0 if all pairs count, else 1 or 2, and only pairs of a 1 and a 2 count; of these, if ``counts`` is given, those
+    for which it is true (of arrays of left and right places).
     """
     m = len(lists)
     size = np.array([len(x) for x in lists], dtype=np.float64)
@@ -184,6 +192,9 @@ def check_pairs(lists: list[np.ndarray], copies: np.ndarray, half: np.ndarray, t
             close &= r[:, None] < c[None, :]
         if across:
             close &= half[r][:, None] != half[c][None, :]
+        if counts is not None:
+            x, y = np.nonzero(close)
+            close[x, y] = counts(r[x], c[y])
         links[r] += (close * copies[c][None, :]).sum(axis=1)
         links[c] += (close * copies[r][:, None]).sum(axis=0)
         for x in np.flatnonzero(close.any(axis=1)):
@@ -205,7 +216,7 @@ def links(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0
     the threshold. n_links counts a document's links, those to documents of an equal set among them; copy_of is
     the least doc_id of that set, class_id that of the component of links. A text of fewer than n words has one
     n-gram of all of them; a text without words, or null, has no links and is a class of its own. Repeated rows
-    count as copies of each other. Pairs of similarity at the threshold are found with probability ``recall``
+    count as copies of each other. Other columns are not read, whatever their names. Pairs of similarity at the threshold are found with probability ``recall``
     at least, more similar ones with more; nothing else loses a link.
     """
     b, r = bands_and_rows(threshold, recall)
@@ -223,34 +234,46 @@ def links(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0
     size = staged(own.groupBy("root").agg(F.sum("n").alias("shingles"), F.count("*").alias("rows")), "size")
     clusters = staged(lookup(own, size.withColumn("weight", F.col("rows")), "root", "weight"), "clusters")
 
-    # buckets that hold several clusters: of two clusters that meet, the members of the smaller are guests of the larger
+    # buckets that hold several clusters
     placed = inside.select("bucket", "key", "n").join(clusters.select("key", "root", "rows", "shingles"), "key", "left")
-    placed = staged(placed.select("bucket", "key", F.coalesce("rows", F.lit(1)).alias("rows"), F.coalesce("root", "key").alias("root"), F.coalesce("shingles", F.col("n").cast("long")).alias("shingles")), "placed")
-    meet = placed.groupBy("bucket", "rows", "root", "shingles").agg(F.count("*").alias("here")).groupBy("bucket").agg(F.collect_list(F.struct("rows", "root", "shingles")).alias("hosts"), F.sum("here").alias("weight")).filter(F.size("hosts") > 1)
-    larger = F.filter("hosts", lambda x: F.struct(x["rows"], x["root"]) > F.struct(F.col("rows"), F.col("root")))
-    guests = lookup(placed, staged(meet, "meet"), "bucket", "weight").select("key", F.explode(larger).alias("host"))
-    guests = staged(guests.select("key", F.col("host.root").alias("root"), F.col("host.rows").alias("rows"), F.col("host.shingles").alias("shingles")).distinct(), "guests")
-
-    # units of work: blocks of a cluster two by two, and blocks of a cluster with blocks of its guests
-    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("rows") / BLOCK_SETS)).cast("int")
-    dealt = clusters.select("key", "root", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    in_cluster = paired.select("key", F.xxhash64("root", low, high).alias("unit"), F.when(low == high, F.lit(0)).otherwise((F.col("block") == high).cast("int") + 1).alias("half"))
-    parties = staged(guests.join(sets.select("key", "n"), "key").groupBy("root").agg(F.count("*").alias("guests"), F.first("rows").alias("rows"), F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("parts")), "parties")
+    placed = staged(placed.select("bucket", "key", "n", F.coalesce("rows", F.lit(1)).alias("rows"), F.coalesce("root", "key").alias("root"), F.coalesce("shingles", F.col("n").cast("long")).alias("shingles")), "placed")
+    host = F.max(F.struct("rows", "root", "shingles")).alias("host")
+    meet = staged(placed.groupBy("bucket").agg(host, F.count("*").alias("weight"), (F.min("root") < F.max("root")).alias("several")).filter("several").drop("several"), "meet")
+    visitors = staged(lookup(placed.select("bucket", "key", "n", "root"), meet, "bucket", "weight").filter("root <> host.root"), "visitors")
+    guests = staged(visitors.select("key", F.col("host.root").alias("root"), F.col("host.rows").alias("rows"), F.col("host.shingles").alias("shingles")).distinct(), "guests")
+    of_blocks = lambda shingles, rows: F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(rows / BLOCK_SETS)).cast("int")
+    mutual = visitors.groupBy("bucket").agg(F.count("*").alias("weight"), of_blocks(F.sum("n"), F.count("*")).alias("blocks"), (F.min("root") < F.max("root")).alias("several")).filter("several").drop("several")
+    mutual = lookup(visitors.select("bucket", "key", "root"), staged(mutual, "mutual"), "bucket", "weight")
+
+    # units of work
+    def two_by_two(dealt: DataFrame, *name: str) -> DataFrame:
+        """Rows of (key, *name, blocks) once for each other block: unit and half."""
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        low, high = F.least("block", "other"), F.greatest("block", "other")
+        return paired.withColumns({"unit": F.xxhash64(*name, low, high), "half": F.when(low == high, F.lit(0)).otherwise((F.col("block") == high).cast("int") + 1)}).drop("blocks", "block", "other")
+
+    blocks = of_blocks(F.col("shingles"), F.col("rows"))
+    in_cluster = two_by_two(clusters.select("key", "root", blocks.alias("blocks")), "root")
+    among_guests = two_by_two(mutual, "bucket")
+    parties = staged(guests.join(sets.select("key", "n"), "key").groupBy("root").agg(F.count("*").alias("guests"), F.first("rows").alias("rows"), of_blocks(F.sum("n"), F.count("*")).alias("parts")), "parties")
     hosts = lookup(clusters, parties.select("root", F.col("rows").alias("weight"), "parts"), "root", "weight").select("key", "root", blocks.alias("blocks"), "parts")
     alone = parties.filter("rows = 1").select(F.col("root").alias("key"), "root", F.lit(1).alias("blocks"), "parts")
     hosts = hosts.unionByName(alone).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     visits = lookup(guests.select("key", "root", blocks.alias("blocks")), parties.select("root", F.col("guests").alias("weight"), "parts"), "root", "weight")
     visits = visits.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     across = [x.select("key", F.xxhash64("root", "block", "part", F.lit("guests")).alias("unit"), F.lit(half).alias("half")) for half, x in enumerate((hosts, visits), 1)]
-    units = staged(in_cluster.unionByName(across[0]).unionByName(across[1]), "units")
+    # what decides where a pair of guests counts: their clusters, those that host them, their bands
+    seen = guests.groupBy("key").agg(F.collect_set("root").alias("hosts"))
+    ruled = among_guests.join(seen, "key").join(sets.select("key", "bands"), "key").withColumn("rule", F.struct("bucket", "root", "hosts", "bands")).select("key", "unit", "half", "rule")
+    plain = in_cluster.select("key", "unit", "half").unionByName(across[0]).unionByName(across[1])
+    units = staged(plain.withColumn("rule", F.lit(None).cast(ruled.schema["rule"].dataType)).unionByName(ruled), "units")
 
     # whole n-gram sets of the candidates only
     wanted = units.select("key").distinct().join(sets.select("key", "copy_of", "copies"), "key")
     texts = base.join(wanted.select(F.col("copy_of").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
     full = staged(_full_sets(texts, n).dropDuplicates(["key"]).join(wanted.select("key", "copies"), "key"), "full")
-    ready = units.join(full, "key").select("unit", "key", "half", "copies", "shingles")
+    ready = units.join(full, "key").select("unit", "key", "half", "copies", "shingles", "rule")
     found = staged(by_group(ready, "unit", _verify(threshold), "a binary, b binary, n_links long"), "found")
 
     counts = found.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n_links").alias("n_links"))
@@ -271,7 +294,8 @@ def _verify(threshold: float):
             return
         key, half, copies = group.column("key").to_pylist(), group.column("half").to_numpy(), group.column("copies").to_numpy()
         lists = [x.values.to_numpy() for chunk in group.column("shingles").chunks for x in chunk]
-        n, edges = check_pairs(lists, copies, half, threshold)
+        rule = group.column("rule").to_pylist()
+        n, edges = check_pairs(lists, copies, half, threshold, _once(rule) if rule[0] else None)
         linked = [i for i in range(len(key)) if n[i]]
         if linked:
             yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in linked] + [key[a] for a, _ in edges], pa.binary()), pa.array([None] * len(linked) + [key[b] for _, b in edges], pa.binary()), pa.array([int(n[i]) for i in linked] + [0] * len(edges), pa.int64())], names=["a", "b", "n_links"])
@@ -279,18 +303,33 @@ def _verify(threshold: float):
     return run
 
 
+def _once(rule: list[dict]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether a pair of guests of one bucket counts here (see above)."""
+    bands = np.array([r["bands"] for r in rule])
+    root, hosts, bucket = [r["root"] for r in rule], [set(r["hosts"]) for r in rule], rule[0]["bucket"]
+
+    def counts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        first = (bands[x] == bands[y]).argmax(axis=1)
+        here = (bands[x, first] == bucket) & (bands[y, first] == bucket)
+        apart = [root[i] != root[j] and root[i] not in hosts[j] and root[j] not in hosts[i] for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        return here & np.array(apart, dtype=bool)
+
+    return counts
+
+
 def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all their columns as they are, with the least doc_id of their class (see links).
 
     Of repeated rows of that doc_id and text one stays, and so of rows without a doc_id and with equal texts.
     Texts without words are in no class: all stay but repeated rows.
     """
+    id_, hash_, times_ = free(docs, "class_doc", "class_hash", "class_times")
     found = staged(links(docs, threshold, n, doc_id=doc_id, text=text), "links")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
-    kept = staged(kept, "kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "times")
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
-    once = docs.join(kept.filter("times = 1"), same, "left_semi")
-    again = kept.filter("times > 1")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.count("*").alias(times_))
+    kept = staged(kept, "kept")
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(hash_))
+    once = docs.join(kept.filter(F.col(times_) == 1), same, "left_semi")
+    again = kept.filter(F.col(times_) > 1)
     if again.isEmpty():
         return once
     return once.unionByName(docs.join(again, same, "left_semi").dropDuplicates([doc_id, text]))

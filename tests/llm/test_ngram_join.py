@@ -37,6 +37,29 @@ def test_as_brute_force(spark, make, monkeypatch, seed, sets):
     assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
 
 
+@pytest.mark.parametrize("sets", [512, 6])
+def test_buckets_of_strays(make, monkeypatch, sets):
+    """Texts that share a passage agree in a band here and there: large buckets of sets of many clusters."""
+    monkeypatch.setattr(m, "BLOCK_SETS", sets)
+    rng = random.Random(7)
+    vocab = [f"v{i}" for i in range(2000)]
+    shared = rng.choices(vocab, k=60)
+    texts = []
+    for _ in range(150):
+        own = rng.choices(vocab, k=rng.randint(4, 60))
+        texts += near_copies(rng, shared + own, rng.choice([1, 1, 1, 2, 5]), 3)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in m.links(make(rows)).collect()}
+    want = m.brute_force(rows)
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {} and max(n for _, n in want.values()) > 5
+
+
+def test_columns_of_any_names(make):
+    rows = make([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y")]).withColumnRenamed("key", "__id").withColumnRenamed("row", "class_hash")
+    kept = m.keep_one(rows)
+    assert kept.columns == rows.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
 def test_odd_rows(make, odd):
     got = m.links(odd).collect()
     assert len(got) == odd.count()
