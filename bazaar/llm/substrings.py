@@ -5,11 +5,12 @@ document against automata of the whole corpus would be quadratic, so the shards
 each document meets only the shards that it may match:
 
 1. Each window has a minimizer, the least hash of its k-grams, so equal windows have equal ones. Keys in two
-   documents or more are found by one exchange of packed keys.
-2. Runs of windows with one such minimizer are segments. Equal segments are one, with the least doc_id.
-3. Segments are dealt out by key to shards. A shard's segments, by doc_id, make a generalised suffix automaton,
-   each state knowing the first document of its strings; each segment is streamed through it, and its matching
-   statistics of n or more give the first document of every window.
+   documents or more are found by one exchange of packed keys. They only say which shards a document meets.
+2. Runs of windows with one such minimizer are segments. Equal segments are one, with the least doc_id. The windows of
+   a key of HEAVY_KEY texts or more are segments of their own, with a hash of all their words as a longer key.
+3. Segments are dealt out by key to shards of bounded size. A shard's segments, by doc_id, make a generalised suffix
+   automaton, each state knowing the first document of its strings; the documents' segments of these keys are streamed
+   through it, and their matching statistics of n or more give the first document of every window.
 4. These go back to the documents, whose covered words are removed.
 """
 
@@ -23,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import HEAVY_SHARE, by_group, lookup, release, staged
+from bazaar.llm.common import by_group, lookup, release, running_sums, staged
 from bazaar.llm.words import SPACE, chunks, grams, hashes, mix, spans
 
 #: Words of a minimizer's k-gram.
 K = 5
-#: Segments of a shard, about; a shard with more is cut into shards of windows.
+#: Segments of a shard, on average; HEAVY_KEY more at most, for the segments of a key stay together.
 SHARD = 4_000
-#: A key with so many documents, or with HEAVY_SHARE of all pairs if that is more, is dealt out window by window.
-HEAVY_KEY = 20_000
+#: A key of so many texts, whatever the size of the corpus, is dealt out window by window.
+HEAVY_KEY = 10_000
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
@@ -126,18 +127,6 @@ class SuffixAutomaton:
 
 def first_documents(strings: list[tuple], docs: list[int], n: int) -> list[list[int]]:
     """For each string and each of its windows of n tokens, the least document of docs that holds the window."""
-    if len(strings) > 2 * SHARD and any(len(s) > n for s in strings):
-        # too much for one automaton: windows are shared out by their hashes
-        parts: list[dict] = [{} for _ in range(-(-sum(len(s) - n + 1 for s in strings) // SHARD))]
-        for s, d in zip(strings, docs, strict=True):
-            for i in range(len(s) - n + 1):
-                w = s[i : i + n]
-                part = parts[hash(w) % len(parts)]
-                part[w] = min(d, part.get(w, d))
-        found: dict = {}
-        for part in parts:
-            found |= dict(zip(part, (x[0] for x in first_documents(list(part), list(part.values()), n)), strict=True))
-        return [[found[s[i : i + n]] for i in range(len(s) - n + 1)] for s in strings]
     automaton = SuffixAutomaton()
     for i in sorted(range(len(strings)), key=docs.__getitem__):
         automaton.add(strings[i], docs[i])
@@ -204,32 +193,35 @@ def _shared(group: pa.Table) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(docs[hit]), pa.array(keys[hit])], names=["hash", "key"])
 
 
-def _segment_rows(texts: DataFrame, n: int, heavy: set[int]) -> DataFrame:
-    """doc, hash, start, windows, seg (16 bytes), key, words of each candidate segment of (doc, hash, text, keys).
+def _segment_rows(texts: DataFrame, n: int) -> DataFrame:
+    """doc, hash, start, windows, seg (16 bytes), key, words of each candidate segment of (doc, hash, text, keys, heavy).
 
-    words is the text of the segment, given once for each distinct segment of a chunk.
+    words is the text of the segment, given once for each distinct segment of a chunk. heavy are further keys, whose
+    windows are segments of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = np.array(sorted(heavy), dtype=np.int64).view(np.uint64)
-        many.sort()
         for b in batches:
             ids, texts = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            wanted = b.column(3)
-            flat, ends = wanted.flatten().to_numpy().view(np.uint64), wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
-            owner = np.repeat(np.arange(b.num_rows), np.diff(ends))
-            want = np.unique(mix(flat) ^ mix(owner.astype(np.uint64) + np.uint64(77)))
+            known = []
+            for wanted in (b.column(3), b.column(4)):
+                flat, ends = wanted.flatten().to_numpy().view(np.uint64), wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
+                owner = np.repeat(np.arange(b.num_rows), np.diff(ends))
+                known.append(np.unique(mix(flat) ^ mix(owner.astype(np.uint64) + np.uint64(77))))
+
+            def among(at: np.ndarray, some: np.ndarray) -> np.ndarray:
+                return some[np.minimum(np.searchsorted(some, at), len(some) - 1)] == at if len(some) else np.zeros(len(at), bool)
+
             for lo, _, raw, offsets in chunks(b.column(2)):
                 h, row, first, count, key, of = segments(raw, offsets, n)
                 at = mix(key) ^ mix((row + lo).astype(np.uint64) + np.uint64(77))
-                place = np.minimum(np.searchsorted(want, at), len(want) - 1)
-                keep = want[place] == at
-                row, first, count, key = row[keep], first[keep], count[keep], key[keep]
+                hot = among(at, known[1])
+                keep = among(at, known[0]) | hot
+                row, first, count, key, hot = row[keep], first[keep], count[keep], key[keep], hot[keep]
                 if not len(row):
                     continue
                 cut = np.zeros(len(row), dtype=bool)
-                if len(many):  # the windows of a heavy key are segments of their own
-                    hot = many[np.minimum(np.searchsorted(many, key), len(many) - 1)] == key
+                if hot.any():
                     times = np.where(hot, count, 1)
                     which = np.repeat(np.arange(len(row)), times)
                     step = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
@@ -295,12 +287,14 @@ def covered(docs: DataFrame, n: int = 13) -> DataFrame:
     pairs = staged(met.unionByName(known), "pairs")
     release(entries)
 
-    counts = pairs.groupBy("key").agg(F.count("*").alias("n"))
-    least = max(HEAVY_KEY, int(pairs.count() * HEAVY_SHARE))
-    heavy = {r["key"] for r in counts.filter(F.col("n") >= least).select("key").collect()}
-    wanted = pairs.groupBy("hash").agg(F.collect_set("key").alias("keys")).join(reps.select("hash", F.col("least").alias("doc")), "hash")
-    rows = staged(_segment_rows(hashed.join(wanted, ["doc", "hash"]).select("doc", "hash", "text", "keys"), n, heavy), "segments")
-    release(pairs)
+    heavy = staged(pairs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= HEAVY_KEY), "heavy")
+    marked = pairs.withColumn("cut", F.lit(False))
+    if not heavy.isEmpty():
+        marked = pairs.join(heavy, "key", "left_anti").withColumn("cut", F.lit(False)).unionByName(lookup(pairs, heavy, "key", "n").withColumn("cut", F.lit(True)))
+    some = lambda c: F.collect_set(F.when(c, F.col("key")))
+    wanted = marked.groupBy("hash").agg(some(~F.col("cut")).alias("keys"), some(F.col("cut")).alias("heavy")).join(reps.select("hash", F.col("least").alias("doc")), "hash")
+    rows = staged(_segment_rows(hashed.join(wanted, ["doc", "hash"]).select("doc", "hash", "text", "keys", "heavy"), n), "segments")
+    release(pairs, heavy)
 
     distinct = staged(rows.groupBy("seg").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.count("*").alias("n"), F.first("windows").alias("windows"), F.first("key").alias("key"), F.first("words", ignorenulls=True).alias("words")), "distinct")
     shards = max(1, -(-distinct.count() // SHARD))
@@ -326,11 +320,18 @@ def remove(docs: DataFrame, n: int = 13, doc_id: str = "doc_id", text: str = "te
     Words are what is between white space, unchanged; a word goes if a window of n consecutive words around it also
     starts in a document with a smaller doc_id, as the input has it. Rows of the same doc_id keep what only they
     share; null doc_ids are compared with nothing. Null and empty texts have no words; texts under n words stay.
+    doc_id is of any type that has an order; those that aren't whole numbers are numbered in it first. Other columns
+    are not read, whatever their names.
     """
     kind = dict(docs.dtypes)[doc_id]
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    slim = base.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc is not null and text is not null")
-    same = (F.col("doc_id").cast("long") == F.col("doc")) & (F.xxhash64("text") == F.col("hash"))
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        base = base.withColumn("id", F.col("doc_id").cast("long"))
+    else:
+        ids = staged(base.select("doc_id").filter("doc_id is not null").distinct().withColumn("one", F.lit(1).cast("long")), "ids")
+        base = staged(base.join(running_sums(ids, ["doc_id"], "one").select("doc_id", F.col("row").alias("id")), "doc_id", "left"), "numbered")
+    slim = base.select(F.col("id").alias("doc"), "text").filter("doc is not null and text is not null")
+    same = (F.col("id") == F.col("doc")) & (F.xxhash64("text") == F.col("hash"))
     marked = base.join(covered(slim, n), same, "left").select("doc_id", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from bazaar.llm import substrings as m
 
@@ -55,6 +56,15 @@ def test_one_id_two_texts(make):
     check(make, [(1, a), (3, "x " + a), (3, b + " y"), (2, b), (3, "x " + a)])
 
 
+@pytest.mark.parametrize("name", ["'d' || lpad(doc_id, 3, '0')", "doc_id + 0.25", "doc_id / 7D"])
+def test_ids_of_other_types(make, name):
+    """Texts, decimals and doubles in the same order give the same rows; none are cast or merged."""
+    rows = corpus(4)
+    got = m.remove(make(rows).withColumn("doc_id", F.expr(name))).select("doc_id", "n_words", "n_removed", "kept").orderBy("doc_id").collect()
+    want = m.brute_force(rows)
+    assert [(r["n_words"], r["n_removed"], hashlib.sha256((r["kept"] or "").encode()).hexdigest()) for r in got] == want
+
+
 def test_empty(make):
     assert m.remove(make([])).collect() == []
 
