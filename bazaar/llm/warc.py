@@ -1,13 +1,16 @@
 """WARC records in ZIP archives: a writer, and a reader that never extracts.
 
 An archive holds two kinds of stored (uncompressed) members: ``archive/*.warc.gz``, one gzip member for
-each record, and ``indexes/*.cdxj``, a line for each record with its offset and length in the WARC member.
-The reader takes only ranges: the end of the file, the central directory, local headers, an index, records.
+each record, and ``indexes/``, with a line of JSON for each record with its offset and length in a WARC member.
+The reader takes only ranges: the end of the file, the central directory, local headers, an index, records. It reads
+archives of other writers too: record ids are text, numbers in indexes may be, indexes may be packed, and what a
+record's header lacks is taken from its payload.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -21,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import lookup, new_dir, staged
+from bazaar.llm.common import free, lookup, new_dir, staged
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -29,6 +32,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 64 << 20
 #: Neighbouring records are read together up to so many bytes.
 READ_BYTES = 4 << 20
+#: Bytes of archives that a task reads, about, where there are more than tasks that Spark is set to have.
+TASK_BYTES = 512 << 20
 
 
 # --- ZIP directory -------------------------------------------------------------------------------
@@ -119,21 +124,37 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def parse(packed: bytes) -> tuple[dict[str, str], bytes]:
-    """(headers, payload) of one gzip member; ValueError if a length or digest doesn't fit."""
+    """(headers by lower-cased name, payload) of one gzip member; ValueError if a length or digest doesn't fit.
+
+    The payload of an HTTP block is what follows its header, of any other block all of it. Without Content-Length the
+    block is all but the line ends that close a record. A digest is checked where it is SHA-1 in base 32.
+    """
     raw = zlib.decompress(packed, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    block = rest[: int(fields["content-length"])]
-    payload = block.partition(b"\r\n\r\n")[2]
-    if fields["warc-type"] == "response" and fields["warc-payload-digest"] != f"sha1:{digest(payload)}":
-        raise ValueError(f"payload of {fields['warc-record-id']} is damaged")
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    size = fields.get("content-length")
+    block = rest[: int(size)] if size else rest.removesuffix(b"\r\n\r\n")
+    if size and len(block) < int(size):
+        raise ValueError(f"{fields.get('warc-record-id')} is cut short")
+    http = fields.get("content-type", "").startswith("application/http") or (fields.get("warc-type") in ("response", "revisit") and block.startswith(b"HTTP/"))
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    said = fields.get("warc-payload-digest", "")
+    if fields.get("warc-type") == "response" and said.startswith("sha1:") and len(said) == 37 and said[5:].upper() != digest(payload):
+        raise ValueError(f"payload of {fields.get('warc-record-id')} is damaged")
     return fields, payload
 
 
-def _page(urn: str | None) -> int | None:
-    number = (urn or "").strip("<>").rpartition(":")[2]
-    return int(number) if number else None
+def index_entries(data: bytes) -> Iterator[dict]:
+    """Entries of an index with ``filename``, ``offset`` and ``length`` as numbers; lines without JSON are left out. Packed
+    (gzip, of one member or more) or not."""
+    text = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    for line in text.decode("utf-8", "replace").splitlines():
+        at = line.find("{")
+        if at >= 0 and not line.startswith("!"):
+            e = json.loads(line[at:])
+            if "offset" in e and "length" in e:
+                yield {"filename": e.get("filename", ""), "offset": int(e["offset"]), "length": int(e["length"])}
 
 
 def _open(path: str):
@@ -187,38 +208,63 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
 
 
 def archive_records(path: str, size: int | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, payload) of each indexed record of one archive, by range reads, in the index's order."""
+    """(headers, payload) of each indexed record of one archive, by range reads, in the index's order.
+
+    A file name in an index is the member's whole name or its last part; if the archive has one WARC member only, that
+    is meant whatever the name. Entries that stand in several indexes are read once.
+    """
     store, at = _open(path)
     with store.open_input_file(at) as f:
         size = f.size() if size is None else size
         read = lambda offset, length: f.read_at(length, offset)
-        members = {m.name: m for m in zip_members(size, read)}
-        bodies = {n.rpartition("/")[2]: data_at(m, read) for n, m in members.items() if n.startswith("archive/") and n.endswith(".warc.gz")}
-        for n in sorted(x for x in members if x.startswith("indexes/") and x.endswith(".cdxj")):
-            entries = [json.loads(line.split(" ", 2)[2]) for line in read(data_at(members[n], read), members[n].size).decode().splitlines()]
+        members = zip_members(size, read)
+        warcs = [m for m in members if m.name.endswith((".warc.gz", ".warc"))]
+        named = {m.name.rpartition("/")[2]: m for m in warcs} | {m.name: m for m in warcs} | {m.name.removeprefix("archive/"): m for m in warcs}
+        begins: dict[str, int] = {}
+
+        def begin(name: str) -> int:
+            m = warcs[0] if len(warcs) == 1 else named[name]
+            if m.name not in begins:
+                begins[m.name] = data_at(m, read)
+            return begins[m.name]
+
+        seen: set[int] = set()
+        for m in sorted((m for m in members if m.name.startswith("indexes/") and not m.name.endswith((".idx", "/"))), key=lambda m: m.name):
+            entries = [(begin(e["filename"]) + e["offset"], e["length"]) for e in index_entries(read(data_at(m, read), m.size))]
+            entries = [e for e in dict.fromkeys(entries) if e[0] not in seen]
+            seen.update(e[0] for e in entries)
             i = 0
             while i < len(entries):
-                j, start = i, entries[i]["offset"]
+                j, start = i, entries[i][0]
                 end = start
-                while j < len(entries) and entries[j]["filename"] == entries[i]["filename"] and entries[j]["offset"] == end and (j == i or end - start < READ_BYTES):
-                    end, j = end + entries[j]["length"], j + 1
-                part = read(bodies[entries[i]["filename"]] + start, end - start)
-                for e in entries[i:j]:
-                    yield parse(part[e["offset"] - start : e["offset"] - start + e["length"]])
+                while j < len(entries) and entries[j][0] == end and (j == i or end - start < READ_BYTES):
+                    end, j = end + entries[j][1], j + 1
+                part = read(start, end - start)
+                for offset, length in entries[i:j]:
+                    yield parse(part[offset - start : offset - start + length])
                 i = j
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """Records of the archives in manifest (path, size): page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to, and the payload (null for revisits) where asked for. payload_bytes and digest are of the full payload."""
+    """Records of the archives in manifest (path, size): record_id (text, without brackets), url, payload_bytes,
+    payload_digest, record_type, refers_to (a record_id), and the payload (null for revisits) where asked for.
+
+    payload_bytes and payload_digest are of the full payload: for revisits what their header says, null if it doesn't;
+    for others the header's digest, else that of the payload. Archives of several tasks' bytes are read in parallel, one
+    archive by one task. Other columns of manifest are not read.
+    """
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows, held = [], 0
                 for h, payload in archive_records(path, size):
-                    revisit = h["warc-type"] == "revisit"
-                    rows.append((_page(h["warc-record-id"]), h["warc-target-uri"], int(h["x-payload-length"]) if revisit else len(payload), h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], _page(h.get("warc-refers-to")), payload if payloads and not revisit else None))
+                    kind = h.get("warc-type", "")
+                    revisit = kind == "revisit"
+                    length = h.get("x-payload-length") if revisit else len(payload)
+                    said = h.get("warc-payload-digest") or (None if revisit else f"sha1:{digest(payload)}")
+                    ids = [(h.get(k) or "").strip("<>") or None for k in ("warc-record-id", "warc-refers-to")]
+                    rows.append((ids[0], h.get("warc-target-uri"), None if length is None else int(length), said and said.removeprefix("sha1:"), kind, ids[1], payload if payloads and not revisit else None))
                     held += len(payload)
                     if held > READ_BYTES or len(rows) >= 10_000:
                         yield batch(rows)
@@ -226,10 +272,12 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+    names = ["record_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-    return manifest.select("path", "size").mapInArrow(load, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    n, size = manifest.agg(F.count("*"), F.sum("size")).first()
+    tasks = max(1, min(n, max(4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // TASK_BYTES)))
+    return manifest.select("path", "size").repartition(tasks).mapInArrow(load, "record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
 
 
 def mark_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -237,22 +285,25 @@ def mark_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html"
 
     Payloads are equal where SHA-1 and length are. Payloads under min_bytes are never revisits. A null payload is
     empty. A repeated page_id with an equal payload is a response each time; a null page_id revisits if another
-    page has the payload.
+    page has the payload. Other columns stay, whatever their names, but one named refers_to would stand twice.
     """
     body = F.coalesce(F.col(html), F.lit(""))
-    slim = staged(pages.select(F.col(page_id).alias("_id"), F.concat(F.sha1(body.cast("binary")), F.lit(":"), F.octet_length(body).cast("string")).alias("_sha"), F.octet_length(body).alias("_n")), "payloads")
+    sha = F.concat(F.sha1(body.cast("binary")), F.lit(":"), F.octet_length(body).cast("string"))
+    slim = staged(pages.select(F.col(page_id).alias("_id"), sha.alias("_sha"), F.octet_length(body).alias("_n")), "payloads")
     groups = slim.filter(F.col("_n") >= min_bytes).groupBy("_sha").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows")).filter("_rows > 1 and _first is not null")
     again = lookup(slim.select("_id", "_sha"), staged(groups, "payload-groups"), "_sha", "_rows").filter(~F.col("_id").eqNullSafe(F.col("_first"))).distinct()
-    keyed = pages.withColumn("_sha", F.concat(F.sha1(body.cast("binary")), F.lit(":"), F.octet_length(body).cast("string")))
-    again = again.select(F.col("_id"), F.col("_sha").alias("_sha2"), F.col("_first").alias("refers_to"))
-    return keyed.join(again, F.col(page_id).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_sha2")), "left").drop("_id", "_sha", "_sha2")
+    key_, id_, sha_ = free(pages, "payload_key", "revisit_id", "revisit_key")
+    again = again.select(F.col("_id").alias(id_), F.col("_sha").alias(sha_), F.col("_first").alias("refers_to"))
+    return pages.withColumn(key_, sha).join(again, F.col(page_id).eqNullSafe(F.col(id_)) & (F.col(key_) == F.col(sha_)), "left").drop(key_, id_, sha_)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes pages (page_id, url, html) as archives in the shared folder and reads them back (read_archives)."""
+    """Writes pages (page_id, url, html) as archives in the shared folder and reads them back: read_archives with page_id
+    and refers_to as the numbers that the writer put into the record ids."""
     pages = pages.select("page_id", "url", "html")
     manifest = staged(write_archives(mark_revisits(pages, min_bytes=min_bytes), new_dir(spark, "warc")), "manifest")
-    return read_archives(manifest.repartition(max(1, manifest.count())))
+    number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
+    return read_archives(manifest).withColumns({"page_id": number("record_id"), "refers_to": number("refers_to")})
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import gzip
 import io
 import os
 import struct
@@ -46,6 +47,61 @@ def test_several_archives(spark, tmp_path, monkeypatch):
     assert sum(1 for r in manifest for _ in m.archive_records(r["path"])) == 50
 
 
+def test_long_page(spark):
+    rows = [(1, "é<br>" * 2_000_000), (2, "x"), (3, "é<br>" * 2_000_000)]
+    got = {r["page_id"]: r for r in m.round_trip(spark, pages(spark, rows)).collect()}
+    body = rows[0][1].encode()
+    assert got[1]["payload"] == body and (got[3]["payload_bytes"], got[3]["payload_digest"], got[3]["refers_to"]) == (len(body), m.digest(body), 1)
+
+
+def foreign(folder, packed_index):
+    """An archive as others write it: uuids as ids, two WARC members, text offsets, missing lengths and digests."""
+
+    def member(*fields, block=b""):
+        return gzip.compress("\r\n".join(["WARC/1.0", *fields]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    one = [
+        member("WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:0>", "Content-Type: application/warc-fields", "Content-Length: 4", block=b"a: b"),
+        member("WARC-Type: response", "WARC-Record-ID: <urn:uuid:1f>", "WARC-Target-URI: http://a/", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + 5}", block=http + b"hello"),
+        member("WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:2f>", "WARC-Target-URI: http://b/", "WARC-Refers-To: <urn:uuid:1f>", "WARC-Payload-Digest: sha1:" + m.digest(b"hello"), "Content-Type: application/http", f"Content-Length: {len(http)}", block=http),
+    ]
+    two = [member("WARC-Type: resource", "WARC-Record-ID: <urn:uuid:3f>", "WARC-Target-URI: urn:x", "WARC-Payload-Digest: sha256:00", block=b"plain\r\n\r\nbytes")]
+    lines = ["!meta {}"]
+    for name, parts in (("archive/a.warc.gz", one), ("b.warc.gz", two)):
+        at = 0
+        for p in parts:
+            lines.append(f'com,a)/ 2020 {{"url": "u", "offset": "{at}", "length": "{len(p)}", "filename": "{name}"}}')
+            at += len(p)
+    index = "\n".join(lines).encode()
+    path = folder / "other.wacz"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("archive/a.warc.gz", b"".join(one))
+        z.writestr("archive/b.warc.gz", b"".join(two))
+        z.writestr("indexes/index.cdx.gz" if packed_index else "indexes/index.cdx", gzip.compress(index) if packed_index else index)
+        z.writestr("indexes/index.idx", b"!meta")
+        z.writestr("indexes/again.cdxj", index)
+    return path
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_archives_of_others(spark, tmp_path, packed):
+    path = foreign(tmp_path, packed)
+    manifest = spark.createDataFrame([(f"file://{path}", path.stat().st_size, "x")], "path string, size long, payload string")
+    got = {r["record_id"]: r for r in m.read_archives(manifest).collect()}
+    assert sorted(got) == ["urn:uuid:0", "urn:uuid:1f", "urn:uuid:2f", "urn:uuid:3f"]
+    a, b, c = (got[f"urn:uuid:{i}f"] for i in (1, 2, 3))
+    assert (a["record_type"], a["payload"], a["payload_bytes"], a["payload_digest"], a["refers_to"]) == ("response", b"hello", 5, m.digest(b"hello"), None)
+    assert (b["record_type"], b["payload"], b["payload_bytes"], b["payload_digest"], b["refers_to"]) == ("revisit", None, None, m.digest(b"hello"), "urn:uuid:1f")
+    assert (c["record_type"], c["payload"], c["payload_digest"], c["url"]) == ("resource", b"plain\r\n\r\nbytes", "sha256:00", "urn:x")
+
+
+def test_columns_of_any_names(spark):
+    df = pages(spark, [(1, "a"), (2, "a")]).withColumnRenamed("payload", "_sha").withColumn("payload_key", m.F.lit(1))
+    got = m.mark_revisits(df)
+    assert got.columns == [*df.columns, "refers_to"] and sorted((r["page_id"], r["refers_to"], r["_sha"]) for r in got.collect()) == [(1, None, "extra"), (2, 1, "extra")]
+
+
 def reader(data):
     return len(data), lambda offset, length: data[offset : offset + length]
 
