@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.llm import decontam, mixing, ngram_join, sharding, toxicity
-from bazaar.llm.common import staged
+from bazaar.llm.common import free, staged
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,9 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """In the order of docs' files and of the rows in them, as the mix wrote them."""
-    placed = docs.select(*docs.columns, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return sharding.shard_by_bytes(placed, 24, order=["__file", "__row"])
+    file, row = free(docs, "in_file", "in_row")
+    placed = docs.select(*docs.columns, F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    return sharding.shard_by_bytes(placed, 24, order=[file, row])
 
 
 STAGES = [
