@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaar import schema
+from bazaar.functions.money import format_price
 
-PAGE, MOST = 48, 200
+PAGE, MOST, CHIPS = 48, 200, 12
 SEARCHED = ["title", "summary", "city", "subcategory"]
 
 
@@ -59,8 +60,10 @@ def ranked(cards: DataFrame, promotions: DataFrame, as_of: datetime) -> DataFram
     return cards.join(rank, "id", "left").withColumn("promotion_rank", F.coalesce("promotion_rank", F.lit(0)))
 
 
-def rank_order() -> list[Column]:
-    """Promoted first, then the latest, then those with a photo, then by id."""
+def rank_order(flag: bool = False) -> list[Column]:
+    """Promoted first, by tier or, with ``flag``, all alike; then the latest, then those with a photo, then by id."""
+    if flag:
+        return [F.desc(F.col("promotion_rank") != 0), F.desc("last_seen_at"), F.coalesce(F.col("photo") == "", F.lit(True)), F.col("id")]
     return [F.desc("promotion_rank"), F.desc("last_seen_at"), F.col("photo").isNull(), F.col("id")]
 
 
@@ -111,6 +114,12 @@ def count_by(cards: DataFrame, key: str) -> DataFrame:
     return some.groupBy(F.col(key).alias("key")).count().orderBy(F.desc("count"), "key")
 
 
+def chips(cards: DataFrame, key: str, expanded: bool = False) -> DataFrame:
+    """count_by, of which the first twelve are shown until the list is expanded."""
+    counts = count_by(cards, key)
+    return counts if expanded else counts.limit(CHIPS)
+
+
 def category_counts(cards: DataFrame) -> DataFrame:
     """(slug, title, count) of the sections of ads in their order, empty and unknown ones left out."""
     dim = F.broadcast(schema.categories(cards.sparkSession).where("ord is not null"))
@@ -144,6 +153,40 @@ def facet_sets(listings: DataFrame) -> DataFrame:
     return view.select(facet.alias("facet"), "city", "category", key.alias("key"), "count").where("key is not null")
 
 
+def _filled(*parts: Column) -> Column:
+    """The first that is neither null nor empty."""
+    return F.coalesce(*(F.nullif(p, F.lit("")) for p in parts))
+
+
+def card_view(cards: DataFrame, as_of: Column, in_city: bool = False) -> DataFrame:
+    """What a card shows (rows of serialize): place (subcategory, then the district if a city is chosen, else the city),
+    text (what it is for, else the summary), foot (the price, else the section), freshness, and the title's first letter in
+    place of a missing photo."""
+    place = F.filter(F.array("subcategory", "district" if in_city else "city"), lambda x: x != "")
+    return cards.select(
+        "id", place.alias("place"), "title", _filled(F.col("details")["purpose"], F.col("summary")).alias("text"),
+        _filled(format_price(F.col("price_amount"), F.col("price_currency"), F.col("price_period")), F.col("category_title")).alias("foot"),
+        freshness(F.col("last_seen_at"), as_of).alias("freshness"), "photo",
+        F.when(F.col("photo").isNull(), _filled(F.substring(F.trim("title"), 1, 1), F.lit("·"))).alias("placeholder"),
+    )
+
+
+#: What the page of a card says beside its text, in order.
+FACTS = ["hours", "price", "audience", "landmark", "rooms", "area_sqm", "city", "district", "repost_count"]
+
+
+def detail_view(cards: DataFrame) -> DataFrame:
+    """What the page of a card shows (rows of serialize): facts (array of struct<name, value>, those that are given; reposts
+    from two on), actions (addresses of the map and of each contact), the gallery and its first photo."""
+    plain = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
+    value = {c: F.col("details")[c] for c in FACTS[:4]} | {c: F.col(c) for c in ("city", "district")}
+    value |= {c: F.when(F.col(c) != 0, plain(c)) for c in ("rooms", "area_sqm")} | {"repost_count": F.when(F.col("repost_count") > 1, plain("repost_count"))}
+    facts = F.filter(F.array(*(F.struct(F.lit(c).alias("name"), value[c].alias("value")) for c in FACTS)), lambda f: f["value"] != "")
+    contact = F.transform("contacts", lambda c: F.when(c["type"] == "phone", F.concat(F.lit("tel:"), c["value"])).otherwise(F.concat(F.lit("https://t.me/"), c["value"])))
+    actions = F.concat(F.filter(F.array("map_url"), lambda u: u != ""), contact)
+    return cards.select("id", facts.alias("facts"), actions.alias("actions"), "photos", F.try_element_at("photos", F.lit(1)).alias("shown"))
+
+
 def source_url(username: Column, msg: Column) -> Column:
     return F.concat(F.lit("https://t.me/"), username, F.lit("/"), msg.cast("string"))
 

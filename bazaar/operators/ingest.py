@@ -13,7 +13,7 @@ def fresh(messages: DataFrame, channels: DataFrame, limit: int | None = None) ->
     """Messages of enabled channels past their cursor, the oldest ``limit`` of each channel; without a limit, 500 of a
     channel that has no cursor yet, and all of the others."""
     of = channels.where("enabled").select(F.col("id").alias("channel_id"), F.coalesce("last_msg_id", F.lit(0)).alias("last_msg_id"))
-    new = messages.join(F.broadcast(of), "channel_id").where("tg_msg_id > last_msg_id")
+    new = messages.join(of, "channel_id").where("tg_msg_id > last_msg_id")
     place = F.row_number().over(Window.partitionBy("channel_id").orderBy("tg_msg_id"))
     most = F.lit(limit) if limit is not None else F.when(F.col("last_msg_id") == 0, FIRST_RUN)
     return new.withColumn("__n", place).where(F.col("__n") <= F.coalesce(most, F.col("__n"))).drop("__n", "last_msg_id")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bazaar import schema
@@ -136,9 +136,9 @@ def feed_search_wildcards(spark, sf_dir):
     return feed.found(cards(spark, sf_dir), category="rent", q="O_T", ascii_only=True).select("id")
 
 
-@query(f"WITH {_CARDS}, t AS (SELECT count(*) AS total FROM pub WHERE category = 'jobs' AND district IS NOT NULL) SELECT total::BIGINT AS total, least(48, greatest(total - 48, 0))::BIGINT AS page, 48 + least(48, greatest(total - 48, 0)) < total AS has_more FROM t")
+@query(f"WITH {_CARDS}, t AS (SELECT count(*) AS total FROM pub WHERE category = 'jobs') SELECT total::BIGINT AS total, least(48, greatest(total - 48, 0))::BIGINT AS page, 48 + least(48, greatest(total - 48, 0)) < total AS has_more FROM t")
 def feed_total_hasmore(spark, sf_dir):
-    c = cards(spark, sf_dir).where("district is not null")
+    c = cards(spark, sf_dir)
     got = feed.feed(c, promotions(spark, sf_dir), AS_OF, offset=48, category="jobs")
     return got.items.agg(F.count("*").alias("page")).select(F.lit(got.total).cast("long").alias("total"), "page", F.lit(got.has_more).alias("has_more"))
 
@@ -154,16 +154,74 @@ def promotion_rank(spark, sf_dir):
     return long_counts(feed.promotion_rank(promotions(spark, sf_dir), AS_OF))
 
 
-_SOURCES = "SELECT o_custkey AS listing_id, s_name AS channel, 'https://t.me/' || s_name || '/' || l_orderkey AS url, o_orderdate AS posted_at, l_linenumber, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey"
+_SOURCES = "SELECT l_partkey AS listing_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'u' || s_suppkey END AS channel, 'https://t.me/u' || s_suppkey || '/' || o_orderkey AS url, o_orderdate AS posted_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = o_custkey % 10 WHERE l_linenumber > 1"
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines as occurrences of cards (parts; first lines are without one), orders as posts, suppliers as channels."""
+    line, order, sup = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))
+    occ = line.select(F.when(F.col("l_linenumber") > 1, F.col("l_partkey")).alias("listing_id"), F.col("l_orderkey").alias("raw_message_id"))
+    raw = order.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 10).alias("channel_id"), F.col("o_orderkey").alias("tg_msg_id"), F.col("o_orderdate").cast("timestamp").alias("posted_at"))
+    chan = sup.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("u"), F.col("s_suppkey").cast("string")).alias("username"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("title"))
+    return occ, raw, chan
 
 
 @query(f"SELECT listing_id, count(*)::BIGINT AS n, count(DISTINCT channel)::BIGINT AS channels, min(url) AS first_url, max(posted_at) AS latest FROM ({_SOURCES}) GROUP BY listing_id")
 def detail_sources(spark, sf_dir):
-    line, order, sup = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))
-    raw = line.select(F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("id"), F.col("l_suppkey").alias("channel_id"), F.col("l_orderkey").alias("tg_msg_id")).join(order.select(F.col("o_orderkey").alias("tg_msg_id"), F.col("o_orderdate").alias("posted_at"), "o_custkey"), "tg_msg_id")
-    rows = raw.join(sup.select(F.col("s_suppkey").alias("channel_id"), F.col("s_name").alias("username")), "channel_id")
-    found = rows.select(F.col("o_custkey").alias("listing_id"), F.col("username").alias("channel"), feed.source_url(F.col("username"), F.col("tg_msg_id")).alias("url"), "posted_at")
-    return found.groupBy("listing_id").agg(F.count("*").alias("n"), F.countDistinct("channel").alias("channels"), F.min("url").alias("first_url"), F.max("posted_at").alias("latest"))
+    found = feed.sources(*_archive(spark, sf_dir))
+    return found.groupBy("listing_id").agg(F.count("*").alias("n"), F.countDistinct("channel").alias("channels"), F.min("url").alias("first_url"), F.max("posted_at").cast("timestamp_ntz").alias("latest"))
+
+
+@query(f"WITH {_CARDS}, {_PROMO}, s AS ({_SOURCES}) SELECT id, title, coalesce(promotion_rank, 0) > 0 AS promoted, (SELECT count(*) FROM s WHERE listing_id = pub.id)::BIGINT AS n, (SELECT string_agg(url, ' ' ORDER BY posted_at DESC, channel DESC, url DESC) FROM s WHERE listing_id = pub.id) AS urls FROM pub LEFT JOIN rank ON listing_id = id WHERE id IN (16, 20)")
+def detail_page(spark, sf_dir):
+    """Two cards with their sources, latest first; that of an id that isn't published has no row."""
+    occ, raw, chan = _archive(spark, sf_dir)
+    pages = [feed.detail(i, cards(spark, sf_dir), promotions(spark, sf_dir), occ, raw, chan, AS_OF) for i in (16, 20, 21)]
+    found = pages[0].unionByName(pages[1]).unionByName(pages[2])
+    urls = F.when(F.size("sources") > 0, F.array_join(F.transform("sources", lambda s: s["url"]), " "))
+    return found.select("id", "title", "promoted", F.size("sources").cast("long").alias("n"), urls.alias("urls"))
+
+
+_VIEW = f"""WITH {_CARDS}, v AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'for ' || title WHEN id % 3 = 1 THEN '' END AS purpose, CASE WHEN id % 4 = 0 THEN 'till ' || id END AS hours, CASE WHEN id % 2 = 0 THEN price_amount END AS price, CASE WHEN id % 2 = 0 THEN 'SAR' END AS cur, CASE WHEN id % 4 = 0 THEN 'month' END AS period,
+    CASE category {" ".join(f"WHEN '{k}' THEN '{t}'" for k, t in schema.CATEGORIES.items())} ELSE '{schema.CATEGORIES["other"]}' END AS category_title FROM pub)"""
+
+
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    c = feed.published(cards(spark, sf_dir))
+    details = F.create_map(F.lit("purpose"), F.when(i % 3 == 0, F.concat(F.lit("for "), "title")).when(i % 3 == 1, ""), F.lit("hours"), F.when(i % 4 == 0, F.concat(F.lit("till "), i.cast("string"))))
+    contacts = F.array(F.struct(F.lit("phone").alias("type"), F.concat(F.lit("+"), i.cast("string")).alias("value")), F.struct(F.lit("telegram").alias("type"), F.lit("name").alias("value")))
+    more = {"details": details, "price_amount": F.when(i % 2 == 0, F.col("price_amount")), "price_currency": F.when(i % 2 == 0, "SAR"), "price_period": F.when(i % 4 == 0, "month"), "rooms": (i % 3).cast("double"), "area_sqm": F.when(i % 5 > 0, i % 5 + 0.5), "contacts": contacts, "map_url": F.when(i % 6 == 0, F.lit("map")).when(i % 6 == 1, "")}
+    return feed.serialize(c.withColumns(more))
+
+
+@query(_VIEW + """ SELECT id, array_to_string(list_filter([subcategory, district], lambda x: x <> ''), ' · ') AS place, coalesce(nullif(purpose, ''), summary) AS text,
+    coalesce(replace(format('{:,.0f}', round_even(price, 0)), ',', ' ') || ' ' || cur || coalesce(' / ' || period, ''), category_title) AS foot,
+    CASE WHEN photo IS NULL THEN substr(title, 1, 1) END AS placeholder,
+    CASE WHEN d <= 0 THEN 'day' WHEN d < 7 THEN 'week' WHEN d < 31 THEN 'month' ELSE 'older' END AS freshness FROM (SELECT *, date_diff('day', last_seen_at::DATE, DATE '1996-02-01') AS d FROM v)""")
+def card_view(spark, sf_dir):
+    got = feed.card_view(_views(spark, sf_dir), F.lit("1996-02-01").cast("date"), in_city=True)
+    return got.select("id", F.concat_ws(" · ", "place").alias("place"), "text", "foot", "placeholder", "freshness")
+
+
+@query(_VIEW + """ SELECT id, concat_ws('; ', 'hours=' || hours, CASE WHEN id % 3 > 0 THEN 'rooms=' || (id % 3) END, CASE WHEN id % 5 > 0 THEN 'area_sqm=' || (id % 5) || '.5' END, 'city=' || city, 'district=' || district, CASE WHEN repost_count > 1 THEN 'repost_count=' || repost_count END) AS facts,
+    CASE WHEN id % 6 = 0 THEN 'map ' ELSE '' END || 'tel:+' || id || ' https://t.me/name' AS actions, CASE WHEN photo IS NOT NULL THEN '/media/' || id || '.jpg' END AS shown FROM v""")
+def detail_view(spark, sf_dir):
+    got = feed.detail_view(_views(spark, sf_dir))
+    facts = F.array_join(F.transform("facts", lambda f: F.concat_ws("=", f["name"], f["value"])), "; ")
+    return got.select("id", facts.alias("facts"), F.array_join("actions", " ").alias("actions"), "shown")
+
+
+@query(f"WITH {_CARDS} SELECT city AS key, count(*)::BIGINT AS \"count\" FROM pub WHERE city IS NOT NULL GROUP BY city ORDER BY count(*) DESC, city LIMIT 12")
+def facet_chips(spark, sf_dir):
+    return feed.chips(feed.published(cards(spark, sf_dir)), "city")
+
+
+@query(f"WITH {_CARDS}, {_PROMO} SELECT id, coalesce(promotion_rank, 0) > 0 AS promoted FROM pub LEFT JOIN rank ON listing_id = id ORDER BY coalesce(promotion_rank, 0) > 0 DESC, last_seen_at DESC, photo IS NULL, id LIMIT 48")
+def feed_promoted_page(spark, sf_dir):
+    """The page's own order: promoted cards first whatever their tier."""
+    ranked = feed.ranked(feed.published(cards(spark, sf_dir)), promotions(spark, sf_dir), AS_OF)
+    return ranked.orderBy(*feed.rank_order(flag=True)).limit(feed.PAGE).select("id", (F.col("promotion_rank") != 0).alias("promoted"))
 
 
 # --- work sets, gate, review, counters -----------------------------------------------------------
@@ -175,6 +233,12 @@ def unparsed_anti(spark, sf_dir):
     return resolve.unparsed(raw, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("raw_message_id")), None).select("id")
 
 
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) ORDER BY o_orderdate, o_orderkey LIMIT 200")
+def unparsed_oldest(spark, sf_dir):
+    raw = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("posted_at"))
+    return resolve.unparsed(raw, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("raw_message_id"))).select("id")
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 45) THEN 'published' ELSE CASE o_orderstatus WHEN 'O' THEN 'pending' ELSE 'rejected' END END AS status FROM orders")
 def publish_gate_anti(spark, sf_dir):
     listings = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("rejected").alias("status"))
@@ -258,12 +322,36 @@ def exact_text_groups(spark, sf_dir):
     return docs.groupBy("norm_text").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("docs"), F.sum("k").alias("contacts")).drop("norm_text")
 
 
-@query("SELECT doc_id, substr(trim(split_part(text, chr(10), 1)), 1, 120) AS title, substr(trim(text), 1, 400) AS summary FROM documents WHERE trim(split_part(text, chr(10), 1)) <> ''")
+@query(f"SELECT doc_id, coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], 1, 120), '{schema.NO_TITLE}') AS title, nullif(substr(trim(text), 1, 400), '') AS summary FROM documents")
 def parse_rules(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))) != "")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", resolve.rules(F.col("text")).alias("p")).select("doc_id", "p.title", "p.summary")
 
 
+_MODEL = """CASE WHEN p_size % 7 = 0 THEN 'no json' ELSE '{"is_listing": ' || CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END || ', "category": "' || CASE WHEN p_size % 3 = 0 THEN 'rent' ELSE 'flat' END || '", "title": " ' || CASE WHEN p_size % 5 > 0 THEN p_name ELSE '' END || ' ", "price_amount": ' || p_size || '.5}' END"""
+
+
+@query(f"SELECT p_partkey, p_size % 7 > 0 AND p_size % 2 = 0 AS is_listing, CASE WHEN p_size % 7 > 0 AND p_size % 3 = 0 THEN 'rent' ELSE 'other' END AS category, CASE WHEN p_size % 7 > 0 AND p_size % 5 > 0 THEN p_name ELSE '{schema.NO_TITLE}' END AS title, CASE WHEN p_size % 7 > 0 THEN p_size + 0.5::DOUBLE END AS price_amount FROM part")
+def model_payloads(spark, sf_dir):
+    got = table(spark, sf_dir, "part").select("p_partkey", resolve.from_model(F.expr(_MODEL)).alias("p"))
+    return got.select("p_partkey", "p.is_listing", "p.category", "p.title", "p.price_amount")
+
+
+@query("SELECT p_partkey, substr(CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN trim(repeat(p_name || ' ', 8)) ELSE p_name || ', kept' END, 1, 120) AS title, CASE WHEN p_size % 2 = 0 THEN p_name END AS cleaned, p_size % 3 = 0 AS arabic, '&lt;b&gt;' || p_name || '&amp;&quot;&#39;' AS escaped, p_name || ';' || p_brand || ';' || p_type || ';x' AS features, CASE WHEN p_size % 2 = 0 THEN 'a,c' ELSE 'c' END AS kept FROM part")
+def text_helpers(spark, sf_dir):
+    """Titles of places, blank to null, Arabic script, escaped HTML, the first four features, maps without empty entries."""
+    size, name = F.col("p_size"), F.col("p_name")
+    raw = F.when(size % 3 == 0, F.concat(F.lit(" "), name, F.lit("، شارع"))).when(size % 3 == 1, F.concat(F.repeat(F.concat(name, F.lit(" ")), F.lit(8)), F.lit(", "), F.repeat(F.lit("x"), F.lit(80)))).otherwise(F.concat(name, F.lit(", kept")))
+    spaced = F.when(size % 2 == 0, F.concat(F.lit("\t "), name, F.lit("\n"))).otherwise(" \n ")
+    entries = F.create_map(F.lit("a"), F.when(size % 2 == 0, name), F.lit("b"), F.lit(""), F.lit("c"), name)
+    features = F.array(F.lit(" "), name, F.lit(""), F.col("p_brand"), F.concat(F.lit(" "), "p_type"), F.lit("x"), F.lit("y"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.title_of(raw).alias("title"), text.clean(spaced).alias("cleaned"), text.has_arabic(raw).alias("arabic"),
+        text.escape_html(F.concat(F.lit("<b>"), name, F.lit("&\"'"))).alias("escaped"), F.array_join(text.first_features(features), ";").alias("features"),
+        F.array_join(F.array_sort(F.map_keys(text.without_empty(entries))), ",").alias("kept"),
+    )
+
+
 @query("SELECT p_partkey, regexp_replace(CASE WHEN p_size % 3 = 0 THEN '' ELSE p_retailprice::INTEGER::VARCHAR END, '^$', '') AS price, CASE WHEN p_size % 3 > 0 THEN round(p_retailprice::INTEGER::DOUBLE, 2) END AS amount, CASE WHEN p_size % 3 > 0 THEN ['SAR', 'USD', 'RUB', 'EUR'][1 + p_partkey % 4] END AS currency FROM part")
 def parse_price(spark, sf_dir):
     whole = F.rint("p_retailprice").cast("int")
@@ -291,7 +379,8 @@ def identity_key(spark, sf_dir):
 
 # --- hashes and pairs ----------------------------------------------------------------------------
 
-_HASH = "h AS (SELECT vec_id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (CASE WHEN i = 63 THEN -9223372036854775808 ELSE 1::BIGINT << i::INTEGER END) ELSE 0 END))::BIGINT AS b FROM embeddings)"
+#: Each vector once more with a bit or two turned, so that there are near ones.
+_HASH = "v AS (SELECT vec_id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (CASE WHEN i = 63 THEN -9223372036854775808 ELSE 1::BIGINT << i::INTEGER END) ELSE 0 END))::BIGINT AS b FROM embeddings), h AS (SELECT * FROM v UNION ALL SELECT vec_id + 1000000000, xor(xor(b, 1::BIGINT << (vec_id % 60)::INTEGER), CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END) FROM v)"
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +388,10 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = one(0)
     for i in range(1, 64):
         out = out.bitwiseOR(one(i))
-    return table(spark, sf_dir, "embeddings").select("vec_id", out.alias("b"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", out.alias("b"))
+    bit = F.expr("shiftleft(1L, cast(vec_id % 60 as int))")
+    turned = F.col("b").bitwiseXOR(bit).bitwiseXOR(F.when(F.col("vec_id") % 3 == 0, 1).otherwise(0).cast("long"))
+    return v.unionByName(v.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), turned.alias("b")))
 
 
 @query(f"WITH {_HASH}, n AS (SELECT vec_id, bit_count(xor(b, (SELECT b FROM h ORDER BY vec_id LIMIT 1)))::BIGINT AS d FROM h) SELECT vec_id, d FROM n")
@@ -332,77 +424,97 @@ def hamming_bands(spark, sf_dir):
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as items; twenty neighbours share a contact, which is frequent in its channel for every fifth twenty."""
     p = table(spark, sf_dir, "part")
     size, key = F.col("p_size"), F.col("p_partkey")
-    contact = F.array(F.struct(F.lit("phone").alias("type"), F.concat(F.lit("+"), (key % 40).cast("string")).alias("value")))
-    slug = F.element_at(F.array(F.lit("rent"), F.lit("jobs"), F.lit("sale")), (1 + size % 3).cast("int"))
+    twenty = F.floor(key / 20).cast("long")
+    contact = F.array(F.struct(F.lit("phone").alias("type"), F.concat(F.lit("+"), twenty.cast("string")).alias("value")))
+    slug = F.element_at(F.array(F.lit("rent"), F.lit("jobs")), (1 + F.floor(size / 10) % 2).cast("int"))
     item = F.struct(F.col("p_name").alias("norm_text"), contact.alias("contacts"), F.lit(None).cast("string").alias("media_phash"), slug.alias("category"), F.concat(F.lit("c"), (key % 3).cast("string")).alias("city"), F.col("p_brand").alias("district"), F.col("p_retailprice").alias("price_amount"), F.lit("SAR").alias("price_currency"), (size % 4).cast("double").alias("rooms"), size.cast("double").alias("area_sqm"))
-    return p.select(key.alias("id"), (key % 40).alias("k"), item.alias("item"))
+    return p.select(key.alias("id"), twenty.alias("k"), item.alias("item"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs that share a contact: an equi-join on the contact, never a cross join."""
     v = _items(spark, sf_dir)
     left, right = v.select(F.col("id").alias("a"), "k", F.col("item").alias("l")), v.select(F.col("id").alias("b"), "k", F.col("item").alias("r"))
-    return left.join(right, "k").where(F.col("a") < F.col("b"))
-
-
-_ITEMS = "i AS (SELECT p_partkey AS id, p_partkey % 40 AS k, p_name AS t, ['rent', 'jobs', 'sale'][1 + p_size % 3] AS cat, p_partkey % 3 AS city, p_brand AS district, p_retailprice AS price, p_size % 4 AS rooms, p_size::DOUBLE AS area FROM part)"
-_BASE = """0.0::DOUBLE + CASE WHEN l.city <> r.city THEN -0.25::DOUBLE ELSE 0.0::DOUBLE END + 0.60::DOUBLE + 0.0::DOUBLE"""
-_TAIL = """+ CASE WHEN abs(l.price - r.price) / greatest(l.price, r.price) <= 0.05::DOUBLE THEN 0.15::DOUBLE WHEN abs(l.price - r.price) / greatest(l.price, r.price) >= 0.25::DOUBLE AND l.cat IN ('rent', 'sale') THEN -0.35::DOUBLE ELSE 0.0::DOUBLE END
- + CASE WHEN l.rooms > 0 AND r.rooms > 0 AND l.rooms <> r.rooms THEN -0.20::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN l.area > 0 AND r.area > 0 AND abs(l.area - r.area) / greatest(l.area, r.area) >= 0.15::DOUBLE THEN -0.15::DOUBLE ELSE 0.0::DOUBLE END
- + CASE WHEN l.district <> r.district THEN -0.10::DOUBLE ELSE 0.0::DOUBLE END"""
-_SCORES = f"s AS (SELECT l.id AS a, r.id AS b, CASE WHEN l.cat <> r.cat THEN 0.0::DOUBLE WHEN l.t = r.t THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_BASE} {_TAIL})) END AS score FROM i l JOIN i r ON l.k = r.k AND l.id < r.id AND r.id - l.id <= 400)"
+    common = F.when(F.col("k") % 5 == 0, F.array(F.concat(F.lit("phone:+"), F.col("k").cast("string")))).otherwise(F.array().cast("array<string>"))
+    return left.join(right, "k").where(F.col("a") < F.col("b")).withColumn("common", common)
+
+
+# the longest common subsequence by rows of its table: the best of a row up to a place is the largest candidate so far
+_LCS = """list_last(list_reduce(list_prepend(list_transform(range(0, length(oa) + 1), lambda i: 0), list_transform(string_split(ob, ''), lambda c: [unicode(c)::INTEGER])),
+    lambda row, ch: list_transform(range(1, length(oa) + 2), lambda i: list_max(list_transform(range(1, i + 1), lambda j: CASE WHEN j > 1 AND unicode(substr(oa, j - 1, 1)) = ch[1] THEN row[j - 1] + 1 ELSE row[j] END)))))"""
+_RATIOS = f"""
+words AS (SELECT DISTINCT x, y, list_sort(list_distinct(string_split(x, ' '))) AS a, list_sort(list_distinct(string_split(y, ' '))) AS b FROM texts),
+parts AS (SELECT x, y, array_to_string(list_filter(a, lambda w: NOT list_contains(b, w)), ' ') AS oa, array_to_string(list_filter(b, lambda w: NOT list_contains(a, w)), ' ') AS ob, length(array_to_string(list_filter(a, lambda w: list_contains(b, w)), ' ')) AS c FROM words),
+lcs AS (SELECT oa, ob, CASE WHEN oa = '' OR ob = '' THEN 0 ELSE {_LCS} END AS n FROM (SELECT DISTINCT oa, ob FROM parts)),
+sizes AS (SELECT *, length(oa) AS la, length(ob) AS lb, CASE WHEN c > 0 THEN 1 ELSE 0 END AS glue FROM parts JOIN lcs USING (oa, ob)),
+ratios AS (SELECT x, y, CASE WHEN c > 0 AND (la = 0 OR lb = 0) THEN 100.0::DOUBLE ELSE greatest(100 * (1 - (la + lb - 2 * n)::DOUBLE / (2 * (c + glue) + la + lb)),
+    CASE WHEN c > 0 THEN 100 * (1 - (glue + la)::DOUBLE / (2 * c + glue + la)) ELSE 0 END, CASE WHEN c > 0 THEN 100 * (1 - (glue + lb)::DOUBLE / (2 * c + glue + lb)) ELSE 0 END) END AS ratio FROM sizes)"""
+_ITEMS = "i AS (SELECT p_partkey AS id, p_partkey // 20 AS k, p_name AS t, ['rent', 'jobs'][1 + (p_size // 10) % 2] AS cat, p_partkey % 3 AS city, p_brand AS district, p_retailprice AS price, p_size % 4 AS rooms, p_size::DOUBLE AS area FROM part)"
+_SCORES = f"""{_ITEMS}, p AS (SELECT l.id AS a, r.id AS b, l.t AS x, r.t AS y, l.k % 5 = 0 AS common, l.cat <> r.cat AS cats, l.cat = 'rent' AS goods, l.city <> r.city AS cities, abs(l.price - r.price) / greatest(l.price, r.price) AS gap,
+    l.rooms > 0 AND r.rooms > 0 AND l.rooms <> r.rooms AS rooms, l.area > 0 AND r.area > 0 AND abs(l.area - r.area) / greatest(l.area, r.area) >= 0.15::DOUBLE AS areas, l.district <> r.district AS districts FROM i l JOIN i r ON l.k = r.k AND l.id < r.id),
+texts AS (SELECT x, y FROM p), {_RATIOS},
+s AS (SELECT a, b, CASE WHEN cats THEN 0.0::DOUBLE WHEN x = y THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+    CASE WHEN cities THEN -0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN common THEN 0.10::DOUBLE ELSE 0.60::DOUBLE END
+    + CASE WHEN ratio >= 95 THEN 0.50::DOUBLE WHEN ratio >= 88 THEN 0.30::DOUBLE WHEN ratio >= 78 THEN 0.15::DOUBLE WHEN ratio < 55 AND common THEN -0.10::DOUBLE ELSE 0.0::DOUBLE END
+    + CASE WHEN gap <= 0.05::DOUBLE THEN 0.15::DOUBLE WHEN gap >= 0.25::DOUBLE AND goods THEN -0.35::DOUBLE ELSE 0.0::DOUBLE END
+    + CASE WHEN rooms THEN -0.20::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN areas THEN -0.15::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN districts THEN -0.10::DOUBLE ELSE 0.0::DOUBLE END)) END AS score,
+    CASE WHEN cats THEN '{score.SAYS["category"]}' WHEN x = y THEN '{score.SAYS["text"]}' ELSE concat_ws('; ', CASE WHEN cities THEN '{score.SAYS["city"]}' END, CASE WHEN common THEN '{score.SAYS["common"]}' ELSE '{score.SAYS["phone"]}' END,
+    CASE WHEN ratio >= 95 THEN replace('{score.SAYS["same"]}', '%s%%', pc) WHEN ratio >= 88 THEN replace('{score.SAYS["close"]}', '%s%%', pc) WHEN ratio >= 78 THEN replace('{score.SAYS["near"]}', '%s%%', pc) WHEN ratio < 55 AND common THEN replace('{score.SAYS["apart"]}', '%s%%', pc) END,
+    CASE WHEN gap <= 0.05::DOUBLE THEN '{score.SAYS["price"]}' WHEN gap >= 0.25::DOUBLE AND goods THEN replace('{score.SAYS["prices"]}', '%s%%', round_even(gap * 100, 0)::BIGINT || '%') END,
+    CASE WHEN rooms THEN '{score.SAYS["rooms"]}' END, CASE WHEN areas THEN '{score.SAYS["area"]}' END, CASE WHEN districts THEN '{score.SAYS["district"]}' END) END AS reasons
+    FROM (SELECT *, round_even(ratio, 0)::BIGINT || '%' AS pc FROM p JOIN ratios USING (x, y)))"""
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What SQL can check of the score: pairs up to 400 ids apart, as in the SQL, and its components but for the texts'
-    similarity, which SQL lacks, as if the texts were half alike. All pairs and texts: the two queries of texts."""
-    return _pairs(spark, sf_dir).where(F.col("b") - F.col("a") <= 400).withColumn("match", score.compare(F.col("l"), F.col("r"), F.lit(60.0)))
+    """All pairs that share a contact, by the whole score."""
+    return resolve.score_pairs(_pairs(spark, sf_dir), "common")
 
 
-@query(f"WITH {_ITEMS}, {_SCORES} SELECT a, b, round(score, 6) AS score, score >= 0.7 AS merges FROM s")
+@query(f"WITH {_SCORES} SELECT a, b, round(score, 6) AS score, score >= 0.7 AS merges FROM s")
 def pair_score(spark, sf_dir):
     return _scored(spark, sf_dir).select("a", "b", F.round("match.score", 6).alias("score"), (F.col("match.score") >= score.MERGE).alias("merges"))
 
 
-@query(f"WITH {_ITEMS}, {_SCORES} SELECT b, arg_max(a, (score, -a)) AS a, round(max(score), 6) AS score FROM s GROUP BY b")
+@query(f"WITH {_SCORES} SELECT b, arg_max(a, (score, -a)) AS a, round(max(score), 6) AS score FROM s GROUP BY b")
 def best_match(spark, sf_dir):
     return resolve.best_match(_scored(spark, sf_dir), "b", "a").select("b", "a", F.round("match.score", 6).alias("score"))
 
 
-def _scored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.score_pairs(_pairs(spark, sf_dir))
-
-
-@query()
+@query(f"WITH {_SCORES} SELECT a, b, round(score, 6) AS score, reasons FROM s")
 def pair_score_texts(spark, sf_dir):
-    """All pairs that share a contact, by the whole score."""
-    return _scored_texts(spark, sf_dir).select("a", "b", F.round("match.score", 6).alias("score"), F.concat_ws("; ", "match.reasons").alias("reasons"))
+    return _scored(spark, sf_dir).select("a", "b", F.round("match.score", 6).alias("score"), F.concat_ws("; ", "match.reasons").alias("reasons"))
 
 
-@query()
+@query(f"WITH {_SCORES} SELECT b, arg_max(a, (score, -a)) AS a, round(max(score), 6) AS score, arg_max(reasons, (score, -a)) AS reasons FROM s GROUP BY b")
 def best_match_texts(spark, sf_dir):
-    """The best of all earlier items that share a contact, by the whole score."""
-    return resolve.best_match(_scored_texts(spark, sf_dir), "b", "a").select("b", "a", F.round("match.score", 6).alias("score"))
+    return resolve.best_match(_scored(spark, sf_dir), "b", "a").select("b", "a", F.round("match.score", 6).alias("score"), F.concat_ws("; ", "match.reasons").alias("reasons"))
 
 
-@query()
+@query(f"WITH p AS (SELECT p_partkey, p_name, lag(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS before FROM part), texts AS (SELECT p_name AS x, before AS y FROM p WHERE before IS NOT NULL), {_RATIOS} SELECT p_partkey, round(coalesce(ratio, 0), 6) AS ratio FROM p LEFT JOIN ratios ON x = p_name AND y = before")
 def token_set_ratio(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.lag("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("before"))
     return p.select("p_partkey", F.round(similarity.token_set_ratio("p_name", "before"), 6).alias("ratio"))
 
 
-@query()
+@query("""WITH d AS (SELECT i, k, CASE WHEN i = 0 THEN sqrt(1.0 / 32) ELSE sqrt(2.0 / 32) END * cos(pi() * i * (2 * k + 1) / 64) AS w FROM range(0, 8) a(i), range(0, 32) b(k)),
+     p AS (SELECT vec_id, n // 32 AS r, n % 32 AS c, embedding[1 + (n * 13 + n // 32 * 7) % 64]::DOUBLE * 50 + 128 AS v FROM embeddings, range(0, 1024) t(n)),
+     t AS (SELECT vec_id, r, i AS l, sum(v * w) AS v FROM p JOIN d ON k = c GROUP BY vec_id, r, i),
+     f AS (SELECT vec_id, i, l, sum(v * w) AS v FROM t JOIN d ON k = r GROUP BY vec_id, i, l),
+     b AS (SELECT vec_id, i, l, CASE WHEN v > median(v) OVER (PARTITION BY vec_id) THEN 1 ELSE 0 END AS bit FROM f),
+     h AS (SELECT vec_id, i * 2 + l // 4 AS place, sum(bit << (3 - l % 4)::INTEGER) AS x FROM b GROUP BY ALL)
+SELECT vec_id, string_agg(substr('0123456789abcdef', 1 + x::INTEGER, 1), '' ORDER BY place) AS media_phash FROM h GROUP BY vec_id""")
 def phash_pixels(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.col("embedding")[F.floor(i / 16).cast("int") % 64].cast("double") * 50 + 128)
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda n: F.col("embedding")[((n * 13 + F.floor(n / 32) * 7) % 64).cast("int")].cast("double") * 50 + 128)
     return v.select("vec_id", phash.phash(pixels).alias("media_phash"))
 
 
 @query()
 def resolve_cards(spark, sf_dir):
-    """Documents as posts of channels, folded into cards; the fold is order-dependent, which SQL can't express."""
+    """Documents as posts of channels, folded into cards; what like texts do to the fold, SQL can't follow (resolve_fold has SQL)."""
     docs = table(spark, sf_dir, "documents")
     posted = F.timestamp_add("MINUTE", F.col("doc_id").cast("int"), F.lit("1996-05-01").cast("timestamp"))
     raw = docs.select(F.col("doc_id").alias("id"), F.xxhash64("source").alias("channel_id"), posted.alias("posted_at"), "text", F.lit(None).cast("string").alias("media_path"), F.lit(None).cast("array<string>").alias("media_paths"), F.lit(None).cast("string").alias("media_phash"))
@@ -412,6 +524,101 @@ def resolve_cards(spark, sf_dir):
     return out.select("id", "canonical_occurrence_id", F.col("repost_count").cast("long").alias("repost_count"), "title")
 
 
+# --- the fold, where only equal texts meet ---------------------------------------------------------
+
+# Orders are posts, a customer's orders are of one text. Those before the window are cards by themselves, as no card is fresh
+# enough to take them in; of the others the first makes a card that takes in the rest, but for those ruled to be by themselves.
+_FOLD = """p AS (SELECT o_orderkey AS id, o_custkey AS cust, o_orderdate AS posted, (o_orderkey % 7 * 13) % 5 * 20 AS trust, CASE WHEN o_orderkey % 3 = 0 THEN 'C' || (o_orderkey % 5) END AS city, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 6 + 1.0::DOUBLE END AS rooms, 'T' || o_orderkey AS title,
+        CASE WHEN o_orderkey % 4 = 0 THEN [] WHEN o_orderkey % 4 = 1 THEN ['x' || (o_orderkey % 3)] ELSE ['m' || (o_orderkey % 3), 'c' || o_custkey] END AS photos, ['phone:+' || o_custkey, 'telegram:u' || o_custkey || '_' || (o_orderkey % 2)] AS contacts FROM orders WHERE o_orderkey % 10 <> 9),
+    q AS (SELECT *, posted >= TIMESTAMP '1996-04-02 00:00:00' AS recent, row_number() OVER (PARTITION BY cust, posted >= TIMESTAMP '1996-04-02 00:00:00' ORDER BY posted, id) AS n FROM p),
+    g AS (SELECT *, CASE WHEN recent AND (n = 1 OR id % 50 <> 0) THEN 'r' || cust ELSE 'o' || id END AS card FROM q),
+    u AS (SELECT card, x, min((posted, id, k)) AS pos, kind FROM (SELECT card, posted, id, 'photo' AS kind, unnest(photos) AS x, generate_subscripts(photos, 1) AS k FROM g UNION ALL SELECT card, posted, id, 'contact', unnest(contacts), generate_subscripts(contacts, 1) FROM g) GROUP BY card, kind, x),
+    m AS (SELECT card, count(*)::BIGINT AS repost_count, min(posted) AS first_seen_at, max(posted) AS last_seen_at, first(city ORDER BY posted, id) FILTER (WHERE city IS NOT NULL) AS city, first(rooms ORDER BY posted, id) FILTER (WHERE rooms IS NOT NULL) AS rooms,
+        first(id ORDER BY trust DESC, posted, id) AS canonical, first(title ORDER BY trust DESC, posted, id) AS title, row_number() OVER (ORDER BY min((posted, id))) AS id FROM g GROUP BY card),
+    photos AS (SELECT card, string_agg(x, ',' ORDER BY pos) AS photos, first(x ORDER BY pos) AS photo FROM u WHERE kind = 'photo' GROUP BY card),
+    contacts AS (SELECT card, string_agg(x, ',' ORDER BY pos) AS contacts FROM u WHERE kind = 'contact' GROUP BY card)"""
+
+
+def _posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences, posts and channels."""
+    o = table(spark, sf_dir, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    text_of = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    paths = F.when(key % 4 == 0, F.array().cast("array<string>")).when(key % 4 == 1, F.lit(None)).otherwise(F.array(text_of("m", (key % 3).cast("string")), text_of("c", cust)))
+    raw = o.select(key.alias("id"), (key % 7).alias("channel_id"), F.col("o_orderdate").cast("timestamp").alias("posted_at"), paths.alias("media_paths"), F.when(key % 4 == 1, text_of("x", (key % 3).cast("string"))).alias("media_path"), F.lit(None).cast("string").alias("media_phash"))
+    contact = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
+    known = {
+        "id": key, "raw_message_id": key, "is_listing": F.when(key % 10 == 9, False), "category": F.lit("rent"), "city": F.when(key % 3 == 0, text_of("C", (key % 5).cast("string"))), "title": text_of("T", key.cast("string")),
+        "rooms": F.when(key % 4 == 1, (key % 6 + 1).cast("double")), "contacts": F.array(contact("phone", text_of("+", cust)), contact("telegram", text_of("u", cust, "_", (key % 2).cast("string")))), "norm_text": text_of("text ", cust),
+    }
+    kinds = schema.struct("listing_occurrence")
+    occ = o.select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds))
+    chan = spark.range(7).select("id", ((F.col("id") * 13) % 5 * 20).cast("int").alias("trust"))
+    return occ, raw, chan
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    occ, raw, chan = _posts(spark, sf_dir)
+    alone = occ.where("id % 50 = 0").select(F.col("id").alias("occurrence_id"), F.lit(None).cast("long").alias("listing_id"))
+    return resolve.resolve(occ, raw, chan, AS_OF, overrides=alone)
+
+
+def _ntz(c: str) -> Column:
+    return F.col(c).cast("timestamp_ntz").alias(c)
+
+
+@query(f"WITH {_FOLD} SELECT id, canonical, repost_count, first_seen_at, last_seen_at, city, rooms, title, photo FROM m LEFT JOIN photos USING (card)")
+def resolve_fold(spark, sf_dir):
+    got = _folded(spark, sf_dir)["listing"]
+    return got.select("id", F.col("canonical_occurrence_id").alias("canonical"), F.col("repost_count").cast("long").alias("repost_count"), _ntz("first_seen_at"), _ntz("last_seen_at"), "city", "rooms", "title", "photo")
+
+
+@query(f"WITH {_FOLD} SELECT g.id AS occurrence_id, m.id AS listing_id, CASE WHEN recent AND n > 1 AND g.id % 50 <> 0 THEN 'merged' ELSE 'created' END AS decision, CASE WHEN recent AND n > 1 AND g.id % 50 <> 0 THEN 1.0::DOUBLE END AS score FROM g JOIN m USING (card)")
+def resolve_links(spark, sf_dir):
+    return _folded(spark, sf_dir)["link"]
+
+
+@query(f"WITH {_FOLD} SELECT count(*)::BIGINT AS parsed, count(*) FILTER (WHERE recent AND n > 1 AND id % 50 <> 0)::BIGINT AS merged, count(*) FILTER (WHERE NOT (recent AND n > 1 AND id % 50 <> 0))::BIGINT AS created FROM g")
+def resolve_counts(spark, sf_dir):
+    return resolve.run_counts(_folded(spark, sf_dir)["link"])
+
+
+@query(f"WITH {_FOLD} SELECT id, coalesce(photos, '') AS photos FROM m LEFT JOIN photos USING (card)")
+def photo_union(spark, sf_dir):
+    """Photos of cards, in the order in which posts brought them."""
+    return _folded(spark, sf_dir)["listing"].select("id", F.concat_ws(",", "photos").alias("photos"))
+
+
+@query(f"WITH {_FOLD} SELECT id, contacts FROM m JOIN contacts USING (card)")
+def contact_union(spark, sf_dir):
+    """Contacts of cards, in the order in which posts brought them."""
+    return _folded(spark, sf_dir)["listing"].select("id", F.array_join(F.transform("contacts", lambda c: F.concat_ws(":", c["type"], c["value"])), ",").alias("contacts"))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS id, o_custkey AS cust, o_orderdate AS posted, o_orderdate >= TIMESTAMP '1996-04-02 00:00:00' AS recent FROM orders WHERE o_orderkey % 10 <> 9),
+    e AS (SELECT DISTINCT cust FROM p WHERE recent AND id % 2 = 0),
+    g AS (SELECT *, CASE WHEN recent OR (id % 2 = 1 AND cust IN (SELECT cust FROM e)) THEN 'r' || cust ELSE 'o' || id END AS card FROM p)
+    SELECT count(*)::BIGINT AS repost_count, min(posted) AS first_seen_at, max(posted) AS last_seen_at FROM g GROUP BY card HAVING bool_or(id % 2 = 1)""")
+def resolve_again(spark, sf_dir):
+    """Even posts first, then odd ones onto the cards there are: the cards that changed. A late post, from before the window,
+    still finds a fresh card and lowers when it was first seen."""
+    occ, raw, chan = _posts(spark, sf_dir)
+    first = resolve.resolve(occ.where("id % 2 = 0"), raw, chan, AS_OF)
+    linked = updated(occ, first["link"].select(F.col("occurrence_id").alias("id"), "listing_id"))
+    listings = schema.empty(spark, "listing").unionByName(first["listing"], allowMissingColumns=True)
+    got = resolve.resolve(linked, raw, chan, AS_OF, listings, context=linked)["listing"]
+    return got.select(F.col("repost_count").cast("long").alias("repost_count"), _ntz("first_seen_at"), _ntz("last_seen_at"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'a,b' WHEN turn % 3 > 0 THEN 'm' || turn || '.jpg' ELSE '' END AS photos FROM conversations")
+def photos_of_posts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    turn = F.col("turn")
+    paths = F.when(turn % 4 == 0, F.array(F.lit("a"), F.lit("b"))).when(turn % 4 == 1, F.array().cast("array<string>"))
+    path = F.when(turn % 3 > 0, F.concat(F.lit("m"), turn.cast("string"), F.lit(".jpg"))).when(turn % 2 == 0, "")
+    return c.select("conv_id", "turn", F.concat_ws(",", resolve.photos_of(paths, path)).alias("photos"))
+
+
 # --- ingestion -----------------------------------------------------------------------------------
 
 _ISLANDS = f"{_MESSAGES}, s AS (SELECT *, CASE WHEN grouped_id IS NULL OR grouped_id IS DISTINCT FROM lag(grouped_id) OVER w THEN 1 ELSE 0 END AS starts FROM msg WINDOW w AS (PARTITION BY channel_id ORDER BY tg_msg_id)), isl AS (SELECT *, sum(starts) OVER (PARTITION BY channel_id ORDER BY tg_msg_id)::BIGINT AS island FROM s)"
@@ -493,16 +700,40 @@ def city_exactly_one(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.city_of(F.when(F.col("p_size") % 4 == 0, F.lit(" Given ")), title).alias("city"))
 
 
-@query("SELECT conv_id, string_agg(role, ',' ORDER BY role) AS roles, sum(n)::BIGINT AS turns FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY conv_id, role) GROUP BY conv_id")
-def photo_union(spark, sf_dir):
-    got = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list(F.array("role")))).alias("r"), F.count("*").alias("turns"))
-    return got.select("conv_id", F.concat_ws(",", F.array_sort("r")).alias("roles"), "turns")
+_PLACES = """p AS (SELECT 'k' || p_partkey AS external_id, p_partkey, p_name, p_size, p_brand || (p_partkey % 40) AS source, count(*) OVER (PARTITION BY p_brand || (p_partkey % 40)) AS n FROM part),
+    r AS (SELECT *, p_size % 4 = 0 AS refined FROM p)"""
 
 
-@query(f"WITH {_FOUND} SELECT source, count(DISTINCT key)::BIGINT AS contacts FROM keys GROUP BY source")
-def contact_union(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", F.explode(text.extract_contacts(F.col("text"))).alias("c"))
-    return docs.groupBy("source").agg(F.size(F.collect_set("c")).cast("long").alias("contacts"))
+def _locations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf_dir, "part")
+    size, name = F.col("p_size"), F.col("p_name")
+    of = lambda **k: {f.name: k.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.struct("location")}
+    own = of(id=F.concat(F.lit("k"), F.col("p_partkey").cast("string")), title=F.when(size % 3 == 0, F.concat(name, F.lit("، Мекка"))).otherwise(name), body=F.concat(F.lit("Intro "), name, F.lit("\n• item")), city=F.when(size % 2 == 0, "Given").otherwise(""), photo=F.when(size % 5 > 0, name), source=F.concat("p_brand", (F.col("p_partkey") % 40).cast("string")))
+    refined = p.where("p_size % 4 = 0").select(
+        F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("new "), name).alias("title"), F.when(size % 8 == 0, F.lit("better")).otherwise(" ").alias("summary"), F.lit(None).cast("string").alias("subcategory"), F.when(size % 12 == 0, "Moved").alias("city"),
+        F.struct(F.lit("p").alias("purpose"), F.array(F.lit("a"), F.lit(" "), F.lit("b")).alias("features"), F.lit("").alias("hours"), F.lit(None).cast("string").alias("price"), F.lit(None).cast("string").alias("audience"), F.lit(None).cast("string").alias("landmark")).alias("details"),
+        (size % 16 == 0).alias("no_photo"), (size % 20 == 0).alias("skip"),
+    )
+    return p.select(*own.values()), refined
+
+
+@query(f"""WITH {_PLACES} SELECT external_id, CASE WHEN refined THEN 'new ' || p_name ELSE p_name END AS title, CASE WHEN p_size % 8 = 0 THEN 'better' WHEN n > 1 THEN 'Intro ' || p_name ELSE 'Intro ' || p_name || chr(10) || '• item' END AS summary,
+    CASE WHEN p_size % 12 = 0 THEN 'Moved' WHEN p_size % 2 = 0 THEN 'Given' WHEN p_size % 3 = 0 THEN 'Мекка' END AS city, CASE WHEN p_size % 5 > 0 AND p_size % 16 > 0 THEN p_name END AS photo, CASE WHEN refined THEN 'a; b' END AS features, CASE WHEN refined THEN 2 ELSE 0 END::BIGINT AS details FROM r WHERE p_size % 20 > 0""")
+def curated_places(spark, sf_dir):
+    locations, refined = _locations(spark, sf_dir)
+    got = curate.places(locations, curate.clean_refinements(refined))
+    return got.select("external_id", "title", "summary", "city", "photo", F.col("details")["features"].alias("features"), F.cardinality("details").cast("long").alias("details"))
+
+
+@query(f"WITH {_PLACES} SELECT external_id AS id FROM r WHERE NOT refined")
+def to_refine(spark, sf_dir):
+    return curate.to_refine(*_locations(spark, sf_dir)).select("id")
+
+
+@query(f"WITH {_PLACES} SELECT count(*)::BIGINT AS records, count(*) FILTER (WHERE n > 1)::BIGINT AS shared, count(*) FILTER (WHERE p_size % 3 = 0)::BIGINT AS arabic, count(*) FILTER (WHERE p_size % 2 = 0 AND p_size % 12 = 0 AND p_size % 20 > 0)::BIGINT AS moved FROM r")
+def refine_report(spark, sf_dir):
+    locations, refined = _locations(spark, sf_dir)
+    return curate.refine_report(curate.places(locations, curate.clean_refinements(refined)), locations)
 
 
 @query("SELECT event_id, CASE WHEN date_diff('day', ts::DATE, DATE '2024-01-20') <= 0 THEN 'day' WHEN date_diff('day', ts::DATE, DATE '2024-01-20') < 7 THEN 'week' WHEN date_diff('day', ts::DATE, DATE '2024-01-20') < 31 THEN 'month' ELSE 'older' END AS bucket FROM events")

@@ -21,7 +21,6 @@ CATEGORIES = {
 }
 PRICED = ["rent", "sale", "goods", "services", "transport"]
 ADS = ["rent", "sale", "jobs", "services", "goods", "transport", "food", "events", "other"]
-MVP = ["rent", "location"]
 LOCATION, DEFAULT = "location", "other"
 NO_TITLE = "Без названия"
 

@@ -1,12 +1,18 @@
-"""Tables as snapshot folders of Parquet, and the readers of configuration and of curated JSON.
+"""Tables as folders of Parquet under one manifest, and the readers of configuration and of curated JSON.
 
-A table is ``root/name/v<number>``, the highest number being current; a write makes a new folder and readers of the
-old one go on undisturbed. One writer at a time.
+A manifest, ``root/_manifest/<number>.json``, says of which folders each table consists; that of the highest number
+holds. A write makes a new folder; it counts from when a manifest lists it. So an append writes only its own rows, a
+transaction switches all its tables at once, and what a failed one wrote is never read. Readers of an older state go on
+undisturbed while its folders are kept. One writer at a time.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,41 +23,97 @@ from bazaar.operators.ids import number
 from bazaar.operators.ingest import absent
 
 
+#: Manifests, and the folders that they list, that are kept beside the current one.
+KEEP = 2
+
+
 class Store:
     """Named tables under a root that Spark can write to."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._fs = lambda p: p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._open: dict[str, list[str]] | None = None  # the state that a transaction will leave
 
     def _path(self, text: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
-
-    def versions(self, name: str) -> list[int]:
-        p = self._path(f"{self.root}/{name}")
-        fs = self._fs(p)
-        found = fs.listStatus(p) if fs.exists(p) else []
-        done = [s.getPath() for s in found if fs.exists(self._path(f"{s.getPath()}/_SUCCESS"))]
-        return sorted(int(x.getName()[1:]) for x in done if x.getName()[:1] == "v")
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _list(self, text: str) -> list[str]:
+        fs, p = self._path(text)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _manifests(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self._list(f"{self.root}/_manifest") if n.endswith(".json") and n[:-5].isdigit())
+
+    def _state(self, number: int) -> dict[str, list[str]]:
+        rows = self.spark.read.text(f"{self.root}/_manifest/{number:012}.json", wholetext=True)
+        return json.loads(rows.first()[0])
+
+    def state(self) -> dict[str, list[str]]:
+        """Folders of each table, as the transaction that is open left them, else as the current manifest says."""
+        have = self._manifests() if self._open is None else []
+        return self._open if self._open is not None else self._state(have[-1]) if have else {}
+
+    def _commit(self, state: dict[str, list[str]]) -> None:
+        have = self._manifests()
+        n = have[-1] + 1 if have else 0
+        fs, new = self._path(f"{self.root}/_manifest/.{n}-{uuid.uuid4().hex}")
+        out = fs.create(new)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not fs.rename(new, self._path(f"{self.root}/_manifest/{n:012}.json")[1]):
+            raise RuntimeError("another writer has committed meanwhile")
+        old = have[: max(0, len(have) - KEEP)]
+        kept = {f for m in [*have[len(old) :], n] for fs_ in self._state(m).values() for f in fs_}
+        for m in old:
+            for folder in {f for fs_ in self._state(m).values() for f in fs_} - kept:
+                self._drop(f"{self.root}/{folder}")
+            self._drop(f"{self.root}/_manifest/{m:012}.json")
+
+    def _drop(self, text: str) -> None:
+        fs, p = self._path(text)
+        fs.delete(p, True)
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """Writes inside count together when it ends, and not at all if it fails; one inside another is part of that."""
+        if self._open is not None:
+            yield
+            return
+        self._open = dict(self.state())
+        try:
+            yield
+            self._commit(self._open)
+        finally:
+            self._open = None
 
     def read(self, name: str) -> DataFrame:
-        """The current snapshot; an empty table of the declared columns if there is none."""
-        have = self.versions(name)
-        if not have:
+        """The table as it stands; an empty one of the declared columns if it was never written."""
+        folders = self.state().get(name)
+        if not folders:
             return schema.empty(self.spark, name)
-        found = self.spark.read.parquet(f"{self.root}/{name}/v{have[-1]}")
+        found = self.spark.read.option("mergeSchema", len(folders) > 1).parquet(*(f"{self.root}/{f}" for f in folders))
         for f in schema.struct(name):
             if f.name not in found.columns:
                 found = found.withColumn(f.name, F.lit(None).cast(f.dataType))
         return found
 
-    def write(self, name: str, df: DataFrame, partition_by: str | None = None, keep: int = 2) -> None:
-        have = self.versions(name)
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/v{have[-1] + 1 if have else 0}")
-        for old in have[: max(0, len(have) + 1 - keep)]:
-            p = self._path(f"{self.root}/{name}/v{old}")
-            self._fs(p).delete(p, True)
+    def _add(self, name: str, df: DataFrame) -> str:
+        folder = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """df in place of the table."""
+        folder = self._add(name, df)
+        with self.transaction():
+            self._open[name] = [folder]
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """The table and df, which alone is written."""
+        folder = self._add(name, df)
+        with self.transaction():
+            self._open[name] = [*self._open.get(name, []), folder]
 
     def insert(self, name: str, rows: DataFrame, keys: list[str] | None = None, order: list | None = None) -> int:
         """Appends rows with ids behind the last; with keys, only those that are not there yet. How many."""
@@ -60,7 +122,8 @@ class Store:
         new = number(new.drop("id"), order or keys or new.drop("id").columns[:1], (now.agg(F.max("id")).first()[0] or 0) + 1)
         added = new.count()
         if added:
-            self.write(name, now.unionByName(new.select(*[c for c in new.columns if c in now.columns]), allowMissingColumns=True))
+            kinds = {f.name: f.dataType for f in now.schema}
+            self.append(name, new.select(*(F.col(c).cast(kinds[c]).alias(c) for c in new.columns if c in kinds)))
         return added
 
     def update(self, name: str, changes: DataFrame, key: str = "id") -> None:
@@ -76,7 +139,7 @@ class Store:
         for step in todo:
             steps[step](self)
             row = self.spark.createDataFrame([(step, at)], schema.struct("schema_migration"))
-            self.write("schema_migration", self.read("schema_migration").unionByName(row))
+            self.append("schema_migration", row)
         return todo
 
 

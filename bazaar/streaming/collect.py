@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from bazaar.operators import ingest, resolve
 from bazaar.operators.feed import publish_ready
+from bazaar.operators.staging import staged
 from bazaar.sources.tables import Store, updated
 
+log = logging.getLogger(__name__)
+
 
 def append_batch(store: Store, messages: DataFrame, open_albums: bool = True) -> int:
     """Archives the posts of a batch past the channels' cursors, then raises these; run again, it adds nothing.
@@ -20,11 +24,11 @@ def append_batch(store: Store, messages: DataFrame, open_albums: bool = True) ->
     """
     channels = store.read("channel")
     new = ingest.not_empty(ingest.fresh(messages, channels, limit=1 << 30))
-    new = (new if open_albums else ingest.hold_open(new)).persist()
+    new = staged(new if open_albums else ingest.hold_open(new))
     posts = ingest.albums(new).drop("last_id").withColumn("fetched_at", F.current_timestamp())
-    added = store.insert("raw_message", posts, ["channel_id", "tg_msg_id"], ["posted_at", "channel_id", "tg_msg_id"])
-    store.write("channel", ingest.cursors(channels, new))
-    new.unpersist()
+    with store.transaction():
+        added = store.insert("raw_message", posts, ["channel_id", "tg_msg_id"], ["posted_at", "channel_id", "tg_msg_id"])
+        store.write("channel", ingest.cursors(channels, new))
     return added
 
 
@@ -35,7 +39,7 @@ def parse_new(store: Store, as_of: datetime, parser=resolve.rules, model: str =
 
 
 def resolve_new(store: Store, as_of: datetime) -> dict[str, int]:
-    """Folds occurrences without a card into cards; parsed, merged and created."""
+    """Folds occurrences without a card into cards; parsed, merged and created. Cards, links and doubts change together."""
     raw, occurrences, listings = (store.read(t) for t in ("raw_message", "listing_occurrence", "listing"))
     out = resolve.resolve(occurrences, raw, store.read("channel"), as_of, listings, store.read("dedup_override"), occurrences)
     counts = resolve.run_counts(out["link"]).first().asDict()
@@ -44,9 +48,10 @@ def resolve_new(store: Store, as_of: datetime) -> dict[str, int]:
     rest = [c for c in listings.columns if c not in out["listing"].columns]
     cards = out["listing"].join(listings.select("id", *rest), "id", "left")
     doubts = out["suggestion"].withColumns({"created_at": F.lit(as_of).cast("timestamp"), "resolved_at": F.lit(None).cast("timestamp")})
-    store.insert("dedup_suggestion", doubts, ["occurrence_id", "listing_id"])
-    store.write("listing", old.unionByName(cards.select(*old.columns)))
-    store.write("listing_occurrence", updated(occurrences, out["link"].select(F.col("occurrence_id").alias("id"), "listing_id")))
+    with store.transaction():
+        store.insert("dedup_suggestion", doubts, ["occurrence_id", "listing_id"])
+        store.write("listing", old.unionByName(cards.select(*old.columns)))
+        store.write("listing_occurrence", updated(occurrences, out["link"].select(F.col("occurrence_id").alias("id"), "listing_id")))
     return counts
 
 
@@ -80,5 +85,6 @@ def collect_all(batches: dict[str, callable]) -> dict[str, int]:
         try:
             out[name] = run()
         except Exception:
+            log.exception("collection of %s failed", name)
             out[name] = -1
     return out

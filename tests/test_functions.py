@@ -174,7 +174,7 @@ def test_compare_is_the_fold_s_score(spark):
         return d | {"keys": {f"{t}:{v}" for t, v in d["contacts"] if v}, "bits": int(d["media_phash"], 16) if d["media_phash"] not in (None, "zz") else None}
 
     for (a, b, common, _), got in zip(pairs, judge(spark, pairs), strict=True):
-        assert (got.score, got.reasons) == resolve._score(plain(a), plain(b), set(common))
+        assert (got.score, got.reasons) == score.weigh(plain(a), plain(b), set(common))
 
 
 def test_identity_key(spark):

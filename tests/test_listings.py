@@ -242,6 +242,65 @@ def test_store(spark, store, tmp_path):
     assert [r[0] for r in df.select(tables.loads(F.col("v"), "array<string>", F.array())).collect()] == [["a"], [], []]
 
 
+def test_appends_write_their_rows_only(spark, store):
+    rows = lambda *n: spark.createDataFrame([(i, 2) for i in n], "channel_id long, tg_msg_id long")
+    store.insert("raw_message", rows(1, 2), ["channel_id"])
+    first = store.state()["raw_message"]
+    store.insert("raw_message", rows(2, 3), ["channel_id"])
+    assert store.state()["raw_message"][:-1] == first and spark.read.parquet(f"{store.root}/{store.state()['raw_message'][-1]}").count() == 1
+    assert [(r.id, r.channel_id) for r in store.read("raw_message").orderBy("id").collect()] == [(1, 1), (2, 2), (3, 3)]
+
+
+@pytest.mark.parametrize("fails_at", ["dedup_suggestion", "listing", "listing_occurrence"])
+def test_a_run_that_stops_between_its_writes_leaves_nothing(store, monkeypatch, fails_at):
+    """And the next one does it all, once: the same as a run that never stopped."""
+    setup(store, [(1, 1, FLAT, []), (2, 3, AGAIN, []), (1, 4, STUDIO, [])])
+    collect.parse_new(store, AS_OF)
+    before, real = store.state(), tables.Store._add
+
+    def stop(self, name, df):
+        if name == fails_at:
+            raise OSError("stopped")
+        return real(self, name, df)
+
+    doubt = store.spark.createDataFrame([(1, 2, 0.6, ["x"])], "occurrence_id long, listing_id long, score double, reasons array<string>")
+    resolve_ = resolve.resolve
+    monkeypatch.setattr(resolve, "resolve", lambda *a, **k: resolve_(*a, **k) | {"suggestion": doubt})
+    monkeypatch.setattr(tables.Store, "_add", stop)
+    with pytest.raises(OSError, match="stopped"):
+        collect.resolve_new(store, AS_OF)
+    assert store.state() == before and store.read("listing").count() == 0
+    monkeypatch.setattr(tables.Store, "_add", real)
+    assert collect.resolve_new(store, AS_OF) == {"parsed": 3, "merged": 1, "created": 2}
+    assert sorted(c.repost_count for c in cards(store)) == [1, 2] and store.read("dedup_suggestion").count() == 1
+    assert collect.resolve_new(store, AS_OF)["parsed"] == 0 and sorted(c.repost_count for c in cards(store)) == [1, 2]
+
+
+def test_old_states_are_dropped(store):
+    for i in range(6):
+        store.write("promotion", store.spark.createDataFrame([(i,)], "id long"))
+    assert store.read("promotion").first().id == 5 and len(store._list(f"{store.root}/promotion")) == tables.KEEP + 1 == len(store._manifests())
+
+
+def test_components_are_folded_as_one_fold_would(spark, monkeypatch):
+    """Random posts with few texts, contacts, photos and prices: by components the same cards, links and doubts as a
+    fold of each category at once."""
+    import random
+
+    rng = random.Random(11)
+    base = ["flat with sea view and new furniture", "flat with sea view and new furnitures", "driver wanted for night shifts", "sofa for sale almost new", "studio near the station for one"]
+    occ = [(i, i, None, rng.choice(["rent", "jobs", None]), rng.choice(["Медина", "Мекка", None]), f"t{i}", rng.choice([None, 900.0, 910.0, 2500.0]), rng.choice(base) + rng.choice(["", " today", " now"]), [("phone", rng.choice(["+1", "+2", "+3", ""]))] if rng.random() < 0.5 else []) for i in range(120)]
+    occ = spark.createDataFrame(occ, f"id long, raw_message_id long, listing_id long, category string, city string, title string, price_amount double, norm_text string, contacts {schema.CONTACTS}")
+    occ = schema.empty(spark, "listing_occurrence").unionByName(occ, allowMissingColumns=True)
+    raw = spark.createDataFrame([(i, i % 3, datetime(2026, 8, 1 + rng.randrange(9)), [rng.choice("abc")] if rng.random() < 0.4 else None, rng.choice([None, "00000000000000ff", "00000000000000fe", "ff00ff00ff00ff00"])) for i in range(120)], "id long, channel_id long, posted_at timestamp, media_paths array<string>, media_phash string").withColumn("media_path", F.lit(None).cast("string"))
+    chan = spark.createDataFrame([(0, 10), (1, 50), (2, 90)], "id long, trust int")
+    ruled = spark.createDataFrame([(5, None), (17, None)], "occurrence_id long, listing_id long")
+    go = lambda: {k: sorted(map(str, v.drop("updated_at").collect())) for k, v in resolve.resolve(occ, raw, chan, AS_OF, overrides=ruled).items()}
+    got = go()
+    monkeypatch.setattr(resolve, "_components", lambda rows: rows.withColumn("component", F.col("home")))
+    assert got == go() and 10 < len(got["listing"]) < 100 and got["suggestion"]
+
+
 def test_parsers(spark):
     model = '{"is_listing": true, "category": "flat", "title": "  ", "price_amount": 5.0}'
     df = spark.createDataFrame([(model,), ("{}",), ("bad",)], "v string").select(resolve.from_model(F.col("v")).alias("p")).select("p.*").collect()
