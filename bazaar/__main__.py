@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
@@ -12,14 +13,19 @@ from bazaar.sources.tables import Store, load_channels
 from bazaar.streaming import collect
 
 
+def env(name: str, default: str | None = None) -> str | None:
+    """A setting of the environment without white space around it; the default where it is unset or blank."""
+    return os.environ.get(name, "").strip() or default
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="bazaar")
-    p.add_argument("--db", required=True, help="root of the tables, a path that Spark can write to")
+    p.add_argument("--db", default=env("BAZAAR_DB"), help="root of the tables, a path that Spark can write to ($BAZAAR_DB)")
     p.add_argument("--as-of", type=datetime.fromisoformat, default=None, help="now, unless given")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("collect", help="archive new messages of a landing folder")
     c.add_argument("landing")
-    c.add_argument("--channels", help="YAML of channels")
+    c.add_argument("--channels", default=env("BAZAAR_CHANNELS"), help="YAML of channels ($BAZAAR_CHANNELS)")
     sub.add_parser("parse", help="parse new posts and fold them into cards")
     sub.add_parser("publish", help="publish cards without open doubts")
     r = sub.add_parser("review", help="show open doubts")
@@ -27,8 +33,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     sub.add_parser("stats", help="show counters")
     e = sub.add_parser("export", help="write published cards as one JSON document")
     e.add_argument("path")
-    e.add_argument("--media", default="", help="base address of media")
+    e.add_argument("--media", default=env("BAZAAR_MEDIA", ""), help="base address of media ($BAZAAR_MEDIA)")
     a = p.parse_args(argv)
+    if not a.db:
+        p.error("--db or $BAZAAR_DB is needed")
     spark = spark or SparkSession.builder.appName("bazaar").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     store, as_of = Store(spark, a.db), a.as_of or datetime.now(UTC).replace(tzinfo=None)
     if a.command == "collect":

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 SIDE, LOW, SAME_IMAGE, FAR = 32, 8, 8, 64
 
@@ -35,6 +38,34 @@ def phash(pixels: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def grey(content: bytes) -> list[float] | None:
+    """1024 grey values of an image file; None if it can't be read, or if no decoder (Pillow) is installed."""
+    try:
+        from PIL import Image
+    except ImportError:
+        return None
+    try:
+        with Image.open(io.BytesIO(content)) as image:
+            small = image.convert("L").resize((SIDE, SIDE), Image.Resampling.LANCZOS)
+            return [float(x) for x in small.tobytes()]
+    except (OSError, ValueError):
+        return None
+
+
+def image_hashes(spark: SparkSession, path: str, decode: Callable[[bytes], list[float] | None] = grey) -> DataFrame:
+    """(path, media_phash) of the files under path, from Spark's binaryFile source; null where ``decode`` finds no image.
+
+    decode makes 1024 grey values, row by row, of a file's bytes.
+    """
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def pixels(content: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else decode(c) for c in content.to_pylist()], pa.list_(pa.float64()))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", phash(pixels("content")).alias("media_phash"))
+
+
 def bits(hexa: Column) -> Column:
     """A hash as a long; null unless it is 1 to 16 hex digits."""
     return F.when(hexa.rlike("^[0-9a-fA-F]{1,16}$"), F.conv(hexa, 16, -10).cast("long"))

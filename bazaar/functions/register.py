@@ -1,14 +1,31 @@
-"""The functions that SQL can't compose from its own, registered under their names."""
+"""The library's functions by their names: UDFs in SQL, and all of them on columns of DataFrames."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
-from bazaar.functions.phash import phash
+from bazaar.functions import money, text
+from bazaar.functions.phash import hamming, phash
 from bazaar.functions.similarity import token_set_ratio
 from bazaar.functions.text import nfkc
 
+UDFS = {"nfkc": nfkc, "token_set_ratio": token_set_ratio, "phash": phash}
+COLUMNS = {
+    "normalize_phone": text.normalize_phone, "normalize_text": text.normalize_text, "extract_phones": text.extract_phones, "extract_usernames": text.extract_usernames, "extract_contacts": text.extract_contacts,
+    "title_of": text.title_of, "title_fallback": text.title_fallback, "has_arabic": text.has_arabic, "escape_html": text.escape_html,
+    "parse_price": money.parse_price, "price_bucket": money.price_bucket, "format_price": money.format_price, "hash_distance": hamming,
+}
+
+
+def apply_function(name: str, *args: Column | str) -> Column:
+    """A function by its name, over columns."""
+    if name in UDFS:
+        return UDFS[name](*args)
+    return COLUMNS[name](*(F.col(a) if isinstance(a, str) else a for a in args))
+
 
 def register(spark: SparkSession) -> None:
-    for name, fn in (("nfkc", nfkc), ("token_set_ratio", token_set_ratio), ("phash", phash)):
+    """The UDFs as functions of the session; ``apply_function`` gives the others by name to DataFrames."""
+    for name, fn in UDFS.items():
         spark.udf.register(name, fn)

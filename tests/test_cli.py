@@ -1,9 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from bazaar.__main__ import main
-from bazaar.functions.register import register
+from bazaar.functions import phash
+from bazaar.functions.register import apply_function, register
 from bazaar.operators import curate, resolve
 
 FLAT = "Сдаётся квартира у моря, две комнаты, 2500 SAR, 0512345678"
@@ -29,6 +31,35 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT nfkc('ﬁ'), round(token_set_ratio('a b c', 'a b d'), 3), phash(array(1.0D))").first() == ("fi", 80.0, None)
 
 
+def test_functions_by_name(spark):
+    df = spark.createDataFrame([("a 0512345678", 2500.0)], "t string, n double")
+    got = df.select(*(apply_function(*x) for x in (("normalize_text", "t"), ("extract_phones", "t"), ("price_bucket", "n"), ("token_set_ratio", "t", "t"), ("nfkc", "t")))).first()
+    assert tuple(got) == ("a", ["+966512345678"], "b18", 100.0, "a 0512345678")
+
+
+def test_settings_of_the_environment(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setenv("BAZAAR_DB", f" file://{tmp_path}/db ")
+    assert main(["stats"], spark) == 0 and "listings: 0" in capsys.readouterr().out
+    monkeypatch.setenv("BAZAAR_DB", " ")
+    with pytest.raises(SystemExit):
+        main(["stats"], spark)
+
+
+def test_images_are_hashed_by_a_decoder(spark, tmp_path):
+    for name, value in (("a", 3), ("b", 200), ("bad", None)):
+        (tmp_path / name).write_bytes(b"junk" if value is None else bytes((i * value) % 256 for i in range(1024)))
+    decode = lambda content: [float(x) for x in content] if len(content) == 1024 else None
+    got = {r["path"].rpartition("/")[2]: r["media_phash"] for r in phash.image_hashes(spark, f"file://{tmp_path}", decode).collect()}
+    assert got["bad"] is None and len({got["a"], got["b"]}) == 2 and all(len(got[k]) == 16 for k in "ab")
+    assert {r["media_phash"] for r in phash.image_hashes(spark, f"file://{tmp_path}/bad").collect()} == {None}
+
+
+def test_exports():
+    import bazaar
+
+    assert all(callable(getattr(bazaar, n)) or n in ("MERGE", "REVIEW") for n in bazaar.__all__)
+
+
 def test_batch_results_in_any_order(spark):
     raw = spark.createDataFrame([(1, "a 0512345678"), (2, "b"), (3, "c")], "id long, text string")
     results = spark.createDataFrame([(3, "junk"), (1, '{"is_listing": true, "category": "rent", "title": "T"}'), (2, None)], "id long, payload string")
