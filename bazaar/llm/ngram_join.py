@@ -30,7 +30,7 @@ from bazaar.llm.words import NOT_ALNUM, chunks, grams, hashes, mix, spans
 #: Shingles of a block of a cluster; a task holds two blocks.
 BLOCK_SHINGLES = 3_000_000
 #: Sets of a block, at most about.
-BLOCK_SETS = 512
+BLOCK_SETS = 256
 
 
 def bands_and_rows(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
