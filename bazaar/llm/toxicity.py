@@ -9,6 +9,7 @@ places, so training starts with the logistic loss, which has none.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         long = end - start > n
         keys.append(hashes(raw, start[long], start[long] + n) ^ np.uint64(0x5BD1E995 * (i + 1)))
         rows.append(row[long])
-    return np.concatenate(rows), np.concatenate(keys) & np.uint64(0xFFFFFFFF)
+    return np.concatenate(rows), np.concatenate(keys).astype(np.uint32)
 
 
 @dataclass
@@ -53,6 +54,20 @@ class Model:
     bias: float
 
 
+def _numbered(docs: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct keys of sets of keys, sorted, and each set as places in them."""
+    keys = np.unique(np.concatenate(docs))
+    return keys, [np.searchsorted(keys, d).astype(np.int32) for d in docs]
+
+
+def _counts(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """How many of the sets have each of n places."""
+    out = np.zeros(n, np.int32)
+    for at in sets:
+        out[at] += 1
+    return out
+
+
 def one_of_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
     """Without those with a Jaccard similarity of COPY or more to an earlier one that stays: near copies must not count
     as evidence.
@@ -62,10 +77,11 @@ def one_of_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
     """
     if not docs:
         return []
-    keys, place, count = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
-    rank = np.empty(len(keys), np.int64)
+    keys, places = _numbered(docs)
+    count = _counts(places, len(keys))
+    rank = np.empty(len(keys), np.int32)
     rank[np.lexsort((keys, count))] = np.arange(len(keys))
-    places = np.split(rank[place], np.cumsum([len(d) for d in docs])[:-1])
+    places = (rank[at] for at in places)
     num, den = COPY
     own, sizes, held, out, empty = np.zeros(len(keys), bool), np.zeros(len(docs), np.int64), [], [], False
     met: dict[int, list[int]] = {}
@@ -102,13 +118,10 @@ def train(p: list[np.ndarray], u: list[np.ndarray], prior: float, seed: int = 0)
     prior = min(max(prior, 0.0), 0.999)
     p, u = one_of_copies(p), one_of_copies(u)
     if not p or not u or not prior:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-9) / (1 - prior))))
-    keys, place = np.unique(np.concatenate([*p, *u]), return_inverse=True)
-    ends = np.cumsum([len(d) for d in (*p, *u)])
-    rows = np.split(place, ends[:-1])
+        return Model(np.zeros(0, np.uint32), np.zeros(0, np.float32), float(np.log(max(prior, 1e-9) / (1 - prior))))
+    keys, rows = _numbered([*p, *u])
     x_p, x_u = rows[: len(p)], rows[len(p) :]
-    in_p, in_u = (np.bincount(np.concatenate(x), minlength=len(keys)) for x in (x_p, x_u))
-    value = values(in_p, in_u, len(p), len(u))
+    value = values(_counts(x_p, len(keys)), _counts(x_u, len(keys)), len(p), len(u))
     rng = np.random.default_rng(seed)
     weights, biases = [], []
     for m in range(MEMBERS):
@@ -116,7 +129,7 @@ def train(p: list[np.ndarray], u: list[np.ndarray], prior: float, seed: int = 0)
         w, b = fit_one(x_p, own_u, value, prior, rng)
         weights.append(w * value)
         biases.append(b)
-    return Model(keys.astype(np.uint64), np.mean(weights, axis=0), float(np.mean(biases)))
+    return Model(keys.astype(np.uint32), np.mean(weights, axis=0, dtype=np.float32), float(np.mean(biases)))
 
 
 def values(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
@@ -144,7 +157,8 @@ def risk(f_p: np.ndarray, f_u: np.ndarray, prior: float, logistic: bool) -> tupl
 def fit_one(x_p: list[np.ndarray], x_u: list[np.ndarray], value: np.ndarray, prior: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
     """One classifier by Adam on batches that hold P and U in proportion; f is the bias plus the sum of weight * value."""
     n = len(value)
-    w, m, v = (np.zeros(n + 1) for _ in range(3))
+    w, m, v = (np.zeros(n + 1, np.float32) for _ in range(3))
+    value = value.astype(np.float32)
     w[n] = np.log(prior / (1 - prior))
     steps = max(1, -(-len(x_u) // BATCH))
     t, epochs = 0, max(EPOCHS, 600 // steps)
@@ -159,13 +173,14 @@ def fit_one(x_p: list[np.ndarray], x_u: list[np.ndarray], value: np.ndarray, pri
             full = w[:n] * value
             f_p, f_u = (w[n] + np.bincount(r, weights=full[c], minlength=len(own)) for r, c, own in zip(rows, cols, (own_p, own_u), strict=True))
             _, d_p, d_u = risk(f_p, f_u, prior, epoch < epochs // 10)
-            g = np.bincount(np.concatenate(cols), weights=np.concatenate([d_p[rows[0]], d_u[rows[1]]]), minlength=n + 1)
+            g = np.bincount(np.concatenate(cols), weights=np.concatenate([d_p[rows[0]], d_u[rows[1]]]), minlength=n + 1).astype(np.float32)
             g[:n] = g[:n] * value + DECAY * w[:n]
             g[n] = d_p.sum() + d_u.sum()
             t += 1
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            w -= RATE * (0.5 * (1 + np.cos(np.pi * epoch / epochs))) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.001) * (g * g - v)
+            rate = RATE * (0.5 * (1 + math.cos(math.pi * epoch / epochs))) / (1 - 0.9**t)
+            w -= np.float32(rate) * m / (np.sqrt(v * np.float32(1 / (1 - 0.999**t))) + np.float32(1e-8))
     return w[:n], float(w[n])
 
 
@@ -189,7 +204,7 @@ def fit(docs: DataFrame, toxic: DataFrame, prior: float, max_positive: int = MAX
         for b in batches:
             for lo, hi, raw, offsets in chunks(b.column(2)):
                 row, key = features(raw, offsets)
-                pairs = np.unique((row.astype(np.uint64) << np.uint64(32)) | key)
+                pairs = np.unique((row.astype(np.uint64) << np.uint64(32)) | key.astype(np.uint64))
                 ends = np.searchsorted(pairs, np.arange(hi - lo + 1, dtype=np.uint64) << np.uint64(32))
                 keys = (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))], names=["p", "u", "keys"])

@@ -117,16 +117,16 @@ def grams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 
 
 class Index:
-    """Open-addressing table from uint64 keys to their places; looks up whole arrays."""
+    """Open-addressing table from unsigned integers, of 32 or 64 bits, to their places; looks up whole arrays."""
 
     def __init__(self, keys: np.ndarray):
-        keys = np.asarray(keys, dtype=np.uint64)
-        self.bits = max(4, int(len(keys) * 3 + 1).bit_length())
-        size = 1 << self.bits
-        self.mask = np.uint64(size - 1)
-        self.keys = np.zeros(size, dtype=np.uint64)
+        kind = keys.dtype.type
+        bits = max(4, int(len(keys) * 3 // 2 + 1).bit_length())
+        size = 1 << bits
+        self.mask = kind(size - 1)
+        self.keys = np.zeros(size, dtype=kind)
         self.place = np.full(size, -1, dtype=np.int32)
-        left, slot, self.probes = np.arange(len(keys)), keys & self.mask, 1
+        left, slot, self.probes = np.arange(len(keys), dtype=np.int32), keys & self.mask, 1
         while len(left):
             free = self.place[slot] < 0
             _, one = np.unique(slot[free], return_index=True)
@@ -134,11 +134,12 @@ class Index:
             self.place[slot[won]], self.keys[slot[won]] = left[won], keys[left[won]]
             rest = np.ones(len(left), dtype=bool)
             rest[won] = False
-            left, slot = left[rest], (slot[rest] + np.uint64(1)) & self.mask
+            left, slot = left[rest], (slot[rest] + kind(1)) & self.mask
             self.probes += bool(len(left))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 if unknown."""
+        kind = self.keys.dtype.type
         slot = keys & self.mask
         place = self.place[slot]
         out = np.where(self.keys[slot] == keys, place, -1)
@@ -146,7 +147,7 @@ class Index:
         for i in range(1, self.probes):
             if not len(open_):
                 break
-            slot = (keys[open_] + np.uint64(i)) & self.mask
+            slot = (keys[open_] + kind(i)) & self.mask
             place = self.place[slot]
             hit = (self.keys[slot] == keys[open_]) & (place >= 0)
             out[open_[hit]] = place[hit]
