@@ -158,7 +158,7 @@ def fit_one(x_p: list[np.ndarray], x_u: list[np.ndarray], value: np.ndarray, pri
     """One classifier by Adam on batches that hold P and U in proportion; f is the bias plus the sum of weight * value."""
     n = len(value)
     w, m, v = (np.zeros(n + 1, np.float32) for _ in range(3))
-    value = value.astype(np.float32)
+    value, full, step = value.astype(np.float32), np.empty(n, np.float32), np.empty(n + 1, np.float32)
     w[n] = np.log(prior / (1 - prior))
     steps = max(1, -(-len(x_u) // BATCH))
     t, epochs = 0, max(EPOCHS, 600 // steps)
@@ -170,17 +170,21 @@ def fit_one(x_p: list[np.ndarray], x_u: list[np.ndarray], value: np.ndarray, pri
                 own_p = perm_p
             cols = [np.concatenate([x[i] for i in own]) if len(own) else np.zeros(0, np.int64) for x, own in ((x_p, own_p), (x_u, own_u))]
             rows = [np.repeat(np.arange(len(own)), [len(x[i]) for i in own]) for x, own in ((x_p, own_p), (x_u, own_u))]
-            full = w[:n] * value
+            np.multiply(w[:n], value, out=full)
             f_p, f_u = (w[n] + np.bincount(r, weights=full[c], minlength=len(own)) for r, c, own in zip(rows, cols, (own_p, own_u), strict=True))
             _, d_p, d_u = risk(f_p, f_u, prior, epoch < epochs // 10)
             g = np.bincount(np.concatenate(cols), weights=np.concatenate([d_p[rows[0]], d_u[rows[1]]]), minlength=n + 1).astype(np.float32)
-            g[:n] = g[:n] * value + DECAY * w[:n]
+            g[:n] *= value
+            np.multiply(w, np.float32(DECAY), out=step)
+            g[:n] += step[:n]
             g[n] = d_p.sum() + d_u.sum()
             t += 1
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.001) * (g * g - v)
+            m += np.multiply(np.subtract(g, m, out=step), np.float32(0.1), out=step)
+            v += np.multiply(np.subtract(np.multiply(g, g, out=g), v, out=g), np.float32(0.001), out=g)
             rate = RATE * (0.5 * (1 + math.cos(math.pi * epoch / epochs))) / (1 - 0.9**t)
-            w -= np.float32(rate) * m / (np.sqrt(v * np.float32(1 / (1 - 0.999**t))) + np.float32(1e-8))
+            np.sqrt(np.multiply(v, np.float32(1 / (1 - 0.999**t)), out=g), out=g)
+            g += np.float32(1e-8)
+            w -= np.multiply(np.divide(m, g, out=step), np.float32(rate), out=step)
     return w[:n], float(w[n])
 
 
