@@ -119,9 +119,11 @@ def train(p: list[np.ndarray], u: list[np.ndarray], prior: float, seed: int = 0)
     p, u = one_of_copies(p), one_of_copies(u)
     if not p or not u or not prior:
         return Model(np.zeros(0, np.uint32), np.zeros(0, np.float32), float(np.log(max(prior, 1e-9) / (1 - prior))))
+    n_p = len(p)
     keys, rows = _numbered([*p, *u])
-    x_p, x_u = rows[: len(p)], rows[len(p) :]
-    value = values(_counts(x_p, len(keys)), _counts(x_u, len(keys)), len(p), len(u))
+    del p, u
+    x_p, x_u = rows[:n_p], rows[n_p:]
+    value = values(_counts(x_p, len(keys)), _counts(x_u, len(keys)), len(x_p), len(x_u))
     rng = np.random.default_rng(seed)
     weights, biases = [], []
     for m in range(MEMBERS):
@@ -218,7 +220,9 @@ def fit(docs: DataFrame, toxic: DataFrame, prior: float, max_positive: int = MAX
     p, u = found.column("p").to_pylist(), found.column("u").to_pylist()
     # the order in which rows arrive must not matter
     order = sorted(range(len(keys)), key=lambda i: (len(keys[i]), int(np.bitwise_xor.reduce(mix(keys[i].astype(np.uint64))))))
-    return train([keys[i] for i in order if p[i]], [keys[i] for i in order if u[i]], prior)
+    sets = [[keys[i] for i in order if p[i]], [keys[i] for i in order if u[i]]]
+    del found, keys  # train lets go of the sets when it has numbered them
+    return train(sets.pop(0), sets.pop(0), prior)
 
 
 def _scores(own: Model, index: Index, text: pa.Array) -> np.ndarray:
