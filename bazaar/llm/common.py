@@ -25,13 +25,14 @@ _staged: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Where that is unset: a temporary one if all of Spark is one process, as
     in tests; else ValueError, as no other machine would see it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        found = "file://" + tempfile.mkdtemp(prefix="bazaar-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        # the setting itself can't be changed in a running session
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="bazaar-"))
+        found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 

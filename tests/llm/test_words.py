@@ -44,3 +44,29 @@ def test_index():
     assert (index.find(keys) == np.arange(len(keys))).all()
     assert (index.find(keys + np.uint64(1)) == [np.searchsorted(keys, k + 1) if k + 1 in set(keys.tolist()) else -1 for k in keys.tolist()]).all()
     assert m.Index(np.zeros(0, np.uint64)).find(keys[:3]).tolist() == [-1] * 3
+
+
+class _Session:
+    """What shared_dir sees of a session without spark.checkpoint.dir."""
+
+    def __init__(self, master):
+        self.sparkContext, self.conf, self.master, self.folder = self, self, master, None
+
+    def get(self, name, default):
+        return default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_shared_dir_without_a_setting():
+    from bazaar.llm.common import shared_dir
+
+    local = _Session("local[2]")
+    found = shared_dir(local)
+    assert found == local.folder == shared_dir(local)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(_Session("spark://cluster:7077"))
