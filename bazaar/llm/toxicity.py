@@ -55,9 +55,14 @@ class Model:
 
 
 def _numbered(docs: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The distinct keys of sets of keys, sorted, and each set as places in them."""
+    """The distinct keys of sets of keys, sorted, and each set as places in them: views of one array, as memory of many
+    small ones isn't given back."""
     keys = np.unique(np.concatenate(docs))
-    return keys, [np.searchsorted(keys, d).astype(np.int32) for d in docs]
+    ends = np.cumsum([len(d) for d in docs])
+    places = np.split(np.empty(ends[-1], np.int32), ends[:-1])
+    for d, at in zip(docs, places, strict=True):
+        at[:] = np.searchsorted(keys, d)
+    return keys, places
 
 
 def _counts(sets: list[np.ndarray], n: int) -> np.ndarray:
@@ -81,20 +86,27 @@ def one_of_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
     count = _counts(places, len(keys))
     rank = np.empty(len(keys), np.int32)
     rank[np.lexsort((keys, count))] = np.arange(len(keys))
-    places = (rank[at] for at in places)
     num, den = COPY
-    own, sizes, held, out, empty = np.zeros(len(keys), bool), np.zeros(len(docs), np.int64), [], [], False
-    met: dict[int, list[int]] = {}
-    for doc, at in zip(docs, places, strict=True):
-        n, at = len(at), np.sort(at)
-        rarest = at[: n - -(-num * n // den) + 1].tolist()
-        near = np.unique(np.array([i for k in rarest for i in met.get(k, ())], np.int64))
+    sizes = np.array([len(at) for at in places])
+    rarest = sizes - -(-num * sizes // den) + 1
+    room = np.zeros(len(keys) + 1, np.int64)
+    for at, n in zip(places, rarest, strict=True):
+        at[:] = np.sort(rank[at])
+        room[at[:n] + 1] += 1
+    # the texts that stay, by each of their rarest keys: from room[key], held[key] of them
+    room = np.cumsum(room)
+    met, held = np.empty(room[-1], np.int32), np.zeros(len(keys), np.int32)
+    own, out, empty = np.zeros(len(keys), bool), [], False
+    for i, (doc, at, n) in enumerate(zip(docs, places, sizes, strict=True)):
+        few = at[: rarest[i]]
+        times = held[few]
+        near = np.unique(met[np.repeat(room[few] - np.cumsum(times) + times, times) + np.arange(times.sum())])
         near = near[(num * n <= den * sizes[near]) & (num * sizes[near] <= den * n)]
         own[at] = True
         copy = not n and empty
         for lo in range(0, len(near), 256):
             some = near[lo : lo + 256]
-            both = np.add.reduceat(own[np.concatenate([held[i] for i in some])], np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+            both = np.add.reduceat(own[np.concatenate([places[j] for j in some])], np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
             copy = bool((den * both >= num * (n + sizes[some] - both)).any())
             if copy:
                 break
@@ -102,10 +114,8 @@ def one_of_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
         if copy:
             continue
         empty |= not n
-        sizes[len(held)] = n
-        for k in rarest:
-            met.setdefault(k, []).append(len(held))
-        held.append(at)
+        met[room[few] + times] = i
+        held[few] += 1
         out.append(doc)
     return out
 
