@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bazaar.llm import decontam, langid, mixing, ngram_join, pii, search, sharding, substrings, toxicity, warc
+from bazaar.llm import decontam, langid, licenses, mixing, ngram_join, pii, search, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_search": search.op8_search,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_substrings": substrings.op10_substrings,
+    "op12_licenses": licenses.op12_licenses,
 }
 
 ORACLE = {
@@ -26,4 +27,5 @@ ORACLE = {
     "op7_ngram_join": ngram_join.OP7_SQL,
     "op8_search": search.OP8_SQL,
     "op10_substrings": substrings.OP10_SQL,
+    "op12_licenses": licenses.OP12_SQL,
 }
