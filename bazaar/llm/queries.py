@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bazaar.llm import decontam, langid, licenses, mixing, ngram_join, pii, search, sharding, substrings, toxicity, warc
+from bazaar.llm import conversations, decontam, langid, licenses, mixing, ngram_join, pii, search, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_substrings": substrings.op10_substrings,
     "op12_licenses": licenses.op12_licenses,
+    "op13_repair": conversations.op13_repair,
 }
 
 ORACLE = {
@@ -28,4 +29,5 @@ ORACLE = {
     "op8_search": search.OP8_SQL,
     "op10_substrings": substrings.OP10_SQL,
     "op12_licenses": licenses.OP12_SQL,
+    "op13_repair": conversations.OP13_SQL,
 }
