@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bazaar.llm import conversations, decontam, langid, licenses, mixing, ngram_join, pii, search, sharding, substrings, toxicity, warc
+from bazaar.llm import conversations, decontam, langid, licenses, mixing, ngram_join, pii, search, sharding, spelling, substrings, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_search": search.op8_search,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_substrings": substrings.op10_substrings,
+    "op11_spelling": spelling.op11_spelling,
     "op12_licenses": licenses.op12_licenses,
     "op13_repair": conversations.op13_repair,
 }
@@ -28,6 +29,7 @@ ORACLE = {
     "op7_ngram_join": ngram_join.OP7_SQL,
     "op8_search": search.OP8_SQL,
     "op10_substrings": substrings.OP10_SQL,
+    "op11_spelling": spelling.OP11_SQL,
     "op12_licenses": licenses.OP12_SQL,
     "op13_repair": conversations.OP13_SQL,
 }
