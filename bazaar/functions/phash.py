@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -80,9 +82,37 @@ def hamming(left: Column, right: Column) -> Column:
     return hamming_bits(bits(left), bits(right))
 
 
-def bands(value: Column, distance: int = SAME_IMAGE) -> Column:
-    """distance + 1 pieces of a hash, each with its number: hashes within the distance share one at least."""
-    n = distance + 1
+def pieces(distance: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of three pieces of a hash, four beyond 11 bits: hashes within the distance have one at
+    least in which they differ by no more than its radius."""
+    n = max(2, min(3 if distance <= 11 else 4, distance + 1))
     edges = [64 * i // n for i in range(n + 1)]
-    piece = lambda i: F.shiftrightunsigned(value, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-    return F.array(*(F.struct(F.lit(i).alias("band"), piece(i).alias("bits")) for i in range(n)))
+    return [(lo, hi - lo, (distance + 1 - i - 1) // n) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+
+
+def _around(value: Column, lo: int, bits_: int, radius: int) -> Column:
+    """The piece of a hash, and all values within the radius of it."""
+    masks = [sum(1 << i for i in some) for r in range(radius + 1) for some in combinations(range(bits_), r)]
+    piece = F.shiftrightunsigned(value, lo).bitwiseAND(F.lit((1 << bits_) - 1))
+    return F.transform(F.from_json(F.lit(json.dumps(masks)), "array<bigint>"), lambda m: piece.bitwiseXOR(m))
+
+
+def near_pairs(hashes: DataFrame, value: str, distance: int = SAME_IMAGE, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, x, y, distance): pairs x < y of different hashes (longs) within the distance, each once, of equal ``by``.
+
+    Multi-index hashing: few long pieces, with neighbouring values looked up. Of a radius of 2 each side looks up one
+    bit, so a hash is a few dozen keys; of a larger one the left side looks up all of it. What meets is verified.
+    """
+    known = hashes.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v")).distinct()
+
+    def keys(side: int, name: str) -> DataFrame:
+        near = []
+        for i, (lo, n, r) in enumerate(pieces(distance)):
+            radius = ((r + 1) // 2, r // 2)[side] if r <= 2 else (r, 0)[side]
+            near.append(F.struct(F.lit(i).alias("piece"), _around(F.col("v"), lo, n, radius).alias("bits")))
+        each = known.select(*by, F.col("v").alias(name), F.explode(F.array(*near)).alias("k"))
+        return each.select(*by, name, "k.piece", F.explode("k.bits").alias("bits"))
+
+    apart = hamming_bits(F.col("x"), F.col("y"))
+    met = keys(0, "x").join(keys(1, "y"), [*by, "piece", "bits"]).where((F.col("x") < F.col("y")) & (apart <= distance))
+    return met.select(*by, "x", "y", apart.cast("long").alias("distance")).distinct()

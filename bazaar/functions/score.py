@@ -9,6 +9,8 @@ values in ``weigh``.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,22 @@ RULES = [
 ]
 
 
+def lifts(least: float) -> list[set[str]]:
+    """The smallest sets of facts, named as in SAYS, that make a score of ``least`` or more if nothing speaks against it."""
+    found = [{"text"}]
+    for some in product(*([None, *(c for c in choices if c[1] > 0)] for choices in RULES)):
+        total = 0.0
+        for c in some:
+            total += c[1] if c else 0.0
+        if total >= least:
+            found.append({c[2] for c in some if c})
+    return [x for x in found if not any(y < x for y in found)]
+
+
+#: What takes a score to the review threshold.
+LIFTS = lifts(REVIEW)
+
+
 def _given(x: Column) -> Column:
     """Neither null, empty nor 0."""
     return F.coalesce(x.cast("string").isNotNull() & ~x.cast("string").isin("", "0", "0.0"), F.lit(False))

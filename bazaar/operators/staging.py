@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_folders: dict[str, SparkSession] = {}
 
-def staged(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one where that is unset and all of
-    Spark is one process, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not (sc.master == "local" or sc.master.startswith("local[")):
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset and all of Spark is one process, as in tests."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="bazaar-"))
-    return df.checkpoint()
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="bazaar-"))
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again: cuts lineage, survives lost executors. The files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(_clean)
+    _folders[path] = spark
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clean() -> None:
+    for path, spark in list(_folders.items()):
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may have ended before the interpreter
+            pass
+    _folders.clear()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -403,11 +403,13 @@ def hamming_distance(spark, sf_dir):
 
 
 def _near(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
-    """Pairs within ``most`` bits: those that share one of most + 1 bands, then the distance; no pair is lost."""
-    v = _vectors(spark, sf_dir).withColumn("m", F.explode(phash.bands(F.col("b"), most))).select("vec_id", "b", "m.band", "m.bits")
-    left, right = v.select(F.col("vec_id").alias("a"), F.col("b").alias("x"), "band", "bits"), v.select(F.col("vec_id").alias("b"), F.col("b").alias("y"), "band", "bits")
-    near = left.join(right, ["band", "bits"]).where("a < b").select("a", "b", phash.hamming_bits(F.col("x"), F.col("y")).cast("long").alias("distance"))
-    return near.where(F.col("distance") <= most).distinct()
+    """Pairs of vectors whose hashes are within ``most`` bits: near hashes by multi-index hashing, then who has them."""
+    v = _vectors(spark, sf_dir)
+    same = v.select(F.col("b").alias("x")).distinct().select("x", F.col("x").alias("y"), F.lit(0).cast("long").alias("distance"))
+    near = phash.near_pairs(v, "b", most)
+    both = same.unionByName(near).unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance"))
+    of = lambda value, name: v.select(F.col("b").alias(value), F.col("vec_id").alias(name))
+    return both.join(of("x", "a"), "x").join(of("y", "b"), "y").where("a < b").select("a", "b", "distance")
 
 
 _NEAR = f"WITH {_HASH} SELECT l.vec_id AS a, r.vec_id AS b, bit_count(xor(l.b, r.b))::BIGINT AS distance FROM h l JOIN h r ON l.vec_id < r.vec_id WHERE bit_count(xor(l.b, r.b)) <= "
@@ -665,6 +667,71 @@ def ensure_channels(spark, sf_dir):
     return got.select("username", F.col("trust").cast("long").alias("trust"))
 
 
+# --- the fold, where texts are like, photos near, prices close and a contact is everybody's ----------
+
+# A part is a family of four posts, its own words made of a digest. The first has all words; the second lacks some, the third has slips,
+# the fourth more words, no price and, some times, a photo that is near the first one's. Cards keep the text and photo of their first
+# post, and of families none is like another, so each post is scored against the posts of its family that made cards.
+_SIMILAR = f"""k AS (SELECT p_partkey AS key, md5('w' || p_partkey) AS w, p_retailprice AS price FROM part),
+    own AS (SELECT key, price, w, substr(w, 1, 9) || ' ' || substr(w, 8, 9) || ' ' || substr(w, 15, 9) || ' sea view ' || substr(w, 22, 9) AS t FROM k),
+    hashes AS (SELECT *, list_reduce(list_transform(range(0, 64), lambda i: CASE WHEN ascii(substr(w, (i % 32 + 1)::INTEGER, 1)) // CASE WHEN i < 32 THEN 1 ELSE 2 END % 2 = 1 THEN 1::UBIGINT << i::UBIGINT ELSE 0::UBIGINT END), lambda x, y: x | y) AS bits FROM own),
+    post AS (SELECT key, n, 4 * key + n AS id,
+                    CASE n WHEN 0 THEN t WHEN 1 THEN substr(t, 1, 29) WHEN 2 THEN CASE WHEN key % 2 = 0 THEN t || 'x' ELSE replace(t, ' view', ' views') || 'yz' END ELSE t || ' with a garden' END AS text,
+                    CASE n WHEN 0 THEN price WHEN 1 THEN price * CASE key % 3 WHEN 0 THEN 1.02::DOUBLE WHEN 1 THEN 1.5::DOUBLE ELSE 1.1::DOUBLE END WHEN 2 THEN price * CASE WHEN key % 5 = 0 THEN 1.4::DOUBLE ELSE 0.97::DOUBLE END END AS price,
+                    CASE WHEN n = 0 OR n = 1 AND key % 4 = 0 THEN bits WHEN n = 3 AND key % 4 = 1 THEN xor(bits, 73::UBIGINT) WHEN n = 3 AND key % 4 = 2 THEN xor(bits, 4095::UBIGINT) END AS bits
+             FROM hashes, range(0, 4) r(n)),
+    p AS (SELECT l.key, l.n AS new, r.n AS old, l.text AS x, r.text AS y, l.price AS a, r.price AS b, bit_count(xor(l.bits, r.bits))::INTEGER AS apart FROM post l JOIN post r ON l.key = r.key AND r.n < l.n),
+    texts AS (SELECT DISTINCT x, y FROM p), {_RATIOS},
+    scored AS (SELECT key, new, old, round(greatest(0, least(1, CASE WHEN x = y THEN 1 ELSE 0.10::DOUBLE + CASE WHEN apart <= 8 THEN 0.40::DOUBLE ELSE 0 END
+        + CASE WHEN ratio >= 95 THEN 0.50::DOUBLE WHEN ratio >= 88 THEN 0.30::DOUBLE WHEN ratio >= 78 THEN 0.15::DOUBLE WHEN ratio < 55 AND (apart IS NULL OR apart > 8) THEN -0.10::DOUBLE ELSE 0 END
+        + CASE WHEN abs(a - b) / greatest(a, b) <= 0.05 THEN 0.15::DOUBLE WHEN abs(a - b) / greatest(a, b) >= 0.25 THEN -0.35::DOUBLE ELSE 0 END END)), 6) AS score FROM p JOIN ratios USING (x, y)),
+    s AS (SELECT key, max(score) FILTER (new = 1) AS s10, max(score) FILTER (new = 2 AND old = 0) AS s20, max(score) FILTER (new = 2 AND old = 1) AS s21,
+                 max(score) FILTER (new = 3 AND old = 0) AS s30, max(score) FILTER (new = 3 AND old = 1) AS s31, max(score) FILTER (new = 3 AND old = 2) AS s32 FROM scored GROUP BY key),
+    c1 AS (SELECT *, s10 < 0.7 AS m1 FROM s),
+    c2 AS (SELECT *, CASE WHEN m1 AND s21 > s20 THEN 1 ELSE 0 END AS b2, CASE WHEN m1 THEN greatest(s20, s21) ELSE s20 END AS v2 FROM c1),
+    c3 AS (SELECT *, v2 < 0.7 AS m2, list_max([s30, CASE WHEN m1 THEN s31 END, CASE WHEN v2 < 0.7 THEN s32 END]) AS v3 FROM c2),
+    c4 AS (SELECT *, v3 < 0.7 AS m3, CASE WHEN s30 = v3 THEN 0 WHEN m1 AND s31 = v3 THEN 1 ELSE 2 END AS b3 FROM c3),
+    link AS (SELECT key, 0 AS n, 0 AS place, 'created' AS decision, NULL::DOUBLE AS best FROM c4 UNION ALL
+             SELECT key, 1, CASE WHEN m1 THEN 1 ELSE 0 END, CASE WHEN m1 THEN 'created' ELSE 'merged' END, s10 FROM c4 UNION ALL
+             SELECT key, 2, CASE WHEN m2 THEN 2 ELSE b2 END, CASE WHEN m2 THEN 'created' ELSE 'merged' END, v2 FROM c4 UNION ALL
+             SELECT key, 3, CASE WHEN m3 THEN 3 ELSE b3 END, CASE WHEN m3 THEN 'created' ELSE 'merged' END, v3 FROM c4)"""
+
+
+def _like_posts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The families folded: {"listing", "link", "suggestion"}; a contact that every post of a channel has is no mark."""
+    key, w, n = F.col("p_partkey"), F.md5(F.concat(F.lit("w"), F.col("p_partkey").cast("string")).cast("binary")), F.col("n")
+    word = lambda at: F.substring("w", at, 9)
+    bit = lambda i: F.when(F.floor(F.ascii(F.substring("w", i % 32 + 1, 1)) / (1 if i < 32 else 2)) % 2 == 1, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    bits = bit(0)
+    for i in range(1, 64):
+        bits = bits.bitwiseOR(bit(i))
+    part = table(spark, sf_dir, "part").select(key.alias("key"), w.alias("w"), F.col("p_retailprice").alias("price"))
+    part = part.select("key", "price", F.concat_ws(" ", word(1), word(8), word(15), F.lit("sea view"), word(22)).alias("t"), bits.alias("bits"))
+    posts = part.withColumn("n", F.explode(F.array(*map(F.lit, range(4)))))
+    key = F.col("key")
+    slips = F.when(key % 2 == 0, F.concat("t", F.lit("x"))).otherwise(F.concat(F.replace("t", F.lit(" view"), F.lit(" views")), F.lit("yz")))
+    said = F.when(n == 0, F.col("t")).when(n == 1, F.substring("t", 1, 29)).when(n == 2, slips).otherwise(F.concat("t", F.lit(" with a garden")))
+    second = F.when(key % 3 == 0, 1.02).when(key % 3 == 1, 1.5).otherwise(1.1)
+    price = F.when(n == 0, F.col("price")).when(n == 1, F.col("price") * second).when(n == 2, F.col("price") * F.when(key % 5 == 0, 1.4).otherwise(0.97))
+    photo = F.when((n == 0) | (n == 1) & (key % 4 == 0), F.col("bits")).when((n == 3) & (key % 4 == 1), F.col("bits").bitwiseXOR(F.lit(73).cast("long"))).when((n == 3) & (key % 4 == 2), F.col("bits").bitwiseXOR(F.lit(4095).cast("long")))
+    posts = posts.select((4 * key + n).alias("id"), (key % 20).alias("channel_id"), F.timestamp_add("DAY", n, F.lit("1996-05-01").cast("timestamp")).alias("posted_at"), said.alias("norm_text"), price.alias("price_amount"), F.lower(F.lpad(F.hex(photo), 16, "0")).alias("media_phash"))
+    raw = posts.select("id", "channel_id", "posted_at", "media_phash", F.lit(None).cast("string").alias("media_path"), F.lit(None).cast("array<string>").alias("media_paths"))
+    contact = F.array(F.struct(F.lit("phone").alias("type"), F.concat(F.lit("+"), (F.col("channel_id")).cast("string")).alias("value")))
+    known = {"id": F.col("id"), "raw_message_id": F.col("id"), "category": F.lit("rent"), "title": F.col("norm_text"), "contacts": contact, "norm_text": F.col("norm_text"), "price_amount": F.col("price_amount")}
+    occ = posts.select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.struct("listing_occurrence")))
+    return resolve.resolve(occ, raw, spark.range(20).select("id", F.lit(50).alias("trust")), AS_OF)
+
+
+@query(f"WITH {_SIMILAR}, card AS (SELECT key, place, row_number() OVER (ORDER BY place, 4 * key + place) AS id FROM link WHERE decision = 'created') SELECT 4 * link.key + link.n AS occurrence_id, card.id::BIGINT AS listing_id, decision, CASE WHEN decision = 'merged' THEN best END AS score FROM link JOIN card USING (key, place)")
+def resolve_similar(spark, sf_dir):
+    return _like_posts(spark, sf_dir)["link"].withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_SIMILAR}, doubt AS (SELECT 4 * key + 1 AS occurrence_id, 0 AS old, key, s10 AS score FROM c4 WHERE m1 AND s10 >= 0.55 UNION ALL SELECT 4 * key + 2, b2, key, v2 FROM c4 WHERE m2 AND v2 >= 0.55 UNION ALL SELECT 4 * key + 3, b3, key, v3 FROM c4 WHERE m3 AND v3 >= 0.55), card AS (SELECT key, place, row_number() OVER (ORDER BY place, 4 * key + place) AS id FROM link WHERE decision = 'created') SELECT occurrence_id, card.id::BIGINT AS listing_id, score FROM doubt JOIN card ON doubt.key = card.key AND doubt.old = card.place")
+def resolve_doubts(spark, sf_dir):
+    return _like_posts(spark, sf_dir)["suggestion"].select("occurrence_id", "listing_id", F.round("score", 6).alias("score"))
+
+
 # --- curation, unions, labels --------------------------------------------------------------------
 
 

@@ -80,18 +80,21 @@ def test_hamming(spark):
     assert [r[0] for r in df.select(phash.hamming(F.col("a"), F.col("b"))).collect()] == [1, 64, 64, 0]
 
 
-def test_bands_keep_near_hashes(spark):
-    rng = random.Random(1)
-    rows = []
-    for _ in range(50):
-        a = rng.getrandbits(64)
-        b = a
-        for k in rng.sample(range(64), 8):
-            b ^= 1 << k
-        rows.append((a - (1 << 63), b - (1 << 63)))
-    df = spark.createDataFrame(rows, "a long, b long")
-    hit = df.select(F.size(F.array_intersect(phash.bands(F.col("a")), phash.bands(F.col("b")))) > 0, phash.hamming_bits(F.col("a"), F.col("b")))
-    assert {tuple(r) for r in hit.collect()} == {(True, 8)}
+@pytest.mark.parametrize("distance", [0, 3, 8, 16])
+def test_near_hashes_are_all_found(spark, distance):
+    rng = random.Random(distance)
+    values = [rng.getrandbits(64) for _ in range(40)]
+    for v in list(values):
+        for most in (1, distance, distance + 1):
+            values.append(v ^ sum(1 << k for k in rng.sample(range(64), most)))
+    signed = sorted({v - (1 << 64) if v >> 63 else v for v in values})
+    rows = [(v, g) for v in signed for g in ("a", "b")]
+    df = spark.createDataFrame([*rows, *rows, (None, "a")], "v long, g string")
+    apart = lambda x, y: ((x ^ y) & ((1 << 64) - 1)).bit_count()
+    want = {(g, x, y, apart(x, y)) for g in "ab" for x in signed for y in signed if x < y and apart(x, y) <= distance}
+    got = [tuple(r) for r in phash.near_pairs(df, "v", distance, ("g",)).collect()]
+    assert set(got) == want and len(got) == len(want) and (want or not distance)
+    assert sum(r + 1 for _, _, r in phash.pieces(distance)) == distance + 1
 
 
 def test_phash(spark):
