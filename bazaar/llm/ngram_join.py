@@ -210,13 +210,15 @@ def check_pairs(lists: list[np.ndarray], copies: np.ndarray, half: np.ndarray, t
 
 
 def links(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: doc_id, class_id, copy_of, n_links, text_hash (xxhash64 of the text).
+    """A row for each document: doc_id, class_id, copy_of, n_links, text_hash (xxhash64 of the text), key and class_key (of
+    its set, null without words, and the least one of its class).
 
     Two documents are linked if the Jaccard similarity of their sets of n-grams of lower-cased words is at least
     the threshold. n_links counts a document's links, those to documents of an equal set among them; copy_of is
     the least doc_id of that set, class_id that of the component of links. A text of fewer than n words has one
     n-gram of all of them; a text without words, or null, has no links and is a class of its own. Repeated rows
-    count as copies of each other. Other columns are not read, whatever their names. Pairs of similarity at the threshold are found with probability ``recall``
+    count as copies of each other. Documents without a doc_id are linked as all others; where all of a set or class are
+    without, so are copy_of and class_id. Other columns are not read, whatever their names. Pairs of similarity at the threshold are found with probability ``recall``
     at least, more similar ones with more; nothing else loses a link.
     """
     b, r = bands_and_rows(threshold, recall)
@@ -272,6 +274,8 @@ def links(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0
     # whole n-gram sets of the candidates only
     wanted = units.select("key").distinct().join(sets.select("key", "copy_of", "copies"), "key")
     texts = base.join(wanted.select(F.col("copy_of").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    if not wanted.filter("copy_of is null").isEmpty():  # sets that only documents without an id have
+        texts = texts.unionByName(base.filter("doc_id is null").select("text"))
     full = staged(_full_sets(texts, n).dropDuplicates(["key"]).join(wanted.select("key", "copies"), "key"), "full")
     ready = units.join(full, "key").select("unit", "key", "half", "copies", "shingles", "rule")
     found = staged(by_group(ready, "unit", _verify(threshold), "a binary, b binary, n_links long"), "found")
@@ -279,13 +283,13 @@ def links(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0
     counts = found.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n_links").alias("n_links"))
     roots = components(found.filter("b is not null"))
     named = staged(sets.select("key", "copy_of", "copies").join(counts, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left"), "named")
-    first = named.filter("root is not null").groupBy("root").agg(F.min("copy_of").alias("class_id"), F.count("*").alias("rows"))
+    first = named.filter("root is not null").groupBy("root").agg(F.min("copy_of").alias("class_id"), F.min("key").alias("class_key"), F.count("*").alias("rows"))
     classed = lookup(named.filter("root is not null"), staged(first, "first"), "root", "rows").drop("root")
-    alone = named.filter("root is null").drop("root").withColumn("class_id", F.col("copy_of"))
-    answer = staged(classed.unionByName(alone).select("key", "copy_of", "class_id", "copies", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "answer")
+    alone = named.filter("root is null").drop("root").withColumns({"class_id": F.col("copy_of"), "class_key": F.col("key")})
+    answer = staged(classed.unionByName(alone).select("key", "copy_of", "class_id", "class_key", "copies", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "answer")
     keyed = sketch.select("doc_id", "text_hash", "key")
-    out = lookup(keyed.filter("key is not null"), answer.withColumn("weight", F.col("copies")).drop("copies"), "key", "weight").select("doc_id", "class_id", "copy_of", "n_links", "text_hash")
-    return out.unionByName(keyed.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), "text_hash"))
+    out = lookup(keyed.filter("key is not null"), answer.withColumn("weight", F.col("copies")).drop("copies"), "key", "weight").select("doc_id", "class_id", "copy_of", "n_links", "text_hash", "key", "class_key")
+    return out.unionByName(keyed.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), "text_hash", "key", F.col("key").alias("class_key")))
 
 
 def _verify(threshold: float):
@@ -320,12 +324,16 @@ def _once(rule: list[dict]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
 def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all their columns as they are, with the least doc_id of their class (see links).
 
-    Of repeated rows of that doc_id and text one stays, and so of rows without a doc_id and with equal texts.
+    Of repeated rows of that doc_id and text one stays. Of a class in which no row has a doc_id, one with the least set and
+    hash of its text stays.
     Texts without words are in no class: all stay but repeated rows.
     """
     id_, hash_, times_ = free(docs, "class_doc", "class_hash", "class_times")
     found = staged(links(docs, threshold, n, doc_id=doc_id, text=text), "links")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.count("*").alias(times_))
+    unnamed = F.col("class_id").isNull() & F.col("key").isNotNull()
+    least = found.filter(unnamed & (F.col("key") == F.col("class_key"))).groupBy("class_key").agg(F.min("text_hash").alias("least"))
+    named = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & ~unnamed)
+    kept = named.select("doc_id", "text_hash").unionByName(found.filter(unnamed & (F.col("key") == F.col("class_key"))).join(least, "class_key").filter("text_hash = least").select("doc_id", "text_hash")).groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.count("*").alias(times_))
     kept = staged(kept, "kept")
     same = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(hash_))
     once = docs.join(kept.filter(F.col(times_) == 1), same, "left_semi")
@@ -336,7 +344,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5, doc_id: str =
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+    return links(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "key", "class_key")
 
 
 OP7_SQL = r"""

@@ -86,3 +86,15 @@ def test_overlaps_as_sets():
         for a in range(shared.shape[0]):
             for b in range(shared.shape[1]):
                 assert i + a == j + b or shared[a, b] == len(np.intersect1d(lists[i + a], lists[j + b]))
+
+
+def test_documents_without_an_id_are_linked(make):
+    words = [f"word{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(words[:-1]), " ".join(reversed(words))
+    for ids in ((None, None), (None, 5), (5, None)):
+        rows = m.links(make([(ids[0], a), (ids[1], b), (9, c)])).collect()
+        assert sorted(r["n_links"] for r in rows) == [0, 1, 1]
+        assert {r["class_id"] for r in rows if r["n_links"]} == {5 if 5 in ids else None}
+        kept = m.keep_one(make([(ids[0], a), (ids[1], b), (9, c), (9, c)])).collect()
+        assert len(kept) == 2 and {r["doc_id"] for r in kept} == {9, 5 if 5 in ids else None}
+    assert len(m.keep_one(make([(None, a), (None, a), (None, b), (None, "..."), (None, "...")])).collect()) == 2
