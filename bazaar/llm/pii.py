@@ -7,15 +7,18 @@ Numbers have a domain of a * b values, split as (l, r) with l < a and r < b. Rou
 the other, modulo a or b in turn: a permutation of the whole domain, without walking (but for dates, see below).
 
 Kinds (what is replaced; what stays):
-  card    13 to 19 digits with a right Luhn digit, also in groups of four (first digit and separators stay; the
-          last digit is made right again)
+  card    13 to 19 digits with a right Luhn digit, also in groups of four, or of 4, 6 and 5 (first digit and separators
+          stay; the last digit is made right again)
   phone   North American numbers, area and exchange from 200 (+1, brackets and separators stay); numbers of other
           countries with + and 8 to 15 digits (country code, next digit, brackets and separators stay)
   ssn     ddd-dd-dddd with no part 0, area not 666 or 900 and over (permuted among such)
   ip      dotted quads of 0 to 255
   date    real days of 1900 to 2099, yyyy-mm-dd or dd-mm-yyyy with -, / or . (permuted among those days)
-  email   letters and digits of the local part, each within its class (other characters and the domain stay)
-  secret  AKIA keys, and values of 8 and more characters, however long, after password=, Token = " and the like: as email
+  email   letters and digits of the local part, each within its class (other characters and the domain stay; of letters
+          beyond ASCII those of Latin-1, in four classes)
+  secret  AKIA keys, and values of 8 and more characters, however long, after password=, Token = " and the like, up to the
+          quote or else to white space: as email. A name before it makes a secret of an address, too
+Not looked for: phone numbers of ten digits in a row, IPv6.
 Numbers that fail validation, and all other text, stay as they are; but a secret that looks like a number of another
 kind and fails that kind's validation is a secret.
 """
@@ -33,18 +36,20 @@ LONG = 64
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
 #: What comes before a secret.
-NAMED = r"(?:(?i:password|passwd|secret|token|api_key) ?[=:] ?[\"']?)"
+_NAME = r"(?i:password|passwd|secret|token|api_key) ?[=:] ?"
+NAMED = rf"(?:{_NAME}[\"']?)"
 #: What begins a country's code of one digit, of two; others have three.
 _CODE1, _CODE2 = "^[17]", "^(?:20|27|3[0-469]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 #: Each pattern begins where a run of its characters begins, so a long run is tried once, not from every place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=" + NAMED + r")[A-Za-z0-9_/+-]{8,}+",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9+])\+(?!1)\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?![A-Za-z0-9])",
+    # in quotes up to the quote, else up to white space, without the punctuation at the end
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=" + _NAME + r"\")[^\"\n\r]{8,}+(?=\")|(?<=" + _NAME + r"')[^'\n\r]{8,}+(?=')|(?<=" + NAMED + r")(?![\"'])(?=\S{8})\S*[\p{L}\p{N}_/+-]",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "phone": r"(?<![A-Za-z0-9+])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?[2-9]\d\d[ .-]?|[2-9]\d\d[ .-][2-9]\d\d[ .-])\d{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9+])\+(?!1)\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?![A-Za-z0-9])",
     "ip": rf"(?<![A-Za-z0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![A-Za-z0-9-])",
     "date": "",  # below
-    "card": r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,4})(?![A-Za-z0-9])",
+    "card": r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,4}|\d{4}[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9])",
 }
 _ISO = "|".join(rf"{_YEAR}{s}{_MONTH}{s}{_DAY}" for s in ("-", "/", r"\."))
 _EURO = "|".join(rf"{_DAY}{s}{_MONTH}{s}{_YEAR}" for s in ("-", "/", r"\."))
@@ -167,7 +172,7 @@ def _letters(text: Column, key: str, kind: str) -> Column:
         def one(c: Column, at: Column, other: Column) -> Column:
             h = _hash(key, kind, i, at, other)
             out = c
-            for low, size in (("0", 10), ("a", 26), ("A", 26)):
+            for low, size in (("0", 10), ("a", 26), ("A", 26), ("\u00e0", 23), ("\u00c0", 23), ("\u00f9", 5), ("\u00d9", 5)):
                 high = chr(ord(low) + size - 1)
                 out = F.when((c >= low) & (c <= high), F.char(F.lit(ord(low)) + F.pmod(F.ascii(c) - ord(low) + h, F.lit(size)))).otherwise(out)
             digit = F.hex(F.pmod(F.conv(c, 16, 10).cast("long") + h, F.lit(16)))
@@ -210,8 +215,8 @@ def _replaced(m: Column, before: Column, key: str) -> Column:
     out = F.when(m.rlike("^AKIA[0-9A-Z]{16}$"), F.struct(F.lit("secret").alias("kind"), F.lit(None).cast("string").alias("new")))
     for kind in ("email", "phone", "ip", "ssn", "date", "card"):
         out = out.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), F.struct(F.lit(kind).alias("kind"), _KINDS[kind](m, key).alias("new")))
-    named = m.rlike("^[A-Za-z0-9_/+-]{8,}+$") & before.rlike(f"{NAMED}$")
-    is_secret = lambda r: r.isNull() | (r["kind"] == "secret") | (r["new"].isNull() & named)
+    named = before.rlike(f"{NAMED}$")
+    is_secret = lambda r: r.isNull() | (r["kind"] == "secret") | ((r["new"].isNull() | (r["kind"] == "email")) & named)
     return F.element_at(F.transform(F.array(out), lambda r: F.when(is_secret(r), secret).otherwise(r)), 1)
 
 
@@ -224,7 +229,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Other columns pass through, whatever their names, but one named pii is replaced. Repeated rows are done each.
     """
     m_, x_, r_ = free(docs, "pii_matches", "pii_rest", "pii_new")
-    maybe = F.col(text).rlike("[0-9@]|[=:] ?[\"']?[A-Za-z0-9_/+-]{8}")
+    maybe = F.col(text).rlike("[0-9@]|[=:] ?(?:[\"'][^\"']{8}|\\S{8})")
     found = docs.withColumn(m_, F.when(maybe, F.regexp_extract_all(F.col(text), F.lit(f"({ANY})"), F.lit(0))))
     found = found.withColumn(x_, F.when(F.size(m_) > 0, F.split(F.col(text), ANY, -1)))
     before = F.zip_with(x_, F.concat(F.array(F.lit("")), m_), lambda x, m: F.concat(m, x))

@@ -142,3 +142,25 @@ def test_long_runs_take_linear_time(make, junk):
 def test_native(make):
     plan = m.pseudonymise(make([(1, "x")]), KEY)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("text", ["password=P@ssw0rd!123", "password=hunter2!", "token=abc$def#ghi12345 and more", 'passwd = "S3cr3t!!value"', "password: correct-horse.battery", "password=me@corp.com", "secret = 'two words 77'", "Token: \"a.b.c.d.e.f\" rest"])
+def test_secrets_with_punctuation(make, text):
+    (row,) = m.pseudonymise(make([(1, text)]), KEY).collect()
+    value = text.split("=" if "=" in text else ":", 1)[1].strip()
+    value = value[1 : value.index(value[0], 1)] if value[0] in "\"'" else value.split()[0]
+    assert [p["kind"] for p in row["pii"]] == ["secret"] and len(row["text"]) == len(text)
+    start = text.index(value)
+    assert row["text"][:start] == text[:start] and row["text"][start + len(value) :] == text[start + len(value) :]
+    new = row["text"][start : start + len(value)]
+    assert sum(a == b for a, b in zip(new, value, strict=True) if a.isalnum()) <= 3
+
+
+def test_addresses_cards_and_phones_of_other_forms(make):
+    mails = ["jörg.müller@example.de", "Åsa.Öberg@example.se"]
+    out = [r["text"] for r in m.pseudonymise(make([(i, f"to {m}!") for i, m in enumerate(mails)]), KEY).collect()]
+    for old, new in zip(mails, sorted(out, key=lambda t: "se!" in t), strict=True):
+        local = new[3 : new.index("@")]
+        assert len(local) == old.index("@") and sum(a == b for a, b in zip(local, old, strict=False) if a.isalpha()) <= 3
+    rows = m.pseudonymise(make([(1, "3782 822463 10005"), (2, "(212)5550199"), (3, "(212) 555-0199")]), KEY).collect()
+    assert {r["doc_id"]: [p["kind"] for p in r["pii"]] for r in rows} == {1: ["card"], 2: ["phone"], 3: ["phone"]}
