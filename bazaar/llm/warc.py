@@ -285,8 +285,9 @@ def mark_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html"
 
     Payloads are equal where SHA-1 and length are. Payloads under min_bytes are never revisits. A null payload is
     empty. A repeated page_id with an equal payload is a response each time; a null page_id revisits if another
-    page has the payload. Other columns stay, whatever their names, but one named refers_to would stand twice.
+    page has the payload. Other columns stay, whatever their names, but one named refers_to is replaced.
     """
+    pages = pages.drop("refers_to")
     body = F.coalesce(F.col(html), F.lit(""))
     sha = F.concat(F.sha1(body.cast("binary")), F.lit(":"), F.octet_length(body).cast("string"))
     slim = staged(pages.select(F.col(page_id).alias("_id"), sha.alias("_sha"), F.octet_length(body).alias("_n")), "payloads")

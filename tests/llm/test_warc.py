@@ -145,3 +145,8 @@ def test_damage_is_seen():
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     with pytest.raises(ValueError, match="damaged"):
         m.parse(z.compress(raw) + z.flush())
+
+
+def test_a_column_refers_to_is_replaced(spark):
+    pages = spark.createDataFrame([(1, "u", "x", 7), (2, "u", "x", 8)], "page_id long, url string, html string, refers_to long")
+    assert sorted((r["page_id"], r["refers_to"]) for r in m.mark_revisits(pages).collect()) == [(1, None), (2, 1)]
