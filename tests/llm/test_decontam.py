@@ -43,3 +43,14 @@ def test_odd_rows(spark, make, odd):
     assert {(7, 3), (8, 3), (1, 0), (2, 0), (6, 0)} <= got
     assert m.keep_clean(odd, bench).columns == odd.columns
     assert m.scan(make([]), bench).collect() == [] and m.scan(odd, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_items_without_an_id_and_offsets(spark, make):
+    items = spark.createDataFrame([(None, "one two three"), ("b", "three four")], "item_id string, text string")
+    (row,) = m.scan(make([(1, "É one TWO three four 𝒳 one two three")]), items).collect()
+    assert row["items"] == ["b"] and row["n_hit"] == 7
+    assert ["É one TWO three four 𝒳 one two three"[s["start"] : s["end"]] for s in row["spans"]] == ["one TWO three four", "one two three"]
+    (row,) = m.scan(make([(1, "one two three")]), items, offsets=False).collect()
+    assert row["spans"] is None and row["n_hit"] == 3
+    many = "three four " * 8000
+    assert len(m.original_spans(many, [(2 * i, 2 * i + 2) for i in range(8000)])) == 8000
