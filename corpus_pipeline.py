@@ -36,7 +36,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """In the order of docs' files and of the rows in them, as the mix wrote them."""
     file, row = free(docs, "in_file", "in_row")
-    placed = docs.select(*docs.columns, F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    number = F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).cast("long")  # names sort wrongly from 100 000 files on
+    placed = docs.select(*docs.columns, number.alias(file), F.col("_metadata.row_index").alias(row))
     return sharding.shard_by_bytes(placed, 24, order=[file, row])
 
 
