@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaar.operators.runs import runs
+
 MESSAGE = "channel_id long, tg_msg_id long, posted_at timestamp, text string, media_path string, media_phash string, grouped_id long, edited_at timestamp"
 FIRST_RUN = 500
 
@@ -14,9 +16,9 @@ def fresh(messages: DataFrame, channels: DataFrame, limit: int | None = None) ->
     channel that has no cursor yet, and all of the others."""
     of = channels.where("enabled").select(F.col("id").alias("channel_id"), F.coalesce("last_msg_id", F.lit(0)).alias("last_msg_id"))
     new = messages.join(of, "channel_id").where("tg_msg_id > last_msg_id")
-    place = F.row_number().over(Window.partitionBy("channel_id").orderBy("tg_msg_id"))
     most = F.lit(limit) if limit is not None else F.when(F.col("last_msg_id") == 0, FIRST_RUN)
-    return new.withColumn("__n", place).where(F.col("__n") <= F.coalesce(most, F.col("__n"))).drop("__n", "last_msg_id")
+    placed = runs(new, "channel_id", "tg_msg_id", row="__n")
+    return placed.where(F.col("__n") <= F.coalesce(most, F.col("__n"))).drop("__n", "last_msg_id")
 
 
 def not_blank(text: Column) -> Column:
@@ -30,9 +32,7 @@ def not_empty(messages: DataFrame) -> DataFrame:
 
 def islands(messages: DataFrame, by: str = "channel_id", order: str = "tg_msg_id", group: str = "grouped_id") -> DataFrame:
     """messages plus ``island``: runs of one group, in order; a message of no group is one by itself."""
-    w = Window.partitionBy(by).orderBy(order)
-    starts = F.col(group).isNull() | ~F.coalesce(F.col(group) == F.lag(group).over(w), F.lit(False))
-    return messages.withColumn("__starts", starts.cast("int")).withColumn("island", F.sum("__starts").over(w)).drop("__starts")
+    return runs(messages, by, order, group, row="__row", run="island").drop("__row")
 
 
 def albums(messages: DataFrame) -> DataFrame:
@@ -52,8 +52,9 @@ def albums(messages: DataFrame) -> DataFrame:
 def hold_open(messages: DataFrame) -> DataFrame:
     """Without the last island of each channel if it is an album, which may go on in the next batch."""
     numbered = islands(messages)
-    last = F.max("island").over(Window.partitionBy("channel_id"))
-    return numbered.withColumn("__last", last).where((F.col("island") < F.col("__last")) | F.col("grouped_id").isNull()).drop("__last", "island")
+    last = numbered.groupBy(F.col("channel_id").alias("__channel")).agg(F.max("island").alias("__last"))
+    held = numbered.join(last, F.col("channel_id").eqNullSafe(F.col("__channel")))
+    return held.where((F.col("island") < F.col("__last")) | F.col("grouped_id").isNull()).drop("__last", "__channel", "island")
 
 
 def absent(rows: DataFrame, archive: DataFrame, keys: list[str]) -> DataFrame:
