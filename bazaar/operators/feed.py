@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -40,6 +41,33 @@ def matches(q: str, ascii_only: bool = False) -> Column:
     return out
 
 
+def _fold(text: Column, ascii_only: bool) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if ascii_only else F.lower(text)
+
+
+def search_index(listings: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """(gram, id): each three letters in a row of a searched column, case folded as ``matches`` does. To be written sorted by gram."""
+    each = F.explode(F.array(*(_fold(F.col(c), ascii_only) for c in SEARCHED)))
+    texts = listings.select("id", each.alias("t")).where(F.length("t") >= 3)
+    return texts.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring("t", i, F.lit(3)))).alias("gram")).select("gram", "id").distinct()
+
+
+def candidates(index: DataFrame, q: str, ascii_only: bool = False) -> DataFrame | None:
+    """(id) of the cards that have all the grams of q; None if q has no three letters in a row, so that all may match."""
+    q = q.strip()
+    pieces = re.split("[%_]", "".join(x.lower() if x.isascii() else x for x in q)) if ascii_only else [q.lower()]
+    grams = sorted({p[i : i + 3] for p in pieces for i in range(len(p) - 2)})
+    if not grams:
+        return None
+    return index.where(F.col("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("id")
+
+
+def search(listings: DataFrame, index: DataFrame, q: str, ascii_only: bool = False, **predicates) -> DataFrame:
+    """found(listings, q=q), read through an index of all cards: only those with all grams of q are looked at."""
+    some = candidates(index, q, ascii_only)
+    return found(listings if some is None else listings.join(some, "id", "left_semi"), q=q, ascii_only=ascii_only, **predicates)
+
+
 def found(listings: DataFrame, category: str | None = None, district: str | None = None, city: str | None = None, subcategory: str | None = None, q: str | None = None, ascii_only: bool = False) -> DataFrame:
     """Published cards that meet all predicates given; an empty argument is none."""
     out = published(listings).where(section(category))
@@ -55,6 +83,55 @@ def promotion_rank(promotions: DataFrame, as_of: datetime) -> DataFrame:
     return promotions.where(runs).groupBy("listing_id").agg(F.max("tier").alias("promotion_rank"))
 
 
+#: Blocks of time: seconds, and 2 ** 6 of a level in one of the next.
+_BITS, _LEVELS = 6, 6
+
+
+def _div(x: Column, by: int) -> Column:
+    """x // by, exactly."""
+    return ((x - F.pmod(x, F.lit(by))) / by).cast("long")
+
+
+def _whole_blocks(start: Column, end: Column) -> Column:
+    """array<struct<level, block>> that the seconds from start up to end, without it, are made of: few of each level."""
+    parts = []
+    bound = lambda level: (-F.shiftright(-start, _BITS * level), F.shiftright(end, _BITS * level))
+    for level in range(_LEVELS):
+        (lo, hi), (up, down) = bound(level), bound(level + 1)
+        top = level == _LEVELS - 1
+        # whole blocks of the next level are left to it; without one, all of this level is in the first part
+        first = hi if top else F.when(up < down, F.shiftleft(up, _BITS)).otherwise(hi)
+        for a, b in ((lo, first),) if top else ((lo, first), (F.when(up < down, F.shiftleft(down, _BITS)), hi)):
+            some = F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+            parts.append(_at_level(some, level))
+    return F.concat(*parts)
+
+
+def _at_level(blocks: Column, level: int) -> Column:
+    return F.transform(blocks, lambda x: F.struct(F.lit(level).alias("level"), x.alias("block")))
+
+
+def tiers_at(moments: DataFrame, promotions: DataFrame, at: str = "at") -> DataFrame:
+    """moments (listing_id, at, and what else they have) plus promotion_rank: the highest tier of the listing that runs at the
+    row's own time, both ends included; 0 where none does, or where listing or time is null.
+
+    An interval is cut into blocks of 64 ** level seconds, a hundred or so of a level at most, however long it is; of each block the
+    highest tier is kept. So a moment meets one row for each level, and those intervals that begin or end in its second.
+    """
+    asked = moments.select("listing_id", F.col(at).alias("__at")).where("listing_id is not null and __at is not null").distinct()
+    asked, second = asked.withColumn("__us", F.unix_micros(F.col("__at").cast("timestamp"))), 1_000_000
+    begin, end = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("starts_at", "ends_at"))
+    runs = promotions.select("listing_id", "tier", begin.alias("__begin"), end.alias("__end")).where("__begin <= __end")
+    inner = _whole_blocks(-_div(-F.col("__begin"), second), _div(F.col("__end"), second))
+    blocks = runs.select("listing_id", "tier", F.explode(inner).alias("b")).groupBy("listing_id", "b.level", "b.block").agg(F.max("tier").alias("tier"))
+    own = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(_div(F.col("__us"), second), _BITS * k).alias("block")) for k in range(_LEVELS)))
+    inside = asked.select("listing_id", "__at", F.explode(own).alias("o")).select("listing_id", "__at", "o.level", "o.block").join(blocks, ["listing_id", "level", "block"]).select("listing_id", "__at", "tier")
+    edges = runs.withColumn("__second", F.explode(F.array_distinct(F.array(*(_div(F.col(c), second) for c in ("__begin", "__end"))))))
+    touched = asked.withColumn("__second", _div(F.col("__us"), second)).join(edges, ["listing_id", "__second"]).where(F.col("__us").between(F.col("__begin"), F.col("__end")))
+    best = inside.unionByName(touched.select("listing_id", "__at", "tier")).groupBy("listing_id", "__at").agg(F.max("tier").alias("promotion_rank")).withColumnRenamed("__at", at)
+    return moments.join(best, ["listing_id", at], "left").withColumn("promotion_rank", F.coalesce("promotion_rank", F.lit(0))).select(*moments.columns, "promotion_rank")
+
+
 def ranked(cards: DataFrame, promotions: DataFrame, as_of: datetime) -> DataFrame:
     rank = promotion_rank(promotions, as_of).withColumnRenamed("listing_id", "id")
     return cards.join(rank, "id", "left").withColumn("promotion_rank", F.coalesce("promotion_rank", F.lit(0)))
@@ -153,6 +230,17 @@ def facet_sets(listings: DataFrame) -> DataFrame:
     return view.select(facet.alias("facet"), "city", "category", key.alias("key"), "count").where("key is not null")
 
 
+def facet_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What changed cards do to facet_sets: signed counts. before, after: the rows of these cards as they were and as they are; new
+    cards are in after alone, removed ones in before alone."""
+    return facet_merge(facet_sets(after), facet_sets(before).withColumn("count", -F.col("count")))
+
+
+def facet_merge(view: DataFrame, changes: DataFrame) -> DataFrame:
+    """facet_sets kept up to date: the counts of view with those of changes added, none that is 0."""
+    return view.unionByName(changes).groupBy("facet", "city", "category", "key").agg(F.sum("count").alias("count")).where("count <> 0")
+
+
 def _filled(*parts: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*(F.nullif(p, F.lit("")) for p in parts))

@@ -732,6 +732,43 @@ def resolve_doubts(spark, sf_dir):
     return _like_posts(spark, sf_dir)["suggestion"].select("occurrence_id", "listing_id", F.round("score", 6).alias("score"))
 
 
+# --- each row's own time, search by an index, facets kept up to date ------------------------------------
+
+@query(f"""WITH promo AS (SELECT l_partkey AS listing_id, l_linenumber::BIGINT AS tier, l_shipdate::TIMESTAMP AS starts_at, l_shipdate::TIMESTAMP + to_days((30 + 365 * (l_orderkey % 5))::INTEGER) AS ends_at FROM lineitem),
+    ev AS (SELECT event_id, event_id % 97 AS listing_id, make_timestamp(788918400000000 + (epoch_us(ts) - 1704067200000000) * CASE WHEN event_id % 4 = 0 THEN 86 ELSE 0 END + CASE WHEN event_id % 4 > 0 THEN (event_id * 7919 % 2500) * 86400000000 ELSE 0 END) AS moment FROM events)
+    SELECT event_id, moment, coalesce(max(tier), 0)::BIGINT AS promotion_rank FROM ev LEFT JOIN promo ON ev.listing_id = promo.listing_id AND moment BETWEEN starts_at AND ends_at GROUP BY event_id, moment""")
+def promotion_at_own_time(spark, sf_dir):
+    """Events as readings of cards, a quarter at any time, the others on the second at which promotions begin and end."""
+    line = table(spark, sf_dir, "lineitem")
+    day = F.col("l_shipdate").cast("timestamp")
+    promo = line.select(F.col("l_partkey").alias("listing_id"), F.col("l_linenumber").cast("long").alias("tier"), day.alias("starts_at"), F.timestamp_add("DAY", (30 + 365 * (F.col("l_orderkey") % 5)).cast("int"), day).alias("ends_at"))
+    key = F.col("event_id")
+    since = F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000
+    at = F.timestamp_micros(F.lit(788918400000000) + F.when(key % 4 == 0, since * 86).otherwise((key * 7919 % 2500) * 86400000000))
+    seen = table(spark, sf_dir, "events").select("event_id", (key % 97).alias("listing_id"), at.alias("moment"))
+    return feed.tiers_at(seen, promo, "moment").select("event_id", _ntz("moment"), F.col("promotion_rank").cast("long").alias("promotion_rank"))
+
+
+@query(ORACLE["feed_search"])
+def feed_search_indexed(spark, sf_dir):
+    c = cards(spark, sf_dir)
+    index = feed.search_index(c)
+    return feed.search(c, index, " BOLT ").select("id").union(feed.search(c, index, "Red W").select("id")).distinct()
+
+
+_NEW_CARDS = f"{_CARDS}, new AS (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN 'City 0' ELSE city END AS city) FROM pub WHERE id % 7 <> 1)"
+
+
+@query(f"WITH {_NEW_CARDS} SELECT 'category' AS facet, city, category, category AS key, count(*)::BIGINT AS \"count\" FROM new GROUP BY city, category UNION ALL SELECT 'subcategory', city, category, subcategory, count(*)::BIGINT FROM new WHERE subcategory IS NOT NULL GROUP BY city, category, subcategory UNION ALL SELECT 'district', city, category, district, count(*)::BIGINT FROM new WHERE district IS NOT NULL GROUP BY city, category, district")
+def facets_kept_up(spark, sf_dir):
+    """Of the cards a third is new, a seventh goes, and a fifth moves; the facets of the others are counted once only."""
+    new = cards(spark, sf_dir)
+    old = new.where("id % 3 > 0")
+    moved = new.where("id % 7 <> 1").withColumn("city", F.when(F.col("id") % 5 == 0, "City 0").otherwise(F.col("city")))
+    touched = "id % 3 = 0 or id % 7 = 1 or id % 5 = 0"
+    return feed.facet_merge(feed.facet_sets(old), feed.facet_changes(old.where(touched), moved.where(touched)))
+
+
 # --- curation, unions, labels --------------------------------------------------------------------
 
 
