@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from datetime import datetime
 
@@ -12,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from bazaar.operators import ingest, resolve
 from bazaar.operators.feed import publish_ready
 from bazaar.operators.staging import staged
+from bazaar.sources.history import ChannelHistory
 from bazaar.sources.tables import Store, updated
 
 log = logging.getLogger(__name__)
@@ -78,6 +80,26 @@ def collect(spark: SparkSession, store: Store, landing: str, checkpoint: str, as
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def collect_history(spark: SparkSession, store: Store, path: str, checkpoint: str, limit: int = ingest.FIRST_RUN, faults: list | None = None) -> StreamingQuery:
+    """Archives what the histories of enabled channels (see sources.history) have past their offsets, and stops.
+
+    A channel that can't be read, or a damaged line, is logged and put into ``faults`` as (channel_id, reason); the rest goes on.
+    """
+
+    def batch(messages: DataFrame, _: int) -> None:
+        messages = staged(messages)
+        for r in messages.where("fault is not null").select("channel_id", "fault").limit(1000).collect():
+            log.warning("channel %s: %s", r["channel_id"], r["fault"])
+            if faults is not None:
+                faults.append(tuple(r))
+        append_batch(store, messages.where("fault is null").drop("fault"))
+
+    spark.dataSource.register(ChannelHistory)
+    cursors = {str(r["id"]): r["last_msg_id"] or 0 for r in store.read("channel").where("enabled").select("id", "last_msg_id").collect()}
+    stream = spark.readStream.format("channel_history").option("cursors", json.dumps(cursors)).option("limit", limit).load(path)
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def collect_all(batches: dict[str, callable]) -> dict[str, int]:
     """Runs each channel's collection; a failure counts as -1 and doesn't stop the others."""
     out = {}
