@@ -38,6 +38,8 @@ TABLES = {
     "dedup_suggestion": "id long, occurrence_id long, listing_id long, score double, reasons array<string>, created_at timestamp, resolved_at timestamp",
     "dedup_override": "id long, occurrence_id long, listing_id long, decided_at timestamp",
     "location": "id string, title string, body string, category string, city string, mapUrl string, photo string, source string",
+    "model_request": "id long, raw_message_id long, batch long, attempt int, made_at timestamp",
+    "model_event": "request_id long, state string, payload string, at timestamp",
     "schema_migration": "name string, applied_at timestamp",
 }
 
