@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from bazaar import schema
 from bazaar.functions import text
 from bazaar.operators.feed import per_source_count, published, serialize
 from bazaar.operators.ids import number
+from bazaar.operators.staging import shared_folder, staged
 
 REFINEMENT = "title string, summary string, subcategory string, city string, details struct<purpose:string,features:array<string>,hours:string,price:string,audience:string,landmark:string>, no_photo boolean, skip boolean"
 
@@ -90,12 +92,29 @@ def export(listings: DataFrame, base: str = "") -> DataFrame:
 
 
 def write_bundle(listings: DataFrame, path: str, base: str = "") -> int:
-    """{"ads": sections, "items": cards} as one compact document: written by a stream over the rows, none held."""
-    n = 0
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"ads":' + json.dumps(schema.ADS, separators=(",", ":")) + ',"items":[')
-        for r in export(listings, base).toLocalIterator():
-            f.write(("," if n else "") + r["item"])
-            n += 1
-        f.write("]}")
-    return n
+    """{"ads": sections, "items": cards by id} as one compact document at path, on any storage that Spark writes to; how many cards.
+
+    Tasks write the cards as ordered parts; the driver's JVM joins these as streams of bytes, so no row comes to Python.
+    """
+    spark = listings.sparkSession
+    items = staged(export(listings, base))
+    parts = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    # a comma behind each card; the last one is left out
+    items.orderBy("id").select("item").write.option("lineSep", ",").text(parts)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: (jvm.org.apache.hadoop.fs.Path(p), jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf))
+    (source, store), (target, other) = at(parts), at(path)
+    files = [f for f in store.listStatus(source) if f.getPath().getName().startswith("part-") and f.getLen()]
+    files.sort(key=lambda f: int(f.getPath().getName().split("-")[1].split(".")[0]))
+    out = other.create(target, True)
+    try:
+        out.write(bytearray(('{"ads":' + json.dumps(schema.ADS, separators=(",", ":")) + ',"items":[').encode()))
+        for i, f in enumerate(files):
+            part = store.open(f.getPath())
+            jvm.org.apache.commons.io.IOUtils.copyLarge(part, out, 0, f.getLen() - (i == len(files) - 1))
+            part.close()
+        out.write(bytearray(b"]}"))
+    finally:
+        out.close()
+        store.delete(source, True)
+    return items.count()

@@ -1,5 +1,6 @@
 """Tiers at each row's own time, search through an index, facets kept up to date."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaar import schema
-from bazaar.operators import feed
+from bazaar.operators import curate, feed
 
 START = datetime(2026, 1, 1)
 
@@ -74,3 +75,16 @@ def test_facets_kept_up_to_date(spark):
         state = after
     whole = lambda df: sorted(map(str, df.collect()))
     assert whole(view) == whole(feed.facet_sets(table(state.items())))
+
+
+def test_the_export_is_one_document_in_order(spark, tmp_path):
+    c = listings(spark).repartition(5).withColumn("title", F.concat_ws("\n", "title", F.lit('комма, "кавычка"')))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    n = curate.write_bundle(c, str(tmp_path / "out.json"), "https://cdn/")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    items = [r["item"] for r in curate.export(c, "https://cdn/").collect()]
+    want = '{"ads":' + json.dumps(schema.ADS, separators=(",", ":")) + ',"items":[' + ",".join(items) + "]}"
+    assert n == len(items) and (tmp_path / "out.json").read_bytes() == want.encode()
+    ids = [x["id"] for x in json.loads(want)["items"]]
+    assert ids == sorted(ids) and len(ids) > 100
+    assert curate.write_bundle(c.limit(0), str(tmp_path / "none.json")) == 0 and json.loads((tmp_path / "none.json").read_text())["items"] == []
