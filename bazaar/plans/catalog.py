@@ -732,6 +732,35 @@ def resolve_doubts(spark, sf_dir):
     return _like_posts(spark, sf_dir)["suggestion"].select("occurrence_id", "listing_id", F.round("score", 6).alias("score"))
 
 
+# --- posts that a reviewer gave to a card ------------------------------------------------------------
+
+# Orders are posts of texts of their own, parts are cards. A third is given to a card, whatever its category, status and age; some
+# are to be cards of their own, as all others are, for nothing links them.
+_GIVEN = """old AS (SELECT p_partkey + 1 AS id, CASE WHEN p_size % 3 = 0 THEN 'P' || (p_size % 4) END AS city, p_name AS title, TIMESTAMP '1996-04-20 00:00:00' - to_days((p_partkey % 4 * 100)::INTEGER) + to_days(p_size::INTEGER) AS seen FROM part),
+    p AS (SELECT o_orderkey AS id, o_orderdate::TIMESTAMP AS posted, CASE WHEN o_orderkey % 4 > 0 THEN 'C' || (o_orderkey % 5) END AS city, 'T' || o_orderkey AS title, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 40 + 1 END AS given FROM orders),
+    born AS (SELECT *, (SELECT max(id) FROM old) + row_number() OVER (ORDER BY posted, id) AS listing_id FROM p WHERE given IS NULL),
+    grown AS (SELECT given AS listing_id, count(*) + 1 AS reposts, max(posted) AS last, min(posted) AS first, first(city ORDER BY posted, id) FILTER (WHERE city IS NOT NULL) AS city, first(id ORDER BY posted, id) AS canonical, first(title ORDER BY posted, id) AS title FROM p WHERE given IS NOT NULL GROUP BY given)"""
+
+
+@query(f"""WITH {_GIVEN} SELECT p.id AS occurrence_id, given::BIGINT AS listing_id, 'override' AS decision, reposts::BIGINT AS repost_count, coalesce(old.city, grown.city) AS city, canonical, grown.title, least(first, seen) AS first_seen_at, greatest(last, seen) AS last_seen_at
+    FROM p JOIN grown ON given = listing_id JOIN old ON old.id = given UNION ALL SELECT id, listing_id::BIGINT, 'created', 1, city, id, title, posted, posted FROM born""")
+def resolve_given(spark, sf_dir):
+    o, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    key, size = F.col("o_orderkey"), F.col("p_size")
+    text_of = lambda letter, n: F.concat(F.lit(letter), n.cast("string"))
+    none = F.lit(None)
+    raw = o.select(key.alias("id"), (key % 7).alias("channel_id"), F.col("o_orderdate").cast("timestamp").alias("posted_at"), none.cast("string").alias("media_path"), none.cast("array<string>").alias("media_paths"), none.cast("string").alias("media_phash"))
+    known = {"id": key, "raw_message_id": key, "category": F.when(key % 2 == 0, "rent").otherwise("jobs"), "city": F.when(key % 4 > 0, text_of("C", key % 5)), "title": text_of("T", key), "norm_text": text_of("post ", key)}
+    occ = o.select(*(known.get(f.name, none).cast(f.dataType).alias(f.name) for f in schema.struct("listing_occurrence")))
+    seen = F.timestamp_add("DAY", (size - F.col("p_partkey") % 4 * 100).cast("int"), F.lit("1996-04-20").cast("timestamp"))
+    card = {"id": F.col("p_partkey") + 1, "category": F.when(size % 2 == 0, "sale").otherwise("rent"), "city": F.when(size % 3 == 0, text_of("P", size % 4)), "title": F.col("p_name"), "status": F.when(size % 10 == 0, "rejected").otherwise("published"), "first_seen_at": seen, "last_seen_at": seen, "repost_count": F.lit(1)}
+    listings = part.select(*(card.get(f.name, none).cast(f.dataType).alias(f.name) for f in schema.struct("listing")))
+    ruled = o.where("o_orderkey % 3 = 0 or o_orderkey % 30 = 1").select(key.alias("occurrence_id"), F.when(key % 3 == 0, F.col("o_custkey") % 40 + 1).alias("listing_id"))
+    out = resolve.resolve(occ, raw, spark.range(7).select("id", F.lit(50).alias("trust")), AS_OF, listings, ruled)
+    cards_ = out["listing"].select(F.col("id").alias("listing_id"), F.col("repost_count").cast("long").alias("repost_count"), "city", F.col("canonical_occurrence_id").alias("canonical"), "title", _ntz("first_seen_at"), _ntz("last_seen_at"))
+    return out["link"].select("occurrence_id", "listing_id", "decision").join(cards_, "listing_id")
+
+
 # --- each row's own time, search by an index, facets kept up to date ------------------------------------
 
 @query(f"""WITH promo AS (SELECT l_partkey AS listing_id, l_linenumber::BIGINT AS tier, l_shipdate::TIMESTAMP AS starts_at, l_shipdate::TIMESTAMP + to_days((30 + 365 * (l_orderkey % 5))::INTEGER) AS ends_at FROM lineitem),
