@@ -83,8 +83,8 @@ def promotion_rank(promotions: DataFrame, as_of: datetime) -> DataFrame:
     return promotions.where(runs).groupBy("listing_id").agg(F.max("tier").alias("promotion_rank"))
 
 
-#: Blocks of time: seconds, and 2 ** 6 of a level in one of the next.
-_BITS, _LEVELS = 6, 6
+#: Blocks of time: seconds, and 2 ** 3 of a level in one of the next.
+_BITS, _LEVELS = 3, 11
 
 
 def _div(x: Column, by: int) -> Column:
@@ -115,7 +115,7 @@ def tiers_at(moments: DataFrame, promotions: DataFrame, at: str = "at") -> DataF
     """moments (listing_id, at, and what else they have) plus promotion_rank: the highest tier of the listing that runs at the
     row's own time, both ends included; 0 where none does, or where listing or time is null.
 
-    An interval is cut into blocks of 64 ** level seconds, a hundred or so of a level at most, however long it is; of each block the
+    An interval is cut into blocks of 8 ** level seconds, fourteen of a level at most, however long it is; of each block the
     highest tier is kept. So a moment meets one row for each level, and those intervals that begin or end in its second.
     """
     asked = moments.select("listing_id", F.col(at).alias("__at")).where("listing_id is not null and __at is not null").distinct()

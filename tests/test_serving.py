@@ -34,10 +34,10 @@ def test_a_long_interval_is_few_blocks(spark):
     p = spark.createDataFrame([(0, 10**9 + 7), (5, 6), (63, 65), (7, 7), (9, 3)], "a long, b long")
     rows = p.select("a", "b", feed._whole_blocks(F.col("a"), F.col("b")).alias("w")).collect()
     for r in rows:
-        assert len(r["w"]) <= 126 * feed._LEVELS and sum(64 ** x["level"] for x in r["w"]) == max(0, r["b"] - r["a"])
+        assert len(r["w"]) <= 14 * feed._LEVELS and sum(8 ** x["level"] for x in r["w"]) == max(0, r["b"] - r["a"])
     small = [r for r in rows if r["b"] < 100]
     for r in small:
-        assert sorted(s for x in r["w"] for s in range(x["block"] * 64 ** x["level"], (x["block"] + 1) * 64 ** x["level"])) == list(range(r["a"], r["b"]))
+        assert sorted(s for x in r["w"] for s in range(x["block"] * 8 ** x["level"], (x["block"] + 1) * 8 ** x["level"])) == list(range(r["a"], r["b"]))
 
 
 def listings(spark, n=300):
