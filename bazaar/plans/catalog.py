@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bazaar import schema
 from bazaar.functions import money, phash, score, similarity, text
+from bazaar.functions.register import register
 from bazaar.operators import curate, feed, ingest, resolve
 from bazaar.sources.tables import updated
 
@@ -377,6 +378,36 @@ def identity_key(spark, sf_dir):
     return got.select("id", score.identity_key(F.struct("contacts", "category", "city", "price_amount")).alias("identity_key"))
 
 
+# --- functions in SQL ----------------------------------------------------------------------------
+
+
+@query(f"WITH {_FOUND}, p AS (SELECT doc_id, string_agg(phone, ',' ORDER BY phone) AS phones FROM phones WHERE phone IS NOT NULL GROUP BY doc_id), u AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS usernames FROM users WHERE name NOT IN ('joinchat', 'share', 'addstickers', 'proxy', 'iv') GROUP BY doc_id) SELECT doc_id, coalesce(phones, '') AS phones, coalesce(usernames, '') AS usernames, {_NORM} AS norm_text, coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], 1, 120), '{schema.NO_TITLE}') AS title FROM documents LEFT JOIN p USING (doc_id) LEFT JOIN u USING (doc_id)")
+def sql_functions_of_texts(spark, sf_dir):
+    """Contacts, comparable text and title of every document, all by functions called in SQL."""
+    register(spark)
+    call = "SELECT doc_id, array_join(array_sort(extract_phones(text)), ',') AS phones, array_join(array_sort(extract_usernames(text)), ',') AS usernames, normalize_text(text) AS norm_text, title_fallback(text) AS title FROM {docs}"
+    return spark.sql(call, docs=table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {_FOUND} SELECT doc_id, 'phone' AS type, phone AS value FROM phones WHERE phone IS NOT NULL UNION ALL SELECT doc_id, 'telegram', name FROM users WHERE name NOT IN ('joinchat', 'share', 'addstickers', 'proxy', 'iv')")
+def sql_contacts(spark, sf_dir):
+    """A row for each contact of each document, by the table function."""
+    register(spark)
+    return spark.sql("SELECT doc_id, c.type, c.value FROM {docs}, LATERAL contacts_of(text) AS c", docs=table(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH src AS (SELECT p_retailprice AS x FROM part), {_BUCKETS} SELECT p_partkey, '+9665' || lpad((p_partkey % 100000000)::VARCHAR, 8, '0') AS phone, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_name || ' kept' END AS title, p_size % 3 = 0 AS arabic, '&lt;b&gt;' || p_name || '&amp;&quot;&#39;' AS escaped,
+    p_size::DOUBLE AS amount, ['SAR', 'USD', 'RUB', 'EUR'][1 + p_partkey % 4] AS currency, bucket, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size || ' 000 SAR' || CASE WHEN p_size % 2 = 0 THEN ' / month' ELSE '' END END AS label, bit_count(xor(p_partkey, p_partkey + p_size))::BIGINT AS apart, 64::BIGINT AS far, 100.0::DOUBLE AS likeness, p_name AS composed, true AS no_image FROM part JOIN b ON x = p_retailprice""")
+def sql_functions_of_values(spark, sf_dir):
+    """The other functions, called in SQL on every part."""
+    register(spark)
+    call = """SELECT p_partkey, normalize_phone('05' || lpad(CAST(p_partkey % 100000000 AS STRING), 8, '0')) AS phone, title_of(CASE WHEN p_size % 3 = 0 THEN p_name || '، شارع' ELSE p_name || ' kept' END) AS title, has_arabic(CASE WHEN p_size % 3 = 0 THEN 'شارع' ELSE p_name END) AS arabic, escape_html('<b>' || p_name || '&"\\'') AS escaped,
+        p.amount, p.currency, price_bucket(p_retailprice) AS bucket, format_price(CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_size * 1000 END, 'SAR', CASE WHEN p_size % 2 = 0 THEN 'month' ELSE '' END) AS label, CAST(hash_distance(hex(p_partkey), hex(p_partkey + p_size)) AS BIGINT) AS apart, CAST(hash_distance('no hash', hex(p_partkey)) AS BIGINT) AS far,
+        token_set_ratio(p_name, p_name || ' more') AS likeness, nfkc(p_name) AS composed, phash(array(p_retailprice)) IS NULL AS no_image
+        FROM (SELECT *, parse_price('for ' || p_size || ' ' || element_at(array('риалов', 'USD', 'рублей', '€'), CAST(1 + p_partkey % 4 AS INT))) AS p FROM {parts})"""
+    return spark.sql(call, parts=table(spark, sf_dir, "part"))
+
+
 # --- hashes and pairs ----------------------------------------------------------------------------
 
 #: Each vector once more with a bit or two turned, so that there are near ones.

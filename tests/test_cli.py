@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from bazaar.__main__ import main
 from bazaar.functions import phash
-from bazaar.functions.register import apply_function, register
+from bazaar.functions.register import COLUMNS, SQL, apply_function, register
 from bazaar.operators import curate, resolve
 
 FLAT = "Сдаётся квартира у моря, две комнаты, 2500 SAR, 0512345678"
@@ -31,6 +31,23 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT nfkc('ﬁ'), round(token_set_ratio('a b c', 'a b d'), 3), phash(array(1.0D))").first() == ("fi", 80.0, None)
 
 
+def test_sql_functions_say_what_the_columns_say(spark):
+    register(spark)
+    texts = [None, "", "  ", "Сдаётся: ٠٥٠ 123 45 67, 2 500 риалов\n@Foo_Bar t.me/joinchat", "+7 (916) 123-45-67 WhatsApp 00966512345678 #tag", "номер 966 0512345678 ё ﬁ 1.200.000 ₽ и $15,5", "A & <b> \"q\" 'x', Jeddah", "مكة، شارع 500 ريال", " \n\u00a0first\nsecond", "x" * 90 + ", y", "subscribe now\nkept http://a.b/c 😀", "a\\b 12 sr 3.4.5 usd"]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    for name, (args, _, _) in SQL.items():
+        if args == "x STRING":
+            assert spark.sql(f"SELECT t, {name}(t) FROM {{d}}", d=docs).collect() == docs.select("t", apply_function(name, "t")).collect(), name
+    values = spark.createDataFrame([(v, c, p) for v in (None, 0.0, -2.0, 0.5, 1.0, 1.15, 1234567.5, 3e9) for c, p in ((None, None), ("SAR", ""), ("USD", "month"))], "v double, c string, p string")
+    both = values.select(apply_function("price_bucket", "v"), apply_function("format_price", "v", "c", "p")).collect()
+    assert spark.sql("SELECT price_bucket(v), format_price(v, c, p) FROM {d}", d=values).collect() == both
+    hashes = spark.createDataFrame([(a, b) for a in (None, "", "ff", "0f0f0f0f0f0f0f0f", "zz") for b in ("1", "FFFFFFFFFFFFFFFF", None)], "a string, b string")
+    assert spark.sql("SELECT hash_distance(a, b) FROM {d}", d=hashes).collect() == hashes.select(apply_function("hash_distance", "a", "b")).collect()
+    found = spark.sql("SELECT t, c.value FROM {d}, LATERAL contacts_of(t) AS c", d=docs)
+    assert sorted(found.collect()) == sorted(docs.select("t", F.explode(apply_function("extract_contacts", "t")).alias("c")).select("t", "c.value").collect())
+    assert set(SQL) == set(COLUMNS)
+
+
 def test_functions_by_name(spark):
     df = spark.createDataFrame([("a 0512345678", 2500.0)], "t string, n double")
     got = df.select(*(apply_function(*x) for x in (("normalize_text", "t"), ("extract_phones", "t"), ("price_bucket", "n"), ("token_set_ratio", "t", "t"), ("nfkc", "t")))).first()
