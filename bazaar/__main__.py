@@ -26,7 +26,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     c = sub.add_parser("collect", help="archive new messages of a landing folder")
     c.add_argument("landing")
     c.add_argument("--channels", default=env("BAZAAR_CHANNELS"), help="YAML of channels ($BAZAAR_CHANNELS)")
-    sub.add_parser("parse", help="parse new posts and fold them into cards")
+    f = sub.add_parser("parse", help="parse new posts and fold them into cards")
+    f.add_argument("--limit", type=int, default=None, help="posts to fold in this run, the oldest first; all, unless given")
     sub.add_parser("publish", help="publish cards without open doubts")
     r = sub.add_parser("review", help="show open doubts")
     r.add_argument("--limit", type=int, default=20)
@@ -46,7 +47,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("posts:", store.read("raw_message").count())
     elif a.command == "parse":
         print("parsed:", collect.parse_new(store, as_of))
-        print(*(f"{k}: {v}" for k, v in collect.resolve_new(store, as_of).items()), sep="\n")
+        print(*(f"{k}: {v}" for k, v in collect.resolve_new(store, as_of, a.limit).items()), sep="\n")
     elif a.command == "publish":
         print("published:", collect.publish(store))
     elif a.command == "review":

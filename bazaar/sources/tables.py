@@ -4,6 +4,9 @@ A manifest, ``root/_manifest/<number>.json``, says of which folders each table c
 holds. A write makes a new folder; it counts from when a manifest lists it. So an append writes only its own rows, a
 transaction switches all its tables at once, and what a failed one wrote is never read. Readers of an older state go on
 undisturbed while its folders are kept. One writer at a time.
+
+Rows of a table with ids lie in folders of a block of ids each. Ids grow with time, so an update by id, which rewrites the
+blocks that it touches, leaves what is old as it is.
 """
 
 from __future__ import annotations
@@ -25,13 +28,16 @@ from bazaar.operators.ingest import absent
 
 #: Manifests, and the folders that they list, that are kept beside the current one.
 KEEP = 2
+#: Ids of a block.
+BLOCK = 1 << 20
 
 
 class Store:
     """Named tables under a root that Spark can write to."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, block: int = BLOCK):
+        """block: ids of a block; it is a property of the store, and the same at each opening."""
+        self.spark, self.root, self.block = spark, root.rstrip("/"), block
         self._open: dict[str, list[str]] | None = None  # the state that a transaction will leave
 
     def _path(self, text: str):
@@ -66,8 +72,12 @@ class Store:
         old = have[: max(0, len(have) - KEEP)]
         kept = {f for m in [*have[len(old) :], n] for fs_ in self._state(m).values() for f in fs_}
         for m in old:
-            for folder in {f for fs_ in self._state(m).values() for f in fs_} - kept:
+            gone = {f for fs_ in self._state(m).values() for f in fs_} - kept
+            for folder in gone:
                 self._drop(f"{self.root}/{folder}")
+            for write in {f.rpartition("/")[0] for f in gone if "/__block=" in f}:
+                if not any(n.startswith("__block=") for n in self._list(f"{self.root}/{write}")):
+                    self._drop(f"{self.root}/{write}")
             self._drop(f"{self.root}/_manifest/{m:012}.json")
 
     def _drop(self, text: str) -> None:
@@ -87,9 +97,24 @@ class Store:
         finally:
             self._open = None
 
+    @staticmethod
+    def _block(folder: str) -> int | None:
+        """The block of ids of a folder; None for one of any ids."""
+        found = folder.rpartition("/__block=")[2]
+        return int(found) if found.isdigit() else None
+
+    def _within(self, name: str, blocks: set[int]) -> list[str]:
+        return [f for f in self.state().get(name, []) if self._block(f) is None or self._block(f) in blocks]
+
+    def _touched(self, rows: DataFrame) -> set[int]:
+        """Blocks of the ids of rows."""
+        return {r[0] for r in rows.select(F.floor(F.col("id") / self.block)).distinct().collect() if r[0] is not None}
+
     def read(self, name: str) -> DataFrame:
         """The table as it stands; an empty one of the declared columns if it was never written."""
-        folders = self.state().get(name)
+        return self._read(name, self.state().get(name, []))
+
+    def _read(self, name: str, folders: list[str]) -> DataFrame:
         if not folders:
             return schema.empty(self.spark, name)
         found = self.spark.read.option("mergeSchema", len(folders) > 1).parquet(*(f"{self.root}/{f}" for f in folders))
@@ -98,40 +123,75 @@ class Store:
                 found = found.withColumn(f.name, F.lit(None).cast(f.dataType))
         return found
 
-    def _add(self, name: str, df: DataFrame) -> str:
+    def _add(self, name: str, df: DataFrame) -> list[str]:
         folder = f"{name}/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{folder}")
-        return folder
+        if dict(df.dtypes).get("id") not in ("bigint", "int"):
+            df.write.parquet(f"{self.root}/{folder}")
+            return [folder]
+        # a block is written by one task, so it is one file
+        blocks = df.withColumn("__block", F.floor(F.col("id") / self.block)).repartition("__block")
+        blocks.write.partitionBy("__block").parquet(f"{self.root}/{folder}")
+        return [f"{folder}/{n}" for n in sorted(self._list(f"{self.root}/{folder}")) if n.startswith("__block=")]
 
     def write(self, name: str, df: DataFrame) -> None:
         """df in place of the table."""
-        folder = self._add(name, df)
+        folders = self._add(name, df)
         with self.transaction():
-            self._open[name] = [folder]
+            self._open[name] = folders
 
     def append(self, name: str, df: DataFrame) -> None:
         """The table and df, which alone is written."""
-        folder = self._add(name, df)
+        folders = self._add(name, df)
         with self.transaction():
-            self._open[name] = [*self._open.get(name, []), folder]
+            self._open[name] = [*self._open.get(name, []), *folders]
+
+    def last_id(self, name: str) -> int:
+        """The largest id, 0 if there is none; looked up in the last block."""
+        known = [b for b in map(self._block, self.state().get(name, [])) if b is not None]
+        return self._read(name, self._within(name, {max(known, default=0)})).agg(F.max("id")).first()[0] or 0
 
     def insert(self, name: str, rows: DataFrame, keys: list[str] | None = None, order: list | None = None) -> int:
         """Appends rows with ids behind the last; with keys, only those that are not there yet. How many."""
-        now = self.read(name)
-        new = absent(rows, now, keys) if keys else rows
-        new = number(new.drop("id"), order or keys or new.drop("id").columns[:1], (now.agg(F.max("id")).first()[0] or 0) + 1)
+        now = near = self.read(name)
+        if keys:
+            # of what is there only rows between the least and the largest new key are looked at, which Parquet's statistics find
+            ends = rows.agg(*(f(k).alias(f"{f.__name__}_{i}") for i, k in enumerate(keys) for f in (F.min, F.max))).first()
+            for i, k in enumerate(keys):
+                near = near.where(F.col(k).between(F.lit(ends[f"min_{i}"]), F.lit(ends[f"max_{i}"])))
+            rows = absent(rows, near, keys)
+        new = number(rows.drop("id"), order or keys or rows.drop("id").columns[:1], self.last_id(name) + 1)
         added = new.count()
         if added:
             kinds = {f.name: f.dataType for f in now.schema}
             self.append(name, new.select(*(F.col(c).cast(kinds[c]).alias(c) for c in new.columns if c in kinds)))
         return added
 
+    def _swap(self, name: str, blocks: set[int], df: DataFrame) -> None:
+        """df in place of all rows of these blocks, and of folders of any ids."""
+        folders, gone = self._add(name, df), self._within(name, blocks)
+        with self.transaction():
+            self._open[name] = [f for f in self._open.get(name, []) if f not in gone] + folders
+
     def update(self, name: str, changes: DataFrame, key: str = "id") -> None:
-        """Writes the columns of changes over the rows of the same key; no columns, no change."""
+        """Writes the columns of changes over the rows of the same key; no columns, no change. By id, only blocks with
+        changes are read and written."""
         own = [c for c in changes.columns if c != key]
-        if own:
+        if not own:
+            return
+        if key == "id":
+            blocks = self._touched(changes)
+            if blocks:
+                self._swap(name, blocks, updated(self._read(name, self._within(name, blocks)), changes))
+        else:
             self.write(name, updated(self.read(name), changes, key))
 
+    def upsert(self, name: str, rows: DataFrame) -> None:
+        """Rows in place of those of the same ids, or beside what there is; only their blocks are read and written."""
+        blocks = self._touched(rows)
+        if blocks:
+            old = self._read(name, self._within(name, blocks)).join(rows.select("id"), "id", "left_anti")
+            self._swap(name, blocks, old.unionByName(rows.select(*old.columns)))
+
     def migrate(self, steps: dict[str, callable], at: datetime) -> list[str]:
         """Runs steps (name to function of the store) that were not run before, by name; the names of those."""
         done = {r["name"] for r in self.read("schema_migration").collect()}

@@ -14,7 +14,7 @@ from bazaar.operators import ingest, resolve
 from bazaar.operators.feed import publish_ready
 from bazaar.operators.staging import staged
 from bazaar.sources.history import ChannelHistory
-from bazaar.sources.tables import Store, updated
+from bazaar.sources.tables import Store
 
 log = logging.getLogger(__name__)
 
@@ -40,20 +40,27 @@ def parse_new(store: Store, as_of: datetime, parser=resolve.rules, model: str =
     return store.insert("listing_occurrence", rows, ["raw_message_id"], ["raw_message_id"])
 
 
-def resolve_new(store: Store, as_of: datetime) -> dict[str, int]:
-    """Folds occurrences without a card into cards; parsed, merged and created. Cards, links and doubts change together."""
+def resolve_new(store: Store, as_of: datetime, limit: int | None = None) -> dict[str, int]:
+    """Folds occurrences without a card into cards; parsed, merged and created. Cards, links and doubts change together.
+
+    limit: of these the oldest by time of posting, then by post, are placed; the rest waits for another run. Only blocks of cards and
+    occurrences that change are written.
+    """
     raw, occurrences, listings = (store.read(t) for t in ("raw_message", "listing_occurrence", "listing"))
-    out = resolve.resolve(occurrences, raw, store.read("channel"), as_of, listings, store.read("dedup_override"), occurrences)
+    todo = occurrences.where("listing_id is null and coalesce(is_listing, true)")
+    if limit is not None:
+        times = raw.select(F.col("id").alias("raw_message_id"), "posted_at")
+        todo = todo.join(times, "raw_message_id").orderBy("posted_at", "raw_message_id").limit(limit).select(*todo.columns)
+    out = resolve.resolve(todo, raw, store.read("channel"), as_of, listings, store.read("dedup_override"), occurrences)
     counts = resolve.run_counts(out["link"]).first().asDict()
-    old = listings.join(out["listing"].select("id"), "id", "left_anti")
     # a changed card keeps what the fold doesn't know
     rest = [c for c in listings.columns if c not in out["listing"].columns]
-    cards = out["listing"].join(listings.select("id", *rest), "id", "left")
+    cards = staged(out["listing"].join(listings.select("id", *rest), "id", "left").select(*listings.columns))
     doubts = out["suggestion"].withColumns({"created_at": F.lit(as_of).cast("timestamp"), "resolved_at": F.lit(None).cast("timestamp")})
     with store.transaction():
         store.insert("dedup_suggestion", doubts, ["occurrence_id", "listing_id"])
-        store.write("listing", old.unionByName(cards.select(*old.columns)))
-        store.write("listing_occurrence", updated(occurrences, out["link"].select(F.col("occurrence_id").alias("id"), "listing_id")))
+        store.upsert("listing", cards)
+        store.update("listing_occurrence", out["link"].select(F.col("occurrence_id").alias("id"), "listing_id"))
     return counts
 
 
@@ -61,9 +68,11 @@ def publish(store: Store) -> int:
     """Publishes cards without open doubts; how many."""
     before = store.read("listing")
     after = publish_ready(before, store.read("listing_occurrence"), store.read("dedup_suggestion"))
-    n = after.where("status = 'published'").count() - before.where("status = 'published'").count()
+    waiting = before.where("status is distinct from 'published'").select("id")
+    news = staged(after.where("status = 'published'").select("id", "status").join(waiting, "id", "left_semi"))
+    n = news.count()
     if n:
-        store.write("listing", after)
+        store.update("listing", news)
     return n
 
 

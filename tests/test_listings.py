@@ -251,6 +251,56 @@ def test_appends_write_their_rows_only(spark, store):
     assert [(r.id, r.channel_id) for r in store.read("raw_message").orderBy("id").collect()] == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_updates_write_their_blocks_only(spark, tmp_path):
+    store = tables.Store(spark, f"file://{tmp_path}/db", block=2)
+    rows = lambda *n: spark.createDataFrame([(i, i * 10, f"t{i}") for i in n], "id long, channel_id long, text string")
+    of = lambda: {store._block(f): f for f in store.state()["raw_message"]}
+    store.write("raw_message", rows(1, 2, 3, 4, 5, 6))
+    first = of()
+    assert sorted(first) == [0, 1, 2, 3] and store.last_id("raw_message") == 6
+    store.update("raw_message", spark.createDataFrame([(4, "new"), (99, "nowhere")], "id long, text string"))
+    then = of()
+    assert {b for b in then if then[b] != first[b]} == {2}
+    store.upsert("raw_message", store.read("raw_message").where("id = 6").withColumn("text", F.lit("six")).unionByName(store.read("raw_message").where("id = 1").withColumn("id", F.lit(9).cast("long"))))
+    last = of()
+    assert {b for b in last if last[b] != then.get(b)} == {3, 4} and store.last_id("raw_message") == 9
+    assert [(r.id, r.text) for r in store.read("raw_message").orderBy("id").collect()] == [(1, "t1"), (2, "t2"), (3, "t3"), (4, "new"), (5, "t5"), (6, "six"), (9, "t1")]
+    store.update("raw_message", spark.createDataFrame([], "id long, text string"))
+    assert of() == last and store.last_id("promotion") == 0
+    # nothing stays of writes that no state lists
+    for _ in range(tables.KEEP + 1):
+        store.write("raw_message", rows(1))
+    assert len(store._list(f"{store.root}/raw_message")) == tables.KEEP + 1
+
+
+def test_appends_look_at_keys_near_the_new_ones(spark, store):
+    rows = lambda *n: spark.createDataFrame([(1, i) for i in n], "channel_id long, tg_msg_id long")
+    keys = ["channel_id", "tg_msg_id"]
+    assert [store.insert("raw_message", rows(*n), keys) for n in ((5, 1, 9), (9, 9, 2), (), (1, 2, 5, 9), (None, 3))] == [3, 1, 0, 0, 2]
+    assert sorted(r.id for r in store.read("raw_message").collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_runs_by_parts_give_the_cards_of_one_run(spark, tmp_path):
+    """Posts come in one after another, are folded two at a time at most, and leave blocks of cards that don't change alone."""
+    posts = [(1, 1, FLAT, []), (1, 2, STUDIO, []), (2, 3, AGAIN, []), (1, 4, "Няня на час, 50 SAR, @nanny_one", []), (2, 10, LATER, [])]
+    whole, parts = (tables.Store(spark, f"file://{tmp_path}/{n}", block=2) for n in ("whole", "parts"))
+    setup(whole, posts)
+    run(whole)
+    counts = []
+    for n, limits in ((3, (2, 2)), (5, (None,))):
+        setup(parts, posts[:n])
+        collect.parse_new(parts, AS_OF)
+        counts += [collect.resolve_new(parts, AS_OF, limit) for limit in limits]
+    assert [(c["parsed"], c["created"]) for c in counts] == [(2, 2), (1, 0), (2, 1)]
+    assert cards(parts) == cards(whole) and len(cards(whole)) == 3
+    links = lambda s: s.read("listing_occurrence").select("id", "raw_message_id", "listing_id").orderBy("id").collect()
+    assert links(parts) == links(whole)
+    # the agent's second flat is in doubt, and waits
+    doubts = {r.listing_id for r in parts.read("listing_occurrence").join(parts.read("dedup_suggestion").select(F.col("occurrence_id").alias("id")), "id").collect()}
+    assert len(doubts) == 1 and collect.publish(parts) == collect.publish(whole) == 2 and collect.publish(parts) == 0
+    assert {c.id: c.status for c in cards(parts)} == {c.id: "pending" if c.id in doubts else "published" for c in cards(whole)}
+
+
 @pytest.mark.parametrize("fails_at", ["dedup_suggestion", "listing", "listing_occurrence"])
 def test_a_run_that_stops_between_its_writes_leaves_nothing(store, monkeypatch, fails_at):
     """And the next one does it all, once: the same as a run that never stopped."""
