@@ -144,10 +144,18 @@ def feed_total_hasmore(spark, sf_dir):
     return got.items.agg(F.count("*").alias("page")).select(F.lit(got.total).cast("long").alias("total"), "page", F.lit(got.has_more).alias("has_more"))
 
 
-@query(f"WITH {_CARDS} SELECT id, category, CASE WHEN photo IS NOT NULL THEN 'https://cdn/' || substr(photo, 2) END AS photo, CASE WHEN photo IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS n_photos, CASE category " + " ".join(f"WHEN '{s}' THEN '{t}'" for s, t in schema.CATEGORIES.items()) + f" ELSE '{schema.CATEGORIES['other']}' END AS category_title FROM pub")
+_SERIALIZED = "id, category, subcategory, city, district, title, summary, price_amount, CASE WHEN photo IS NOT NULL THEN 'https://cdn/' || substr(photo, 2) END AS photo, coalesce('https://cdn/' || substr(photo, 2), '') AS photos, last_seen_at, repost_count, CASE category " + " ".join(f"WHEN '{s}' THEN '{t}'" for s, t in schema.CATEGORIES.items()) + f" ELSE '{schema.CATEGORIES['other']}' END AS category_title"
+#: What the cards of these tables haven't, as the feed gives it.
+_UNKNOWN = ["price_currency", "price_period", "rooms", "area_sqm", "map_url", "source_url", "first_seen_at"]
+
+
+@query(f"WITH {_CARDS} SELECT {_SERIALIZED}, '[]' AS contacts, '{{}}' AS details, {len(_UNKNOWN)}::BIGINT AS unknown FROM pub")
 def feed_serialized(spark, sf_dir):
+    """Every column of the feed; those without a value in any table are counted."""
     done = feed.serialize(feed.published(cards(spark, sf_dir)), "https://cdn/")
-    return done.select("id", "category", "photo", F.size("photos").cast("long").alias("n_photos"), "category_title")
+    unknown = sum((F.col(c).isNull().cast("long") for c in _UNKNOWN), F.lit(0).cast("long"))
+    texts = {"photos": F.concat_ws(",", "photos"), "contacts": F.to_json("contacts"), "details": F.to_json("details"), "last_seen_at": F.col("last_seen_at").cast("timestamp_ntz"), "unknown": unknown}
+    return done.withColumns(texts).drop(*_UNKNOWN)
 
 
 @query("WITH promo AS (SELECT l_partkey AS listing_id, max(l_linenumber)::BIGINT AS promotion_rank FROM lineitem WHERE l_shipdate <= " + _NOW + " AND l_shipdate + INTERVAL 30 DAY >= " + _NOW + " GROUP BY 1) SELECT * FROM promo")
@@ -167,10 +175,10 @@ def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return occ, raw, chan
 
 
-@query(f"SELECT listing_id, count(*)::BIGINT AS n, count(DISTINCT channel)::BIGINT AS channels, min(url) AS first_url, max(posted_at) AS latest FROM ({_SOURCES}) GROUP BY listing_id")
+@query(f"SELECT listing_id, channel, url, posted_at::TIMESTAMP AS posted_at FROM ({_SOURCES})")
 def detail_sources(spark, sf_dir):
-    found = feed.sources(*_archive(spark, sf_dir))
-    return found.groupBy("listing_id").agg(F.count("*").alias("n"), F.countDistinct("channel").alias("channels"), F.min("url").alias("first_url"), F.max("posted_at").cast("timestamp_ntz").alias("latest"))
+    """A row for each source of each card."""
+    return feed.sources(*_archive(spark, sf_dir)).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
 
 
 @query(f"WITH {_CARDS}, {_PROMO}, s AS ({_SOURCES}) SELECT id, title, coalesce(promotion_rank, 0) > 0 AS promoted, (SELECT count(*) FROM s WHERE listing_id = pub.id)::BIGINT AS n, (SELECT string_agg(url, ' ' ORDER BY posted_at DESC, channel DESC, url DESC) FROM s WHERE listing_id = pub.id) AS urls FROM pub LEFT JOIN rank ON listing_id = id WHERE id IN (16, 20)")
@@ -240,10 +248,10 @@ def unparsed_oldest(spark, sf_dir):
     return resolve.unparsed(raw, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("raw_message_id"))).select("id")
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 45) THEN 'published' ELSE CASE o_orderstatus WHEN 'O' THEN 'pending' ELSE 'rejected' END END AS status FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) THEN 'published' ELSE CASE o_orderstatus WHEN 'O' THEN 'pending' ELSE 'rejected' END END AS status FROM orders")
 def publish_gate_anti(spark, sf_dir):
     listings = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("rejected").alias("status"))
-    line = table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'")
+    line = table(spark, sf_dir, "lineitem")
     occ = line.select(F.col("l_orderkey").alias("id"), F.col("l_orderkey").alias("listing_id")).distinct()
     sugg = line.select(F.col("l_orderkey").alias("occurrence_id"), F.when(F.col("l_quantity") <= 45, F.lit(AS_OF)).alias("resolved_at"))
     return feed.publish_ready(listings, occ, sugg)
@@ -323,19 +331,27 @@ def exact_text_groups(spark, sf_dir):
     return docs.groupBy("norm_text").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("docs"), F.sum("k").alias("contacts")).drop("norm_text")
 
 
-@query(f"SELECT doc_id, coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], 1, 120), '{schema.NO_TITLE}') AS title, nullif(substr(trim(text), 1, 400), '') AS summary FROM documents")
+_PRICED = r"'(?i)(\d[\d\s.,]{0,12}\d|\d)\s*(sar|sr|ريال|﷼|риал[\p{L}\p{N}_]*|руб[\p{L}\p{N}_]*|₽|\$|usd|долл[\p{L}\p{N}_]*|eur|€)'"
+_DIGITS = f"rtrim(translate(regexp_extract(text, {_PRICED}, 1), ' ,', ''), '.')"
+_PLAIN = f"CASE WHEN length({_DIGITS}) - length(replace({_DIGITS}, '.', '')) > 1 THEN replace({_DIGITS}, '.', '') ELSE {_DIGITS} END"
+_AMOUNT = f"CASE WHEN regexp_full_match({_PLAIN}, '[0-9]*\\.?[0-9]*') AND try_cast({_PLAIN} AS DOUBLE) > 0 THEN try_cast({_PLAIN} AS DOUBLE) END"
+
+
+@query(f"SELECT doc_id, coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], 1, 120), '{schema.NO_TITLE}') AS title, nullif(substr(trim(text), 1, 400), '') AS summary, true AS is_listing, 'other' AS category, {_AMOUNT} AS price_amount, CASE WHEN {_AMOUNT} IS NOT NULL THEN CASE lower(substr(regexp_extract(text, {_PRICED}, 2), 1, 2)) WHEN 'us' THEN 'USD' WHEN '$' THEN 'USD' WHEN 'до' THEN 'USD' WHEN 'ру' THEN 'RUB' WHEN '₽' THEN 'RUB' WHEN 'eu' THEN 'EUR' WHEN '€' THEN 'EUR' ELSE 'SAR' END END AS price_currency, 5::BIGINT AS unknown FROM documents")
 def parse_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", resolve.rules(F.col("text")).alias("p")).select("doc_id", "p.title", "p.summary")
+    got = docs.select("doc_id", resolve.rules(F.col("text")).alias("p")).select("doc_id", "p.*")
+    left = [c for c in got.columns if c not in ("doc_id", "title", "summary", "is_listing", "category", "price_amount", "price_currency")]
+    return got.withColumn("unknown", sum((F.col(c).isNull().cast("long") for c in left), F.lit(0).cast("long"))).drop(*left)
 
 
-_MODEL = """CASE WHEN p_size % 7 = 0 THEN 'no json' ELSE '{"is_listing": ' || CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END || ', "category": "' || CASE WHEN p_size % 3 = 0 THEN 'rent' ELSE 'flat' END || '", "title": " ' || CASE WHEN p_size % 5 > 0 THEN p_name ELSE '' END || ' ", "price_amount": ' || p_size || '.5}' END"""
+_MODEL = """CASE WHEN p_size % 7 = 0 THEN 'no json' ELSE '{"is_listing": ' || CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END || ', "category": "' || CASE WHEN p_size % 3 = 0 THEN 'rent' ELSE 'flat' END || '", "title": " ' || CASE WHEN p_size % 5 > 0 THEN p_name ELSE '' END || ' ", "price_amount": ' || p_size || '.5, "price_currency": "SAR", "price_period": null, "city": "City ' || p_size || '", "district": "' || p_type || '", "summary": "' || p_name || ' ' || p_type || '", "rooms": ' || p_size % 6 || ', "area_sqm": ' || p_size || '.25, "not_asked": 1}' END"""
 
 
-@query(f"SELECT p_partkey, p_size % 7 > 0 AND p_size % 2 = 0 AS is_listing, CASE WHEN p_size % 7 > 0 AND p_size % 3 = 0 THEN 'rent' ELSE 'other' END AS category, CASE WHEN p_size % 7 > 0 AND p_size % 5 > 0 THEN p_name ELSE '{schema.NO_TITLE}' END AS title, CASE WHEN p_size % 7 > 0 THEN p_size + 0.5::DOUBLE END AS price_amount FROM part")
+@query(f"SELECT p_partkey, p_size % 7 > 0 AND p_size % 2 = 0 AS is_listing, CASE WHEN p_size % 7 > 0 AND p_size % 3 = 0 THEN 'rent' ELSE 'other' END AS category, CASE WHEN p_size % 7 > 0 AND p_size % 5 > 0 THEN p_name ELSE '{schema.NO_TITLE}' END AS title, CASE WHEN p_size % 7 > 0 THEN p_size + 0.5::DOUBLE END AS price_amount, CASE WHEN p_size % 7 > 0 THEN 'SAR' END AS price_currency, NULL::VARCHAR AS price_period, CASE WHEN p_size % 7 > 0 THEN 'City ' || p_size END AS city, CASE WHEN p_size % 7 > 0 THEN p_type END AS district, CASE WHEN p_size % 7 > 0 THEN p_name || ' ' || p_type END AS summary, CASE WHEN p_size % 7 > 0 THEN (p_size % 6)::DOUBLE END AS rooms, CASE WHEN p_size % 7 > 0 THEN p_size + 0.25::DOUBLE END AS area_sqm FROM part")
 def model_payloads(spark, sf_dir):
     got = table(spark, sf_dir, "part").select("p_partkey", resolve.from_model(F.expr(_MODEL)).alias("p"))
-    return got.select("p_partkey", "p.is_listing", "p.category", "p.title", "p.price_amount")
+    return got.select("p_partkey", "p.*")
 
 
 @query("SELECT p_partkey, substr(CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN trim(repeat(p_name || ' ', 8)) ELSE p_name || ', kept' END, 1, 120) AS title, CASE WHEN p_size % 2 = 0 THEN p_name END AS cleaned, p_size % 3 = 0 AS arabic, '&lt;b&gt;' || p_name || '&amp;&quot;&#39;' AS escaped, p_name || ';' || p_brand || ';' || p_type || ';x' AS features, CASE WHEN p_size % 2 = 0 THEN 'a,c' ELSE 'c' END AS kept FROM part")
@@ -857,9 +873,9 @@ def summary_takewhile(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.summary_of(F.col("text"), F.lit(True)).alias("summary"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'Given' WHEN p_partkey % 3 = 1 THEN ['Мекка', 'Таиф', 'Янбу'][1 + p_size % 3] END AS city FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'Given' WHEN p_partkey % 3 = 1 THEN ['Мекка', 'Таиф', 'Янбу', 'Медина', 'Джидда', 'Эр-Рияд', 'Эр-Рияд', 'Даммам', 'Абха', 'Аль-Ула'][1 + p_size % 10] END AS city FROM part")
 def city_exactly_one(spark, sf_dir):
-    one = F.element_at(F.array(*map(F.lit, ["Из МЕККИ", "в Таифе", "о янбу"])), (1 + F.col("p_size") % 3).cast("int"))
+    one = F.element_at(F.array(*map(F.lit, ["Из МЕККИ", "в Таифе", "о янбу", "под Мединой", "Джидда!", "Эр-Рияд, центр", "эррияд", "из Даммама", "Абха", "дорога в Аль-Улу"])), (1 + F.col("p_size") % 10).cast("int"))
     title = F.when(F.col("p_partkey") % 3 == 1, one).when(F.col("p_partkey") % 3 == 2, F.lit("Мекка и Медина")).otherwise("нигде")
     return table(spark, sf_dir, "part").select("p_partkey", text.city_of(F.when(F.col("p_size") % 4 == 0, F.lit(" Given ")), title).alias("city"))
 
@@ -905,10 +921,12 @@ def freshness_bucket(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", feed.freshness(F.col("ts"), F.lit("2024-01-20").cast("date")).alias("bucket"))
 
 
-@query(f"WITH {_CARDS} SELECT id, title, category FROM pub")
+@query(f"WITH {_CARDS} SELECT {_SERIALIZED}, 0::BIGINT AS contacts FROM pub")
 def export_bundle(spark, sf_dir):
-    item = F.from_json("item", "title string, category string")
-    return curate.export(cards(spark, sf_dir)).select("id", item.alias("i")).select("id", "i.title", "i.category")
+    """The JSON of every card, read again."""
+    kinds = "id long, category string, subcategory string, city string, district string, title string, summary string, price_amount double, contacts array<string>, photo string, photos array<string>, last_seen_at timestamp, repost_count int, category_title string"
+    got = curate.export(cards(spark, sf_dir), "https://cdn/").select(F.from_json("item", kinds).alias("i")).select("i.*")
+    return got.withColumns({"photos": F.concat_ws(",", "photos"), "contacts": F.size("contacts").cast("long"), "last_seen_at": F.col("last_seen_at").cast("timestamp_ntz")})
 
 
 @query("SELECT l_orderkey % 1000 AS n, CASE WHEN (l_orderkey % 1000) % 100 BETWEEN 11 AND 14 THEN 'many' WHEN (l_orderkey % 1000) % 10 = 1 THEN 'one' WHEN (l_orderkey % 1000) % 10 BETWEEN 2 AND 4 THEN 'few' ELSE 'many' END AS form, count(*)::BIGINT AS rows FROM lineitem GROUP BY 1, 2")
