@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import io
-import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -14,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 SIDE, LOW, SAME_IMAGE, FAR = 32, 8, 8, 64
+#: Hashes of a part, about, of which two meet in a unit of work (an eighth where all are compared); up to so many bits pieces are looked up in tables.
+PART, TABLES = 131_072, 11
+#: Up to so many pairs of a unit are compared at once; pairs that are looked up are verified so many at a time.
+FEW, MET = 100_000_000, 1_048_576
 
 _k = np.arange(SIDE)
 #: Orthonormal DCT-II.
@@ -85,34 +88,95 @@ def hamming(left: Column, right: Column) -> Column:
 def pieces(distance: int) -> list[tuple[int, int, int]]:
     """(first bit, bits, radius) of three pieces of a hash, four beyond 11 bits: hashes within the distance have one at
     least in which they differ by no more than its radius."""
-    n = max(2, min(3 if distance <= 11 else 4, distance + 1))
+    n = 3 if distance <= TABLES else 4
     edges = [64 * i // n for i in range(n + 1)]
     return [(lo, hi - lo, (distance + 1 - i - 1) // n) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
 
 
-def _around(value: Column, lo: int, bits_: int, radius: int) -> Column:
-    """The piece of a hash, and all values within the radius of it."""
-    masks = [sum(1 << i for i in some) for r in range(radius + 1) for some in combinations(range(bits_), r)]
-    piece = F.shiftrightunsigned(value, lo).bitwiseAND(F.lit((1 << bits_) - 1))
-    return F.transform(F.from_json(F.lit(json.dumps(masks)), "array<bigint>"), lambda m: piece.bitwiseXOR(m))
+def _found(a: np.ndarray, b: np.ndarray, i: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places i of a, each with the ``count`` places of b from ``start`` on, a bounded number at a time."""
+    total = np.cumsum(count)
+    at = 0
+    while at < len(i):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + MET, "right")))
+        some = count[at:end]
+        yield a[np.repeat(i[at:end], some)], b[np.arange(int(some.sum())) + np.repeat(start[at:end] - np.cumsum(some) + some, some)]
+        at = end
+
+
+def _met(a: np.ndarray, b: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y): pairs of a and b within the distance, each once; both are hashes as uint64, each stands once in them.
+
+    Few hashes, or a large distance, are compared all with all. Else every value around a piece is looked up in a table of b's.
+    """
+    if distance > TABLES or len(a) * len(b) <= FEW:
+        rows = max(1, min(len(a), 65_536 // max(1, len(b))))
+        apart, ones = np.empty((rows, len(b)), np.uint64), np.empty((rows, len(b)), np.uint8)
+        for lo in range(0, len(a), rows):
+            n = min(rows, len(a) - lo)
+            np.bitwise_count(np.bitwise_xor(a[lo : lo + n, None], b[None, :], out=apart[:n]), out=ones[:n])
+            met = np.flatnonzero(ones[:n] <= distance)
+            if len(met):
+                yield a[lo + met // len(b)], b[met % len(b)]
+        return
+    before: list[tuple[np.uint64, np.uint64, int]] = []
+    for lo, n, radius in pieces(distance):
+        shift, mask = np.uint64(lo), np.uint64((1 << n) - 1)
+        left, right = ((h >> shift & mask).astype(np.int64) for h in (a, b))
+        order = np.argsort(left, kind="stable")
+        own, left = a[order], left[order]
+        other = b[np.argsort(right, kind="stable")]
+        begins = np.zeros((1 << n) + 1, np.int64)
+        np.cumsum(np.bincount(right, minlength=1 << n), out=begins[1:])
+        for turned in _masks(n, radius):
+            near = left ^ turned
+            start = begins[near]
+            count = begins[near + 1] - start
+            i = np.flatnonzero(count)
+            for x, y in _found(own, other, i, start[i], count[i]):
+                apart = x ^ y
+                good = np.bitwise_count(apart) <= distance
+                for s, m, r in before:  # pairs that an earlier piece has found
+                    good &= np.bitwise_count(apart >> s & m) > r
+                if good.any():
+                    yield x[good], y[good]
+        before.append((shift, mask, radius))
+
+
+def _masks(bits_: int, radius: int) -> list[int]:
+    return [sum(1 << i for i in some) for r in range(radius + 1) for some in combinations(range(bits_), r)]
 
 
 def near_pairs(hashes: DataFrame, value: str, distance: int = SAME_IMAGE, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, x, y, distance): pairs x < y of different hashes (longs) within the distance, each once, of equal ``by``.
 
-    Multi-index hashing: few long pieces, with neighbouring values looked up. Of a radius of 2 each side looks up one
-    bit, so a hash is a few dozen keys; of a larger one the left side looks up all of it. What meets is verified.
+    The hashes of a ``by`` are dealt to parts of bounded size, packed, and every two parts meet in a unit. There a hash looks up,
+    of its three long pieces, all values within a radius (multi-index hashing); beyond TABLES bits all are compared.
     """
-    known = hashes.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v")).distinct()
-
-    def keys(side: int, name: str) -> DataFrame:
-        near = []
-        for i, (lo, n, r) in enumerate(pieces(distance)):
-            radius = ((r + 1) // 2, r // 2)[side] if r <= 2 else (r, 0)[side]
-            near.append(F.struct(F.lit(i).alias("piece"), _around(F.col("v"), lo, n, radius).alias("bits")))
-        each = known.select(*by, F.col("v").alias(name), F.explode(F.array(*near)).alias("k"))
-        return each.select(*by, name, "k.piece", F.explode("k.bits").alias("bits"))
-
-    apart = hamming_bits(F.col("x"), F.col("y"))
-    met = keys(0, "x").join(keys(1, "y"), [*by, "piece", "bits"]).where((F.col("x") < F.col("y")) & (apart <= distance))
-    return met.select(*by, "x", "y", apart.cast("long").alias("distance")).distinct()
+    known = hashes.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("long").alias("v")).distinct()
+    parts = F.ceil(F.count("*") / F.lit(PART if distance <= TABLES else PART // 8)).cast("int").alias("__parts")
+    sizes = known.groupBy(*by).agg(parts)
+    dealt = known.join(sizes, [*by]) if by else known.crossJoin(F.broadcast(sizes))
+    packed = dealt.withColumn("__part", F.pmod(F.xxhash64("v"), F.col("__parts")).cast("int")).groupBy(*by, "__parts", "__part").agg(F.collect_list("v").alias("vs"))
+    met = packed.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    units = met.select(*by, F.least("__part", "__other").alias("__low"), F.greatest("__part", "__other").alias("__high"), "__part", "vs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b.slice(i, 1) for b in batches for i in range(b.num_rows)]
+        sides = [r.column("vs")[0].values.to_numpy().view(np.uint64) for r in rows]
+        alone = len(sides) == 1
+        for x, y in _met(sides[0], sides[-1], distance):
+            left, right = x.view(np.int64), y.view(np.int64)
+            if alone:  # each pair is met from both sides, and each hash meets itself
+                some = left < right
+                x, y, left, right = x[some], y[some], left[some], right[some]
+            for lo in range(0, len(x), 65_536):
+                cut = slice(lo, lo + 65_536)
+                n = len(x[cut])
+                keys = [pa.array([rows[0].column(c)[0].as_py()] * n, rows[0].column(c).type) for c in by]
+                values = (np.minimum(left[cut], right[cut]), np.maximum(left[cut], right[cut]), np.bitwise_count(x[cut] ^ y[cut]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, values)], names=[*by, "x", "y", "distance"])
+
+    kinds = dict(known.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "x long, y long, distance long"])
+    return units.groupBy(*by, "__low", "__high").applyInArrow(run, schema)

@@ -97,6 +97,30 @@ def test_near_hashes_are_all_found(spark, distance):
     assert sum(r + 1 for _, _, r in phash.pieces(distance)) == distance + 1
 
 
+def test_near_hashes_meet_in_packed_units(spark, monkeypatch):
+    monkeypatch.setattr(phash, "PART", 64)
+    rng = random.Random(5)
+    values = [rng.getrandbits(63) for _ in range(150)]
+    values = sorted({*values, *(v ^ sum(1 << k for k in rng.sample(range(63), 6)) for v in values)})
+    near = phash.near_pairs(spark.createDataFrame([(v,) for v in values], "v long"), "v", 8)
+    # no table of looked up values is a row, let alone broadcast
+    assert not near._jdf.queryExecution().toString().count("BroadcastHashJoin")
+    got = [tuple(r) for r in near.collect()]
+    want = {(x, y, (x ^ y).bit_count()) for x in values for y in values if x < y and (x ^ y).bit_count() <= 8}
+    assert set(got) == want and len(got) == len(want) >= 150
+
+
+@pytest.mark.parametrize(("distance", "few", "met"), [(8, 0, 7), (8, 10**8, 7), (1, 0, 1000), (16, 0, 7)])
+def test_near_hashes_of_a_unit(monkeypatch, distance, few, met):
+    monkeypatch.setattr(phash, "FEW", few)
+    monkeypatch.setattr(phash, "MET", met)
+    rng = random.Random(distance)
+    a = [rng.getrandbits(64) for _ in range(60)]
+    b = sorted({v ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, distance + 1))) for v in a})
+    got = [(int(x), int(y)) for some in phash._met(*(np.array(h, np.uint64) for h in (a, b)), distance) for x, y in zip(*some, strict=True)]
+    assert sorted(got) == sorted((x, y) for x in a for y in b if (x ^ y).bit_count() <= distance)
+
+
 def test_phash(spark):
     rng = np.random.default_rng(2)
     image = rng.random(1024) * 255
