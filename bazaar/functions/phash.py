@@ -165,17 +165,24 @@ def near_pairs(hashes: DataFrame, value: str, distance: int = SAME_IMAGE, by: tu
         rows = [b.slice(i, 1) for b in batches for i in range(b.num_rows)]
         sides = [r.column("vs")[0].values.to_numpy().view(np.uint64) for r in rows]
         alone = len(sides) == 1
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> pa.RecordBatch:
+            x, y = (np.concatenate(side) for side in zip(*held, strict=True))
+            held.clear()
+            keys = [pa.array([rows[0].column(c)[0].as_py()] * len(x), rows[0].column(c).type) for c in by]
+            values = (np.minimum(x, y), np.maximum(x, y), np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int64))
+            return pa.RecordBatch.from_arrays([*keys, *map(pa.array, values)], names=[*by, "x", "y", "distance"])
+
         for x, y in _met(sides[0], sides[-1], distance):
-            left, right = x.view(np.int64), y.view(np.int64)
+            x, y = x.view(np.int64), y.view(np.int64)
             if alone:  # each pair is met from both sides, and each hash meets itself
-                some = left < right
-                x, y, left, right = x[some], y[some], left[some], right[some]
-            for lo in range(0, len(x), 65_536):
-                cut = slice(lo, lo + 65_536)
-                n = len(x[cut])
-                keys = [pa.array([rows[0].column(c)[0].as_py()] * n, rows[0].column(c).type) for c in by]
-                values = (np.minimum(left[cut], right[cut]), np.maximum(left[cut], right[cut]), np.bitwise_count(x[cut] ^ y[cut]).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, values)], names=[*by, "x", "y", "distance"])
+                x, y = x[x < y], y[x < y]
+            held.append((x, y))
+            if len(held) == 1024 or len(x) > 16_384:
+                yield out()
+        if held:
+            yield out()
 
     kinds = dict(known.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "x long, y long, distance long"])
