@@ -122,6 +122,8 @@ def tiers_at(moments: DataFrame, promotions: DataFrame, at: str = "at") -> DataF
     asked, second = asked.withColumn("__us", F.unix_micros(F.col("__at").cast("timestamp"))), 1_000_000
     begin, end = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("starts_at", "ends_at"))
     runs = promotions.select("listing_id", "tier", begin.alias("__begin"), end.alias("__end")).where("__begin <= __end")
+    # of an interval up to a hundred rows are made: only of those of listings that are asked for
+    runs = runs.join(asked.select("listing_id").distinct(), "listing_id", "left_semi")
     inner = _whole_blocks(-_div(-F.col("__begin"), second), _div(F.col("__end"), second))
     blocks = runs.select("listing_id", "tier", F.explode(inner).alias("b")).groupBy("listing_id", "b.level", "b.block").agg(F.max("tier").alias("tier"))
     own = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(_div(F.col("__us"), second), _BITS * k).alias("block")) for k in range(_LEVELS)))

@@ -30,6 +30,14 @@ def test_tiers_at_each_rows_time(spark):
     assert feed.tiers_at(m.limit(0), p).collect() == [] and feed.tiers_at(m, p.limit(0)).where("promotion_rank <> 0").isEmpty()
 
 
+def test_only_intervals_of_asked_listings_are_cut(spark):
+    p = spark.range(1000).selectExpr("id as listing_id", "1 as tier", "timestamp'2020-01-01 00:00:01' as starts_at", "timestamp'2024-02-03 04:05:06' as ends_at")
+    m = spark.createDataFrame([(1, 7, START + timedelta(days=10**4)), (2, 5000, START)], "id long, listing_id long, at timestamp")
+    plan = feed.tiers_at(m, p)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("level") < plan.index("LeftSemi")  # below what cuts them
+    assert sorted((r["id"], r["promotion_rank"]) for r in feed.tiers_at(m.withColumn("at", F.lit("2022-02-02").cast("timestamp")), p).collect()) == [(1, 1), (2, 0)]
+
+
 def test_a_long_interval_is_few_blocks(spark):
     p = spark.createDataFrame([(0, 10**9 + 7), (5, 6), (63, 65), (7, 7), (9, 3)], "a long, b long")
     rows = p.select("a", "b", feed._whole_blocks(F.col("a"), F.col("b")).alias("w")).collect()
