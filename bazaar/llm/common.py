@@ -60,11 +60,14 @@ def _clean() -> None:
             _staged.pop(path, None)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, rows_of_file: int = 0) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
+
+    rows_of_file: most rows of a file (0: any number). Where a row is megabytes of arrays, Spark's reader would else hold thousands at once.
+    """
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_of_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,6 +37,8 @@ K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 8_192, 1_500_000
 #: Documents of a block; blocks of a span.
 BLOCK, SPAN = 16, 8
+#: A word in one of so many documents of a shard, or more, is a row of a matrix; so many queries are multiplied with it at once.
+DENSE, TOGETHER = 4, 64
 #: Terms of a block of queries, about; one query is never cut.
 QUERY_TERMS = 2_000_000
 #: One in so many shards is searched first, for thresholds.
@@ -172,7 +174,11 @@ def _frequencies(shards: DataFrame, queries: DataFrame, buckets: int) -> DataFra
 
 
 class Shard:
-    """A shard's postings of the terms in ``wanted`` (sorted), with their impacts, and the maxima of these by block, span and term."""
+    """A shard's postings of the terms in ``wanted`` (sorted), with their impacts, and the maxima of these by block, span and term.
+
+    Terms of many documents have no lists but a matrix of impacts: what they add to a document's score is known exactly before
+    its block is read, so bounds are only needed of the others.
+    """
 
     def __init__(self, sizes: np.ndarray, terms: np.ndarray, ends: np.ndarray, docs: np.ndarray, times: np.ndarray, mean: float, wanted: np.ndarray):
         place = np.minimum(np.searchsorted(wanted, terms), max(0, len(wanted) - 1))
@@ -182,9 +188,20 @@ class Shard:
         self.n = len(sizes)
         self.blocks = -(-self.n // BLOCK)
         self.spans = -(-self.blocks // SPAN)
-        self.docs, tf = docs[own], times[own].astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.docs] / max(mean, 1e-9)))
-        term, block = np.repeat(place[keep], length[keep]), self.docs // BLOCK
+        docs, tf = docs[own], times[own].astype(np.float64)
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / max(mean, 1e-9)))
+        place, length = place[keep], length[keep]
+        dense = length * DENSE >= self.n
+        self.row = np.full(len(wanted), -1)  # of each term: its row of the matrix
+        self.row[place[dense]] = np.arange(int(dense.sum()))
+        self.matrix = np.zeros((int(dense.sum()), self.n))
+        self.term_most = np.zeros(len(wanted))
+        many = np.repeat(dense, length)
+        self.matrix[np.repeat(self.row[place[dense]], length[dense]), docs[many]] = impact[many]
+        if dense.any():
+            self.term_most[place[dense]] = self.matrix.max(axis=1)
+        self.docs, self.impact = docs[~many], impact[~many]
+        term, block = np.repeat(place[~dense], length[~dense]), self.docs // BLOCK
 
         def cut(*by: np.ndarray) -> np.ndarray:
             new = np.ones(len(by[0]), bool)
@@ -197,7 +214,6 @@ class Shard:
         at = cut(term, self.block // SPAN)  # of each (term, span): its first (term, block)
         term, self.span, self.span_most, self.group = term[at], self.block[at] // SPAN, most(self.most, at), np.append(at, len(term))
         self.of = np.searchsorted(term, np.arange(len(wanted) + 1))  # of each term: its first (term, span)
-        self.term_most = np.zeros(len(wanted))
         at = cut(term)
         self.term_most[term[at]] = most(self.span_most, at)
 
@@ -206,15 +222,25 @@ class Shard:
         that may belong to its best k, their scores, and how many blocks' postings were read."""
         query = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
         bound = np.bincount(query, weights=self.term_most[terms] * weights, minlength=len(ends) - 1)
-        for q in np.flatnonzero((bound > 0) & (bound >= least - _MARGIN)).tolist():
-            own = slice(ends[q], ends[q + 1])
-            yield q, *self._one(terms[own], weights[own], k, float(least[q]))
-
-    def _one(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+        asked = np.flatnonzero((bound > 0) & (bound >= least - _MARGIN))
+        for lo in range(0, len(asked), TOGETHER):
+            some = asked[lo : lo + TOGETHER]
+            each = [slice(ends[q], ends[q + 1]) for q in some.tolist()]
+            by = np.zeros((len(some), len(self.matrix)))
+            for i, own in enumerate(each):
+                row = self.row[terms[own]]
+                by[i, row[row >= 0]] = weights[own][row >= 0]
+            known = by @ self.matrix
+            for q, own, base in zip(some.tolist(), each, known, strict=True):
+                listed = self.row[terms[own]] < 0
+                yield q, *self._one(terms[own][listed], weights[own][listed], base, k, float(least[q]))
+
+    def _one(self, terms: np.ndarray, weights: np.ndarray, base: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, int]:
         count = self.of[terms + 1] - self.of[terms]
         g, w = _spread(self.of[terms], count), np.repeat(weights, count)  # cursors: (term, span)
         span = self.span[g]
-        bound = np.bincount(span, weights=self.span_most[g] * w, minlength=self.spans)
+        base_block = np.maximum.reduceat(base, np.arange(0, self.n, BLOCK))
+        bound = np.maximum.reduceat(base_block, np.arange(0, self.blocks, SPAN)) + np.bincount(span, weights=self.span_most[g] * w, minlength=self.spans)
         pivots = np.argsort(-bound, kind="stable")
         docs, scores, read, at, step = [np.zeros(0, np.int64)], [np.zeros(0)], 0, 0, 2
         while at < len(pivots):
@@ -230,15 +256,15 @@ class Shard:
             count = self.group[g[own] + 1] - first
             b, bw = _spread(first, count), np.repeat(w[own], count)  # (term, block) in these spans
             block = self.block[b]
-            inner = np.bincount(block, weights=self.most[b] * bw, minlength=self.blocks)
-            live = (inner >= least - _MARGIN) & (inner > 0)
+            inner = base_block + np.bincount(block, weights=self.most[b] * bw, minlength=self.blocks)
+            live = (inner >= least - _MARGIN) & (inner > 0) & np.repeat(chosen, SPAN)[: self.blocks]
             own = np.flatnonzero(live[block])
             read += int(live.sum())
             first = self.posting[b[own]]
             count = self.posting[b[own] + 1] - first
             p = _spread(first, count)
-            total = np.bincount(self.docs[p], weights=self.impact[p] * np.repeat(bw[own], count), minlength=self.n)
-            hit = np.flatnonzero((total >= least - _MARGIN) & (total > 0))
+            total = base + np.bincount(self.docs[p], weights=self.impact[p] * np.repeat(bw[own], count), minlength=self.n)
+            hit = np.flatnonzero((total >= least - _MARGIN) & (total > 0) & np.repeat(live, BLOCK)[: self.n])
             docs.append(hit)
             scores.append(np.round(total[hit], DECIMALS))
             got = np.concatenate(scores)
@@ -258,7 +284,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_
     not read, whatever their names.
     """
     spark = docs.sparkSession
-    shards = staged(index(docs, doc_id, text).withColumn("seed", (F.pmod(F.xxhash64("sizes"), F.lit(SEED)) == 0)), "shards")
+    shards = staged(index(docs, doc_id, text).withColumn("seed", (F.pmod(F.xxhash64("sizes"), F.lit(SEED)) == 0)), "shards", 1)
     n, words = shards.agg(F.sum(F.size("ids")), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     if not n:
         n, words = 0, 0

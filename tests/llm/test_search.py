@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from bazaar.llm import search as m
+from bazaar.llm.common import staged
 
 
 def corpus(seed, n=300):
@@ -77,3 +79,29 @@ def test_like_documents_are_neighbours(make):
     assert sum(x != y for x, y in zip(first, first[1:], strict=False)) < 60
     ids, terms, ends, docs = (np.array(row[c]) for c in ("ids", "terms", "ends", "docs"))
     assert all(len(set(docs[a:b])) == b - a for a, b in zip([0, *ends[:-1]], ends, strict=True)) and sorted(ids) == list(range(1200))
+
+
+def test_a_shard_is_a_file(spark, monkeypatch):
+    """Spark reads thousands of rows of a file at once, and a shard is a row of megabytes."""
+    monkeypatch.setattr(m, "SHARD_DOCS", 4096)
+    made = []
+    monkeypatch.setattr(m, "staged", lambda df, name, *rest: made.append((name, staged(df, name, *rest))) or made[-1][1])
+    docs = spark.range(0, 10_000, 1, 1).selectExpr("id as doc_id", "concat('all some', id % 3, ' w', id) as text")
+    assert m.search(docs, docs.where("doc_id = 77"), 2).orderBy("rank").first()["doc_id"] == 77
+    shards = dict(made)["shards"]
+    assert shards.count() == 3 == len(shards.inputFiles())
+
+
+def test_words_of_many_documents_are_rows_of_a_matrix():
+    rng = np.random.default_rng(3)
+    times = (rng.random((40, 2000)) < np.concatenate([np.full(10, 0.6), np.full(30, 0.02)])[:, None]) * rng.integers(1, 4, (40, 2000))
+    term, doc = np.nonzero(times)
+    ends = np.cumsum(np.bincount(term, minlength=40))
+    names = np.arange(40, dtype=np.uint64)
+    shard = m.Shard(np.full(2000, 9), names, ends, doc.astype(np.int32), times[term, doc].astype(np.int32), 9.0, names)
+    assert len(shard.matrix) == 10 and len(shard.docs) == (term >= 10).sum()
+    tf = times.astype(float)
+    weights = rng.random(40)
+    scores = np.round((weights[:, None] * tf * (m.K1 + 1) / (tf + m.K1)).sum(axis=0), m.DECIMALS)
+    ((_, found, got, _),) = shard.search(np.array([0, 40]), np.arange(40), weights, 10, np.zeros(1))
+    assert sorted(got, reverse=True)[:10] == sorted(scores, reverse=True)[:10] and (scores[found] == got).all()
