@@ -6,7 +6,8 @@ query's terms add up to the k-th best score known; block-max WAND then looks at
 before it reads a posting. Here the pivots of all cursors are found at once, as arrays: a shard whose bounds stay
 below the threshold is left out; of the others spans are taken by falling bound, and all behind the first that is
 below are skipped, for every term; in a span only blocks whose own bounds reach the threshold are pivots, and only
-their postings are read. Each step's scores raise the threshold for the next one.
+their postings are read. Each step's scores raise the threshold for the next one. All of that is done for some dozens of
+queries at once, each with its own threshold.
 
 Blocks are only worth skipping if documents in them are alike. So a shard's documents are in the order of their most
 frequent word (of the shard's words), then of a MinHash of their rarer ones: texts of one language, and near copies, are neighbours.
@@ -37,8 +38,10 @@ K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 8_192, 1_500_000
 #: Documents of a block; blocks of a span.
 BLOCK, SPAN = 16, 8
-#: A word in one of so many documents of a shard, or more, is a row of a matrix; so many queries are multiplied with it at once.
-DENSE, TOGETHER = 4, 64
+#: A word in one of so many documents of a shard, or more, is a row of a matrix, the most frequent first, up to so many numbers.
+DENSE, NUMBERS = 32, 1 << 23
+#: So many queries are searched together, or fewer with so many postings between them; one query is never cut.
+TOGETHER, POSTINGS = 64, 1 << 20
 #: Terms of a block of queries, about; one query is never cut.
 QUERY_TERMS = 2_000_000
 #: One in so many shards is searched first, for thresholds.
@@ -176,8 +179,9 @@ def _frequencies(shards: DataFrame, queries: DataFrame, buckets: int) -> DataFra
 class Shard:
     """A shard's postings of the terms in ``wanted`` (sorted), with their impacts, and the maxima of these by block, span and term.
 
-    Terms of many documents have no lists but a matrix of impacts: what they add to a document's score is known exactly before
-    its block is read, so bounds are only needed of the others.
+    Terms of many documents have no lists but a matrix of impacts: what they add to a document's score is known before its
+    block is read, so bounds are only needed of the others. It is multiplied in single precision, the error of which is
+    part of every comparison; the few documents that may be among the best are scored once more in double precision.
     """
 
     def __init__(self, sizes: np.ndarray, terms: np.ndarray, ends: np.ndarray, docs: np.ndarray, times: np.ndarray, mean: float, wanted: np.ndarray):
@@ -192,6 +196,9 @@ class Shard:
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / max(mean, 1e-9)))
         place, length = place[keep], length[keep]
         dense = length * DENSE >= self.n
+        most_rows = NUMBERS // max(self.n, 1)
+        if dense.sum() > most_rows:
+            dense[np.argsort(np.where(dense, -length, 1), kind="stable")[most_rows:]] = False
         self.row = np.full(len(wanted), -1)  # of each term: its row of the matrix
         self.row[place[dense]] = np.arange(int(dense.sum()))
         self.matrix = np.zeros((int(dense.sum()), self.n))
@@ -200,7 +207,11 @@ class Shard:
         self.matrix[np.repeat(self.row[place[dense]], length[dense]), docs[many]] = impact[many]
         if dense.any():
             self.term_most[place[dense]] = self.matrix.max(axis=1)
+        self.rough = self.matrix.astype(np.float32)
+        self.listed = np.zeros(len(wanted), np.int64)  # of each term: its postings in lists
+        self.listed[place[~dense]] = length[~dense]
         self.docs, self.impact = docs[~many], impact[~many]
+        self.inside = self.docs % BLOCK
         term, block = np.repeat(place[~dense], length[~dense]), self.docs // BLOCK
 
         def cut(*by: np.ndarray) -> np.ndarray:
@@ -223,55 +234,80 @@ class Shard:
         query = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
         bound = np.bincount(query, weights=self.term_most[terms] * weights, minlength=len(ends) - 1)
         asked = np.flatnonzero((bound > 0) & (bound >= least - _MARGIN))
-        for lo in range(0, len(asked), TOGETHER):
-            some = asked[lo : lo + TOGETHER]
-            each = [slice(ends[q], ends[q + 1]) for q in some.tolist()]
-            by = np.zeros((len(some), len(self.matrix)))
-            for i, own in enumerate(each):
-                row = self.row[terms[own]]
-                by[i, row[row >= 0]] = weights[own][row >= 0]
-            known = by @ self.matrix
-            for q, own, base in zip(some.tolist(), each, known, strict=True):
-                listed = self.row[terms[own]] < 0
-                yield q, *self._one(terms[own][listed], weights[own][listed], base, k, float(least[q]))
-
-    def _one(self, terms: np.ndarray, weights: np.ndarray, base: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, int]:
-        count = self.of[terms + 1] - self.of[terms]
-        g, w = _spread(self.of[terms], count), np.repeat(weights, count)  # cursors: (term, span)
-        span = self.span[g]
-        base_block = np.maximum.reduceat(base, np.arange(0, self.n, BLOCK))
-        bound = np.maximum.reduceat(base_block, np.arange(0, self.blocks, SPAN)) + np.bincount(span, weights=self.span_most[g] * w, minlength=self.spans)
-        pivots = np.argsort(-bound, kind="stable")
-        docs, scores, read, at, step = [np.zeros(0, np.int64)], [np.zeros(0)], 0, 0, 2
-        while at < len(pivots):
-            some = pivots[at : at + step]
-            some = some[(bound[some] >= least - _MARGIN) & (bound[some] > 0)]
-            if not len(some):
+        before = np.cumsum(np.bincount(query, weights=self.listed[terms], minlength=len(ends) - 1)[asked])
+        lo = 0
+        while lo < len(asked):
+            hi = int(np.searchsorted(before, (before[lo - 1] if lo else 0) + POSTINGS, "right"))
+            hi = max(lo + 1, min(hi, lo + TOGETHER))
+            yield from self._together(asked[lo:hi], ends, terms, weights, k, least)
+            lo = hi
+
+    def _together(self, some: np.ndarray, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        m, count = len(some), ends[some + 1] - ends[some]
+        own, q = _spread(ends[some], count), np.repeat(np.arange(m), count)
+        t, w = terms[own], weights[own]
+        dense = self.row[t] >= 0
+        dq, dw, row = q[dense], w[dense], self.row[t[dense]]
+        used, at = np.unique(row, return_inverse=True)
+        by = np.zeros((m, len(used)), np.float32)
+        by[dq, at] = dw
+        base = by @ self.rough[used]
+        # what single precision can be wrong by: each weight, impact and product is rounded, and each sum
+        rows = np.bincount(dq, minlength=m)
+        slack = _MARGIN + np.finfo(np.float32).eps * (rows + 3) * np.bincount(dq, weights=dw * self.term_most[t[dense]], minlength=m)
+        floor = least[some] - slack
+        t, w, q = t[~dense], w[~dense], q[~dense]
+        count = self.of[t + 1] - self.of[t]
+        g, w, q = _spread(self.of[t], count), np.repeat(w, count), np.repeat(q, count)  # cursors: (query, term, span)
+        place = q * self.spans + self.span[g]
+        base_block = np.maximum.reduceat(base, np.arange(0, self.n, BLOCK), axis=1)
+        bound = np.maximum.reduceat(base_block, np.arange(0, self.blocks, SPAN), axis=1) + np.bincount(place, weights=self.span_most[g] * w, minlength=m * self.spans).reshape(m, -1)
+        pivots = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)  # of each span: which one it is by falling bound
+        found, docs, rough, listed, read = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(m, np.int64)
+        lo, step = 0, 2
+        while lo < self.spans:
+            chosen = (pivots >= lo) & (pivots < lo + step) & (bound >= floor[:, None]) & (bound > 0)
+            lo, step = lo + step, 2 * step
+            if not chosen.any():
                 break  # nor do those behind reach it
-            at, step = at + step, 2 * step
-            chosen = np.zeros(self.spans, bool)
-            chosen[some] = True
-            own = np.flatnonzero(chosen[span])
+            own = np.flatnonzero(chosen.ravel()[place])
             first = self.group[g[own]]
             count = self.group[g[own] + 1] - first
-            b, bw = _spread(first, count), np.repeat(w[own], count)  # (term, block) in these spans
-            block = self.block[b]
-            inner = base_block + np.bincount(block, weights=self.most[b] * bw, minlength=self.blocks)
-            live = (inner >= least - _MARGIN) & (inner > 0) & np.repeat(chosen, SPAN)[: self.blocks]
-            own = np.flatnonzero(live[block])
-            read += int(live.sum())
+            b, bw, bq = _spread(first, count), np.repeat(w[own], count), np.repeat(q[own], count)  # (query, term, block) in these spans
+            block = bq * self.blocks + self.block[b]
+            inner = base_block + np.bincount(block, weights=self.most[b] * bw, minlength=m * self.blocks).reshape(m, -1)
+            live = (inner >= floor[:, None]) & (inner > 0) & np.repeat(chosen, SPAN, axis=1)[:, : self.blocks]
+            read += live.sum(axis=1)
+            pairs = np.flatnonzero(live)  # (query, block) that are read
+            which = np.full(m * self.blocks, -1)
+            which[pairs] = np.arange(len(pairs))
+            own = np.flatnonzero(which[block] >= 0)
             first = self.posting[b[own]]
             count = self.posting[b[own] + 1] - first
             p = _spread(first, count)
-            total = base + np.bincount(self.docs[p], weights=self.impact[p] * np.repeat(bw[own], count), minlength=self.n)
-            hit = np.flatnonzero((total >= least - _MARGIN) & (total > 0) & np.repeat(live, BLOCK)[: self.n])
-            docs.append(hit)
-            scores.append(np.round(total[hit], DECIMALS))
-            got = np.concatenate(scores)
-            if len(got) > k:
-                least = max(least, float(np.partition(got, len(got) - k)[len(got) - k]))
-                docs, scores = [np.concatenate(docs)[got >= least - _MARGIN]], [got[got >= least - _MARGIN]]
-        return np.concatenate(docs), np.concatenate(scores), read
+            more = np.bincount(np.repeat(which[block[own]], count) * BLOCK + self.inside[p], weights=self.impact[p] * np.repeat(bw[own], count), minlength=len(pairs) * BLOCK)
+            of = np.repeat(pairs // self.blocks, BLOCK)
+            doc = ((pairs % self.blocks)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            real = np.minimum(doc, self.n - 1)
+            total = more + base[of, real]
+            hit = (doc < self.n) & (total > 0) & (total >= floor[of])
+            found, docs, rough, listed = (np.concatenate(x) for x in ((found, of[hit]), (docs, doc[hit]), (rough, total[hit]), (listed, more[hit])))
+            order = np.lexsort((-rough, found))
+            found, docs, rough, listed = found[order], docs[order], rough[order], listed[order]
+            start = np.searchsorted(found, np.arange(m + 1))
+            full = np.flatnonzero(np.diff(start) >= k)
+            floor[full] = np.maximum(floor[full], rough[start[full] + k - 1] - 2 * slack[full])
+            keep = rough >= floor[found]
+            found, docs, rough, listed = found[keep], docs[keep], rough[keep], listed[keep]
+        start = np.cumsum(rows) - rows
+        count = rows[found]
+        own = _spread(start[found], count)
+        exact = np.bincount(np.repeat(np.arange(len(found)), count), weights=dw[own] * self.matrix[row[own], np.repeat(docs, count)], minlength=len(found))
+        scores = np.round(listed + exact, DECIMALS)
+        start = np.searchsorted(found, np.arange(m + 1))
+        for i, j in enumerate(some.tolist()):
+            mine = slice(start[i], start[i + 1])
+            yield j, docs[mine], scores[mine], int(read[i])
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", query_id: str = "doc_id", query_text: str = "text") -> DataFrame:
@@ -315,7 +351,11 @@ def _pass(shards: DataFrame, block: DataFrame, k: int, n: int, mean: float, kind
     term, times, df = (flat.field(i).to_numpy() for i in range(3))
     wanted, place = np.unique(term.view(np.uint64), return_inverse=True)
     weight = times * np.log1p((n - df + 0.5) / (df + 0.5))
-    names = rows.column("query").to_numpy()
+    # queries with the same most frequent word, mostly of one language, are searched together: they need the same rows of matrices
+    size = np.diff(ends)
+    order = np.argsort(np.maximum.reduceat(df, ends[:-1]), kind="stable") if len(size) else np.zeros(0, np.int64)
+    own = _spread(ends[order], size[order])
+    names, ends, place, weight = rows.column("query").to_numpy()[order], np.concatenate([[0], np.cumsum(size[order])]), place[own], weight[own]
     sc = shards.sparkSession.sparkContext
     shared = sc.broadcast((names, ends, place.astype(np.int32), weight, wanted))
 

@@ -105,3 +105,39 @@ def test_words_of_many_documents_are_rows_of_a_matrix():
     scores = np.round((weights[:, None] * tf * (m.K1 + 1) / (tf + m.K1)).sum(axis=0), m.DECIMALS)
     ((_, found, got, _),) = shard.search(np.array([0, 40]), np.arange(40), weights, 10, np.zeros(1))
     assert sorted(got, reverse=True)[:10] == sorted(scores, reverse=True)[:10] and (scores[found] == got).all()
+
+
+def test_words_of_a_twentieth_are_known_before_a_block_is_read():
+    rng = np.random.default_rng(5)
+    term, doc = np.nonzero(rng.random((60, 4096)) < 0.05)
+    names, weights = np.arange(60, dtype=np.uint64), rng.random(60)
+    shard = m.Shard(np.full(4096, 9), names, np.cumsum(np.bincount(term)), doc.astype(np.int32), np.ones(len(doc), np.int32), 9.0, names)
+    scores = np.round(np.bincount(doc, weights=weights[term], minlength=4096), m.DECIMALS)
+    ((_, found, got, read),) = shard.search(np.array([0, 60]), np.arange(60), weights, 10, np.array([np.sort(scores)[-10]]))
+    assert set(np.flatnonzero(scores >= np.sort(scores)[-10])) <= set(found) and (scores[found] == got).all()
+    assert read <= 20  # of 256 blocks; by bounds of each word alone nearly all are read
+
+
+@pytest.mark.parametrize(("numbers", "postings", "together"), [(0, 1, 64), (900, 3000, 64), (1 << 23, 1 << 20, 3), (1 << 23, 1 << 20, 64)])
+def test_queries_together_as_each_alone(monkeypatch, numbers, postings, together):
+    """Rows of the matrix up to NUMBERS, the rest in lists; scores that single precision can't tell apart keep their order."""
+    monkeypatch.setattr(m, "NUMBERS", numbers)
+    monkeypatch.setattr(m, "POSTINGS", postings)
+    monkeypatch.setattr(m, "TOGETHER", together)
+    rng = np.random.default_rng(6)
+    term, doc = np.nonzero(rng.random((50, 300)) < np.concatenate([np.full(20, 0.5), np.full(30, 0.01)])[:, None])
+    names = np.arange(50, dtype=np.uint64)
+    shard = m.Shard(np.full(300, 9), names, np.cumsum(np.bincount(term, minlength=50)), doc.astype(np.int32), np.ones(len(doc), np.int32), 9.0, names)
+    assert len(shard.matrix) == min(20, numbers // 300)
+    # weights by far more than what tells two documents apart
+    weights = np.array([[1e5 + 1e-3 * i if t < 20 else 10.0 * (t % 3 + 1) for t in range(50)] for i in range(20)]) + rng.integers(0, 90, (20, 50)) * 1e-4
+    asked = rng.random((20, 50)) < 0.7
+    ends = np.concatenate([[0], np.cumsum(asked.sum(axis=1))])
+    held = np.zeros((50, 300))
+    held[term, doc] = 1
+    results = list(shard.search(ends, np.nonzero(asked)[1], weights[asked], 10, np.zeros(20)))
+    assert [r[0] for r in results] == list(range(20))
+    for q, found, got, _ in results:
+        scores = (weights[q] * asked[q]) @ held
+        assert np.abs(scores[found] - got).max() < 1e-5
+        assert np.abs(np.sort(got)[-10:] - np.sort(scores)[-10:]).max() < 1e-5
